@@ -38,7 +38,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def positions(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], rows: int | None = None, per_bucket: int = 20_000) -> DataFrame:
+def positions(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], rows: int | None = None, per_bucket: int = 5_000) -> DataFrame:
     """Adds, for each name in sums, the sum of that column over the rows of the same keys that come earlier.
 
     "Earlier" is a fixed pseudo-random order: rows are dealt to buckets by a hash of the order columns, buckets
