@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from .langid import op10_identify_language
 from .mixing import op5_mix_sources
+from .neardup import op4_near_duplicates
 from .packing import op2_pack_documents
 from .sharding import op9_shard_documents
 
 
 def queries() -> dict:
-    return {"op2_pack_documents": op2_pack_documents, "op5_mix_sources": op5_mix_sources, "op9_shard_documents": op9_shard_documents, "op10_identify_language": op10_identify_language}
+    return {"op2_pack_documents": op2_pack_documents, "op4_near_duplicates": op4_near_duplicates, "op5_mix_sources": op5_mix_sources, "op9_shard_documents": op9_shard_documents, "op10_identify_language": op10_identify_language}
 
 
 def oracle_sql() -> dict[str, str]:
