@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .ann import op7_nearest_vectors
+from .chat import OP1_SQL, op1_format_chat
 from .langid import op10_identify_language
 from .mixing import op5_mix_sources
 from .neardup import op4_near_duplicates
@@ -10,8 +12,9 @@ from .sharding import op9_shard_documents
 
 
 def queries() -> dict:
-    return {"op2_pack_documents": op2_pack_documents, "op4_near_duplicates": op4_near_duplicates, "op5_mix_sources": op5_mix_sources, "op9_shard_documents": op9_shard_documents, "op10_identify_language": op10_identify_language}
+    found = (op1_format_chat, op2_pack_documents, op4_near_duplicates, op5_mix_sources, op7_nearest_vectors, op9_shard_documents, op10_identify_language)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_format_chat": OP1_SQL}
