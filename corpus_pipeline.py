@@ -1,16 +1,52 @@
-"""Raw documents to packed training sequences: five stages over the operators of storyloom.llm."""
+"""Raw documents to packed training sequences: five stages over the operators of storyloom.llm.
+
+Every stage takes (spark, docs, sf_dir) and all rows that the one before kept. The first four return the columns of
+documents; the last returns a row for each piece of each packed sequence."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storyloom.llm import langid, mixing, neardup, packing, quality
+from storyloom.llm.common import materialize
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the classifier names; those that it rejects go."""
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    return langid.predict(docs, model).where(~F.col("lang_rejected")).select(*docs.columns)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.keep_good(docs)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return neardup.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2,048 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language id", identify), ("quality rules", good), ("near duplicates", distinct), ("source mix", mixed), ("packing", packed)]
 
-STAGES: list = []
+#: No stage but the mix could be written in SQL: a trained classifier, signatures, tokens and a packing plan decide.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over all documents."""
+    """The stages in turn over all documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -106,3 +106,16 @@ def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     """All documents, mixed: doc_id, size, source_size, target, taken."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return taken_words(mix(docs)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """docs (doc_id, text, source and more) with each row as often as the mix takes it, to the nearest whole number of
+    times: a row that the mix takes for half of its words or less goes, and so do rows without a word. All columns are
+    kept. A source's cut falls inside one document a pass, so whole documents come as near the target as that one."""
+    md5 = F.md5(F.encode("text", "UTF-8"))
+    slim = materialize(docs.select("doc_id", md5.alias("md5"), "source", word_count(F.col("text")).alias("size")), "mix-rows")
+    took = taken_words(mix(slim.select(F.struct("doc_id", "md5").alias("doc_id"), "source", "size"), **how))
+    times = took.where("size > 0").groupBy("doc_id", "source").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("__times")).where("__times > 0")
+    times = times.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.md5").alias("__md5"), F.col("source").alias("__source"), "__times")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & md5.eqNullSafe(F.col("__md5")) & F.col("source").eqNullSafe(F.col("__source"))
+    return docs.join(times, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
