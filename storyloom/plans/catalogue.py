@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import story  # noqa: F401
+from . import relational, story  # noqa: F401
 from .registry import QUERIES, SQL
 
 
