@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
 
@@ -43,17 +44,18 @@ def iou_pairs(boxes: DataFrame, page: list[str], cell: int = 512) -> DataFrame:
 READING = {"overlap": 2.0, "horizontal": 1.5, "vertical": 0.3, "distance": 0.5}
 
 
-def _order(frame: pd.DataFrame, right_to_left: bool, row_share: float, w: dict) -> list[int]:
-    """Positions of a page's boxes in reading order."""
+def order_of(boxes: list[dict], right_to_left: bool, row_share: float, w: dict) -> list[int]:
+    """Positions of a page's boxes (x, y, w, h) in reading order."""
     sign = -1 if right_to_left else 1
-    left, top = frame["x"].to_numpy(float), frame["y"].to_numpy(float)
-    width, height = frame["w"].to_numpy(float), frame["h"].to_numpy(float)
-    right, bottom = left + width, top + height
-    cx, cy = left + width / 2, top + height / 2
-    span, depth = max(right.max(), 1.0), max(bottom.max(), 1.0)
+    n = range(len(boxes))
+    left, top = [float(b["x"]) for b in boxes], [float(b["y"]) for b in boxes]
+    height = [float(b["h"]) for b in boxes]
+    right, bottom = [float(b["x"] + b["w"]) for b in boxes], [float(b["y"] + b["h"]) for b in boxes]
+    cx, cy = [(left[i] + right[i]) / 2 for i in n], [(top[i] + bottom[i]) / 2 for i in n]
+    span, depth = max([1.0, *right]), max([1.0, *bottom])
     reach = (span**2 + depth**2) ** 0.5
-    edge = right if right_to_left else -left
-    unread, out = set(range(len(frame))), []
+    edge = right if right_to_left else [-x for x in left]
+    unread, out = set(n), []
 
     def row_start() -> int:
         highest = min(top[i] for i in unread)
@@ -68,29 +70,28 @@ def _order(frame: pd.DataFrame, right_to_left: bool, row_share: float, w: dict)
         near = max(0.0, 1 - ((cx[j] - cx[i]) ** 2 + (cy[j] - cy[i]) ** 2) ** 0.5 / reach)
         return w["overlap"] * shared(i, j) + w["horizontal"] * across + w["vertical"] * down + w["distance"] * near
 
-    now = row_start() if unread else None
-    while now is not None:
-        out.append(now)
-        unread.discard(now)
-        ahead = [j for j in unread if shared(now, j) >= row_share and sign * (cx[j] - cx[now]) > 0]
-        now = max(ahead, key=lambda j: (merit(now, j), edge[j], -j)) if ahead else row_start() if unread else None
+    while unread:
+        ahead = [j for j in unread if shared(out[-1], j) >= row_share and sign * (cx[j] - cx[out[-1]]) > 0] if out else []
+        out.append(max(ahead, key=lambda j: (merit(out[-1], j), edge[j], -j)) if ahead else row_start())
+        unread.discard(out[-1])
     return out
 
 
 def reading_order(boxes: DataFrame, page: list[str], right_to_left: bool = True, row_share: float = 0.5, weights: dict = READING) -> DataFrame:
     """page keys, id and rank (from 1) of each box (x, y, w, h). A row starts at the topmost box nearest the starting
     edge; then the best-scored box further along in the row is next. Boxes without a positive size have rank null."""
-    keys = ", ".join(f"{k} {boxes.schema[k].dataType.simpleString()}" for k in page)
-    kind = boxes.schema["id"].dataType.simpleString()
-
-    def rank(frame: pd.DataFrame) -> pd.DataFrame:
-        good = (frame[["w", "h"]] > 0).all(axis=1) & frame[["x", "y", "w", "h"]].notna().all(axis=1)
-        fine = frame[good].sort_values("id").reset_index(drop=True)
-        placed = fine.iloc[_order(fine, right_to_left, row_share, weights)].copy() if len(fine) else fine.copy()
-        placed["rank"] = range(1, len(placed) + 1)
-        rest = frame[~good].copy()
-        rest["rank"] = None
-        out = pd.concat([placed, rest]) if len(rest) else placed
-        return out[[*page, "id", "rank"]].astype({"rank": "Int32"})
-
-    return boxes.select(*page, "id", "x", "y", "w", "h").groupBy(*page).applyInPandas(rank, f"{keys}, id {kind}, rank int")
+    pages = boxes.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("id", "x", "y", "w", "h"))).alias("boxes"))
+    ranked = T.StructType([T.StructField("id", boxes.schema["id"].dataType), T.StructField("rank", T.IntegerType())])
+    schema = T.StructType([*(boxes.schema[k] for k in page), T.StructField("ranked", T.ArrayType(ranked))])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for group in batch.column(len(page)).to_pylist():
+                fine = [b for b in group if None not in b.values() and b["w"] > 0 and b["h"] > 0]
+                place = {i: r + 1 for r, i in enumerate(order_of(fine, right_to_left, row_share, weights))}
+                rows.append([{"id": b["id"], "rank": place[i]} for i, b in enumerate(fine)] + [{"id": b["id"], "rank": None} for b in group if b not in fine])
+            kind = pa.list_(pa.struct([("id", batch.column(len(page)).type.value_type.field("id").type), ("rank", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(page)], pa.array(rows, kind)], names=schema.names)
+
+    return pages.mapInArrow(run, schema).select(*page, F.inline("ranked"))
