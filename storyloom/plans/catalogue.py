@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, relational, story  # noqa: F401
+from . import media, relational, story, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 
