@@ -16,10 +16,12 @@ from ..functions.geometry import union_box
 
 
 def artifacts(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """JSON documents, one a file or one a line, under a fixed schema: the good rows, and the corrupt ones as text."""
-    raw = spark.read.schema(f"{schema}, _corrupt STRING").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    kept = raw.withColumn("_file", F.col("_metadata.file_path"))
-    return kept.where("_corrupt is null").drop("_corrupt", "_file"), kept.where("_corrupt is not null").select("_file", "_corrupt")
+    """JSON documents, one a file, under a fixed schema: the good rows, and the corrupt files with their text."""
+    raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
+    doc = F.from_json("value", f"{schema}, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = raw.withColumn("_doc", doc)
+    good = parsed.where(F.col("_doc._corrupt").isNull()).select("_doc.*").drop("_corrupt")
+    return good, parsed.where(F.col("_doc._corrupt").isNotNull()).select("_file", F.col("_doc._corrupt").alias("_corrupt"))
 
 
 def listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
