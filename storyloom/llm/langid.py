@@ -31,8 +31,8 @@ def subwords(text: str):
         h = b
         for order in range(2, max(ORDERS) + 1):
             h = h[: len(b) - order + 1] * np.uint32(257) + b[order - 1 :]
-            if order in ORDERS and len(h):
-                yield ((h + np.uint32(order)) * np.uint32(2654435761) >> np.uint32(18)).astype(np.int32)
+            if order in ORDERS and len(h):  # those that start in this chunk
+                yield ((h[:CHUNK] + np.uint32(order)) * np.uint32(2654435761) >> np.uint32(18)).astype(np.int32)
 
 
 def histogram(text: str) -> np.ndarray:
