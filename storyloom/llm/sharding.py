@@ -17,36 +17,40 @@ def _best(counts: Column, shards: int, offset: Column) -> Column:
     return F.element_at(F.filter(order, lambda s: F.get(counts, s) == top), 1)
 
 
-def propagate(linked: DataFrame, shards: int, room: list[float], rounds: int = 4, split_above: float = 0.0) -> DataFrame:
+def propagate(linked: DataFrame, shards: int, room: list[float], rounds: int = 6, split_above: float = 0.0) -> DataFrame:
     """linked: node, size, community (documents of one community are linked), shard. Returns it with new shards.
 
-    Each round counts every community's bytes by shard (partially aggregated before the shuffle), joins the counts
-    back to the documents, and lets those outside their community's fullest shard propose to move there. A shard
-    accepts as much as its room (bytes) allows: where the proposals exceed it, a hash draws that share of the
-    communities, and of the single documents where a community exceeds split_above bytes. The driver sees the
-    shards' loads and demands only. A community of any size is a few numbers on its own side of the join; its
-    documents stay in as many tasks as the skew-join rule of Spark gives them."""
+    Each round counts every community's bytes by shard (partially aggregated before the shuffle), joins the counts back
+    to the documents, and lets them propose to move to the shard that holds most of their community among those with
+    room, if it holds more of it than their own. A shard accepts as much as its room (bytes) allows: where the
+    proposals exceed it, a hash draws that share of the communities, and of the single documents where a community
+    exceeds split_above bytes; the rest of such a community then gathers in the next shard. The driver sees the shards'
+    loads and demands only. A community of any size is a few numbers on its own side of the join; its documents stay
+    in as many tasks as the skew-join rule of Spark gives them."""
     state = linked
     for turn in range(rounds):
+        load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+        free = [room[s] - load.get(s, 0) for s in range(shards)]
         held = [F.sum(F.when(F.col("shard") == s, F.col("size")).otherwise(0)).alias(f"s{s}") for s in range(shards)]
         votes = state.groupBy("community").agg(*held)
         counts = F.array(*(F.col(f"s{s}") for s in range(shards)))
-        votes = votes.select("community", _best(counts, shards, F.pmod(F.xxhash64("community"), F.lit(shards)).cast("int")).alias("best"), reduce(lambda a, b: a + b, (F.col(f"s{s}") for s in range(shards))).alias("bytes"))
-        moves = materialize(state.join(votes, "community"), f"shards-{turn}")
-        asked = moves.where("best <> shard")
-        came = {r["best"]: r["n"] for r in asked.groupBy("best").agg(F.sum("size").alias("n")).collect()}
+        spare = F.array(*(F.col(f"s{s}") if free[s] > 0.01 * room[s] else F.lit(-1).cast("long") for s in range(shards)))
+        votes = votes.select("community", counts.alias("held"), _best(spare, shards, F.pmod(F.xxhash64("community"), F.lit(shards)).cast("int")).alias("best"), reduce(lambda a, b: a + b, (F.col(f"s{s}") for s in range(shards))).alias("bytes"))
+        more = F.get("held", F.col("best")) > F.get("held", F.col("shard"))
+        tie = (F.get("held", F.col("best")) == F.get("held", F.col("shard"))) & (F.col("best") < F.col("shard"))
+        moves = materialize(state.join(votes, "community").withColumn("asks", (F.col("best") != F.col("shard")) & (more | tie)), f"shards-{turn}")
+        came = {r["best"]: r["n"] for r in moves.where("asks").groupBy("best").agg(F.sum("size").alias("n")).collect()}
         if not came:
             break
-        load = {r["shard"]: r["n"] for r in moves.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
-        share = [min(1.0, max(0.0, room[s] - load.get(s, 0)) / came[s]) if came.get(s) else 0.0 for s in range(shards)]
+        share = [min(1.0, max(0.0, free[s]) / came[s]) if came.get(s) else 0.0 for s in range(shards)]
         draw = lambda *of: F.pmod(F.xxhash64(*of, F.lit(turn)), F.lit(1_000_000)) / 1e6
         ticket = F.when(F.col("bytes") > split_above, draw("node", "community")).otherwise(draw("community"))
-        accepted = ticket < F.element_at(F.array(*(F.lit(x) for x in share)), F.col("best") + 1)
+        accepted = F.col("asks") & (ticket < F.get(F.array(*(F.lit(x) for x in share)), F.col("best")))
         state = moves.select("node", "size", "community", F.when(accepted, F.col("best")).otherwise(F.col("shard")).alias("shard"))
     return state
 
 
-def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 4) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     """docs: node (any type), size (long, positive), community (null: linked to nothing). Returns node, size, shard, slot.
 
     Law: bytes. Linked documents move towards their community's fullest shard while it has room; then what lies
