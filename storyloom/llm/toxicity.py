@@ -211,6 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> ToxicityMo
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = lambda y: int(min(1.0, per_class / max(1, counts.get(y, 0))) * 1e6)
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, share(1)).otherwise(share(0)))
+    # At most 3 * per_class rows, so they can go to every task; the texts stay where they are.
+    drawn = F.broadcast(drawn.orderBy(F.xxhash64("doc_id"), "toxic").limit(3 * per_class))
     sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(drawn, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     sample = materialize(sample, "toxic-sample")
     units = learn_lexicon(sample)
