@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +26,36 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir["dir"]
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Actions inside leave no shuffle files behind: they are deleted as soon as each one has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the lineage ends there, and a lost
     executor costs a re-read only. The tables go with the shared folder, which the cluster empties after a job."""
     path = f"{shared_dir(df.sparkSession)}/storyloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that materialize has written and that nothing still to be run reads."""
+    for table in tables:
+        if path := getattr(table, "_written_to", None):
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def word_count(text: Column) -> Column:
