@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +14,6 @@ UNKNOWN = "und"
 BUCKETS = 1 << 14
 ORDERS = (2, 3, 4)
 CHUNK = 1 << 20
-_letter = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -23,6 +21,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter of any script; digits, number forms and marks are none."""
+    return any(map(str.isalpha, text))
+
+
 def subwords(text: str):
     """Arrays of bucket numbers of a text's byte 2-, 3- and 4-grams in lower case, over the whole text, by chunks."""
     data = np.frombuffer(b" " + text.lower().encode("utf-8", "replace") + b" ", dtype=np.uint8)
@@ -55,7 +58,7 @@ class LanguageModel:
     reject_below: float
 
     def probabilities(self, text: str | None) -> np.ndarray | None:
-        if not text or not self.langs or not _letter.search(text):
+        if not text or not self.langs or not has_letter(text):
             return None
         total, n = np.zeros(len(self.langs)), 0
         for ids in subwords(text):
@@ -109,7 +112,7 @@ def fit(docs: DataFrame, per_lang: int = 500, reject_rate: float = 0.002, most_l
         for batch in batches:
             ids, values, names = [], [], []
             for text, lang in zip(batch.column(0), batch.column(1)):
-                if _letter.search(t := text.as_py()):
+                if has_letter(t := text.as_py()):
                     h = histogram(t)
                     at = np.flatnonzero(h).astype("<i4")
                     ids.append(at.tobytes())

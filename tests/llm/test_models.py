@@ -35,6 +35,11 @@ def test_language_odd_documents(docs, none):
     assert langid.predict(none, model).count() == 0
 
 
+def test_only_letters_make_a_language():
+    assert not any(map(langid.has_letter, ("", " 12 ", "½ ² Ⅳ", "_!?", "🙂")))
+    assert all(map(langid.has_letter, ("1a", "é", "日", " ñ ")))
+
+
 def test_subwords_do_not_depend_on_chunks(monkeypatch):
     text = "Straße and naïve words " * 400
     whole = langid.histogram(text)
