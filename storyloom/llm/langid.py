@@ -69,19 +69,41 @@ class LanguageModel:
         return p / p.sum()
 
 
-def train(x: np.ndarray, y: np.ndarray, n_langs: int, dim: int = 16, epochs: int = 30, rate: float = 0.5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Stochastic gradient descent on cross-entropy; a document is the average of its subwords' embeddings.
-    x: a histogram a row. Returns (buckets x langs logits, bias)."""
+@dataclass(frozen=True)
+class Histograms:
+    """Histograms kept as their filled buckets and the shares there (little-endian int32 and float32)."""
+
+    filled: list[tuple[bytes, bytes]]
+
+    def __len__(self) -> int:
+        return len(self.filled)
+
+    def only(self, rows: np.ndarray) -> Histograms:
+        return Histograms([self.filled[i] for i in rows])
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        """Those rows as full histograms; meant for a batch at a time."""
+        out = np.zeros((len(rows), BUCKETS), dtype=np.float32)
+        for i, row in enumerate(rows):
+            ids, values = self.filled[row]
+            out[i, np.frombuffer(ids, "<i4")] = np.frombuffer(values, "<f4")
+        return out
+
+
+def train(x: Histograms, y: np.ndarray, n_langs: int, dim: int = 16, epochs: int = 30, rate: float = 0.5, batch: int = 32, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Stochastic gradient descent on cross-entropy; a document is the average of its subwords' embeddings. Only one
+    batch of histograms is full at a time. Returns (buckets x langs logits, bias)."""
     rng = np.random.default_rng(seed)
-    embed = (rng.standard_normal((x.shape[1], dim)) * 0.1).astype(np.float32)
+    embed = (rng.standard_normal((BUCKETS, dim)) * 0.1).astype(np.float32)
     weight, bias = (rng.standard_normal((dim, n_langs)) * 0.1).astype(np.float32), np.zeros(n_langs, dtype=np.float32)
-    scale = np.float32(x.shape[1] ** 0.5)
+    scale = np.float32(BUCKETS**0.5)
     for epoch in range(epochs):
         step = np.float32(rate * (1 - epoch / epochs))
         order = rng.permutation(len(x))
-        for at in range(0, len(order), 32):
-            rows = order[at : at + 32]
-            mean = x[rows] @ embed * scale
+        for at in range(0, len(order), batch):
+            rows = order[at : at + batch]
+            part = x.dense(rows)
+            mean = part @ embed * scale
             z = mean @ weight + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -90,7 +112,7 @@ def train(x: np.ndarray, y: np.ndarray, n_langs: int, dim: int = 16, epochs: int
             back = p @ weight.T
             weight -= step * mean.T @ p
             bias -= step * p.sum(0)
-            embed -= step * scale * (x[rows].T @ back)
+            embed -= step * scale * (part.T @ back)
     return embed @ weight * scale, bias
 
 
@@ -123,13 +145,11 @@ def fit(docs: DataFrame, per_lang: int = 500, reject_rate: float = 0.002, most_l
     rows = drawn.select("text", "lang").mapInArrow(sparse, "ids binary, values binary, lang string").orderBy(F.xxhash64("ids")).limit(2 * per_lang * len(langs)).collect()
     if not rows:
         return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    x, y = np.zeros((len(rows), BUCKETS), dtype=np.float32), np.array([langs.index(r["lang"]) for r in rows])
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["ids"], "<i4")] = np.frombuffer(r["values"], "<f4")
+    x, y = Histograms([(r["ids"], r["values"]) for r in rows]), np.array([langs.index(r["lang"]) for r in rows])
     fifth = np.arange(len(rows)) % 5 == 4 if len(rows) >= 20 else np.zeros(len(rows), bool)
-    table, bias = train(x[~fifth], y[~fifth], len(langs))
-    at = fifth if fifth.any() else ~fifth
-    z = x[at] @ table + bias
+    table, bias = train(x.only(np.flatnonzero(~fifth)), y[~fifth], len(langs))
+    at = np.flatnonzero(fifth) if fifth.any() else np.arange(len(rows))
+    z = np.concatenate([x.dense(at[i : i + 32]) @ table for i in range(0, len(at), 32)]) + bias
 
     def softmax(t: float) -> np.ndarray:
         p = np.exp((z - z.max(1, keepdims=True)) / t)
