@@ -139,7 +139,7 @@ def _units(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
 
 
-def learn_lexicon(sample: DataFrame, least_odds: float = 2.5, most_units: int = 512) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame, least_odds: float = 2.0, most_units: int = 512) -> dict[str, float]:
     """sample: text, toxic, one row a distinct text. Units (words, and stems as "abcd*") with their log-odds.
 
     Document counts of all units are summed on Spark; those in enough toxic texts whose odds are e^least_odds times
