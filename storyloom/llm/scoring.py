@@ -1,7 +1,13 @@
-"""Document scores by masked pseudo-likelihood under a small bidirectional window network."""
+"""Document scores by masked pseudo-likelihood under a small bidirectional window network.
+
+The probability of a word given both sides is that of its class (a frequent word is a class of its own, the others share
+hashed classes) times that of the word within its class. The second factor is a hierarchical softmax: every word of at
+least FLOOR occurrences is a leaf of its class's Huffman tree, whose nodes decide by the same window. The words below the
+floor share one more leaf, times the word's share of the corpus counts below it. All words' probabilities sum to 1."""
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +23,8 @@ FREQUENT, RARE = 96, 32
 V = FREQUENT + RARE
 #: Stands between documents; its embeddings are zero and it is never predicted.
 PAD = V
+#: Occurrences that make a word a leaf of its own, whatever the size of the corpus.
+FLOOR = 64
 OFFSETS = (-2, -1, 1, 2)
 DIM = 16
 BATCH = 2048
@@ -27,9 +35,8 @@ def _hashes(text: str | None) -> np.ndarray:
     return word_hashes(data, *word_bounds(data)) if len(data) else np.zeros(0, np.uint64)
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the FREQUENT most frequent words of all documents, sorted. Words are counted a batch at a time and the
-    counts summed on Spark; only the most frequent reach the driver."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (hash), n: every word of all documents, counted a batch at a time and the counts summed on Spark."""
 
     def run(batches):
         for batch in batches:
@@ -38,7 +45,12 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
             for at in range(0, len(words), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000].astype(np.int64))], names=["word", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> np.ndarray:
+    """Hashes of the FREQUENT most frequent words of all documents, sorted."""
+    counts = word_counts(docs) if counts is None else counts
     rows = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     return np.sort(np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64))
 
@@ -52,6 +64,97 @@ def token_ids(hashes: np.ndarray, vocab: np.ndarray) -> np.ndarray:
     return np.where(vocab[at] == hashes, at.astype(np.uint8), rare)
 
 
+@dataclass
+class Lexicon:
+    """The classes' words: known (sorted hashes of the words that are leaves; the leaf of what is below the floor in class
+    c is len(known) + c), rest (log of the corpus count below the floor, a class each), and for each leaf its path: size
+    decisions from start on in node and sign. bias: log-odds of each node by the corpus counts."""
+
+    frequent: np.ndarray
+    known: np.ndarray
+    rest: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    node: np.ndarray
+    sign: np.ndarray
+    bias: np.ndarray
+
+    def leaves(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The leaf of each word, -1 for a word that is its own class."""
+        leaf = len(self.known) + ids.astype(np.int32) - FREQUENT
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+            leaf = np.where(self.known[at] == hashes, at.astype(np.int32), leaf)
+        return np.where(ids < FREQUENT, np.int32(-1), leaf).astype("<i4")
+
+    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For all decisions of the leaves: place in leaf, node, sign."""
+        size = self.size[leaf]
+        at = np.arange(size.sum()) + np.repeat(self.start[leaf] - np.cumsum(size) + size, size)
+        return np.repeat(np.arange(len(leaf)), size), self.node[at], self.sign[at]
+
+
+def huffman(weights: list[int]) -> tuple[list[list[tuple[int, int]]], list[float]]:
+    """Each leaf's path as (node, sign), and each node's log-odds of sign 1. One leaf has an empty path."""
+    heap = [(int(w), i) for i, w in enumerate(weights)]
+    heapq.heapify(heap)
+    up, bias, n = {}, [], len(heap)
+    while len(heap) > 1:
+        (wa, a), (wb, b) = heapq.heappop(heap), heapq.heappop(heap)
+        up[a], up[b] = (len(bias), 1), (len(bias), -1)
+        heapq.heappush(heap, (wa + wb, n + len(bias)))
+        bias.append(float(np.log(wa / wb)))
+    paths = []
+    for i in range(n):
+        path = []
+        while i in up:
+            path.append(up[i])
+            i = n + up[i][0]
+        paths.append(path)
+    return paths, bias
+
+
+def lexicon(counts: DataFrame, frequent: np.ndarray, floor: int = FLOOR) -> Lexicon:
+    """counts: word, n. Only words of at least floor occurrences and a sum a class reach the driver."""
+    rare = counts.where(~F.col("word").isin(frequent.view(np.int64).tolist())) if len(frequent) else counts
+    table = rare.where(F.col("n") >= floor).toArrow()
+    known, n = table.column("word").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(known)
+    known, n = known[order], n[order]
+    below = np.zeros(RARE, np.int64)
+    for r in rare.where(F.col("n") < floor).groupBy(F.col("word").bitwiseAND(RARE - 1).alias("c")).agg(F.sum("n").alias("n")).collect():
+        below[r["c"]] = r["n"]
+    own = (known % np.uint64(RARE)).astype(int)
+    size, paths, bias = np.zeros(len(known) + RARE, np.int64), {}, []
+    for c in range(RARE):
+        leaf = np.flatnonzero(own == c).tolist() + ([len(known) + c] if below[c] else [])
+        found, odds = huffman([int(n[i]) if i < len(known) else int(below[c]) for i in leaf])
+        for i, path in zip(leaf, found):
+            paths[i], size[i] = [(k + len(bias), s) for k, s in path], len(path)
+        bias += odds
+    flat = np.array([d for i in range(len(size)) for d in paths.get(i, ())], dtype=np.int32).reshape(-1, 2)
+    return Lexicon(frequent, known, np.log(np.maximum(below, 1)), np.cumsum(size) - size, size, flat[:, 0].copy(), flat[:, 1].astype(np.float32), np.array(bias, dtype=np.float32))
+
+
+def tokenized_words(docs: DataFrame, words: Lexicon) -> DataFrame:
+    """doc_id, ids (as tokenized gives them), leaves (an int32 a word) and below (hashes of the words below the floor)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids, leaves, below = [], [], []
+            for text in batch.column(1):
+                h = _hashes(text.as_py())
+                i = token_ids(h, words.frequent)
+                leaf = words.leaves(h, i)
+                ids.append(i.tobytes())
+                leaves.append(leaf.tobytes())
+                below.append(h[leaf >= len(words.known)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(leaves, pa.binary()), pa.array(below, pa.list_(pa.int64()))], names=["doc_id", "ids", "leaves", "below"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, leaves binary, below array<bigint>")
+
+
 def tokenized(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
     """doc_id and ids (a byte a word of the whole text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -87,12 +190,15 @@ class Network:
         a, b = len(OFFSETS) * (V + 1) * DIM, DIM * V
         return Network(flat[:a].reshape(len(OFFSETS), V + 1, DIM).astype(np.float32), flat[a : a + b].reshape(DIM, V).astype(np.float32), flat[a + b :].astype(np.float32))
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden layer and log-probabilities of all tokens, of windows (row) x places."""
+    def hidden(self, context: np.ndarray) -> np.ndarray:
         hidden = self.embed[0][context[:, 0]]
         for k in range(1, len(OFFSETS)):
             hidden = hidden + self.embed[k][context[:, k]]
-        hidden = np.tanh(hidden)
+        return np.tanh(hidden)
+
+    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden layer and log-probabilities of all tokens, of windows (row) x places."""
+        hidden = self.hidden(context)
         z = hidden @ self.out
         z += self.bias
         z -= z.max(1, keepdims=True)
@@ -184,14 +290,121 @@ def score(tokens: DataFrame, net: Network) -> DataFrame:
     return tokens.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+@dataclass
+class Nodes:
+    """Weights and bias of the trees' nodes."""
+
+    out: np.ndarray
+    bias: np.ndarray
+
+    def margins(self, words: Lexicon, leaf: np.ndarray, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For all decisions of the leaves: place in leaf, node, sign, and the log-odds of the decision as it was."""
+        owner, node, sign = words.paths(leaf)
+        z = np.einsum("ij,ij->i", hidden[owner], self.out[node]) + self.bias[node]
+        return owner, node, sign, z * sign
+
+    def logp(self, words: Lexicon, leaf: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+        """Log-probability of each leaf within its class; below the floor, less the log of the counts there."""
+        owner, _, _, z = self.margins(words, leaf, hidden)
+        total = np.bincount(owner, weights=np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z))), minlength=len(leaf))
+        below = leaf - len(words.known)
+        return total - np.where(below >= 0, words.rest[np.maximum(below, 0)], 0)
+
+    def learn(self, words: Lexicon, leaf: np.ndarray, hidden: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """One step of gradient descent; a node's step is that of at most 32 decisions. Nodes met and how often."""
+        owner, node, sign, z = self.margins(words, leaf, hidden)
+        if not len(node):
+            return node, node
+        order = np.argsort(node)
+        first = np.flatnonzero(np.diff(node[order], prepend=-1))
+        met, times = node[order][first], np.diff(first, append=len(node))
+        grad = (sign / (1 + np.exp(np.minimum(z, 60))))[order]
+        scale = np.float32(rate) / np.maximum(1, times / 32).astype(np.float32)
+        self.out[met] += np.add.reduceat(hidden[owner[order]] * grad[:, None], first, axis=0) * scale[:, None]
+        self.bias[met] += np.add.reduceat(grad, first) * scale
+        return met, times
+
+
+def train_nodes(tokens: DataFrame, net: Network, words: Lexicon, rate: float = 0.02, chunk: int = 256) -> Nodes:
+    """Every task starts at the corpus shares and passes once over all its words that share a class; each node's weights
+    are averaged by how often the tasks met it, chunk nodes in one group."""
+    m = len(words.bias)
+    start = Nodes(np.zeros((m, DIM), np.float32), words.bias.copy())
+
+    def run(batches):
+        nodes, met = Nodes(start.out.copy(), start.bias.copy()), np.zeros(m)
+        for batch in batches:
+            line, at = windows([b.as_py() for b in batch.column(0)])
+            leaf = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i4")
+            at, leaf = at[leaf >= 0], leaf[leaf >= 0]
+            for i in range(0, len(at), BATCH):
+                found, times = nodes.learn(words, leaf[i : i + BATCH], net.hidden(_context(line, at[i : i + BATCH])), rate)
+                met[found] += times
+        for low in range(0, m, chunk):
+            n = met[low : low + chunk]
+            if n.any():
+                part = np.column_stack([nodes.out[low : low + chunk], nodes.bias[low : low + chunk]])
+                yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n.astype("<f8").tobytes()], pa.binary()), pa.array([part.astype("<f4").tobytes()], pa.binary())], names=["low", "part", "met", "nodes"])
+
+    def average(rows: pa.Table) -> pa.Table:
+        total = seen = 0
+        for i in np.argsort(rows.column("part").to_numpy()):
+            n = np.frombuffer(rows.column("met")[i].as_py(), "<f8")
+            seen = seen + n
+            total = total + np.frombuffer(rows.column("nodes")[i].as_py(), "<f4").reshape(len(n), -1) * n[:, None]
+        low = rows.column("low")[0].as_py()
+        total = np.where(seen[:, None] > 0, total / np.maximum(seen, 1)[:, None], np.column_stack([start.out[low : low + chunk], start.bias[low : low + chunk]]))
+        return pa.table({"low": pa.array([low], pa.int64()), "nodes": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+    found = materialize(tokens.select("ids", "leaves").mapInArrow(run, "low long, part long, met binary, nodes binary"), "lm-nodes")
+    table = found.groupBy("low").applyInArrow(average, "low long, nodes binary").toArrow()
+    for low, part in zip(table.column("low").to_pylist(), table.column("nodes").to_pylist()):
+        part = np.frombuffer(part, "<f4").reshape(-1, DIM + 1)
+        start.out[low : low + len(part)], start.bias[low : low + len(part)] = part[:, :DIM], part[:, DIM]
+    return start
+
+
+def score_words(tokens: DataFrame, counts: DataFrame, net: Network, words: Lexicon, nodes: Nodes) -> DataFrame:
+    """As score, with every token's log-probability as that very word. tokens: as tokenized_words gives them, and row,
+    which tells rows apart; counts: word, n, which give the words below the floor their shares in a join."""
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids = [b.as_py() for b in batch.column(2)]
+            size = np.array([len(x) for x in ids], dtype=np.int64)
+            line, at = windows(ids)
+            leaves = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<i4")
+            logp = np.empty(len(at))
+            for i in range(0, len(at), BATCH):
+                part, leaf = at[i : i + BATCH], leaves[i : i + BATCH]
+                hidden, z = net.forward(_context(line, part))
+                logp[i : i + BATCH] = z[np.arange(len(part)), line[part]]
+                inside = np.flatnonzero(leaf >= 0)
+                logp[i + inside] += nodes.logp(words, leaf[inside], hidden[inside])
+            total = np.bincount(np.repeat(np.arange(len(ids)), size), weights=logp, minlength=len(ids)).astype(float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(total)], names=["row", "doc_id", "n_tokens", "in_class"])
+
+    scored = tokens.select("row", "doc_id", "ids", "leaves").mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, in_class double")
+    # Whole numbers add up alike in any order.
+    part = F.round(F.log("n") * 2.0**32).cast("long")
+    shares = tokens.select("row", F.explode("below").alias("word")).join(counts, "word").groupBy("row").agg((F.sum(part) / 2.0**32).alias("shares"))
+    total = F.col("in_class") + F.coalesce("shares", F.lit(0.0))
+    out = scored.join(shares, "row", "left").withColumn("log_prob", total)
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
+
+
+def score_documents(docs: DataFrame, floor: int = FLOOR) -> DataFrame:
     """docs: doc_id, text; other columns are ignored. A row a row: doc_id, n_tokens, log_prob, mean_log_prob.
 
     Vocabulary, frequencies and the network come from all documents. Null and empty texts have no tokens and log_prob
     0; whole texts count, however long; repeated rows score alike; an empty table gives no rows."""
     docs = docs.select("doc_id", "text")
-    tokens = materialize(tokenized(docs, vocabulary(docs)), "lm-tokens")
-    return score(tokens, train(tokens))
+    counts = materialize(word_counts(docs), "lm-words")
+    words = lexicon(counts, vocabulary(docs, counts), floor)
+    tokens = materialize(tokenized_words(docs, words).withColumn("row", F.monotonically_increasing_id()), "lm-tokens")
+    net = train(tokens)
+    return score_words(tokens, counts, net, words, train_nodes(tokens, net, words))
 
 
 def op3_score_documents(spark, sf_dir: str) -> DataFrame:

@@ -106,3 +106,45 @@ def test_scoring_odd_documents(docs, none):
     assert rows[1]["n_tokens"] == rows[2]["n_tokens"] == rows[3]["n_tokens"] == 0 and rows[1]["log_prob"] == 0 and rows[1]["mean_log_prob"] is None
     assert rows[8]["n_tokens"] == 240_000 and math.isfinite(rows[8]["log_prob"])
     assert scoring.score_documents(none).count() == 0
+
+
+def test_every_word_has_a_probability_of_its_own(spark):
+    """Rare words of one class differ by their counts, and all words' probabilities sum to 1 in any window."""
+    texts = [" ".join(f"w{(i * i + j) % 230}" for i in range(300)) for j in range(40)] + [" ".join(f"u{j}" for j in range(k)) for k in (50, 120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    counts = scoring.word_counts(docs).cache()
+    n = {r["word"]: r["n"] for r in counts.collect()}
+    words = scoring.lexicon(counts, scoring.vocabulary(docs), floor=20)
+    assert len(words.known) and any(x < 20 for x in n.values())
+    tokens = scoring.materialize(scoring.tokenized_words(docs, words).withColumn("row", F.monotonically_increasing_id()), "lm")
+    net = scoring.train(tokens)
+    nodes = scoring.train_nodes(tokens, net, words)
+    hashes = np.array(list(n), dtype=np.int64).view(np.uint64)
+    ids = scoring.token_ids(hashes, words.frequent)
+    leaf = words.leaves(hashes, ids)
+
+    def every(context):
+        hidden, z = net.forward(np.array([context]))
+        logp, inside = z[0, ids].astype(float), leaf >= 0
+        logp[inside] += nodes.logp(words, leaf[inside], np.repeat(hidden, inside.sum(), 0))
+        return logp + np.where(leaf >= len(words.known), np.log(list(n.values())), 0)
+
+    assert np.exp(every([0, 1, 2, 100])).sum() == pytest.approx(1, abs=1e-4)
+    rows = {r["doc_id"]: r for r in scoring.score_words(tokens, counts, net, words, nodes).collect()}
+    place = {h: i for i, h in enumerate(hashes.tolist())}
+    for doc_id in (0, 40):
+        h = scoring._hashes(texts[doc_id])
+        line = [scoring.PAD] * 2 + scoring.token_ids(h, words.frequent).tolist() + [scoring.PAD] * 2
+        total = sum(every([line[i], line[i + 1], line[i + 3], line[i + 4]])[place[x]] for i, x in enumerate(h.tolist()))
+        assert rows[doc_id]["log_prob"] == pytest.approx(total, rel=1e-3) and rows[doc_id]["n_tokens"] == len(h)
+    shares = scoring.Nodes(np.zeros_like(nodes.out), words.bias)
+    plain = scoring.score_words(tokens, counts, net, words, shares)
+    assert sum(r["log_prob"] for r in rows.values()) > plain.agg(F.sum("log_prob")).first()[0]  # the window helps inside classes
+
+
+def test_words_of_one_class_do_not_score_alike(spark):
+    common = [f"c{i}" for i in range(96)] * 30
+    a, b = [w for w in (f"x{i}" for i in range(2000)) if int(scoring._hashes(w)[0]) % scoring.RARE == 3][:2]
+    docs = spark.createDataFrame([(0, " ".join(common)), (1, " ".join([a] * 9)), (2, a), (3, b)], "doc_id LONG, text STRING")
+    rows = {r["doc_id"]: r["log_prob"] for r in scoring.score_documents(docs).collect()}
+    assert rows[2] - rows[3] == pytest.approx(math.log(10), abs=1e-5)
