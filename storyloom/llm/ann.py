@@ -72,8 +72,13 @@ def _index(rows: DataFrame, tables: list[int], probes: int) -> DataFrame:
     return rows.mapInArrow(run, f"vec_id {kind}, place long, vector binary")
 
 
+def _distinct(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Those places of order at which an id comes first."""
+    return order[np.sort(np.unique(ids[order], return_index=True)[1])]
+
+
 def _search(points: DataFrame, queries: DataFrame, k: int, block: int) -> DataFrame:
-    """points and queries as _index gives them. query_id, vec_id, score: each block's k best for each of its queries.
+    """points and queries as _index gives them. query_id, vec_id, score: each block's k best ids for each of its queries.
 
     A bucket of any size is cut into blocks of about `block` points and blocks of about `block` queries, by a hash;
     each pair of blocks is one matrix product in one task, and only k rows a query leave it."""
@@ -90,16 +95,20 @@ def _search(points: DataFrame, queries: DataFrame, k: int, block: int) -> DataFr
         out = ([], [], [])
         if len(ids) and len(qids):
             x, q = _unpack(a.column("vector")), _unpack(b.column("vector"))
+            order = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1]))
             nx, nq = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
             for at in range(0, len(q), 256):
                 near = q[at : at + 256] @ x.T / nx / nq[at : at + 256, None]
                 near[qids[at : at + 256, None] == ids] = -np.inf
-                top = np.partition(near, max(0, near.shape[1] - k), axis=1)[:, -k:].min(1) if near.shape[1] > k else np.full(len(near), -2.0)
+                # Rows of one vec_id count once: the k-th best is that of ids.
+                each = near if len(first) == len(ids) else np.maximum.reduceat(near[:, order], first, axis=1)
+                top = np.partition(each, max(0, each.shape[1] - k), axis=1)[:, -k:].min(1) if each.shape[1] > k else np.full(len(each), -2.0)
                 for i, low in enumerate(top):
                     # Products of whole blocks round differently from place to place: ties are settled by row.
                     c = np.flatnonzero((near[i] >= low - 1e-9) & (near[i] > -np.inf))
                     exact = (x[c] * q[at + i]).sum(1) / (nx[c] * nq[at + i])
-                    keep = np.lexsort((ids[c], -exact))[:k]
+                    keep = _distinct(ids[c], np.lexsort((ids[c], -exact)))[:k]
                     out[0].extend([qids[at + i]] * len(keep))
                     out[1].extend(ids[c][keep])
                     out[2].extend(exact[keep])
@@ -126,11 +135,11 @@ def exact_nearest(points: DataFrame, asked: list[tuple], k: int) -> list[tuple]:
             near = unit @ x.T / np.linalg.norm(x, axis=1)
             near[np.array(own)[:, None] == ids] = -np.inf
             for i, row in enumerate(near):
-                top = np.lexsort((ids, -row))[:k]
-                top = top[row[top] > -np.inf]
+                top = np.lexsort((ids, -row))
+                top = _distinct(ids, top[row[top] > -np.inf])[:k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), i), pa.int32()), pa.array(ids[top], batch.schema.field(0).type), pa.array(row[top], pa.float64()), pa.array([x[t].tobytes() for t in top], pa.binary())], names=["at", "vec_id", "score", "vector"])
 
-    found = points.mapInArrow(run, f"at int, vec_id {kind}, score double, vector binary").dropDuplicates(["at", "vec_id"])
+    found = points.mapInArrow(run, f"at int, vec_id {kind}, score double, vector binary").groupBy("at", "vec_id").agg(F.max(F.struct("score", "vector")).alias("b")).select("at", "vec_id", "b.score", "b.vector")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k)
     return [(r["at"], r["vec_id"], np.frombuffer(r["vector"], "<f8")) for r in best.collect()]
 

@@ -68,3 +68,14 @@ def test_odd_vectors_take_no_part(spark):
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(3).standard_normal((7, 50))
     assert np.allclose(np.linalg.norm(ann.rotate(x, 2), axis=1), np.linalg.norm(x, axis=1))
+
+
+def test_repeated_rows_count_once(spark):
+    x = np.random.default_rng(4).standard_normal((60, 16))
+    ids = np.repeat(np.arange(60), 6)
+    df = table(spark, np.repeat(x, 6, axis=0), ids)
+    rows = ann.nearest(df, df.where("vec_id IN (0, 7)"), probes=64).orderBy("query_id", "rank").collect()
+    true = brute(x, np.arange(60), (0, 7))
+    assert {q: [r["vec_id"] for r in rows if r["query_id"] == q] for q in true} == {q: [i for i, _ in v] for q, v in true.items()}
+    found = ann.exact_nearest(ann.usable(df, 16), [(0, x[0].tolist())], 5)
+    assert {i for _, i, _ in found} == {i for i, _ in true[0]}
