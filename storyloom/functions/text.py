@@ -78,6 +78,21 @@ def fuzzy_similar(a: Column, b: Column) -> Column:
     return F.coalesce((x != "") & (y != "") & ((x == y) | inside | same), F.lit(False))
 
 
+def name_blocks(own: str, other: str):
+    """Block keys of a name, of which two similar names share one if the two sides' marks are swapped: the first word, and
+    the first six letters of a name among all runs of six letters of the other."""
+
+    def keys(name: Column) -> Column:
+        x = F.lower(normalize_name(name))
+        n = F.char_length(x)
+        runs = F.when(n >= 6, F.transform(F.sequence(F.lit(1), F.greatest(n - 5, F.lit(1))), lambda i: F.concat(F.lit(own + ":"), F.substring(x, i, F.lit(6)))))
+        head = F.when(n >= 6, F.array(F.concat(F.lit(other + ":"), F.substring(x, F.lit(1), F.lit(6)))))
+        none = F.array().cast("array<string>")
+        return F.array_distinct(F.concat(F.array(F.concat(F.lit("first:"), F.substring_index(x, " ", 1))), F.coalesce(runs, none), F.coalesce(head, none)))
+
+    return keys
+
+
 def slug(text: Column, limit: int = 48, default: str = "item") -> Column:
     low = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
     return F.coalesce(F.nullif(F.substring(low, 1, limit), F.lit("")), F.lit(default))

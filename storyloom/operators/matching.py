@@ -64,14 +64,14 @@ def resolve_names(names: DataFrame, name: str, aliases: DataFrame, entities: Dat
     return names.join(by_alias, name, "left").join(by_name, name, "left").withColumn("entity_id", F.coalesce("__a", "__n")).drop("__a", "__n")
 
 
-def resolve_fuzzy(names: DataFrame, name: str, entities: DataFrame, blocks) -> DataFrame:
+def resolve_fuzzy(names: DataFrame, name: str, entities: DataFrame, blocks, entity_blocks=None) -> DataFrame:
     """names (distinct) with the first similar entity by rank. entities: entity_id, entity_name, rank. Exact matches
     are hash-joined; the rest meet entities of one of their blocks (blocks: name column -> array of block keys, which
-    similar names must share), and the similarity test decides."""
+    similar names must share; entity_blocks: the same for entity names, where it differs), and the similarity test decides."""
     exact = names.join(entities.select(F.col("entity_name").alias(name), "entity_id", "rank"), name)
     rest = names.join(entities.select(F.col("entity_name").alias(name)), name, "left_anti")
     left = rest.select(name, F.explode(blocks(F.col(name))).alias("__block"))
-    right = entities.select("entity_id", "entity_name", "rank", F.explode(blocks(F.col("entity_name"))).alias("__block"))
+    right = entities.select("entity_id", "entity_name", "rank", F.explode((entity_blocks or blocks)(F.col("entity_name"))).alias("__block"))
     near = left.join(right, "__block").where(fuzzy_similar(F.col(name), F.col("entity_name"))).select(name, "entity_id", "rank")
     best = exact.select(name, "entity_id", "rank").unionByName(near).groupBy(name).agg(F.min(F.struct("rank", "entity_id")).alias("__b"))
     return names.join(best, name, "left").select(name, F.col("__b.entity_id").alias("entity_id"))

@@ -95,8 +95,7 @@ def fuzzy_resolve(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     names = part.select(F.concat(F.substring_index("p_name", " ", 1), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), F.col("p_type"))).otherwise(F.lit(""))).alias("name")).distinct()
     known = part.groupBy(F.col("p_name").alias("entity_name")).agg(F.min("p_partkey").alias("entity_id")).withColumn("rank", F.col("entity_id"))
-    # Names that are similar in this data share a word; containment across words would need longer blocks.
-    return m.resolve_fuzzy(names, "name", known, lambda c: F.array_distinct(F.split(F.lower(c), " ")))
+    return m.resolve_fuzzy(names, "name", known, t.name_blocks("n", "e"), t.name_blocks("e", "n"))
 
 
 @query("""SELECT c_mktsegment, event_type, count(DISTINCT user_id) AS n_users, count(*) AS n_events FROM events JOIN customer ON user_id = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 GROUP BY ALL""")

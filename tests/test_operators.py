@@ -227,3 +227,13 @@ def test_providers(spark):
     assert [r["provider"] for r in got] == ["mock", "mock"] and '"hello"' in got[0]["answer"]
     with pytest.raises(ValueError):
         providers.create("ocr", "nothing")
+
+
+def test_fuzzy_names_meet_inside_longer_words(spark):
+    from storyloom.functions.text import name_blocks
+    from storyloom.operators.matching import resolve_fuzzy
+
+    names = spark.createDataFrame([("silver",), ("old goldsmithery",), ("short",)], "name STRING")
+    known = spark.createDataFrame([(1, "a silverware set", 1), (2, "Goldsmith", 2), (3, "shorts", 3)], "entity_id LONG, entity_name STRING, rank LONG")
+    got = {r["name"]: r["entity_id"] for r in resolve_fuzzy(names, "name", known, name_blocks("n", "e"), name_blocks("e", "n")).collect()}
+    assert got == {"silver": 1, "old goldsmithery": 2, "short": None}
