@@ -40,7 +40,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     keyed = docs.select("doc_id", "text", F.md5(F.encode("text", "UTF-8")).alias("copy"))
-    return keyed.join(wanted, ["doc_id", "copy"]).select("node", "text").mapInArrow(run, "node long, shingles array<bigint>").dropDuplicates(["node"])
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("copy") == F.col("__copy"))
+    return keyed.join(wanted.select("node", F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")), same).select("node", "text").mapInArrow(run, "node long, shingles array<bigint>").dropDuplicates(["node"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -175,7 +176,7 @@ def _across(placed: DataFrame, block: int) -> tuple[int, int]:
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 20, rows: int = 4, block: int = 256, most_rounds: int = 8) -> DataFrame:
     """docs: doc_id, text; other columns are ignored. Returns a row a row: doc_id, copy (md5 of the text), class_id
-    (least doc_id of the class), kept (true for one row of each class).
+    (least doc_id of the class; null where no row of it has one), kept (true for one row of each class).
 
     Texts with equal sets of word shingles are one node. Nodes that share a band are candidates; a link is a pair of
     nodes whose exact Jaccard similarity is at least similarity; a class is a connected component of links. Keys of
@@ -189,7 +190,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
     are one class; an empty table gives an empty result."""
     docs = docs.select("doc_id", "text")
     signed = materialize(signatures(docs, words, bands, rows), "dup-signed")
-    sets_of = signed.where("shingle_set is not null").groupBy("shingle_set").agg(F.min(F.struct("doc_id", "copy")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    sets_of = signed.where("shingle_set is not null").groupBy("shingle_set").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "copy")).alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     own = materialize(sets_of.withColumn("node", F.monotonically_increasing_id()), "dup-nodes")
     every = own.select("node", "n", F.posexplode("bands").alias("band", "key"))
     shared = materialize(every.join(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"), "dup-shared")

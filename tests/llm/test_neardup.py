@@ -115,3 +115,13 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a LONG, b LONG").where(F.col("a") != F.col("b"))
     got = {r["node"]: r["label"] for r in neardup.components(df).collect()}
     assert all(got[n] == find(n) for n in got) and {n for n in parent if find(n) != n} == set(got)
+
+
+def test_null_id_joins_its_near_copies(spark):
+    words = [f"a{i}" for i in range(200)]
+    base, near = " ".join(words), " ".join(words[:100] + ["other"] + words[101:])
+    df = spark.createDataFrame([(None, base), (3, base), (5, near), (None, "x y z"), (7, " ".join(f"b{i}" for i in range(50)))], "doc_id LONG, text STRING")
+    got = neardup.near_duplicates(df).collect()
+    assert sorted((str((r["doc_id"], r["class_id"], r["kept"])) for r in got)) == sorted(map(str, [(None, 3, False), (3, 3, True), (5, 3, False), (None, None, True), (7, 7, True)]))
+    alone = neardup.near_duplicates(df.where("doc_id is null or doc_id = 5")).collect()
+    assert sum(r["class_id"] == 5 for r in alone) == 2
