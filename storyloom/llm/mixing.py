@@ -39,9 +39,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
     """docs needs doc_id, source and size (long, words); other columns are ignored. Returns a dict of
 
     placed: doc_id, source, size, start: a document's words are [start, start + size) of its source's shuffled stream;
-    sources: source, source_size, target, quota (words to take), span (blocks in one pass over the source);
+    sources: source, source_size, target, quota (words to take);
     schedule: slot, source, turn: the slot takes block turn of its source. Block b holds the words
-    [b * block_words, (b + 1) * block_words) of a pass; passes follow each other; the last block is cut at the quota;
+    [b * block_words, (b + 1) * block_words) of the source's stream, repeated pass after pass; the last block is cut at
+    the quota. A source that the sequence gives fewer slots than blocks has its last ones at the end of the schedule;
     block_words: as given, or 1 to 256, so that a mix of any size has 65,536 slots or more where it has the words.
 
     Null sources are one source; null sizes count as 0; empty tables give empty results; equal rows count each."""
@@ -50,7 +51,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
     sources = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     total, n_sources = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
     block = block_words or max(1, min(256, int(total) >> 16))
-    sources = materialize(sources.select("source", "source_size", "target", F.floor(F.col("target") + 1e-6).alias("quota"), F.ceil(F.col("source_size") / block).alias("span")), "mix-sources")
+    sources = materialize(sources.select("source", "source_size", "target", F.floor(F.col("target") + 1e-6).alias("quota")), "mix-sources")
     placed = materialize(positions(slim, ["source"], ["doc_id", "size"], {"start": F.col("size")}), "mix-placed")
     # Cumulative weights cut [0, PERIOD) into a range a source; a slot's point picks the range that it falls in.
     slots = int(total / block * (1 + slack)) + 512 if total else 0
@@ -67,6 +68,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
     dealt = grid.withColumn("cell", cell("point")).join(touched, "cell").where((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi"))).select("slot", "source")
     # Rank slots per source: counts by run of 65,536 slots, summed over runs, then ranks inside a run.
     dealt = materialize(dealt.withColumn("run", F.shiftright("slot", 16)), "mix-slots")
+    missing = F.ceil(F.col("quota") / block) - F.coalesce("n", F.lit(0))
+    has = dealt.groupBy(F.col("source").alias("__source")).agg(F.count("*").alias("n"))
+    short = sources.join(has, F.col("source").eqNullSafe(F.col("__source")), "left").select("source", missing.alias("more")).where("more > 0")
+    last = F.sum("more").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    added = short.withColumn("last", last).select("source", "last", F.explode(F.sequence(F.lit(1), "more")).alias("i")).select((F.lit(slots) + F.col("last") - F.col("i")).alias("slot"), "source")
+    dealt = materialize(dealt.select("slot", "source").unionByName(added).withColumn("run", F.shiftright("slot", 16)), "mix-slots")
     earlier = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = dealt.groupBy("source", "run").agg(F.count("*").alias("n")).select("source", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     inside = dealt.withColumn("at", F.row_number().over(Window.partitionBy("source", "run").orderBy("slot")) - 1)
@@ -77,16 +84,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0,
 
 def pieces(mixed: dict) -> DataFrame:
     """The mix itself, a row for each part of a document that a slot takes: slot, doc_id, source, size, start,
-    from_word, n_words, pass. Slots join the shuffled blocks of their source; a document has a row a block."""
+    from_word, n_words, pass. Slots join the shuffled words of their source, which both sides cut into cells of a block's
+    size; a document has a row a cell."""
     block = mixed["block_words"]
     words = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
     p = mixed["placed"].where("size > 0").select("*", F.explode(words).alias("block")).alias("p")
     s, q = mixed["schedule"].alias("s"), mixed["sources"].alias("q")
-    slot = s.join(q, F.col("s.source").eqNullSafe(F.col("q.source"))).where("span > 0").select("slot", F.col("s.source").alias("source"), "quota", "source_size", F.pmod("turn", F.col("span")).alias("block"), F.floor(F.col("turn") / F.col("span")).alias("pass"))
-    t = slot.where(F.col("pass") * F.col("source_size") + F.col("block") * block < F.col("quota")).alias("t")
+    size = F.col("source_size")
+    slot = s.join(q, F.col("s.source").eqNullSafe(F.col("q.source"))).where("source_size > 0").select("slot", F.col("s.source").alias("source"), "source_size", (F.col("turn") * block).alias("from"), F.least((F.col("turn") + 1) * block, "quota").alias("upto")).where(F.col("from") < F.col("upto"))
+    runs = slot.withColumn("pass", F.explode(F.sequence(F.floor(F.col("from") / size), F.floor((F.col("upto") - 1) / size))))
+    runs = runs.select("slot", "source", "pass", F.greatest(F.col("from") - F.col("pass") * size, F.lit(0)).alias("from"), F.least(F.col("upto") - F.col("pass") * size, size).alias("upto"))
+    t = runs.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("upto") - 1) / block)))).alias("t")
     met = t.join(p, F.col("t.source").eqNullSafe(F.col("p.source")) & (F.col("t.block") == F.col("p.block")))
-    lo = F.greatest(F.col("p.start"), F.col("t.block") * block)
-    hi = F.least(F.col("p.start") + F.col("p.size"), (F.col("t.block") + 1) * block, F.col("quota") - F.col("pass") * F.col("source_size"))
+    lo = F.greatest(F.col("p.start"), F.col("t.block") * block, F.col("t.from"))
+    hi = F.least(F.col("p.start") + F.col("p.size"), (F.col("t.block") + 1) * block, F.col("t.upto"))
     return met.select("slot", "p.doc_id", "p.source", "p.size", "p.start", (lo - F.col("p.start")).alias("from_word"), (hi - lo).alias("n_words"), "pass").where("n_words > 0")
 
 

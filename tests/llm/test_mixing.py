@@ -60,3 +60,13 @@ def test_odd_documents(docs, none):
     assert mixing.taken_words(mixing.mix(none.select("doc_id", "source", F.lit(1).cast("long").alias("size")))).count() == 0
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and out.where("text is null or trim(text) = ''").count() == 0
+
+
+def test_small_sources_meet_their_targets_in_large_blocks(spark):
+    small = {"s10": 10, "s50": 50, "s200": 200, "s300": 300}
+    df = spark.createDataFrame([(i, "big", 300) for i in range(700)] + [(1000 + n, s, n) for s, n in small.items()], "doc_id LONG, source STRING, size LONG")
+    mixed = mixing.mix(df, block_words=256)
+    taken = {r["source"]: r["taken"] for r in mixing.taken_words(mixed).where("source <> 'big'").collect()}
+    assert taken == {s: 3 * n for s, n in small.items()}
+    slots = [r["slot"] for r in mixed["schedule"].collect()]
+    assert len(slots) == len(set(slots))
