@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import drop, materialize, tidy
 from .hashing import band_keys, dart_signature, shingles
@@ -70,14 +71,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(both >= F.lit(least) * (F.size("sa") + F.size("sb") - both)).select(*pairs.columns)
 
 
-def _split(members: DataFrame, shared: DataFrame, crowd: int) -> DataFrame:
+def _split(members: DataFrame, sets: DataFrame, similarity: float, crowd: int) -> DataFrame:
     """members (key, node, n): a key of more than crowd nodes, such as a passage in many texts makes, is split by the
-    other shared keys of its nodes. Similar pairs agree in many bands (at 0.8, all but 4e-5 of those that agree in one
-    of 20 do in a second); chance ones agree in one."""
+    rarest shingles of its nodes. Sets of at least that similarity share one of their n - similarity * n + 1 rarest, in
+    one order of all shingles, so no similar pair is parted, however large a key stays."""
     sizes = members.groupBy("key").agg(F.count("*").alias("c"))
     sized = members.join(sizes, "key")
-    others = shared.select("node", F.col("key").alias("other"))
-    split = sized.where(F.col("c") > crowd).join(others, "node").where("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "n").distinct()
+    crowded = sized.where(F.col("c") > crowd).select("key", "node", "n")
+    each = sets.join(crowded.select("node").distinct(), "node").select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    counted = each.join(each.groupBy("shingle").agg(F.count("*").alias("f")), "shingle")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("f", "shingle"))
+    prefix = counted.withColumn("r", rank).where(F.col("r") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-6) + 1)
+    split = crowded.join(prefix.where("f > 1").select("node", "shingle"), "node").select(F.xxhash64("key", "shingle").alias("key"), "node", "n")
     return sized.where(F.col("c") <= crowd).select("key", "node", "n").unionByName(split)
 
 
@@ -184,7 +189,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
     in blocks, all pairs of a block pair inside one task. Where keys are so large that blocks would take more than four
     times their rows, rounds come first in which each key pairs its nodes with one hub; links are verified, classes
     merged and the hub leaves the key, so that large groups of near copies close early; what stays crowded is split by
-    further bands. No class lacks a link that a key shows. At 0.8, 20 bands of 4 miss a pair with probability 3e-5.
+    the rarest shingles, of which similar sets share one. No class lacks a link that a key shows. At 0.8, 20 bands of 4 miss a pair with probability 3e-5.
 
     A null text or one without a word is a class of its own; a shorter text than words is one shingle; repeated rows
     are one class; an empty table gives an empty result."""
@@ -206,7 +211,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
                     break
                 if turn == most_rounds or copies <= 4 * n_open:
                     if copies > 4 * n_open:  # still crowded
-                        placed = classes.open(_split(placed.select("key", "node", "n"), shared, 8 * block), "dup-open")
+                        placed = classes.open(_split(placed.select("key", "node", "n"), sets, similarity, 8 * block), "dup-open")
                     classes.last_round(placed, block)
                     break
                 placed = classes.open(classes.hub_round(placed, turn), "dup-open")

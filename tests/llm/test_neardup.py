@@ -125,3 +125,18 @@ def test_null_id_joins_its_near_copies(spark):
     assert sorted((str((r["doc_id"], r["class_id"], r["kept"])) for r in got)) == sorted(map(str, [(None, 3, False), (3, 3, True), (5, 3, False), (None, None, True), (7, 7, True)]))
     alone = neardup.near_duplicates(df.where("doc_id is null or doc_id = 5")).collect()
     assert sum(r["class_id"] == 5 for r in alone) == 2
+
+
+def test_crowded_key_parts_no_similar_pair(spark):
+    """Pairs that agree in the crowded key alone still share a key after it is split."""
+    rng = random.Random(7)
+    sets = {}
+    for i in range(0, 40, 2):
+        base = [rng.randint(100, 10**9) for _ in range(90)] + list(range(10))
+        sets[i], sets[i + 1] = base, base[:80] + [rng.randint(100, 10**9) for _ in range(10)] + list(range(10))
+    table = spark.createDataFrame([(k, sorted(set(v))) for k, v in sets.items()], "node LONG, shingles ARRAY<LONG>")
+    members = spark.createDataFrame([(1, k, len(set(v))) for k, v in sets.items()], "key LONG, node LONG, n LONG")
+    by = {}
+    for r in neardup._split(members, table, 0.8, 8).collect():
+        by.setdefault(r["node"], set()).add(r["key"])
+    assert all(by[i] & by[i + 1] for i in range(0, 40, 2)) and not by[0] & by[2]
