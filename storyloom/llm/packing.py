@@ -23,9 +23,19 @@ def encoder(path: str):
     """Text -> numpy ids, as the tokenizer file gives them without special tokens.
 
     A byte-level BPE file whose ids follow its merges holds the same ranks that tiktoken takes, which encodes several
-    times faster; any other file is run by tokenizers itself. Strings of special tokens are ordinary text."""
+    times faster; any other file is run by tokenizers itself, and so is a text whose runs of white space are longer
+    than the pattern engine of tiktoken can look back over. Strings of special tokens are ordinary text."""
     from tokenizers import Tokenizer
 
+    @functools.cache
+    def slow() -> Tokenizer:
+        made = Tokenizer.from_file(path)
+        made.encode_special_tokens = True
+        return made
+
+    def ids(text: str) -> np.ndarray:
+        return np.array(slow().encode(text, add_special_tokens=False).ids, dtype="<u4")
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     vocab, merges = spec["model"].get("vocab"), spec["model"].get("merges")
@@ -42,10 +52,15 @@ def encoder(path: str):
             stand = {chr(b): b for b in itself} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in itself)}
             ranks = {bytes(stand[c] for c in t): i for t, i in vocab.items() if i < 256 + len(pairs)}
             fast = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            return lambda text: np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+            def fast_ids(text: str) -> np.ndarray:
+                try:
+                    return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
+                except ValueError:  # the pattern ran out of stack
+                    return ids(text)
+
+            return fast_ids
+    return ids
 
 
 def tokenizer_path() -> str:
@@ -83,26 +98,25 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
 
     Longest first, the gap beside a length is looked up among single lengths, then sums of two, then sums of three
     that are still available, and an exact filling is consumed as often as all its counts allow, so each step ends
-    a length. What no exact filling takes is packed best-fit: the longest that fits, again and again. Input and
-    output are bounded by capacity, not by the data."""
+    a length. Every single length, pair and triple of a gap is tried before it counts as having no exact filling. What
+    no exact filling takes is packed best-fit: the longest that fits, again and again. Input and output are bounded by
+    capacity, not by the data."""
     have = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         have[length] = n
     out: list[tuple[tuple[int, ...], int]] = []
-    pair_sums = np.zeros(0)
+    size = 1 << (2 * capacity).bit_length()
 
-    def index() -> None:
-        nonlocal pair_sums
-        there = (have > 0).astype(float)
-        size = 1 << (2 * capacity).bit_length()
-        pair_sums = np.rint(np.fft.irfft(np.fft.rfft(there, size) ** 2, size))[: capacity + 1]
+    def pair_sums() -> np.ndarray:
+        """For each sum, in how many ways two available lengths make it."""
+        return np.rint(np.fft.irfft(np.fft.rfft((have > 0).astype(float), size) ** 2, size))[: capacity + 1]
 
     def times(parts: tuple[int, ...]) -> int:
         return min(int(have[x]) // k for x, k in Counter(parts).items())
 
     def pair(head: tuple[int, ...], gap: int) -> tuple[int, ...] | None:
         a = np.arange(gap - 1, (gap - 1) // 2, -1)
-        for x in a[(have[a] > 0) & (have[gap - a] > 0)][:4]:
+        for x in a[(have[a] > 0) & (have[gap - a] > 0)]:
             if times(found := (*head, int(x), gap - int(x))):
                 return found
         return None
@@ -113,8 +127,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             return (length, gap)
         if found := pair((length,), gap):
             return found
-        c = np.arange(gap - 2, 0, -1)
-        for x in c[(have[c] > 0) & (pair_sums[gap - c] > 0)][:16] if gap > 2 else ():
+        if gap < 3:
+            return None
+        c, sums = np.arange(gap - 2, 0, -1), pair_sums()
+        for x in c[(have[c] > 0) & (sums[gap - c] > 0)]:
             if times((length, int(x))) and (found := pair((length, int(x)), gap - int(x))):
                 return found
         return None
@@ -125,17 +141,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
             have[x] -= n
         out.append((parts, n))
 
-    index()
-    steps = 0
     for length in range(capacity, 0, -1):
         while have[length] > 0:
             parts = (length,) if length == capacity else exact(length)
             if parts is None:
                 break
             use(parts)
-            steps += 1
-            if steps % 16 == 0:
-                index()
     for length in range(capacity, 0, -1):
         while have[length] > 0:
             parts, gap, left = [length], capacity - length, have.copy()
@@ -177,7 +188,9 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """docs: doc_id and text. Returns a row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """docs: doc_id, text; other columns are ignored. Returns a row a piece: doc_id, piece, start, length, ids_crc32,
+    sequence_id, offset. Null and empty texts are one piece of END_ID; repeated rows are packed one by one; pieces of
+    one length are ranked by a hash, ties arbitrarily; an empty table gives no rows."""
     pieces = materialize(cut(docs, path or tokenizer_path(), capacity, with_ids), "pieces")
     return pack(pieces, capacity)
 

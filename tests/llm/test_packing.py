@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -22,6 +23,42 @@ def test_encoder_equals_tokenizers(reference):
     assert all(encode(t).tolist() == reference(t) for t in texts)
 
 
+@pytest.mark.parametrize("run", [" ", "\t", "\n", " \u3000"])
+def test_runs_of_two_million_white_spaces(reference, run):
+    encode = packing.encoder(packing.tokenizer_path())
+    for text in (run * (2_000_000 // len(run)), "a" + run * (2_000_000 // len(run)) + "word"):
+        assert np.array_equal(encode(text), reference(text))
+
+
+def brute_exact(have, length, capacity):
+    """Whether one to three further pieces fill the gap beside one of that length."""
+    left = dict(have)
+    left[length] -= 1
+    gap, flat = capacity - length, [x for x, n in left.items() for _ in range(min(n, 3))]
+    return any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(flat, k))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_no_exact_filling_is_missed(seed):
+    """Sequences that are not full come only after no available length has an exact filling, longest first."""
+    rng, capacity = random.Random(seed), 40
+    counts = {}
+    for _ in range(rng.randint(1, 14)):
+        n = rng.randint(1, capacity)
+        counts[n] = counts.get(n, 0) + rng.choice([1, 1, 2, 5])
+    have = dict(counts)
+    made = [parts for parts, n in packing.plan(dict(counts), capacity) for _ in range(n)]
+    for parts in made:
+        longest = max(x for x, n in have.items() if n)
+        if sum(parts) == capacity and 1 < len(parts) <= 4:
+            assert brute_exact(have, parts[0], capacity)
+        elif len(parts) == 1 and parts[0] < capacity:
+            assert parts[0] <= longest and not brute_exact(have, parts[0], capacity)
+        for x in parts:
+            have[x] -= 1
+    assert not any(have.values())
+
+
 def test_pieces_and_sequences(spark, docs, reference):
     packed = packing.pack_documents(docs, with_ids=True).collect()
     by_doc = {}
