@@ -17,10 +17,13 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where Spark runs in this one process (a
+    local master, as in tests) and the setting is unset, a folder of our own takes its place."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own_dir:
         _own_dir["dir"] = tempfile.mkdtemp(prefix="storyloom-")
     return _own_dir["dir"]
@@ -58,6 +61,17 @@ def drop(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Those names, each with underscores put before it until df has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null: 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
