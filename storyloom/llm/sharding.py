@@ -22,9 +22,9 @@ def propagate(linked: DataFrame, shards: int, room: list[float], rounds: int = 6
 
     Each round counts every community's bytes by shard (partially aggregated before the shuffle), joins the counts back
     to the documents, and lets them propose to move to the shard that holds most of their community among those with
-    room, if it holds more of it than their own. A shard accepts as much as its room (bytes) allows: where the
+    room, if it holds as much of it as their own. A shard accepts as much as its room (bytes) allows: where the
     proposals exceed it, a hash draws that share of the communities, and of the single documents where a community
-    exceeds split_above bytes; the rest of such a community then gathers in the next shard. The driver sees the shards'
+    exceeds split_above bytes (a shard's room); the rest of such a community then gathers in the next shard. The driver sees the shards'
     loads and demands only. A community of any size is a few numbers on its own side of the join; its documents stay
     in as many tasks as the skew-join rule of Spark gives them."""
     state = linked
@@ -36,9 +36,9 @@ def propagate(linked: DataFrame, shards: int, room: list[float], rounds: int = 6
         counts = F.array(*(F.col(f"s{s}") for s in range(shards)))
         spare = F.array(*(F.col(f"s{s}") if free[s] > 0.01 * room[s] else F.lit(-1).cast("long") for s in range(shards)))
         votes = votes.select("community", counts.alias("held"), _best(spare, shards, F.pmod(F.xxhash64("community"), F.lit(shards)).cast("int")).alias("best"), reduce(lambda a, b: a + b, (F.col(f"s{s}") for s in range(shards))).alias("bytes"))
-        more = F.get("held", F.col("best")) > F.get("held", F.col("shard"))
-        tie = (F.get("held", F.col("best")) == F.get("held", F.col("shard"))) & (F.col("best") < F.col("shard"))
-        moves = materialize(state.join(votes, "community").withColumn("asks", (F.col("best") != F.col("shard")) & (more | tie)), f"shards-{turn}")
+        # best is one shard a community, so moving on a tie cannot go in circles.
+        better = F.get("held", F.col("best")) >= F.get("held", F.col("shard"))
+        moves = materialize(state.join(votes, "community").withColumn("asks", (F.col("best") != F.col("shard")) & better), f"shards-{turn}")
         came = {r["best"]: r["n"] for r in moves.where("asks").groupBy("best").agg(F.sum("size").alias("n")).collect()}
         if not came:
             break
@@ -50,29 +50,40 @@ def propagate(linked: DataFrame, shards: int, room: list[float], rounds: int = 6
     return state
 
 
+def _laid(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df (keys, node, size, community) with first and before: the bytes of all communities that lie earlier, and of all
+    documents that do; and bytes, its community's. Communities lie side by side in a fixed shuffled order and are summed
+    before they are ordered, so one of any size takes many tasks."""
+    each = materialize(df.groupBy(*keys, "community").agg(F.sum("size").alias("bytes")), f"{name}-sums")
+    starts = positions(each, keys, ["community"], {"first": F.col("bytes")}).select(*keys, "community", "bytes", "first")
+    inside = positions(df, [*keys, "community"], ["node", "size"], {"inner": F.col("size")})
+    return inside.join(starts, [*keys, "community"]).withColumn("before", F.col("first") + F.col("inner")).drop("inner")
+
+
 def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 6) -> DataFrame:
     """docs: node (any type), size (long, positive), community (null: linked to nothing). Returns node, size, shard, slot.
 
-    Law: bytes. Linked documents move towards their community's fullest shard while it has room; then what lies
-    beyond a shard's even share of the bytes, and all unlinked documents, fill the shards up in a fixed shuffled
-    order, so that shards differ by about the largest document. slot is gapless from 0 in each shard. Equal rows are
-    shared out one by one. Empty tables give empty results."""
+    Law: bytes. Linked documents move towards their community's fullest shard while it has room. Then whole communities
+    that lie beyond a shard's even share of the bytes leave it (of one that is larger than the share, what lies beyond),
+    and with all unlinked documents they fill the shards up in a fixed shuffled order, side by side, so that shards
+    differ by about the largest document and at most one community a border is cut. slot is gapless from 0 in each
+    shard. Equal rows are shared out one by one, ties in arbitrary order. Empty tables give empty results."""
     slim = materialize(docs.select("node", "size", "community"), "shards-docs")
     rows, total = slim.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     even = total / shards
     groups = slim.where("community is not null").groupBy("community").agg(F.count("*").alias("n")).where("n > 1").select("community")
     tagged = slim.join(groups.withColumn("known", F.lit(True)), "community", "left")
-    tagged = materialize(tagged.select("node", "size", F.when(F.col("known"), F.col("community")).alias("community")), "shards-tagged")
-    first = tagged.where("community is not null").withColumn("shard", F.pmod(F.xxhash64("node", "community"), F.lit(shards)).cast("int"))
-    linked = materialize(propagate(first, shards, [even * 0.99] * shards, rounds, even / 64), "shards-linked")
-    # What a shard holds beyond its even share goes to the pool; communities lie together in each shard's order.
-    n_linked = linked.count()
-    stacked = materialize(positions(linked, ["shard"], ["community", "node"], {"before": F.col("size")}, n_linked), "shards-stacked")
-    stays = F.col("before") + F.col("size") <= even
-    pool = tagged.where("community is null").select("node", "size").unionByName(stacked.where(~stays).select("node", "size"))
+    alone = F.concat(F.lit("alone "), F.hex(F.xxhash64("node", "size")))
+    tagged = materialize(tagged.select("node", "size", F.coalesce("known", F.lit(False)).alias("linked"), F.when(F.col("known"), F.col("community").cast("string")).otherwise(alone).alias("community")), "shards-tagged")
+    first = tagged.where("linked").withColumn("shard", F.pmod(F.xxhash64("node", "community"), F.lit(shards)).cast("int")).drop("linked")
+    linked = materialize(propagate(first, shards, [even * 0.99] * shards, rounds, even), "shards-linked")
+    stacked = materialize(_laid(linked, ["shard"], "shards-stacked"), "shards-stacked")
+    stays = F.when(F.col("bytes") > even, F.col("before") + F.col("size") <= even).otherwise(F.col("first") + F.col("bytes") <= even)
+    columns = ["node", "size", "community"]
+    pool = tagged.where("not linked").select(*columns).unionByName(stacked.where(~stays).select(*columns))
     kept = stacked.where(stays).select("node", "size", "shard")
     load = {r["shard"]: r["n"] for r in kept.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
-    pool = materialize(positions(materialize(pool, "shards-pool"), [], ["node", "size"], {"before": F.col("size")}), "shards-filled")
+    pool = _laid(materialize(pool, "shards-pool"), [], "shards-pool")
     edges, at = [], 0.0
     for s in range(shards):
         at += max(0.0, even - load.get(s, 0))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -28,6 +29,42 @@ def test_sizes_are_even_slots_gapless_and_copies_together(spark):
     assert sum(len(g) == 1 for g in groups.values()) > 0.9 * len(groups)
 
 
+def test_pairs_and_triples_stay_together(spark):
+    """Groups of two and three, which start in different shards, meet: at most one a border between shards is cut."""
+    rng = random.Random(5)
+    data = [(i, rng.randint(1, 3000), f"p{i // 2}" if i < 2000 else f"t{i // 3}" if i < 3500 else None) for i in range(20_000)]
+    rows = placed(spark, data)
+    shard, groups = {r["node"]: r["shard"] for r in rows}, {}
+    for n, _, c in data:
+        if c:
+            groups.setdefault(c, set()).add(shard[n])
+    assert sum(len(g) > 1 for g in groups.values()) <= 7
+    sizes = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 2 * 3000
+
+
+@pytest.mark.parametrize("shards", [2, 3])
+def test_cut_groups_against_all_assignments(spark, shards):
+    """Of all ways to lay out a few groups whose sizes fill shards exactly, some cut none; the operator cuts at most one a border."""
+    sizes = {"a": [4, 4], "b": [4, 4], "c": [2, 2, 2, 2], "d": [8], "e": [3, 3, 2], "f": [6, 2]}
+    data = [(k * 10 + i, x, c) for k, (c, xs) in enumerate(sizes.items()) for i, x in enumerate(xs)]
+    rows = placed(spark, data, shards)
+    shard = {r["node"]: r["shard"] for r in rows}
+    cut = sum(len({shard[n] for n, _, g in data if g == c}) > 1 for c in sizes)
+    whole = [w for w in itertools.product(range(shards), repeat=len(sizes)) if len({sum(8 for x in w if x == s) for s in range(shards)}) == 1]
+    assert whole and cut <= shards - 1
+    load = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(shards)]
+    assert max(load) - min(load) <= 8
+
+
+def test_equal_texts_share_a_shard_in_the_query(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5("text").alias("m"))
+    groups = sharding.op9_shard_documents(spark, sf).join(docs, "doc_id").groupBy("m").agg(F.count("*").alias("n"), F.countDistinct("shard").alias("s"))
+    n, cut = groups.where("n > 1").agg(F.count("*"), F.count_if(F.col("s") > 1)).first()
+    assert n > 20 and cut <= 7
+
+
 def test_a_third_in_one_community(spark):
     data = [(i, 10, "big" if i % 3 == 0 else None) for i in range(2400)]
     rows = placed(spark, data)
