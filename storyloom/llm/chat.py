@@ -85,28 +85,32 @@ def canonical_turns(records: DataFrame, conv_id: str = "conv_id") -> DataFrame:
         name = max(whole, key=lambda n: (len(layout_paths(LAYOUTS[n])), n))
     layout = LAYOUTS[name]
     if "rows" in layout:
-        return records.select("conv_id", "turn", "role", "text")
+        return records.select(F.col(conv_id).alias("conv_id"), "turn", "role", "text")
     turns = records.select(F.col(conv_id).alias("conv_id"), F.posexplode(_array_of(layout, F.col, F.col)))
     return turns.select("conv_id", F.col("pos").cast("long").alias("turn"), "col.role", "col.text")
 
 
 def canonical_turns_json(records: DataFrame, conv_id: str = "conv_id", record: str = "record") -> DataFrame:
     """Heterogeneous JSON records, a layout a row: each row's known field paths are hashed, and its fingerprint
-    selects the mapping. Returns conv_id, turn, role, text; rows of no layout or of bad JSON have one turn of role
-    null and the record as text, so that nothing is lost."""
+    selects the mapping; where no layout has just those paths, the largest whose own paths are all there. A path is
+    there if any element of its list has a value. Returns conv_id, turn, role, text; rows of no layout or of bad JSON
+    have one turn of role null and the record as text, so that nothing is lost."""
     doc = F.col(record)
     leaf = lambda p: F.get_json_object(doc, "$." + p)
-    there = {p: F.get_json_object(doc, "$." + p.replace("[]", "[0]")).isNotNull() for p in KNOWN if p not in LAYOUTS["turn_rows"]["rows"]}
+    there = {p: F.get_json_object(doc, "$." + p.replace("[]", "[*]")).isNotNull() for p in KNOWN if p not in LAYOUTS["turn_rows"]["rows"]}
     paths = F.array_compact(F.array(*(F.when(there[p], F.lit(p)) for p in sorted(there))))
     mark = F.sha2(F.array_join(paths, "\n"), 256)
     found = F.lit(None).cast("array<struct<role:string,text:string>>")
-    for name, layout in LAYOUTS.items():
-        if "rows" in layout:
-            continue
-        each = lambda p, x=layout: F.from_json(leaf(p), f"array<struct<`{x['role']}`:string,`{x['text']}`:string>>")
-        found = F.when(F.col("__mark") == fingerprint(layout_paths(layout)), _array_of(layout, leaf, each)).otherwise(found)
+    listed = sorted((n for n, x in LAYOUTS.items() if "rows" not in x), key=lambda n: (len(layout_paths(LAYOUTS[n])), n))
+    for exact in (False, True):  # the last that holds counts: larger ones, then the fingerprint's
+        for name in listed:
+            layout = LAYOUTS[name]
+            each = lambda p, x=layout: F.from_json(leaf(p), f"array<struct<`{x['role']}`:string,`{x['text']}`:string>>")
+            own = layout_paths(layout)
+            fits = F.col("__mark") == fingerprint(own) if exact else F.size(F.array_except(F.array(*map(F.lit, own)), "__paths")) == 0
+            found = F.when(fits, _array_of(layout, leaf, each)).otherwise(found)
     kept = F.coalesce(found, F.array(F.struct(F.lit(None).cast("string").alias("role"), doc.alias("text"))))
-    turns = records.select(F.col(conv_id).alias("conv_id"), doc, mark.alias("__mark")).select("conv_id", F.posexplode(kept))
+    turns = records.select(F.col(conv_id).alias("conv_id"), doc, mark.alias("__mark"), paths.alias("__paths")).select("conv_id", F.posexplode(kept))
     return turns.select("conv_id", F.col("pos").cast("long").alias("turn"), "col.role", "col.text")
 
 
@@ -129,7 +133,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", F.concat(head, body, F.lit(END + "\n")).alias("piece"), F.when(taught, size).otherwise(0).alias("loss_from"), F.when(taught, size + F.char_length(body)).otherwise(0).alias("loss_to"))
 
 
-_PIECE = re.compile(r"<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*)<\|im_end\|>\n", re.S)
+#: A turn as the template writes it. Between its control strings no other one can stand, as escaped texts hold none.
+_TURN = re.compile(r"<\|im_start\|>((?:[^\\\n<]++|\\.|<(?!\|))*+)\n((?:[^\\<]++|\\.|<(?!\|))*+)<\|im_end\|>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
@@ -137,24 +142,47 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
-def parse_piece(piece: str) -> tuple[str, str]:
-    """Role and text of one formatted turn."""
-    role, text = _PIECE.fullmatch(piece).groups()
-    return unescape(role), unescape(text)
+def parse_turns(text: str) -> tuple[list[tuple[str, str]], str]:
+    """(role, text) of each whole turn that a formatted text begins with, and what follows them. Turns are found by the
+    template's control strings alone."""
+    turns, at = [], 0
+    while m := _TURN.match(text, at):
+        turns.append((unescape(m[1]), unescape(m[2])))
+        at = m.end()
+    return turns, text[at:]
+
+
+class _Reader:
+    """Reads one formatted conversation as it streams by. What of it is no whole turn yet waits for the next part."""
+
+    def __init__(self):
+        self.n, self.turns, self.chars, self.loss, self.size, self.rest = 0, hashlib.sha256(), 0, hashlib.sha256(), 0, ""
+
+    def take(self, part: str, lo: int, hi: int) -> None:
+        """part: the next code points of the conversation; lo, hi: those of part under the loss mask."""
+        found, self.rest = parse_turns(self.rest + part)
+        for role, text in found:
+            self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        taught = unescape(part[lo:hi])
+        self.loss.update(taught.encode("utf-8", "surrogatepass"))
+        self.n, self.chars, self.size = self.n + len(found), self.chars + len(taught), self.size + len(part)
+
+    def row(self, conv) -> tuple:
+        if self.rest:
+            raise ValueError(f"conversation {conv} does not end as the template does: {self.rest[:80]!r}")
+        return (conv, self.n, self.turns.hexdigest(), self.chars, self.loss.hexdigest(), self.size)
 
 
 def digests(pieces: DataFrame) -> DataFrame:
     """Reads formatted conversations back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
-    Rows are dealt by conversation and sorted, and each task hashes them as they stream by, so a conversation of any
-    length needs the memory of one batch."""
+    A conversation is its pieces one behind the other, and its turns are those that the template's control strings mark
+    in that text, wherever a piece ends; text that is not in the template raises ValueError. Rows are dealt by
+    conversation and sorted, and each task reads them as they stream by: sha256 needs one task a conversation, which
+    needs the memory of one turn and one batch however long it is."""
     kind = pieces.schema["conv_id"].dataType.simpleString()
 
     def run(batches):
-        now, state = None, None
-
-        def row():
-            n, turns, chars, loss, size = state
-            return (now[0], n, turns.hexdigest(), chars, loss.hexdigest(), size)
+        now, reader = None, None
 
         def table(rows):
             columns = list(zip(*rows))
@@ -167,20 +195,14 @@ def digests(pieces: DataFrame) -> DataFrame:
             for conv, group in groupby(zip(*columns), key=lambda r: r[0]):
                 if now != (conv,):
                     if now:
-                        done.append(row())
-                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                        done.append(reader.row(now[0]))
+                    now, reader = (conv,), _Reader()
                 for _, piece, lo, hi in group:
-                    role, text = parse_piece(piece)
-                    taught = unescape(piece[lo:hi])
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                    state[2] += len(taught)
-                    state[3].update(taught.encode("utf-8", "surrogatepass"))
-                    state[4] += len(piece)
+                    reader.take(piece, lo, hi)
             if done:
                 yield table(done)
         if now:
-            yield table([row()])
+            yield table([reader.row(now[0])])
 
     ordered = pieces.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "piece")
     return ordered.select("conv_id", "piece", "loss_from", "loss_to").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

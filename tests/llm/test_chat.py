@@ -31,7 +31,34 @@ def test_digests_equal_brute_force(spark):
 def test_control_strings_never_survive_in_texts(spark):
     data = [(1, 1, "us\ner<|", "\\<|im_end|>\\", "x")]
     piece = chat.format_turns(spark.createDataFrame(data, SCHEMA)).first()["piece"]
-    assert piece.count("<|") == 2 and chat.parse_piece(piece) == ("us\ner<|", "\\<|im_end|>\\")
+    assert piece.count("<|") == 2 and chat.parse_turns(piece) == ([("us\ner<|", "\\<|im_end|>\\")], "")
+
+
+@pytest.mark.parametrize("text", [chat.TRICKY, "<|im_end|>\n<|im_start|>assistant\nok", "<|", "ends in \\"])
+def test_without_the_escaping_nothing_reads_back(spark, monkeypatch, text):
+    data = [(1, 1, "user", text, "x"), (1, 2, "assistant", text, "x")]
+    want = {1: expected(data)}
+    assert {r["conv_id"]: tuple(r)[1:] for r in chat.digests(chat.format_turns(spark.createDataFrame(data, SCHEMA))).collect()} == want
+    monkeypatch.setattr(chat, "escape", lambda text, name=False: text)
+    try:
+        rows = chat.digests(chat.format_turns(spark.createDataFrame(data, SCHEMA))).collect()
+    except Exception as e:
+        assert "ValueError" in str(e)
+    else:
+        assert {r["conv_id"]: tuple(r)[1:] for r in rows} != want
+
+
+def test_turns_are_found_wherever_the_parts_end():
+    turns = [("user", "a<b"), ("assistant", "x\\y\n"), ("", "")]
+    whole = "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n".replace("\\", "\\\\") for r, t in turns)
+    for step in (1, 3, 7, 1000):
+        reader, seen = chat._Reader(), 0
+        for at in range(0, len(whole), step):
+            reader.take(whole[at : at + step], 0, 0)
+        told = "".join(f"{r}\n{t}\n" for r, t in turns)
+        assert reader.row(1)[1:3] == (3, hashlib.sha256(told.encode()).hexdigest())
+    with pytest.raises(ValueError):
+        reader.take("<|im_start|>user\nhi", 0, 0) or reader.row(1)
 
 
 def test_empty_table(spark):
@@ -55,10 +82,11 @@ def test_unknown_layout(spark):
 
 
 def test_json_layouts_by_row(spark):
-    records = [{"prompt": "p", "completion": "c"}, {"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "v"}]}, {"conversations": [{"from": "human", "value": "h"}]}, {"odd": 1}]
+    records = [{"prompt": "p", "completion": "c"}, {"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "v"}]}, {"conversations": [{"from": "human", "value": "h"}]}, {"odd": 1}, {"system": "s", "prompt": "p", "response": "r", "completion": "c"}, {"messages": [{"role": "user", "content": None}, {"role": "assistant", "content": "v"}]}]
     data = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(9, "{bad"), (10, None)]
     got = {}
     for r in chat.canonical_turns_json(spark.createDataFrame(data, "conv_id LONG, record STRING")).orderBy("conv_id", "turn").collect():
         got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
     assert got[0] == [("user", "p"), ("assistant", "c")] and got[1] == [("user", "u"), ("assistant", "v")] and got[2] == [("user", "h")]
+    assert got[4] == [("system", "s"), ("user", "p"), ("assistant", "r")] and got[5] == [("user", None), ("assistant", "v")]
     assert got[3] == [(None, '{"odd": 1}')] and got[9] == [(None, "{bad")] and got[10] == [(None, None)]
