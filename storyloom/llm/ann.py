@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,28 +50,47 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & (F.size(e) == dim) & ~odd & F.exists(e, lambda x: x != 0))
 
 
-def _unpack(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(len(column), -1)
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows as doubles, each times the power of two that brings its largest component to between 0.5 and 1: no square
+    overflows, and cosines stay what they are."""
+    x = np.asarray(x, dtype=np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0, keepdims=True))[1])
+
+
+def _matrix(batch_or_table, column: str, kind: str) -> np.ndarray:
+    """A column of vectors, kept as the bytes of their components, as scaled doubles."""
+    rows = batch_or_table.column(column).to_pylist()
+    return scaled(np.frombuffer(b"".join(rows), dtype=kind).reshape(len(rows), -1))
+
 
+def _kind(vectors: DataFrame) -> str:
+    """numpy's name of the type that vectors are kept in: that of the table's own components."""
+    return "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
 
-def _index(rows: DataFrame, tables: list[int], probes: int) -> DataFrame:
-    """A row for each row, table and probe: vec_id, place (table and bucket), vector (its doubles as bytes)."""
-    kind = rows.schema["vec_id"].dataType.simpleString()
+
+def indexed(rows: DataFrame, tables: int, probes: int) -> DataFrame:
+    """vec_id, vector (the components' bytes) and places: the numbers of the nearest `probes` axes in each table, the
+    first table's before the second's."""
+    kind, dtype = rows.schema["vec_id"].dataType.simpleString(), _kind(rows)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
-            x = flat.reshape(batch.num_rows, -1)
-            unit = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
-            packed = pa.array([v.tobytes() for v in x], pa.binary())
-            for t in tables:
-                found = buckets(unit, t, probes)
-                for p in range(found.shape[1]):
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, p].astype(np.int64) + (t << 32)), packed], names=["vec_id", "place", "vector"])
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(batch.num_rows, -1)
+            unit = scaled(x)
+            unit = unit / np.sqrt((unit * unit).sum(1, keepdims=True))
+            places = np.concatenate([buckets(unit, t, probes) for t in range(tables)], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(list(places), pa.list_(pa.int32()))], names=["vec_id", "vector", "places"])
+
+    return rows.mapInArrow(run, f"vec_id {kind}, vector binary, places array<int>")
+
 
-    return rows.mapInArrow(run, f"vec_id {kind}, place long, vector binary")
+def _of_tables(index: DataFrame, tables: range, probes: int) -> DataFrame:
+    """vec_id, vector, place: a row for each place that a row of the index has in those tables."""
+    own = F.slice("places", tables.start * probes + 1, len(tables) * probes)
+    rows = index.select("vec_id", "vector", F.posexplode(own).alias("at", "axis"))
+    return rows.select("vec_id", "vector", (F.floor(F.col("at") / probes) * F.lit(2**32) + F.col("axis")).alias("place"))
 
 
 def _distinct(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -77,8 +98,8 @@ def _distinct(ids: np.ndarray, order: np.ndarray) -> np.ndarray:
     return order[np.sort(np.unique(ids[order], return_index=True)[1])]
 
 
-def _search(points: DataFrame, queries: DataFrame, k: int, block: int) -> DataFrame:
-    """points and queries as _index gives them. query_id, vec_id, score: each block's k best ids for each of its queries.
+def _search(points: DataFrame, queries: DataFrame, dtype: str, k: int, block: int) -> DataFrame:
+    """points and queries: vec_id, vector, place. query_id, vec_id, score: each block's k best ids for each of its queries.
 
     A bucket of any size is cut into blocks of about `block` points and blocks of about `block` queries, by a hash;
     each pair of blocks is one matrix product in one task, and only k rows a query leave it."""
@@ -94,7 +115,7 @@ def _search(points: DataFrame, queries: DataFrame, k: int, block: int) -> DataFr
         ids, qids = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
         out = ([], [], [])
         if len(ids) and len(qids):
-            x, q = _unpack(a.column("vector")), _unpack(b.column("vector"))
+            x, q = _matrix(a, "vector", dtype), _matrix(b, "vector", dtype)
             order = np.argsort(ids, kind="stable")
             first = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1]))
             nx, nq = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
@@ -122,8 +143,8 @@ def _search(points: DataFrame, queries: DataFrame, k: int, block: int) -> DataFr
 def exact_nearest(points: DataFrame, asked: list[tuple], k: int) -> list[tuple]:
     """Brute force for a bounded list of (id, vector): (query position, vec_id, vector) of the k nearest of each. Every
     task keeps k rows a query of what it reads, and the k best of those are kept by a window over the queries."""
-    q = np.array([v for _, v in asked], dtype="<f8")
-    unit, own = q / np.linalg.norm(q, axis=1, keepdims=True), [i for i, _ in asked]
+    q = scaled([v for _, v in asked])
+    unit, own = q / np.sqrt((q * q).sum(1, keepdims=True)), [i for i, _ in asked]
     kind = points.schema["vec_id"].dataType.simpleString()
 
     def run(batches):
@@ -131,8 +152,8 @@ def exact_nearest(points: DataFrame, asked: list[tuple], k: int) -> list[tuple]:
             if not batch.num_rows:
                 continue
             ids = np.array(batch.column(0).to_pylist())
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(batch.num_rows, -1)
-            near = unit @ x.T / np.linalg.norm(x, axis=1)
+            x = scaled(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            near = unit @ x.T / np.sqrt((x * x).sum(1))
             near[np.array(own)[:, None] == ids] = -np.inf
             for i, row in enumerate(near):
                 top = np.lexsort((ids, -row))
@@ -153,7 +174,7 @@ def probes_for(points: DataFrame, asked: DataFrame, k: int, tables: int, recall:
     true = exact_nearest(points, drawn, k)
     if not true:
         return 1
-    q, x = np.array([drawn[at][1] for at, _, _ in true], dtype=np.float64), np.array([v for _, _, v in true])
+    q, x = scaled([drawn[at][1] for at, _, _ in true]), np.array([v for _, _, v in true])
     rank = None
     for t in range(tables):
         both = buckets(q, t, 4 * q.shape[1]) == buckets(x, t)
@@ -162,12 +183,14 @@ def probes_for(points: DataFrame, asked: DataFrame, k: int, tables: int, recall:
     return int(np.sort(rank)[max(0, int(np.ceil(recall * len(rank))) - 1)]) + 1
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 8, probes: int | None = None, block: int = 4096, recall: float = 0.96, sample: int = 128) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 8, probes: int | None = None, block: int = 4096, recall: float = 0.96, sample: int = 128, at_once: int = 2) -> DataFrame:
     """vectors, queries: vec_id, embedding (array of float or double); other columns are ignored.
     Returns query_id, rank, vec_id, score: the k rows of largest cosine found, ties to the smaller vec_id.
 
     Every row is hashed to the nearest signed axis of its pseudo-rotation in each table; a query looks into its
-    `probes` nearest axes of each table (None: as many as reach `recall` on `sample` queries, by brute force), and all that it meets there is reranked by exact cosine. A query that meets
+    `probes` nearest axes of each table (None: as many as reach `recall` on `sample` queries, by brute force), and all
+    that it meets there is reranked by exact cosine. The index holds each vector once beside its places; `at_once` tables
+    are searched at a time, so that a vector is on its way only so often at once. A query that meets
     fewer than k rows looks into every bucket of one table, which holds all rows. Rows without an id, of a null, zero
     or non-finite vector, or of another length than most rows have, take no part; rows of one vec_id count once, and
     never for a query of that vec_id; empty tables give empty results."""
@@ -176,13 +199,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = 8,
     points, asked = usable(vectors, dim), usable(queries, dim)
     if probes is None:
         probes = probes_for(points, asked, k, tables, recall, sample)
-    indexed = materialize(_index(points, list(range(tables)), 1), "ann-index")
-    looked = materialize(_index(asked, list(range(tables)), probes), "ann-queries")
-    found = materialize(_search(indexed, looked, k, block), "ann-found")
+    axes = 2 * (1 << max(1, (max(dim, 1) - 1).bit_length()))
+    probes, dtype = min(probes, axes), _kind(vectors)
+    index = materialize(indexed(points, tables, 1), "ann-index")
+    looked = materialize(indexed(asked, tables, probes), "ann-queries")
+    runs = [range(t, min(t + at_once, tables)) for t in range(0, tables, at_once)]
+    founds = [materialize(_search(_of_tables(index, r, 1), _of_tables(looked, r, probes), dtype, k, block), "ann-found") for r in runs]
+    found = reduce(DataFrame.unionByName, founds)
     met = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"))
-    short = asked.join(met.where(F.col("n") >= k), asked["vec_id"] == F.col("query_id"), "left_anti")
-    rest = _index(materialize(short, "ann-short"), [0], 2 * max(2, dim) * 2)
-    again = _search(indexed.where(F.shiftright("place", 32) == 0), rest, k, block)
+    short = materialize(asked.join(met.where(F.col("n") >= k), asked["vec_id"] == F.col("query_id"), "left_anti"), "ann-short")
+    again = _search(_of_tables(index, range(1), 1), _of_tables(indexed(short, 1, axes), range(1), axes), dtype, k, block)
     all_found = found.unionByName(again).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return all_found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

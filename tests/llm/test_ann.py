@@ -79,3 +79,27 @@ def test_repeated_rows_count_once(spark):
     assert {q: [r["vec_id"] for r in rows if r["query_id"] == q] for q in true} == {q: [i for i, _ in v] for q, v in true.items()}
     found = ann.exact_nearest(ann.usable(df, 16), [(0, x[0].tolist())], 5)
     assert {i for _, i, _ in found} == {i for i, _ in true[0]}
+
+
+def test_doubles_whose_squares_overflow(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 8))
+    big = x * 10.0 ** rng.integers(-200, 200, 300)[:, None]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(big)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    rows = ann.nearest(df, df.where("vec_id % 50 = 0"), block=64, tables=4).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(rows) == 30 and all(abs(unit[r["query_id"]] @ unit[r["vec_id"]] - r["score"]) < 1e-12 for r in rows)
+
+
+def test_recall_on_queries_that_did_not_set_the_probes(spark):
+    """The probes come from a sample of some queries; recall holds on the others."""
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((60, 32))
+    x = (centres[rng.integers(0, 60, 2500)] + 0.6 * rng.standard_normal((2500, 32))).astype(np.float32)
+    df = table(spark, x)
+    probes = ann.probes_for(ann.usable(df, 32), ann.usable(df.where("vec_id % 50 = 0"), 32), 5, 8, 0.96, 128)
+    others = df.where("vec_id % 50 = 7")
+    true, got = brute(x, np.arange(2500), range(7, 2500, 50)), {}
+    for r in ann.nearest(df, others, probes=probes, block=700).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(got[q] & {a for a, _ in true[q]}) / 5 for q in true]) >= 0.9
