@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 UNKNOWN = "und"
 BUCKETS = 1 << 14
 ORDERS = (2, 3, 4)
@@ -116,15 +118,18 @@ def train(x: Histograms, y: np.ndarray, n_langs: int, dim: int = 16, epochs: int
     return embed @ weight * scale, bias
 
 
-def fit(docs: DataFrame, per_lang: int = 500, reject_rate: float = 0.002, most_langs: int = 64) -> LanguageModel:
-    """docs: doc_id, text, lang. Learns from rows that are not held out and have a text with a letter and a lang.
+def fit(docs: DataFrame, per_lang: int = 500, reject_rate: float = 0.002, most_rows: int = 32_000) -> LanguageModel:
+    """docs: doc_id, text, lang. Learns from rows that are not held out and have a text with a letter and a lang; every
+    such value of lang can be predicted. Rows without a lang teach nothing; of equally likely languages the first in
+    order counts; without rows to learn from, every document is und.
 
-    The fit takes a bounded sample: about per_lang documents of each of the most_langs most frequent languages, drawn
-    by a hash of the id and computed to histograms on the executors. A fifth of it calibrates: the temperature that
+    The fit takes a bounded sample: about per_lang documents of each language, or fewer where all together would be more
+    than most_rows, drawn by a hash of the id and computed to histograms on the executors. A fifth of it calibrates: the temperature that
     makes its log-loss least, and the confidence that all but reject_rate of its rightly named documents reach."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = tuple(sorted(counts))
+    per_lang = max(1, min(per_lang, most_rows // max(1, len(langs))))
     if not langs:
         return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     share = F.create_map(*(F.lit(v) for k in langs for v in (k, min(1.0, per_lang / counts[k]) * 1e6)))
@@ -163,13 +168,13 @@ def fit(docs: DataFrame, per_lang: int = 500, reject_rate: float = 0.002, most_l
     return LanguageModel(langs, table.astype(np.float32), bias.astype(np.float64), float(temperature), reject)
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Adds lang_pred, lang_score (0 to 1) and lang_rejected to docs, a row for a row, whole texts; every other column
-    passes through, and columns of these three names are replaced. Text null or without a letter: und, 0, rejected."""
-    added = ("lang_pred", "lang_score", "lang_rejected")
+def predict(docs: DataFrame, model: LanguageModel, added: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_rejected")) -> DataFrame:
+    """Adds three columns to docs, a row for a row, of whole texts: the language, its score (0 to 1) and whether it is
+    rejected. Every other column passes through; columns of these three names are replaced. Text null or without a
+    letter: und, 0, rejected."""
     docs = docs.drop(*added)
     place = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(added, (T.StringType(), T.DoubleType(), T.BooleanType())))])
 
     def run(batches):
         for batch in batches:
@@ -185,6 +190,12 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def keep_named(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """docs without the rows that the model rejects; all columns kept."""
+    added = tuple(unused(docs, "lang_pred", "lang_score", "lang_rejected"))
+    return predict(docs, model, added).where(~F.col(added[2])).select(*docs.columns)
+
+
 def op10_identify_language(spark, sf_dir: str) -> DataFrame:
     """All documents: doc_id, held_out, lang_pred, score, rejected."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

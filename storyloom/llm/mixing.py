@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, positions, word_count
+from .common import materialize, positions, unused, word_count
 
 #: The schedule is the golden-ratio sequence in integers: slot k sits at (k * STEP mod PERIOD) / PERIOD, where
 #: STEP is the odd number next to PERIOD / 1.6180339887. The products stay below 2**62, so nothing overflows.
@@ -126,7 +126,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     md5 = F.md5(F.encode("text", "UTF-8"))
     slim = materialize(docs.select("doc_id", md5.alias("md5"), "source", word_count(F.col("text")).alias("size")), "mix-rows")
     took = taken_words(mix(slim.select(F.struct("doc_id", "md5").alias("doc_id"), "source", "size"), **how))
-    times = took.where("size > 0").groupBy("doc_id", "source").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("__times")).where("__times > 0")
-    times = times.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.md5").alias("__md5"), F.col("source").alias("__source"), "__times")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & md5.eqNullSafe(F.col("__md5")) & F.col("source").eqNullSafe(F.col("__source"))
-    return docs.join(times, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    times = took.where("size > 0").groupBy("doc_id", "source").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("times")).where("times > 0")
+    own, copy, place, often, one = unused(docs, "own_id", "md5", "own_source", "times", "time")
+    times = times.select(F.col("doc_id.doc_id").alias(own), F.col("doc_id.md5").alias(copy), F.col("source").alias(place), F.col("times").alias(often))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & md5.eqNullSafe(F.col(copy)) & F.col("source").eqNullSafe(F.col(place))
+    return docs.join(times, same).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*docs.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop, materialize, tidy
+from .common import drop, materialize, tidy, unused
 from .hashing import band_keys, dart_signature, shingles
 
 
@@ -130,9 +130,10 @@ class _Classes:
         return placed.join(hubs.select("key", F.col("hub.node").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n")
 
     def last_round(self, placed: DataFrame, block: int) -> None:
-        """Compares all nodes of different classes that share a key, a pair of blocks of at most about `block` nodes in
-        one task, which gives back a class and its least linked one for each class that it merges, and no pairs."""
-        sized = placed.join(placed.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "key")
+        """Compares all nodes of different classes that share a key, a pair of blocks of at most about `block` nodes and
+        BLOCK_SHINGLES shingles in one task, which gives back a class and its least linked one for each class that it
+        merges, and no pairs."""
+        sized = placed.join(placed.groupBy("key").agg(_blocks(block).alias("blocks")), "key")
         own = sized.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = own.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
         least = self.similarity
@@ -143,11 +144,12 @@ class _Classes:
             flat, ends = sets.values.to_numpy(), sets.offsets.to_numpy()
             size = np.diff(ends)
             found, at = np.unique(flat, return_inverse=True)
-            owner = np.repeat(np.arange(len(size)), size)
+            order = np.argsort(at, kind="stable")
+            at, owner = at[order], np.repeat(np.arange(len(size)), size)[order]
             cross = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
             shared = np.zeros((len(size), len(size)), dtype=np.float32)
             for low in range(0, len(found), 8192):  # a slice of the shingles at a time, so that it fits
-                inside = (at >= low) & (at < low + 8192)
+                inside = slice(*np.searchsorted(at, (low, low + 8192)))
                 has = np.zeros((len(size), min(8192, len(found) - low)), dtype=np.float32)
                 has[owner[inside], at[inside] - low] = 1
                 shared += has @ has.T
@@ -172,10 +174,19 @@ class _Classes:
         self._join_classes(materialize(links.distinct(), "dup-links"))
 
 
+#: Shingles that one side of a pair of blocks holds, about; a larger set is a block of its own.
+BLOCK_SHINGLES = 1 << 21
+
+
+def _blocks(block: int):
+    """Aggregate: into how many blocks the nodes of a key are cut, by their number and by their shingles."""
+    return F.ceil(F.greatest(F.count("*") / block, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
 def _across(placed: DataFrame, block: int) -> tuple[int, int]:
     """Rows of open keys, and the rows that comparing them in blocks takes."""
-    each = placed.groupBy("key").agg(F.count("*").alias("c"))
-    rows, copies = each.agg(F.sum("c"), F.sum(F.col("c") * F.ceil(F.col("c") / block))).first()
+    each = placed.groupBy("key").agg(F.count("*").alias("c"), _blocks(block).alias("b"))
+    rows, copies = each.agg(F.sum("c"), F.sum(F.col("c") * F.col("b"))).first()
     return rows or 0, copies or 0
 
 
@@ -225,10 +236,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ba
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each near-duplicate class, all columns kept; rows that agree in doc_id and text are one."""
-    marks = near_duplicates(docs, **how).where("kept").select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy")).distinct()
-    keyed = docs.withColumn("__md5", F.md5(F.encode("text", "UTF-8")))
-    stays = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__md5").eqNullSafe(F.col("__copy")), "left_semi")
-    return stays.dropDuplicates(["doc_id", "__md5"]).select(*docs.columns)
+    own, copy, md5 = unused(docs, "own_id", "copy", "md5")
+    marks = near_duplicates(docs, **how).where("kept").select(F.col("doc_id").alias(own), F.col("copy").alias(copy)).distinct()
+    keyed = docs.withColumn(md5, F.md5(F.encode("text", "UTF-8")))
+    stays = keyed.join(marks, F.col("doc_id").eqNullSafe(F.col(own)) & F.col(md5).eqNullSafe(F.col(copy)), "left_semi")
+    return stays.dropDuplicates(["doc_id", md5]).select(*docs.columns)
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, unused
 from .hashing import _ODD, mix, word_bounds, word_hashes
 
 #: Frequent function words of each language.
@@ -137,11 +137,12 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def references(measured: DataFrame, rules: Rules, most_langs: int = 64) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Histograms of each language (the most_langs most frequent), summed over all documents that pass the base rules."""
+def references(measured: DataFrame, rules: Rules) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Histograms of each language, summed over all documents that pass the base rules: some hundred numbers for each
+    value of lang, of which there are as many as languages."""
     good = measured.where(F.col("lang").isNotNull() & ~_base_failed(rules))
     sums = good.groupBy("lang").agg(F.count("*").alias("n"), *(F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in (("__classes", len(CLASSES)), ("__common", len(WORDS) + 1)) for i in range(n)))
-    rows = sums.orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    rows = sums.orderBy(F.desc("n"), "lang").collect()
     return {r["lang"]: (np.array([r[f"__classes{i}"] for i in range(len(CLASSES))], float), np.array([r[f"__common{i}"] for i in range(len(WORDS) + 1)], float)) for r in rows}
 
 
@@ -186,11 +187,11 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """docs without the rows that quality rejects; all columns kept. Verdicts join back by doc_id and md5 of the text,
     on which they depend alone."""
-    key = F.md5(F.encode("text", "UTF-8"))
-    keyed = docs.select(F.col("doc_id").alias("__id"), key.alias("__md5"), "lang", "text")
+    key, (own, copy) = F.md5(F.encode("text", "UTF-8")), unused(docs, "own_id", "md5")
+    keyed = docs.select(F.col("doc_id").alias(own), key.alias(copy), "lang", "text")
     measured = materialize(_measured(keyed), "quality")
-    bad = judge(measured, references(measured, rules), rules).where(~F.col("__kept")).select("__id", "__md5").distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & key.eqNullSafe(F.col("__md5"))
+    bad = judge(measured, references(measured, rules), rules).where(~F.col("__kept")).select(own, copy).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & key.eqNullSafe(F.col(copy))
     return docs.join(bad, same, "left_anti")
 
 
