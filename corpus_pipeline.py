@@ -6,7 +6,6 @@ documents; the last returns a row for each piece of each packed sequence."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from storyloom.llm import langid, mixing, neardup, packing, quality
 from storyloom.llm.common import materialize
@@ -14,8 +13,7 @@ from storyloom.llm.common import materialize
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier names; those that it rejects go."""
-    model = langid.fit(docs.select("doc_id", "text", "lang"))
-    return langid.predict(docs, model).where(~F.col("lang_rejected")).select(*docs.columns)
+    return langid.keep_named(docs, langid.fit(docs.select("doc_id", "text", "lang")))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
