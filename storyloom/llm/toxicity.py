@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,32 +27,92 @@ STOPS = frozenset(".!?;:\n")
 STEMS = (4, 5, 6, 7, 8)
 
 
-@dataclass(frozen=True)
-class Transducer:
-    """A finite-state transducer: moves[state][symbol] is the next state ("" stands for any other symbol), and a state
-    writes marks[state] on every symbol that it ends on."""
-
-    moves: dict[int, dict[str, int]]
-    marks: dict[int, str]
+#: The score from which on a text counts as toxic.
+THRESHOLD = 0.3
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "other")
+HITS = ("insult", "threat")
 
-    def step(self, state: int, symbol: str) -> int:
-        row = self.moves[state]
-        return row.get(symbol, row.get("", 0))
-
-
-def within(symbol: str, mark: str, reach: int) -> Transducer:
-    """Marks the reach symbols after `symbol`."""
-    moves = {0: {symbol: reach, "": 0}} | {n: {symbol: reach, "": n - 1} for n in range(1, reach + 1)}
-    return Transducer(moves, {n: mark for n in range(1, reach + 1)})
 
+@dataclass(frozen=True)
+class Arc:
+    """A way on: the marks written behind a symbol, the weight of taking it, and the state that it leads to."""
 
-def onwards(symbol: str, mark: str) -> Transducer:
-    """Marks all symbols of a clause from `symbol` on."""
-    return Transducer({0: {symbol: 1, "": 0}, 1: {"": 1}}, {1: mark})
+    marks: frozenset[str]
+    weight: float
+    to: object
 
 
-#: The composed grammar: what marks a clause's insults and threats from the left, and (targets only) from the right.
-GRAMMAR = {"negated": within("negation", "negated", 3), "aimed": within("target", "aimed", 4), "reported": onwards("report", "reported")}
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted finite-state transducer over classes of words. arcs[state][symbol]: the ways on; without one, a path
+    ends in vain. Paths begin in start and hold if they end in one of finals; the heaviest is a clause's reading."""
+
+    start: object
+    finals: frozenset
+    arcs: dict
+
+    def then(self, other: "Transducer") -> "Transducer":
+        """The composition: both read the clause, the other one behind this one's marks. Its states are the pairs that
+        can be reached, its weights the sums."""
+        start, arcs = (self.start, other.start), {}
+        todo = [start]
+        while todo:
+            state = todo.pop()
+            if state in arcs:
+                continue
+            arcs[state] = {s: tuple(Arc(x.marks | y.marks, x.weight + y.weight, (x.to, y.to)) for x in self.arcs[state[0]].get(s, ()) for y in other.arcs[state[1]].get(s, ())) for s in SYMBOLS}
+            todo += [x.to for ways in arcs[state].values() for x in ways]
+        return Transducer(start, frozenset(x for x in arcs if x[0] in self.finals and x[1] in other.finals), arcs)
+
+    def reading(self, symbols: list[str]) -> tuple[float, list[frozenset[str]]]:
+        """Weight and marks of the heaviest path over a clause (of equal ones, the first found), a state at a time."""
+        best, steps = {self.start: 0.0}, []
+        for symbol in symbols:
+            new, back = {}, {}
+            for state, weight in best.items():
+                for arc in self.arcs[state].get(symbol, ()):
+                    if arc.to not in new or weight + arc.weight > new[arc.to]:
+                        new[arc.to], back[arc.to] = weight + arc.weight, (state, arc.marks)
+            best = new
+            steps.append(back)
+        state = max((x for x in best if x in self.finals), key=best.get)
+        weight, marks = best[state], []
+        for back in reversed(steps):
+            state, found = back[state]
+            marks.append(found)
+        return weight, marks[::-1]
+
+
+def phrase(symbol: str, reach: int | None, mark: str) -> Transducer:
+    """Marks insults and threats at most reach symbols behind `symbol`, or all of them to the clause's end."""
+    left = range((reach or 1) + 1)
+    after = lambda n, s: left[-1] if s == symbol else n if reach is None else max(0, n - 1)
+    marks = lambda n, s: frozenset([mark] if n and s in HITS else [])
+    return Transducer(0, frozenset(left), {n: {s: (Arc(marks(n, s), 0.0, after(n, s)),) for s in SYMBOLS} for n in left})
+
+
+def around(symbol: str, reach: int, mark: str) -> Transducer:
+    """Marks insults and threats with `symbol` at most reach symbols before or behind them. A state is how long the last
+    one still reaches, and within how many symbols one is owed: a path may mark a hit on credit, and holds only if
+    the symbol comes in time. A mark weighs 1, so the heaviest path marks all that can be."""
+    arcs = {}
+    for reaches in range(reach + 1):
+        for owed in range(reach + 1):
+            ways = arcs[reaches, owed] = {}
+            for s in SYMBOLS:
+                met, due = s == symbol, owed - 1
+                if owed and not met and not due:
+                    continue
+                on = (reach if met else max(0, reaches - 1), 0 if met or not owed else due)
+                ways[s] = (Arc(frozenset(), 0.0, on),)
+                if s in HITS:
+                    sure = Arc(frozenset([mark]), 1.0, on if reaches else (on[0], on[1] or reach))
+                    ways[s] = (sure,) if reaches else (sure, *ways[s])
+    return Transducer((0, 0), frozenset(x for x in arcs if not x[1]), arcs)
+
+
+#: The composed grammar of a clause: its insults and threats with what is said about them.
+GRAMMAR = around("target", 4, "aimed").then(phrase("negation", 3, "negated")).then(phrase("report", None, "reported"))
 FEATURES = ("insult", "insult aimed", "insult negated", "insult reported", "threat", "threat aimed", "threat negated", "threat reported", "clauses", "strongest")
 
 
@@ -63,6 +124,10 @@ class Lexicon:
     stems: dict[int, dict[str, float]] = field(default_factory=dict)
     classes: dict[str, str] = field(default_factory=lambda: {w: c for c, ws in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in ws})
 
+    @cached_property
+    def threats(self) -> frozenset[str]:
+        return frozenset(w for w, c in self.classes.items() if c == "threat")
+
     def insult(self, word: str) -> float:
         best = self.words.get(word, 0.0)
         for n, stems in self.stems.items():
@@ -70,21 +135,6 @@ class Lexicon:
         return best
 
 
-def clause_marks(symbols: list[str]) -> list[set[str]]:
-    """Runs the composed transducers over a clause's symbols: the marks on each."""
-    out: list[set[str]] = [set() for _ in symbols]
-    for name, machine in GRAMMAR.items():
-        for backwards in (False, True) if name == "aimed" else (False,):
-            state = 0
-            for i in range(len(symbols) - 1, -1, -1) if backwards else range(len(symbols)):
-                before = state
-                state = machine.step(state, symbols[i])
-                mark = machine.marks.get(before) or machine.marks.get(state)
-                if mark:
-                    out[i].add(mark)
-    return out
-
-
 def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     """What the grammar finds in a whole text: weights of insults and threats by their marks, clauses that match, and
     the strongest match. Clauses end at sentence marks and line ends; those without an insult or threat count nothing."""
@@ -94,19 +144,18 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
     low = text.lower()
     tokens = _token.findall(low)
     hot = {w: weight for w in set(tokens) if (weight := lexicon.insult(w)) > 0}
-    threats = {w for w, c in lexicon.classes.items() if c == "threat"}
-    if not hot and threats.isdisjoint(tokens):
+    if not hot and lexicon.threats.isdisjoint(tokens):
         return out
     at = 0
     ends = [i for i, t in enumerate(tokens) if t in STOPS] + [len(tokens)]
     for end in ends:
         clause, at = tokens[at:end], end + 1
-        symbols = ["insult" if w in hot else lexicon.classes.get(w, "") for w in clause]
+        symbols = ["insult" if w in hot else lexicon.classes.get(w, "other") for w in clause]
         if "insult" not in symbols and "threat" not in symbols:
             continue
         total = 0.0
-        for word, symbol, marks in zip(clause, symbols, clause_marks(symbols)):
-            if symbol not in ("insult", "threat"):
+        for word, symbol, marks in zip(clause, symbols, GRAMMAR.reading(symbols)[1]):
+            if symbol not in HITS:
                 continue
             weight = hot.get(word, 1.0)
             for i, name in enumerate(FEATURES[:8]):
@@ -139,12 +188,13 @@ def _units(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
 
 
-def learn_lexicon(sample: DataFrame, least_odds: float = 2.0, most_units: int = 512) -> dict[str, float]:
-    """sample: text, toxic, one row a distinct text. Units (words, and stems as "abcd*") with their log-odds.
+def learn_lexicon(sample: DataFrame, least_odds: tuple[float, ...] = (2.0,)) -> list[dict[str, float]]:
+    """sample: text, toxic, one row a distinct text. For each of least_odds, units (words, and stems as "abcd*") with
+    their log-odds.
 
     Document counts of all units are summed on Spark; those in enough toxic texts whose odds are e^least_odds times
-    the usual are candidates (the most_units in most toxic texts). Of them a cover is kept: the unit in most texts
-    that no kept unit explains, again and again, so that words which merely stand beside an insult drop out."""
+    the usual are candidates. Of them a cover is kept: the unit in most texts that no kept unit explains, again and
+    again, so that words which merely stand beside an insult drop out. Candidates are bounded by the sample."""
 
     def count(batches):
         toxic, clean = Counter(), Counter()
@@ -161,14 +211,12 @@ def learn_lexicon(sample: DataFrame, least_odds: float = 2.0, most_units: int =
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
-        return {}
+        return [{} for _ in least_odds]
     least = max(3, int(0.002 * n1))
     odds = lambda a, b: F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0))
     sums = sample.select("text", "toxic").mapInArrow(count, "unit string, a long, b long").groupBy("unit").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    rows = sums.where(F.col("a") >= least).withColumn("odds", odds(F.col("a"), F.col("b"))).where(F.col("odds") >= least_odds).orderBy(F.desc("a"), F.length("unit"), "unit").limit(most_units).collect()
+    rows = sums.where(F.col("a") >= least).withColumn("odds", odds(F.col("a"), F.col("b"))).where(F.col("odds") >= min(least_odds)).collect()
     weight = {r["unit"]: r["odds"] for r in rows}
-    if not weight:
-        return {}
     names = set(weight)
 
     def where(batches):
@@ -177,18 +225,64 @@ def learn_lexicon(sample: DataFrame, least_odds: float = 2.0, most_units: int =
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string()))], names=["units"])
 
     texts = sample.where("toxic = 1").select("text").mapInArrow(where, "units array<string>").collect()
-    holds = defaultdict(set)
+    every = defaultdict(set)
     for i, r in enumerate(texts):
         for u in r["units"]:
-            holds[u].add(i)
-    kept: dict[str, float] = {}
-    while holds:
-        best = max(holds, key=lambda u: (len(holds[u]), weight[u], not u.endswith("*"), len(u), u))
-        if len(holds[best]) < least:
-            break
-        kept[best], done = weight[best], holds[best]
-        holds = {u: left for u, s in holds.items() if (left := s - done)}
-    return kept
+            every[u].add(i)
+
+    def cover(odds: float) -> dict[str, float]:
+        kept, holds = {}, {u: s for u, s in every.items() if weight[u] >= odds}
+        while holds:
+            best = max(holds, key=lambda u: (len(holds[u]), weight[u], not u.endswith("*"), len(u), u))
+            if len(holds[best]) < least:
+                break
+            kept[best], done = weight[best], holds[best]
+            holds = {u: left for u, s in holds.items() if (left := s - done)}
+        return kept
+
+    return [cover(odds) for odds in least_odds]
+
+
+def _lexicon(units: dict[str, float]) -> Lexicon:
+    words = {w: 2.0 for w in INSULTS} | {u: v for u, v in units.items() if not u.endswith("*")}
+    stems: dict[int, dict[str, float]] = {}
+    for u, v in units.items():
+        if u.endswith("*"):
+            stems.setdefault(len(u) - 1, {})[u[:-1]] = v
+            words.setdefault(u[:-1], v)
+    return Lexicon(words, stems)
+
+
+def _featured(sample: DataFrame, lexicons: list[Lexicon]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled features (text x lexicon x feature), labels, and whether a text is one of the fifth that chooses."""
+
+    def run(batches):
+        for batch in batches:
+            x = [[v for lexicon in lexicons for v in features(t.as_py(), lexicon)] for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "toxic", "chooses"])
+
+    rows = sample.select("text", "toxic", _chooses()).mapInArrow(run, "x array<double>, toxic int, chooses boolean").collect()
+    x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(lexicons), len(FEATURES))
+    return _scaled(x), np.array([r["toxic"] for r in rows], float), np.array([r["chooses"] for r in rows], bool)
+
+
+def _chooses():
+    return (F.pmod(F.xxhash64("text", F.lit(9)), F.lit(5)) == 0).alias("chooses")
+
+
+def least_odds_for(sample: DataFrame, odds: tuple[float, ...]) -> float:
+    """Which of odds to learn a lexicon with: lexicon and weights are learned from four fifths of the sample, and the
+    errors that THRESHOLD makes on the last fifth, as shares of each label, decide (of equal ones, the higher odds)."""
+    found = [_lexicon(units) for units in learn_lexicon(sample.where(~_chooses()), odds)]
+    x, y, chooses = _featured(sample, found)
+    if len(set(y[chooses])) < 2 or len(set(y[~chooses])) < 2:
+        return odds[-1]
+    errors = []
+    for i in range(len(odds)):
+        w, b = fit_weights(x[~chooses, i], y[~chooses])
+        wrong = (x[chooses, i] @ w + b >= np.log(THRESHOLD / (1 - THRESHOLD))) != (y[chooses] == 1)
+        errors.append((wrong[y[chooses] == 1].mean() + wrong[y[chooses] == 0].mean(), -odds[i]))
+    return -min(errors)[1]
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
@@ -203,10 +297,11 @@ def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 400, rate: float = 0
     return w / spread, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000, odds: tuple[float, ...] = (1.5, 2.0, 2.5, 3.0)) -> ToxicityModel:
     """docs: doc_id, text; labels: doc_id, toxic. Learns from labelled rows that are not held out: about per_class of
-    each label, drawn by a hash of the id, copies of a text once. Without labels of both kinds, the grammar's own
-    words score with set weights."""
+    each label, drawn by a hash of the id, copies of a text once. How rare a word must be in clean texts to count as an
+    insult is one of odds, chosen on a fifth of these rows. Null ids and labels teach nothing; a text labelled both
+    ways is toxic; without labels of both kinds, the grammar's own words score with set weights."""
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = lambda y: int(min(1.0, per_class / max(1, counts.get(y, 0))) * 1e6)
@@ -215,25 +310,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> ToxicityMo
     drawn = F.broadcast(drawn.orderBy(F.xxhash64("doc_id"), "toxic").limit(3 * per_class))
     sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(drawn, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     sample = materialize(sample, "toxic-sample")
-    units = learn_lexicon(sample)
-    words = {w: 2.0 for w in INSULTS} | {u: v for u, v in units.items() if not u.endswith("*")}
-    stems: dict[int, dict[str, float]] = {}
-    for u, v in units.items():
-        if u.endswith("*"):
-            stems.setdefault(len(u) - 1, {})[u[:-1]] = v
-            words.setdefault(u[:-1], v)
-    lexicon = Lexicon(words, stems)
     if not counts.get(0) or not counts.get(1):
-        return ToxicityModel(lexicon, np.where([f in ("insult", "insult aimed", "threat aimed") for f in FEATURES], 2.0, 0.0), -2.0)
-
-    def run(batches):
-        for batch in batches:
-            x = [features(t.as_py(), lexicon).tolist() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
-
-    rows = sample.select("text", "toxic").mapInArrow(run, "x array<double>, toxic int").collect()
-    weights, bias = fit_weights(_scaled(np.array([r["x"] for r in rows])), np.array([r["toxic"] for r in rows], float))
-    return ToxicityModel(lexicon, weights, bias)
+        return ToxicityModel(_lexicon({}), np.where([f in ("insult", "insult aimed", "threat aimed") for f in FEATURES], 2.0, 0.0), -2.0)
+    lexicon = _lexicon(learn_lexicon(sample, (least_odds_for(sample, odds),))[0])
+    x, y, _ = _featured(sample, [lexicon])
+    return ToxicityModel(lexicon, *fit_weights(x[:, 0], y))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -253,4 +334,4 @@ def op8_score_toxicity(spark, sf_dir: str) -> DataFrame:
     """All documents: doc_id, held_out, score, predicted."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score(docs, fit(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
