@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +24,8 @@ V = FREQUENT + RARE
 PAD = V
 #: Occurrences that make a word a leaf of its own, whatever the size of the corpus.
 FLOOR = 64
+#: Words that one network learns from, about: how many groups there are depends on the corpus alone.
+GROUP = 1 << 20
 OFFSETS = (-2, -1, 1, 2)
 DIM = 16
 BATCH = 2048
@@ -231,10 +232,22 @@ def _context(line: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([line[at + o] for o in OFFSETS], axis=1)
 
 
+def grouped(tokens: DataFrame, n_tokens: int):
+    """tokens dealt by a hash of id and words to groups of about GROUP words, each to be read in the order of __h. A
+    group does not depend on files, partitions or cores, so neither does what is learned from it."""
+    mark = F.xxhash64(*(c for c in ("doc_id", "ids", "leaves") if c in tokens.columns))
+    keyed = tokens.select(*(c for c in ("ids", "leaves") if c in tokens.columns), mark.alias("__h"))
+    return keyed.withColumn("__g", F.pmod("__h", F.lit(max(1, -(-n_tokens // GROUP))))).groupBy("__g")
+
+
+def _in_order(rows: pa.Table) -> pa.Table:
+    return rows.take(np.argsort(rows.column("__h").to_numpy(), kind="stable"))
+
+
 def train(tokens: DataFrame, rate: float = 2.0, fan_in: int = 64) -> Network:
-    """Every task starts from the same network and passes once over every token of its documents; the networks are
+    """Every group starts from the same network and passes once over every token of its documents; the networks are
     averaged by their tokens, fan_in at a time in rounds of grouped tasks, so neither one task nor the driver takes in
-    more than fan_in of them however many tasks there are."""
+    more than fan_in of them however many groups there are. The same rows give the same network in any partitioning."""
     def histogram(batches):
         total = np.zeros(V, np.int64)
         for batch in batches:
@@ -245,16 +258,13 @@ def train(tokens: DataFrame, rate: float = 2.0, fan_in: int = 64) -> Network:
     counts = {r["id"]: r["n"] for r in tokens.select("ids").mapInArrow(histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
     frequency = np.array([counts.get(i, 0) for i in range(V)], dtype=float)
 
-    def run(batches):
-        net, seen = Network.start(frequency), 0
-        for batch in batches:
-            line, at = windows([b.as_py() for b in batch.column(0)])
-            for i in range(0, len(at), BATCH):
-                part = at[i : i + BATCH]
-                net.learn(_context(line, part), line[part], rate)
-            seen += len(at)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([net.pack()], pa.binary())], names=["part", "seen", "net"])
+    def run(rows: pa.Table) -> pa.Table:
+        net, part = Network.start(frequency), rows.column("__g")[0].as_py()
+        line, at = windows(_in_order(rows).column("ids").to_pylist())
+        for i in range(0, len(at), BATCH):
+            here = at[i : i + BATCH]
+            net.learn(_context(line, here), line[here], rate)
+        return pa.table({"part": pa.array([part], pa.int64()), "seen": pa.array([len(at)], pa.int64()), "net": pa.array([net.pack()], pa.binary())})
 
     def average(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("part").to_numpy())
@@ -264,7 +274,8 @@ def train(tokens: DataFrame, rate: float = 2.0, fan_in: int = 64) -> Network:
         return pa.table({"part": pa.array([rows.column("part").to_numpy().min() // fan_in], pa.int64()), "seen": pa.array([seen.sum()], pa.int64()), "net": pa.array([total.tobytes()], pa.binary())})
 
     schema = "part long, seen long, net binary"
-    nets = materialize(tokens.select("ids").mapInArrow(run, schema), "lm-nets")
+    filled = tokens.where(F.octet_length("ids") > 0)
+    nets = materialize(grouped(filled, int(frequency.sum())).applyInArrow(run, schema), "lm-nets")
     while (n := nets.count()) > 1:
         nets = materialize(nets.groupBy(F.floor(F.col("part") / fan_in).alias("group")).applyInArrow(average, schema), "lm-nets")
     return Network.unpack(np.frombuffer(nets.first()["net"], "<f8")) if n else Network.start(frequency)
@@ -326,25 +337,23 @@ class Nodes:
 
 
 def train_nodes(tokens: DataFrame, net: Network, words: Lexicon, rate: float = 0.02, chunk: int = 256) -> Nodes:
-    """Every task starts at the corpus shares and passes once over all its words that share a class; each node's weights
-    are averaged by how often the tasks met it, chunk nodes in one group."""
+    """Every group starts at the corpus shares and passes once over all its words that share a class; each node's weights
+    are averaged by how often the groups met it, chunk nodes at a time. Groups are those of `grouped`."""
     m = len(words.bias)
     start = Nodes(np.zeros((m, DIM), np.float32), words.bias.copy())
 
-    def run(batches):
-        nodes, met = Nodes(start.out.copy(), start.bias.copy()), np.zeros(m)
-        for batch in batches:
-            line, at = windows([b.as_py() for b in batch.column(0)])
-            leaf = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i4")
-            at, leaf = at[leaf >= 0], leaf[leaf >= 0]
-            for i in range(0, len(at), BATCH):
-                found, times = nodes.learn(words, leaf[i : i + BATCH], net.hidden(_context(line, at[i : i + BATCH])), rate)
-                met[found] += times
-        for low in range(0, m, chunk):
-            n = met[low : low + chunk]
-            if n.any():
-                part = np.column_stack([nodes.out[low : low + chunk], nodes.bias[low : low + chunk]])
-                yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n.astype("<f8").tobytes()], pa.binary()), pa.array([part.astype("<f4").tobytes()], pa.binary())], names=["low", "part", "met", "nodes"])
+    def run(rows: pa.Table) -> pa.Table:
+        nodes, met, part = Nodes(start.out.copy(), start.bias.copy()), np.zeros(m), rows.column("__g")[0].as_py()
+        rows = _in_order(rows)
+        line, at = windows(rows.column("ids").to_pylist())
+        leaf = np.frombuffer(b"".join(rows.column("leaves").to_pylist()), "<i4")
+        at, leaf = at[leaf >= 0], leaf[leaf >= 0]
+        for i in range(0, len(at), BATCH):
+            found, times = nodes.learn(words, leaf[i : i + BATCH], net.hidden(_context(line, at[i : i + BATCH])), rate)
+            met[found] += times
+        lows = [low for low in range(0, m, chunk) if met[low : low + chunk].any()]
+        packed = [np.column_stack([nodes.out[low : low + chunk], nodes.bias[low : low + chunk]]).astype("<f4").tobytes() for low in lows]
+        return pa.table({"low": pa.array(lows, pa.int64()), "part": pa.array([part] * len(lows), pa.int64()), "met": pa.array([met[low : low + chunk].astype("<f8").tobytes() for low in lows], pa.binary()), "nodes": pa.array(packed, pa.binary())})
 
     def average(rows: pa.Table) -> pa.Table:
         total = seen = 0
@@ -356,7 +365,8 @@ def train_nodes(tokens: DataFrame, net: Network, words: Lexicon, rate: float = 0
         total = np.where(seen[:, None] > 0, total / np.maximum(seen, 1)[:, None], np.column_stack([start.out[low : low + chunk], start.bias[low : low + chunk]]))
         return pa.table({"low": pa.array([low], pa.int64()), "nodes": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
-    found = materialize(tokens.select("ids", "leaves").mapInArrow(run, "low long, part long, met binary, nodes binary"), "lm-nodes")
+    n_tokens = tokens.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+    found = materialize(grouped(tokens, n_tokens).applyInArrow(run, "low long, part long, met binary, nodes binary"), "lm-nodes")
     table = found.groupBy("low").applyInArrow(average, "low long, nodes binary").toArrow()
     for low, part in zip(table.column("low").to_pylist(), table.column("nodes").to_pylist()):
         part = np.frombuffer(part, "<f4").reshape(-1, DIM + 1)
@@ -397,7 +407,8 @@ def score_words(tokens: DataFrame, counts: DataFrame, net: Network, words: Lexic
 def score_documents(docs: DataFrame, floor: int = FLOOR) -> DataFrame:
     """docs: doc_id, text; other columns are ignored. A row a row: doc_id, n_tokens, log_prob, mean_log_prob.
 
-    Vocabulary, frequencies and the network come from all documents. Null and empty texts have no tokens and log_prob
+    Vocabulary, frequencies and the network come from all documents, and do not depend on how the table is cut into files
+    or partitions. Null and empty texts have no tokens and log_prob
     0; whole texts count, however long; repeated rows score alike; an empty table gives no rows."""
     docs = docs.select("doc_id", "text")
     counts = materialize(word_counts(docs), "lm-words")

@@ -78,6 +78,34 @@ def test_grammar_marks_clauses():
     assert value("not here. idiot")["insult negated"] == 0  # a mark ends with its clause
 
 
+def every_path(machine, symbols, state=None, at=0):
+    """(weight, marks) of all paths of a transducer that hold."""
+    state = machine.start if at == 0 else state
+    if at == len(symbols):
+        return [(0.0, ())] if state in machine.finals else []
+    return [(arc.weight + w, (arc.marks, *m)) for arc in machine.arcs[state].get(symbols[at], ()) for w, m in every_path(machine, symbols, arc.to, at + 1)]
+
+
+def marked(symbols):
+    """The marks by their definition."""
+    out = []
+    for i, s in enumerate(symbols):
+        near = range(max(0, i - 4), min(len(symbols), i + 5))
+        found = {"aimed": any(symbols[j] == "target" for j in near), "negated": "negation" in symbols[max(0, i - 3) : i], "reported": "report" in symbols[:i]}
+        out.append({k for k, v in found.items() if v} if s in toxicity.HITS else set())
+    return out
+
+
+def test_grammar_reads_the_heaviest_of_all_paths():
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        symbols = rng.choice(toxicity.SYMBOLS, rng.integers(1, 9), p=(0.25, 0.15, 0.15, 0.1, 0.1, 0.25)).tolist()
+        weight, marks = toxicity.GRAMMAR.reading(symbols)
+        paths = every_path(toxicity.GRAMMAR, symbols)
+        assert weight == max(w for w, _ in paths) and (weight, tuple(marks)) in paths
+        assert [set(m) for m in marks] == marked(symbols)
+
+
 def test_network_gives_probabilities():
     net = scoring.Network.start(np.ones(scoring.V))
     _, logp = net.forward(np.array([[0, 1, 2, 3], [scoring.PAD] * 4]))
@@ -148,3 +176,10 @@ def test_words_of_one_class_do_not_score_alike(spark):
     docs = spark.createDataFrame([(0, " ".join(common)), (1, " ".join([a] * 9)), (2, a), (3, b)], "doc_id LONG, text STRING")
     rows = {r["doc_id"]: r["log_prob"] for r in scoring.score_documents(docs).collect()}
     assert rows[2] - rows[3] == pytest.approx(math.log(10), abs=1e-5)
+
+
+def test_scores_do_not_depend_on_the_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "GROUP", 4000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    a, b = ({r["doc_id"]: r["log_prob"] for r in scoring.score_documents(docs.repartition(n)).collect()} for n in (1, 7))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-6) for k in a)
