@@ -1,9 +1,10 @@
 """Document scores by masked pseudo-likelihood under a small bidirectional window network.
 
-The probability of a word given both sides is that of its class (a frequent word is a class of its own, the others share
-hashed classes) times that of the word within its class. The second factor is a hierarchical softmax: every word of at
-least FLOOR occurrences is a leaf of its class's Huffman tree, whose nodes decide by the same window. The words below the
-floor share one more leaf, times the word's share of the corpus counts below it. All words' probabilities sum to 1."""
+The network reads the classes of the words on both sides of a word (a frequent word is a class of its own, the others
+share hashed classes) and predicts the word by a hierarchical softmax: the KNOWN most frequent words are leaves of one
+Huffman tree, whose nodes decide by the window. All other words share one more leaf, times the word's share of the
+corpus counts beyond the known words, which a join with the table of all words' counts gives. So every word has a
+probability of its own, the probabilities sum to 1, the network is of fixed size, and the table grows with the corpus."""
 
 from __future__ import annotations
 
@@ -15,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .hashing import word_bounds, word_hashes
 
 FREQUENT, RARE = 96, 32
 V = FREQUENT + RARE
 #: Stands between documents; its embeddings are zero and it is never predicted.
 PAD = V
-#: Occurrences that make a word a leaf of its own, whatever the size of the corpus.
-FLOOR = 64
+#: Words that are leaves of their own.
+KNOWN = 8192
 #: Words that one network learns from, about: how many groups there are depends on the corpus alone.
 GROUP = 1 << 20
 OFFSETS = (-2, -1, 1, 2)
@@ -49,52 +50,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> np.ndarray:
-    """Hashes of the FREQUENT most frequent words of all documents, sorted."""
-    counts = word_counts(docs) if counts is None else counts
-    rows = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    return np.sort(np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64))
-
-
-def token_ids(hashes: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """A frequent word's place in the vocabulary; other words share RARE classes by their hash. One byte a token."""
-    rare = (hashes % np.uint64(RARE)).astype(np.uint8) + np.uint8(FREQUENT)
-    if not len(vocab):
-        return rare
-    at = np.minimum(np.searchsorted(vocab, hashes), len(vocab) - 1)
-    return np.where(vocab[at] == hashes, at.astype(np.uint8), rare)
-
-
-@dataclass
-class Lexicon:
-    """The classes' words: known (sorted hashes of the words that are leaves; the leaf of what is below the floor in class
-    c is len(known) + c), rest (log of the corpus count below the floor, a class each), and for each leaf its path: size
-    decisions from start on in node and sign. bias: log-odds of each node by the corpus counts."""
-
-    frequent: np.ndarray
-    known: np.ndarray
-    rest: np.ndarray
-    start: np.ndarray
-    size: np.ndarray
-    node: np.ndarray
-    sign: np.ndarray
-    bias: np.ndarray
-
-    def leaves(self, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """The leaf of each word, -1 for a word that is its own class."""
-        leaf = len(self.known) + ids.astype(np.int32) - FREQUENT
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-            leaf = np.where(self.known[at] == hashes, at.astype(np.int32), leaf)
-        return np.where(ids < FREQUENT, np.int32(-1), leaf).astype("<i4")
-
-    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For all decisions of the leaves: place in leaf, node, sign."""
-        size = self.size[leaf]
-        at = np.arange(size.sum()) + np.repeat(self.start[leaf] - np.cumsum(size) + size, size)
-        return np.repeat(np.arange(len(leaf)), size), self.node[at], self.sign[at]
-
-
 def huffman(weights: list[int]) -> tuple[list[list[tuple[int, int]]], list[float]]:
     """Each leaf's path as (node, sign), and each node's log-odds of sign 1. One leaf has an empty path."""
     heap = [(int(w), i) for i, w in enumerate(weights)]
@@ -115,81 +70,109 @@ def huffman(weights: list[int]) -> tuple[list[list[tuple[int, int]]], list[float
     return paths, bias
 
 
-def lexicon(counts: DataFrame, frequent: np.ndarray, floor: int = FLOOR) -> Lexicon:
-    """counts: word, n. Only words of at least floor occurrences and a sum a class reach the driver."""
-    rare = counts.where(~F.col("word").isin(frequent.view(np.int64).tolist())) if len(frequent) else counts
-    table = rare.where(F.col("n") >= floor).toArrow()
-    known, n = table.column("word").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    order = np.argsort(known)
-    known, n = known[order], n[order]
-    below = np.zeros(RARE, np.int64)
-    for r in rare.where(F.col("n") < floor).groupBy(F.col("word").bitwiseAND(RARE - 1).alias("c")).agg(F.sum("n").alias("n")).collect():
-        below[r["c"]] = r["n"]
-    own = (known % np.uint64(RARE)).astype(int)
-    size, paths, bias = np.zeros(len(known) + RARE, np.int64), {}, []
-    for c in range(RARE):
-        leaf = np.flatnonzero(own == c).tolist() + ([len(known) + c] if below[c] else [])
-        found, odds = huffman([int(n[i]) if i < len(known) else int(below[c]) for i in leaf])
-        for i, path in zip(leaf, found):
-            paths[i], size[i] = [(k + len(bias), s) for k, s in path], len(path)
-        bias += odds
-    flat = np.array([d for i in range(len(size)) for d in paths.get(i, ())], dtype=np.int32).reshape(-1, 2)
-    return Lexicon(frequent, known, np.log(np.maximum(below, 1)), np.cumsum(size) - size, size, flat[:, 0].copy(), flat[:, 1].astype(np.float32), np.array(bias, dtype=np.float32))
-
-
-def tokenized_words(docs: DataFrame, words: Lexicon) -> DataFrame:
-    """doc_id, ids (as tokenized gives them), leaves (an int32 a word) and below (hashes of the words below the floor)."""
+@dataclass
+class Vocabulary:
+    """known: sorted hashes of the words that are leaves; the next leaf is that of all others, beyond: their corpus
+    count. classes: the class of each known word. A leaf's path is size decisions from start on in node and sign; bias:
+    log-odds of each node by the corpus counts."""
+
+    known: np.ndarray
+    classes: np.ndarray
+    beyond: int
+    start: np.ndarray
+    size: np.ndarray
+    node: np.ndarray
+    sign: np.ndarray
+    bias: np.ndarray
+
+    def read(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class (a byte) and leaf (two) of each word."""
+        rare = (hashes % np.uint64(RARE)).astype(np.uint8) + np.uint8(FREQUENT)
+        if not len(self.known):
+            return rare, np.zeros(len(hashes), "<u2")
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        hit = self.known[at] == hashes
+        return np.where(hit, self.classes[at], rare), np.where(hit, at, len(self.known)).astype("<u2")
+
+    def paths(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For all decisions of the leaves, a leaf's own side by side: place in leaf, node, sign; and where each begins."""
+        size = self.size[leaf]
+        first = np.cumsum(size) - size
+        at = np.arange(size.sum(), dtype=np.int32) + np.repeat(self.start[leaf] - first, size)
+        return np.repeat(np.arange(len(leaf), dtype=np.int32), size), self.node[at], self.sign[at], first
+
+
+def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
+    """counts: word, n. The known most frequent words (ties by hash) and one sum reach the driver."""
+    rows = counts.orderBy(F.desc("n"), "word").limit(known).collect()
+    words, n = np.array([r["word"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    classes = (words % np.uint64(RARE)).astype(np.uint8) + np.uint8(FREQUENT)
+    classes[:FREQUENT] = np.arange(min(FREQUENT, len(words)))
+    order = np.argsort(words)
+    beyond = int((counts.agg(F.sum("n")).first()[0] or 0) - n.sum())
+    paths, bias = huffman([*n[order].tolist(), *([beyond] if beyond else [])])
+    size = np.array([len(p) for p in paths] + [0] * (not beyond), np.int32)
+    flat = np.array([d for p in paths for d in p], dtype=np.int32).reshape(-1, 2)
+    return Vocabulary(words[order], classes[order], beyond, (np.cumsum(size) - size).astype(np.int32), size, flat[:, 0].astype(np.int16), flat[:, 1].astype(np.float32), np.array(bias, np.float32))
+
+
+def tokenized(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """doc_id, ids (classes of the whole text's words, a byte each), leaves (two bytes each) and beyond (hashes of the
+    words that share a leaf)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            ids, leaves, below = [], [], []
+            ids, leaves, beyond = [], [], []
             for text in batch.column(1):
                 h = _hashes(text.as_py())
-                i = token_ids(h, words.frequent)
-                leaf = words.leaves(h, i)
+                i, leaf = words.read(h)
                 ids.append(i.tobytes())
                 leaves.append(leaf.tobytes())
-                below.append(h[leaf >= len(words.known)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(leaves, pa.binary()), pa.array(below, pa.list_(pa.int64()))], names=["doc_id", "ids", "leaves", "below"])
+                beyond.append(h[leaf == len(words.known)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(leaves, pa.binary()), pa.array(beyond, pa.list_(pa.int64()))], names=["doc_id", "ids", "leaves", "beyond"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, leaves binary, below array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, leaves binary, beyond array<bigint>")
 
 
-def tokenized(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
-    """doc_id and ids (a byte a word of the whole text)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def windows(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All documents' ids with two PADs before, between and behind them, and the places of the ids."""
+    gap = bytes([PAD] * 2)
+    line = np.frombuffer(gap + gap.join(documents) + gap, dtype=np.uint8)
+    return line, np.flatnonzero(line != PAD)
 
-    def run(batches):
-        for batch in batches:
-            ids = [token_ids(_hashes(t.as_py()), vocab).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+def _context(line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.stack([line[at + o] for o in OFFSETS], axis=1)
 
 
 @dataclass
 class Network:
-    """Embeddings of the window's places (place x token x dim; the last token is PAD), output weights and bias."""
+    """Embeddings of the window's places (place x class x dim; the last class is PAD), weights and bias of the tree's
+    nodes, and how often each node has been met."""
 
     embed: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    met: np.ndarray
 
     @staticmethod
-    def start(frequency: np.ndarray, seed: int = 1) -> "Network":
+    def start(words: Vocabulary, seed: int = 1) -> "Network":
         rng = np.random.default_rng(seed)
         embed = (rng.standard_normal((len(OFFSETS), V + 1, DIM)) * 0.3).astype(np.float32)
         embed[:, PAD] = 0
-        return Network(embed, (rng.standard_normal((DIM, V)) * 0.1).astype(np.float32), np.log((frequency + 1) / (frequency.sum() + V)).astype(np.float32))
+        m = len(words.bias)
+        return Network(embed, np.zeros((m, DIM), np.float32), words.bias.copy(), np.zeros(m, np.float32))
 
     def pack(self) -> bytes:
-        return np.concatenate([x.ravel() for x in (self.embed, self.out, self.bias)]).astype("<f8").tobytes()
+        return np.concatenate([x.ravel() for x in (self.embed, self.out, self.bias, self.met)]).astype("<f4").tobytes()
 
     @staticmethod
-    def unpack(flat: np.ndarray) -> "Network":
-        a, b = len(OFFSETS) * (V + 1) * DIM, DIM * V
-        return Network(flat[:a].reshape(len(OFFSETS), V + 1, DIM).astype(np.float32), flat[a : a + b].reshape(DIM, V).astype(np.float32), flat[a + b :].astype(np.float32))
+    def unpack(data: bytes) -> "Network":
+        flat = np.frombuffer(data, "<f4")
+        a = len(OFFSETS) * (V + 1) * DIM
+        m = (len(flat) - a) // (DIM + 2)
+        return Network(flat[:a].reshape(len(OFFSETS), V + 1, DIM).copy(), flat[a : a + m * DIM].reshape(m, DIM).copy(), flat[a + m * DIM : a + m * (DIM + 1)].copy(), flat[a + m * (DIM + 1) :].copy())
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         hidden = self.embed[0][context[:, 0]]
@@ -197,186 +180,78 @@ class Network:
             hidden = hidden + self.embed[k][context[:, k]]
         return np.tanh(hidden)
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden layer and log-probabilities of all tokens, of windows (row) x places."""
+    def logp(self, words: Vocabulary, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Log-probability of each leaf in its window."""
+        owner, node, sign, _ = words.paths(leaf)
+        z = (np.einsum("ij,ij->i", self.hidden(context)[owner], self.out[node]) + self.bias[node]) * sign
+        return np.bincount(owner, weights=np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z))), minlength=len(leaf))
+
+    def learn(self, words: Vocabulary, context: np.ndarray, leaf: np.ndarray, rate: float, node_rate: float) -> None:
+        """One step of gradient descent on the negative log-probability of the leaves; a node's step is that of at most
+        32 decisions."""
+        owner, node, sign, first = words.paths(leaf)
+        if not len(node):  # one leaf is certain
+            return
         hidden = self.hidden(context)
-        z = hidden @ self.out
-        z += self.bias
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return hidden, z
-
-    def learn(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step of gradient descent on the mean negative log-probability of the targets."""
-        hidden, z = self.forward(context)
-        grad = np.exp(z, out=z)
-        grad[np.arange(len(target)), target] -= 1
-        grad *= np.float32(rate / len(target))
-        back = (grad @ self.out.T) * (1 - hidden * hidden)
-        self.out -= hidden.T @ grad
-        self.bias -= grad.sum(0)
+        near, weight = hidden[owner], self.out[node]
+        grad = sign / (1 + np.exp(np.clip((np.einsum("ij,ij->i", near, weight) + self.bias[node]) * sign, -60, 60)))
+        back = np.add.reduceat(weight * grad[:, None], first, axis=0) * (1 - hidden * hidden) * np.float32(rate / len(leaf))
+        order = np.argsort(node, kind="stable")
+        begins = np.flatnonzero(np.diff(node[order], prepend=-1))
+        met, times = node[order][begins], np.diff(begins, append=len(node))
+        scale = np.float32(node_rate) / np.maximum(1, times / 32).astype(np.float32)
+        self.out[met] += np.add.reduceat(near[order] * grad[order][:, None], begins, axis=0) * scale[:, None]
+        self.bias[met] += np.add.reduceat(grad[order], begins) * scale
+        self.met[met] += times
         for k in range(len(OFFSETS)):
             step = np.stack([np.bincount(context[:, k], weights=back[:, d], minlength=V + 1) for d in range(DIM)], axis=1)
             step[PAD] = 0
-            self.embed[k] -= step.astype(np.float32)
-
-
-def windows(documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All documents' ids with two PADs before, between and behind them, and the places of the ids."""
-    gap = bytes([PAD] * 2)
-    line = np.frombuffer(gap + gap.join(documents) + gap, dtype=np.uint8)
-    return line, np.flatnonzero(line != PAD)
-
-
-def _context(line: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([line[at + o] for o in OFFSETS], axis=1)
-
+            self.embed[k] += step.astype(np.float32)
 
-def grouped(tokens: DataFrame, n_tokens: int):
-    """tokens dealt by a hash of id and words to groups of about GROUP words, each to be read in the order of __h. A
-    group does not depend on files, partitions or cores, so neither does what is learned from it."""
-    mark = F.xxhash64(*(c for c in ("doc_id", "ids", "leaves") if c in tokens.columns))
-    keyed = tokens.select(*(c for c in ("ids", "leaves") if c in tokens.columns), mark.alias("__h"))
-    return keyed.withColumn("__g", F.pmod("__h", F.lit(max(1, -(-n_tokens // GROUP))))).groupBy("__g")
 
-
-def _in_order(rows: pa.Table) -> pa.Table:
-    return rows.take(np.argsort(rows.column("__h").to_numpy(), kind="stable"))
-
-
-def train(tokens: DataFrame, rate: float = 2.0, fan_in: int = 64) -> Network:
-    """Every group starts from the same network and passes once over every token of its documents; the networks are
-    averaged by their tokens, fan_in at a time in rounds of grouped tasks, so neither one task nor the driver takes in
-    more than fan_in of them however many groups there are. The same rows give the same network in any partitioning."""
-    def histogram(batches):
-        total = np.zeros(V, np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_py(), np.uint8), minlength=V)[:V]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(V), pa.int32()), pa.array(total)], names=["id", "n"])
-
-    counts = {r["id"]: r["n"] for r in tokens.select("ids").mapInArrow(histogram, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-    frequency = np.array([counts.get(i, 0) for i in range(V)], dtype=float)
+def train(tokens: DataFrame, words: Vocabulary, rate: float = 2.0, node_rate: float = 0.02, fan_in: int = 64) -> Network:
+    """tokens: as tokenized gives them, a written table. They are dealt by a hash of id and words to groups of about
+    GROUP words and read in the order of that hash, so that nothing depends on files, partitions or cores. Every group
+    starts from the same network and passes once over every word of its documents. The networks are averaged (embeddings
+    by words, nodes by how often they were met) fan_in at a time in rounds of grouped tasks, so neither one task nor the
+    driver takes in more than fan_in of them however many groups there are."""
+    mark = F.xxhash64("doc_id", "ids", "leaves")
+    filled = tokens.where(F.octet_length("ids") > 0).select("ids", "leaves", mark.alias("mark"))
+    n_words = filled.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+    dealt = filled.withColumn("part", F.pmod("mark", F.lit(max(1, -(-n_words // GROUP)))))
 
     def run(rows: pa.Table) -> pa.Table:
-        net, part = Network.start(frequency), rows.column("__g")[0].as_py()
-        line, at = windows(_in_order(rows).column("ids").to_pylist())
+        net, part = Network.start(words), rows.column("part")[0].as_py()
+        rows = rows.take(np.argsort(rows.column("mark").to_numpy(), kind="stable"))
+        line, at = windows(rows.column("ids").to_pylist())
+        leaf = np.frombuffer(b"".join(rows.column("leaves").to_pylist()), "<u2")
         for i in range(0, len(at), BATCH):
-            here = at[i : i + BATCH]
-            net.learn(_context(line, here), line[here], rate)
+            net.learn(words, _context(line, at[i : i + BATCH]), leaf[i : i + BATCH], rate, node_rate)
         return pa.table({"part": pa.array([part], pa.int64()), "seen": pa.array([len(at)], pa.int64()), "net": pa.array([net.pack()], pa.binary())})
 
     def average(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("part").to_numpy())
-        seen = rows.column("seen").to_numpy()
-        nets = rows.column("net").to_pylist()
-        total = sum(np.frombuffer(nets[i], "<f8") * seen[i] for i in order) / seen.sum()
-        return pa.table({"part": pa.array([rows.column("part").to_numpy().min() // fan_in], pa.int64()), "seen": pa.array([seen.sum()], pa.int64()), "net": pa.array([total.tobytes()], pa.binary())})
+        seen, start = rows.column("seen").to_numpy(), Network.start(words)
+        embed, out, bias, met = (np.zeros(x.shape) for x in (start.embed, start.out, start.bias, start.met))
+        for i in order:
+            net = Network.unpack(rows.column("net")[int(i)].as_py())
+            embed += net.embed * (seen[i] / seen.sum())
+            out, bias, met = out + net.out * net.met[:, None], bias + net.bias * net.met, met + net.met
+        known = np.maximum(met, 1)
+        mean = Network(embed, np.where(met[:, None] > 0, out / known[:, None], start.out), np.where(met > 0, bias / known, start.bias), met)
+        return pa.table({"part": pa.array([rows.column("part").to_numpy().min() // fan_in], pa.int64()), "seen": pa.array([seen.sum()], pa.int64()), "net": pa.array([mean.pack()], pa.binary())})
 
     schema = "part long, seen long, net binary"
-    filled = tokens.where(F.octet_length("ids") > 0)
-    nets = materialize(grouped(filled, int(frequency.sum())).applyInArrow(run, schema), "lm-nets")
+    nets = materialize(dealt.groupBy("part").applyInArrow(run, schema), "lm-nets")
     while (n := nets.count()) > 1:
         nets = materialize(nets.groupBy(F.floor(F.col("part") / fan_in).alias("group")).applyInArrow(average, schema), "lm-nets")
-    return Network.unpack(np.frombuffer(nets.first()["net"], "<f8")) if n else Network.start(frequency)
-
+    return Network.unpack(nets.first()["net"]) if n else Network.start(words)
 
-def score(tokens: DataFrame, net: Network) -> DataFrame:
-    """doc_id, n_tokens, log_prob (sum over the tokens of the log-probability of each given both sides), mean_log_prob
-    (null without tokens)."""
-    kind = tokens.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            ids = [b.as_py() for b in batch.column(1)]
-            size = np.array([len(x) for x in ids], dtype=np.int64)
-            line, at = windows(ids)
-            logp = np.empty(len(at))
-            for i in range(0, len(at), BATCH):
-                part = at[i : i + BATCH]
-                logp[i : i + BATCH] = net.forward(_context(line, part))[1][np.arange(len(part)), line[part]]
-            total = np.bincount(np.repeat(np.arange(len(ids)), size), weights=logp, minlength=len(ids)).astype(float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(total), pa.array(total / np.maximum(size, 1), pa.float64(), mask=size == 0)], names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return tokens.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double, mean_log_prob double")
-
-
-@dataclass
-class Nodes:
-    """Weights and bias of the trees' nodes."""
-
-    out: np.ndarray
-    bias: np.ndarray
-
-    def margins(self, words: Lexicon, leaf: np.ndarray, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For all decisions of the leaves: place in leaf, node, sign, and the log-odds of the decision as it was."""
-        owner, node, sign = words.paths(leaf)
-        z = np.einsum("ij,ij->i", hidden[owner], self.out[node]) + self.bias[node]
-        return owner, node, sign, z * sign
-
-    def logp(self, words: Lexicon, leaf: np.ndarray, hidden: np.ndarray) -> np.ndarray:
-        """Log-probability of each leaf within its class; below the floor, less the log of the counts there."""
-        owner, _, _, z = self.margins(words, leaf, hidden)
-        total = np.bincount(owner, weights=np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z))), minlength=len(leaf))
-        below = leaf - len(words.known)
-        return total - np.where(below >= 0, words.rest[np.maximum(below, 0)], 0)
-
-    def learn(self, words: Lexicon, leaf: np.ndarray, hidden: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """One step of gradient descent; a node's step is that of at most 32 decisions. Nodes met and how often."""
-        owner, node, sign, z = self.margins(words, leaf, hidden)
-        if not len(node):
-            return node, node
-        order = np.argsort(node)
-        first = np.flatnonzero(np.diff(node[order], prepend=-1))
-        met, times = node[order][first], np.diff(first, append=len(node))
-        grad = (sign / (1 + np.exp(np.minimum(z, 60))))[order]
-        scale = np.float32(rate) / np.maximum(1, times / 32).astype(np.float32)
-        self.out[met] += np.add.reduceat(hidden[owner[order]] * grad[:, None], first, axis=0) * scale[:, None]
-        self.bias[met] += np.add.reduceat(grad, first) * scale
-        return met, times
-
-
-def train_nodes(tokens: DataFrame, net: Network, words: Lexicon, rate: float = 0.02, chunk: int = 256) -> Nodes:
-    """Every group starts at the corpus shares and passes once over all its words that share a class; each node's weights
-    are averaged by how often the groups met it, chunk nodes at a time. Groups are those of `grouped`."""
-    m = len(words.bias)
-    start = Nodes(np.zeros((m, DIM), np.float32), words.bias.copy())
-
-    def run(rows: pa.Table) -> pa.Table:
-        nodes, met, part = Nodes(start.out.copy(), start.bias.copy()), np.zeros(m), rows.column("__g")[0].as_py()
-        rows = _in_order(rows)
-        line, at = windows(rows.column("ids").to_pylist())
-        leaf = np.frombuffer(b"".join(rows.column("leaves").to_pylist()), "<i4")
-        at, leaf = at[leaf >= 0], leaf[leaf >= 0]
-        for i in range(0, len(at), BATCH):
-            found, times = nodes.learn(words, leaf[i : i + BATCH], net.hidden(_context(line, at[i : i + BATCH])), rate)
-            met[found] += times
-        lows = [low for low in range(0, m, chunk) if met[low : low + chunk].any()]
-        packed = [np.column_stack([nodes.out[low : low + chunk], nodes.bias[low : low + chunk]]).astype("<f4").tobytes() for low in lows]
-        return pa.table({"low": pa.array(lows, pa.int64()), "part": pa.array([part] * len(lows), pa.int64()), "met": pa.array([met[low : low + chunk].astype("<f8").tobytes() for low in lows], pa.binary()), "nodes": pa.array(packed, pa.binary())})
-
-    def average(rows: pa.Table) -> pa.Table:
-        total = seen = 0
-        for i in np.argsort(rows.column("part").to_numpy()):
-            n = np.frombuffer(rows.column("met")[i].as_py(), "<f8")
-            seen = seen + n
-            total = total + np.frombuffer(rows.column("nodes")[i].as_py(), "<f4").reshape(len(n), -1) * n[:, None]
-        low = rows.column("low")[0].as_py()
-        total = np.where(seen[:, None] > 0, total / np.maximum(seen, 1)[:, None], np.column_stack([start.out[low : low + chunk], start.bias[low : low + chunk]]))
-        return pa.table({"low": pa.array([low], pa.int64()), "nodes": pa.array([total.astype("<f4").tobytes()], pa.binary())})
-
-    n_tokens = tokens.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
-    found = materialize(grouped(tokens, n_tokens).applyInArrow(run, "low long, part long, met binary, nodes binary"), "lm-nodes")
-    table = found.groupBy("low").applyInArrow(average, "low long, nodes binary").toArrow()
-    for low, part in zip(table.column("low").to_pylist(), table.column("nodes").to_pylist()):
-        part = np.frombuffer(part, "<f4").reshape(-1, DIM + 1)
-        start.out[low : low + len(part)], start.bias[low : low + len(part)] = part[:, :DIM], part[:, DIM]
-    return start
-
-
-def score_words(tokens: DataFrame, counts: DataFrame, net: Network, words: Lexicon, nodes: Nodes) -> DataFrame:
-    """As score, with every token's log-probability as that very word. tokens: as tokenized_words gives them, and row,
-    which tells rows apart; counts: word, n, which give the words below the floor their shares in a join."""
+def score(tokens: DataFrame, counts: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
+    """doc_id, n_tokens, log_prob (sum over the words of the log-probability of each given both sides), mean_log_prob
+    (null without words). tokens: as tokenized gives them, and row, which tells rows apart; counts: word, n, which give
+    the words that share a leaf their shares in a join."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -384,38 +259,35 @@ def score_words(tokens: DataFrame, counts: DataFrame, net: Network, words: Lexic
             ids = [b.as_py() for b in batch.column(2)]
             size = np.array([len(x) for x in ids], dtype=np.int64)
             line, at = windows(ids)
-            leaves = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<i4")
+            leaf = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u2")
             logp = np.empty(len(at))
             for i in range(0, len(at), BATCH):
-                part, leaf = at[i : i + BATCH], leaves[i : i + BATCH]
-                hidden, z = net.forward(_context(line, part))
-                logp[i : i + BATCH] = z[np.arange(len(part)), line[part]]
-                inside = np.flatnonzero(leaf >= 0)
-                logp[i + inside] += nodes.logp(words, leaf[inside], hidden[inside])
+                logp[i : i + BATCH] = net.logp(words, _context(line, at[i : i + BATCH]), leaf[i : i + BATCH])
+            logp -= np.where(leaf == len(words.known), np.log(max(1, words.beyond)), 0)
             total = np.bincount(np.repeat(np.arange(len(ids)), size), weights=logp, minlength=len(ids)).astype(float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(total)], names=["row", "doc_id", "n_tokens", "in_class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(total)], names=["row", "doc_id", "n_tokens", "by_tree"])
 
-    scored = tokens.select("row", "doc_id", "ids", "leaves").mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, in_class double")
+    scored = tokens.select("row", "doc_id", "ids", "leaves").mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, by_tree double")
     # Whole numbers add up alike in any order.
     part = F.round(F.log("n") * 2.0**32).cast("long")
-    shares = tokens.select("row", F.explode("below").alias("word")).join(counts, "word").groupBy("row").agg((F.sum(part) / 2.0**32).alias("shares"))
-    total = F.col("in_class") + F.coalesce("shares", F.lit(0.0))
-    out = scored.join(shares, "row", "left").withColumn("log_prob", total)
+    shares = tokens.select("row", F.explode("beyond").alias("word")).join(counts, "word").groupBy("row").agg((F.sum(part) / 2.0**32).alias("shares"))
+    out = scored.join(shares, "row", "left").withColumn("log_prob", F.col("by_tree") + F.coalesce("shares", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
 
 
-def score_documents(docs: DataFrame, floor: int = FLOOR) -> DataFrame:
+def score_documents(docs: DataFrame, known: int = KNOWN) -> DataFrame:
     """docs: doc_id, text; other columns are ignored. A row a row: doc_id, n_tokens, log_prob, mean_log_prob.
 
-    Vocabulary, frequencies and the network come from all documents, and do not depend on how the table is cut into files
-    or partitions. Null and empty texts have no tokens and log_prob
-    0; whole texts count, however long; repeated rows score alike; an empty table gives no rows."""
+    Counts, vocabulary and the network come from all documents, and do not depend on how the table is cut into files or
+    partitions. Null and empty texts have no words and log_prob 0; whole texts count, however long; repeated rows score
+    alike; words of equal counts are known by their hash; an empty table gives no rows."""
     docs = docs.select("doc_id", "text")
     counts = materialize(word_counts(docs), "lm-words")
-    words = lexicon(counts, vocabulary(docs, counts), floor)
-    tokens = materialize(tokenized_words(docs, words).withColumn("row", F.monotonically_increasing_id()), "lm-tokens")
-    net = train(tokens)
-    return score_words(tokens, counts, net, words, train_nodes(tokens, net, words))
+    words = vocabulary(counts, known)
+    tokens = materialize(tokenized(docs, words).withColumn("row", F.monotonically_increasing_id()), "lm-tokens")
+    with tidy(docs.sparkSession):
+        net = train(tokens, words)
+    return score(tokens, counts, words, net)
 
 
 def op3_score_documents(spark, sf_dir: str) -> DataFrame:

@@ -106,27 +106,51 @@ def test_grammar_reads_the_heaviest_of_all_paths():
         assert [set(m) for m in marks] == marked(symbols)
 
 
-def test_network_gives_probabilities():
-    net = scoring.Network.start(np.ones(scoring.V))
-    _, logp = net.forward(np.array([[0, 1, 2, 3], [scoring.PAD] * 4]))
-    assert np.allclose(np.exp(logp).sum(1), 1, atol=1e-5)
+def test_scoring_odd_documents(docs, none):
+    rows = {r["doc_id"]: r for r in scoring.score_documents(docs).collect()}
+    assert rows[1]["n_tokens"] == rows[2]["n_tokens"] == rows[3]["n_tokens"] == 0 and rows[1]["log_prob"] == 0 and rows[1]["mean_log_prob"] is None
+    assert rows[8]["n_tokens"] == 240_000 and math.isfinite(rows[8]["log_prob"])
+    assert scoring.score_documents(none).count() == 0
+
+
+def learned(spark, docs, known):
+    counts = scoring.word_counts(docs).cache()
+    words = scoring.vocabulary(counts, known)
+    tokens = scoring.materialize(scoring.tokenized(docs, words).withColumn("row", F.monotonically_increasing_id()), "lm")
+    return {r["word"]: r["n"] for r in counts.collect()}, counts, words, tokens, scoring.train(tokens, words)
+
+
+def test_every_word_has_a_probability_of_its_own(spark):
+    """All words' probabilities sum to 1 in any window, and a document's score is the sum over its words."""
+    texts = [" ".join(f"w{(i * i + j) % 230}" for i in range(300)) for j in range(40)] + [" ".join(f"u{j}" for j in range(k)) for k in (50, 120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    n, counts, words, tokens, net = learned(spark, docs, 150)
+    assert len(words.known) == 150 and words.beyond == sum(sorted(n.values())[:-150])
+    hashes = np.array(list(n), dtype=np.int64).view(np.uint64)
+    leaf = words.read(hashes)[1]
+
+    def every(context):
+        logp = net.logp(words, np.tile(np.array([context], np.uint8), (len(leaf), 1)), leaf)
+        return logp + np.where(leaf == 150, np.log(np.array(list(n.values())) / words.beyond), 0)
+
+    for context in ([0, 1, 2, 100], [scoring.PAD] * 4):
+        assert np.exp(every(context)).sum() == pytest.approx(1, abs=1e-4)
+    rows = {r["doc_id"]: r for r in scoring.score(tokens, counts, words, net).collect()}
+    place = {h: i for i, h in enumerate(hashes.tolist())}
+    for doc_id in (0, 40):
+        h = scoring._hashes(texts[doc_id])
+        line = [scoring.PAD] * 2 + words.read(h)[0].tolist() + [scoring.PAD] * 2
+        total = sum(every([line[i], line[i + 1], line[i + 3], line[i + 4]])[place[x]] for i, x in enumerate(h.tolist()))
+        assert rows[doc_id]["log_prob"] == pytest.approx(total, rel=1e-4) and rows[doc_id]["n_tokens"] == len(h)
 
 
-def test_training_helps_and_scores_equal_brute_force(spark):
+def test_training_beats_the_corpus_shares(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
-    tokens = scoring.materialize(scoring.tokenized(docs, scoring.vocabulary(docs)), "lm").cache()
-    net = scoring.train(tokens)
-    rows = {r["doc_id"]: r for r in scoring.score(tokens, net).collect()}
-    ids = {r["doc_id"]: list(r["ids"]) for r in tokens.limit(5).collect()}
-    for doc_id, line in ids.items():
-        pad = [scoring.PAD] * 2 + line + [scoring.PAD] * 2
-        total = sum(net.forward(np.array([[pad[i], pad[i + 1], pad[i + 3], pad[i + 4]]]))[1][0, x] for i, x in enumerate(line))
-        assert rows[doc_id]["log_prob"] == pytest.approx(total, rel=1e-3) and rows[doc_id]["n_tokens"] == len(line)
-    counts = np.zeros(scoring.V)
-    for r in tokens.collect():
-        counts += np.bincount(np.frombuffer(r["ids"], np.uint8), minlength=scoring.V)
-    unigram = float((counts[counts > 0] * np.log(counts[counts > 0] / counts.sum())).sum() / counts.sum())
-    assert sum(r["log_prob"] for r in rows.values()) / counts.sum() > unigram
+    n, counts, words, tokens, net = learned(spark, docs, scoring.KNOWN)
+    total = sum(n.values())
+    unigram = sum(x * math.log(x / total) for x in n.values())
+    scored, blank = (scoring.score(tokens, counts, words, x).agg(F.sum("log_prob"), F.sum("n_tokens")).first() for x in (net, scoring.Network.start(words)))
+    assert scored[1] == total and blank[0] == pytest.approx(unigram, rel=1e-4) and scored[0] / total > unigram / total + 0.02
 
 
 def test_scoring_odd_documents(docs, none):
@@ -136,45 +160,62 @@ def test_scoring_odd_documents(docs, none):
     assert scoring.score_documents(none).count() == 0
 
 
+def learned(spark, docs, known):
+    counts = scoring.word_counts(docs).cache()
+    words = scoring.vocabulary(counts, known)
+    tokens = scoring.materialize(scoring.tokenized(docs, words).withColumn("row", F.monotonically_increasing_id()), "lm")
+    return {r["word"]: r["n"] for r in counts.collect()}, counts, words, tokens, scoring.train(tokens, words)
+
+
 def test_every_word_has_a_probability_of_its_own(spark):
-    """Rare words of one class differ by their counts, and all words' probabilities sum to 1 in any window."""
+    """All words' probabilities sum to 1 in any window, and a document's score is the sum over its words."""
     texts = [" ".join(f"w{(i * i + j) % 230}" for i in range(300)) for j in range(40)] + [" ".join(f"u{j}" for j in range(k)) for k in (50, 120)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
-    counts = scoring.word_counts(docs).cache()
-    n = {r["word"]: r["n"] for r in counts.collect()}
-    words = scoring.lexicon(counts, scoring.vocabulary(docs), floor=20)
-    assert len(words.known) and any(x < 20 for x in n.values())
-    tokens = scoring.materialize(scoring.tokenized_words(docs, words).withColumn("row", F.monotonically_increasing_id()), "lm")
-    net = scoring.train(tokens)
-    nodes = scoring.train_nodes(tokens, net, words)
+    n, counts, words, tokens, net = learned(spark, docs, 150)
+    assert len(words.known) == 150 and words.beyond == sum(sorted(n.values())[:-150])
     hashes = np.array(list(n), dtype=np.int64).view(np.uint64)
-    ids = scoring.token_ids(hashes, words.frequent)
-    leaf = words.leaves(hashes, ids)
+    leaf = words.read(hashes)[1]
 
     def every(context):
-        hidden, z = net.forward(np.array([context]))
-        logp, inside = z[0, ids].astype(float), leaf >= 0
-        logp[inside] += nodes.logp(words, leaf[inside], np.repeat(hidden, inside.sum(), 0))
-        return logp + np.where(leaf >= len(words.known), np.log(list(n.values())), 0)
+        logp = net.logp(words, np.tile(np.array([context], np.uint8), (len(leaf), 1)), leaf)
+        return logp + np.where(leaf == 150, np.log(np.array(list(n.values())) / words.beyond), 0)
 
-    assert np.exp(every([0, 1, 2, 100])).sum() == pytest.approx(1, abs=1e-4)
-    rows = {r["doc_id"]: r for r in scoring.score_words(tokens, counts, net, words, nodes).collect()}
+    for context in ([0, 1, 2, 100], [scoring.PAD] * 4):
+        assert np.exp(every(context)).sum() == pytest.approx(1, abs=1e-4)
+    rows = {r["doc_id"]: r for r in scoring.score(tokens, counts, words, net).collect()}
     place = {h: i for i, h in enumerate(hashes.tolist())}
     for doc_id in (0, 40):
         h = scoring._hashes(texts[doc_id])
-        line = [scoring.PAD] * 2 + scoring.token_ids(h, words.frequent).tolist() + [scoring.PAD] * 2
+        line = [scoring.PAD] * 2 + words.read(h)[0].tolist() + [scoring.PAD] * 2
         total = sum(every([line[i], line[i + 1], line[i + 3], line[i + 4]])[place[x]] for i, x in enumerate(h.tolist()))
-        assert rows[doc_id]["log_prob"] == pytest.approx(total, rel=1e-3) and rows[doc_id]["n_tokens"] == len(h)
-    shares = scoring.Nodes(np.zeros_like(nodes.out), words.bias)
-    plain = scoring.score_words(tokens, counts, net, words, shares)
-    assert sum(r["log_prob"] for r in rows.values()) > plain.agg(F.sum("log_prob")).first()[0]  # the window helps inside classes
+        assert rows[doc_id]["log_prob"] == pytest.approx(total, rel=1e-4) and rows[doc_id]["n_tokens"] == len(h)
+
+
+def test_training_beats_the_corpus_shares(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
+    n, counts, words, tokens, net = learned(spark, docs, scoring.KNOWN)
+    total = sum(n.values())
+    unigram = sum(x * math.log(x / total) for x in n.values())
+    scored, blank = (scoring.score(tokens, counts, words, x).agg(F.sum("log_prob"), F.sum("n_tokens")).first() for x in (net, scoring.Network.start(words)))
+    assert scored[1] == total and blank[0] == pytest.approx(unigram, rel=1e-4) and scored[0] / total > unigram / total + 0.02
+
+
+def test_average_of_equal_networks_is_that_network(spark, monkeypatch):
+    text = " ".join(f"w{i % 50}" for i in range(4000))
+    docs = spark.createDataFrame([(i, text) for i in range(6)], "doc_id LONG, text STRING")
+    whole = learned(spark, docs.limit(1), 30)[-1]
+    monkeypatch.setattr(scoring, "GROUP", 400)  # each document a group of its own, or nearly
+    counts = scoring.word_counts(docs.limit(1)).cache()
+    words = scoring.vocabulary(counts, 30)
+    tokens = scoring.materialize(scoring.tokenized(docs.limit(1), words), "lm")
+    assert np.allclose(scoring.train(tokens, words).out, whole.out, atol=1e-6)
 
 
 def test_words_of_one_class_do_not_score_alike(spark):
     common = [f"c{i}" for i in range(96)] * 30
     a, b = [w for w in (f"x{i}" for i in range(2000)) if int(scoring._hashes(w)[0]) % scoring.RARE == 3][:2]
     docs = spark.createDataFrame([(0, " ".join(common)), (1, " ".join([a] * 9)), (2, a), (3, b)], "doc_id LONG, text STRING")
-    rows = {r["doc_id"]: r["log_prob"] for r in scoring.score_documents(docs).collect()}
+    rows = {r["doc_id"]: r["log_prob"] for r in scoring.score_documents(docs, known=96).collect()}
     assert rows[2] - rows[3] == pytest.approx(math.log(10), abs=1e-5)
 
 
