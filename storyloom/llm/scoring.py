@@ -28,7 +28,7 @@ KNOWN = 8192
 #: Words that one network learns from, about: how many groups there are depends on the corpus alone.
 GROUP = 1 << 20
 OFFSETS = (-2, -1, 1, 2)
-DIM = 16
+DIM = 12
 BATCH = 2048
 
 
@@ -175,15 +175,15 @@ class Network:
         return Network(flat[:a].reshape(len(OFFSETS), V + 1, DIM).copy(), flat[a : a + m * DIM].reshape(m, DIM).copy(), flat[a + m * DIM : a + m * (DIM + 1)].copy(), flat[a + m * (DIM + 1) :].copy())
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        hidden = self.embed[0][context[:, 0]]
+        hidden = self.embed[0].take(context[:, 0], 0)
         for k in range(1, len(OFFSETS)):
-            hidden = hidden + self.embed[k][context[:, k]]
-        return np.tanh(hidden)
+            hidden += self.embed[k].take(context[:, k], 0)
+        return np.tanh(hidden, out=hidden)
 
     def logp(self, words: Vocabulary, context: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Log-probability of each leaf in its window."""
         owner, node, sign, _ = words.paths(leaf)
-        z = (np.einsum("ij,ij->i", self.hidden(context)[owner], self.out[node]) + self.bias[node]) * sign
+        z = (np.einsum("ij,ij->i", self.hidden(context).take(owner, 0), self.out.take(node, 0)) + self.bias[node]) * sign
         return np.bincount(owner, weights=np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z))), minlength=len(leaf))
 
     def learn(self, words: Vocabulary, context: np.ndarray, leaf: np.ndarray, rate: float, node_rate: float) -> None:
@@ -193,15 +193,19 @@ class Network:
         if not len(node):  # one leaf is certain
             return
         hidden = self.hidden(context)
-        near, weight = hidden[owner], self.out[node]
+        near, weight = hidden.take(owner, 0), self.out.take(node, 0)
         grad = sign / (1 + np.exp(np.clip((np.einsum("ij,ij->i", near, weight) + self.bias[node]) * sign, -60, 60)))
-        back = np.add.reduceat(weight * grad[:, None], first, axis=0) * (1 - hidden * hidden) * np.float32(rate / len(leaf))
+        weight *= grad[:, None]
+        back = np.add.reduceat(weight, first, axis=0) * (1 - hidden * hidden) * np.float32(rate / len(leaf))
         order = np.argsort(node, kind="stable")
-        begins = np.flatnonzero(np.diff(node[order], prepend=-1))
-        met, times = node[order][begins], np.diff(begins, append=len(node))
+        node, grad = node[order], grad[order]
+        begins = np.flatnonzero(np.diff(node, prepend=-1))
+        met, times = node[begins], np.diff(begins, append=len(node))
         scale = np.float32(node_rate) / np.maximum(1, times / 32).astype(np.float32)
-        self.out[met] += np.add.reduceat(near[order] * grad[order][:, None], begins, axis=0) * scale[:, None]
-        self.bias[met] += np.add.reduceat(grad[order], begins) * scale
+        near = near.take(order, 0)
+        near *= grad[:, None]
+        self.out[met] += np.add.reduceat(near, begins, axis=0) * scale[:, None]
+        self.bias[met] += np.add.reduceat(grad, begins) * scale
         self.met[met] += times
         for k in range(len(OFFSETS)):
             step = np.stack([np.bincount(context[:, k], weights=back[:, d], minlength=V + 1) for d in range(DIM)], axis=1)
