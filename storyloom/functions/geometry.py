@@ -51,6 +51,29 @@ def clamp(a: Column, width: Column, height: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
 
 
+def union_of(box: str) -> Column:
+    """Aggregate: the least box around a group's boxes."""
+    b = F.col(box)
+    x, y = F.min(b["x"]), F.min(b["y"])
+    return F.struct(x.alias("x"), y.alias("y"), (F.max(b["x"] + b["w"]) - x).alias("w"), (F.max(b["y"] + b["h"]) - y).alias("h"))
+
+
+def scaled(a: Column, by: Column) -> Column:
+    """A box times a scale, rounded half to even."""
+    return F.struct(*(F.bround(a[k] * by).cast("int").alias(k) for k in "xywh"))
+
+
+def resolution(text: Column) -> Column:
+    """"1280x720" as a struct w, h; null where it is none."""
+    part = lambda i: F.nullif(F.regexp_extract(text, r"^\s*(\d+)\s*[xX]\s*(\d+)\s*$", i), F.lit("")).cast("int")
+    return F.when(part(1).isNotNull(), F.struct(part(1).alias("w"), part(2).alias("h")))
+
+
+def clamped_scale(width: Column, height: Column, pixels: int) -> Column:
+    """The scale, at most 1, that brings a page to at most so many pixels."""
+    return F.least(F.lit(1.0), F.sqrt(F.lit(float(pixels)) / (width.cast("double") * height)))
+
+
 def union_box(boxes: Column) -> Column:
     """The least box around an array of boxes; null for an empty array."""
     side = lambda k, s, most: (F.array_max if most else F.array_min)(F.transform(boxes, lambda b: b[k] + b[s] if s else b[k]))

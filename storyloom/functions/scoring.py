@@ -61,17 +61,22 @@ CAMERAS = {
 
 def keyframes(camera: Column, width: Column, height: Column, duration: Column, n: int = 12) -> Column:
     """array<struct<t, x, y, w, h>>: n frames of a camera move (unknown moves stand still), eased, rounded to 6 digits."""
-    move = looked_up(camera, {k: ",".join(map(str, v)) for k, v in CAMERAS.items()}, ",".join(map(str, CAMERAS["static"])))
-    part = lambda i: F.element_at(F.split(move, ","), i + 1).cast("double")
-
-    def frame(i: Column) -> Column:
-        u = i / F.lit(float(max(1, n - 1)))
-        e = smoothstep(u)
-        between = lambda a, b: part(a) + (part(b) - part(a)) * e
-        r = zoom_rect(width, height, between(0, 1), between(2, 4), between(3, 5))
-        return F.struct(F.round(u * duration, 6).alias("t"), *(F.round(r[k], 6).alias(k) for k in "xywh"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), frame)
+    names = ("zoom0", "zoom1", "x0", "y0", "x1", "y1")
+    move = lambda v: F.struct(*(F.lit(float(x)).alias(k) for k, x in zip(names, v)))
+    moves = F.create_map(*(c for k, v in CAMERAS.items() for c in (F.lit(k), move(v))))
+    # Each step binds what the next one uses, so that nothing is worked out twice.
+    own = F.array(F.coalesce(F.try_element_at(moves, camera), move(CAMERAS["static"])))
+    times = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((i / F.lit(float(max(1, n - 1)))).alias("u")))
+    eased = F.transform(times, lambda f: F.struct(f["u"].alias("u"), smoothstep(f["u"]).alias("e")))
+
+    def frames(m: Column) -> Column:
+        between = lambda f, a, b: m[a] + (m[b] - m[a]) * f["e"]
+        seen = F.transform(eased, lambda f: F.struct(f["u"].alias("u"), F.greatest(between(f, "zoom0", "zoom1"), F.lit(1.0)).alias("zoom"), between(f, "x0", "x1").alias("cx"), between(f, "y0", "y1").alias("cy")))
+        sized = F.transform(seen, lambda f: F.struct(f["u"].alias("u"), (width / f["zoom"]).alias("w"), (height / f["zoom"]).alias("h"), f["cx"].alias("cx"), f["cy"].alias("cy")))
+        inside = lambda c, side, of: F.greatest(F.lit(0.0), F.least(c * of - side / 2, of - side))
+        return F.transform(sized, lambda f: F.struct(F.round(f["u"] * duration, 6).alias("t"), F.round(inside(f["cx"], f["w"], width), 6).alias("x"), F.round(inside(f["cy"], f["h"], height), 6).alias("y"), F.round(f["w"], 6).alias("w"), F.round(f["h"], 6).alias("h")))
+
+    return F.element_at(F.transform(own, frames), 1)
 
 
 def sample(frames: Column, t: Column) -> Column:

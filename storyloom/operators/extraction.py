@@ -47,6 +47,25 @@ def merge_marks(marks: DataFrame, total_pages: int, reach: int = 2) -> DataFrame
     return extents(fill_numbers(flat, ["work"], ["start_page"], "number", "chapter"), ["work"], "start_page", F.lit(total_pages), "end_page").drop("number")
 
 
+def even_split(works: DataFrame, work: str, n: str, pages: int) -> DataFrame:
+    """n chapters of each work over equally many pages, bounds rounded half to even; the last ends with the pages."""
+    each = works.select(work, n, F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("i"))
+    bound = lambda i: F.bround(i * (F.lit(float(pages)) / F.col(n))).cast("int")
+    start = bound(F.col("i")) + 1
+    end = F.when(F.col("i") == F.col(n) - 1, pages).otherwise(F.greatest(start, bound(F.col("i") + 1)))
+    return each.where(F.col(n) > 0).select(work, (F.col("i") + 1).alias("chapter"), start.alias("start_page"), end.alias("end_page"))
+
+
+def clean_heading(line: Column) -> Column:
+    """A heading without tags, its blanks collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(line, "<[^>]*>", " "), r"[ \t\r]+", " "))
+
+
+def first_link(links: Column, deny: tuple[str, ...]) -> Column:
+    """The first of an array of links that holds none of the denied words."""
+    return F.get(F.filter(links, lambda v: ~F.lower(v).rlike("|".join(deny))), 0)
+
+
 def importance(text: Column) -> Column:
     """0.8, 0.3 or 0.5 by weighty and slight words."""
     low = F.lower(text)

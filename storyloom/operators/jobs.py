@@ -18,6 +18,24 @@ def fingerprint(inputs: DataFrame) -> str:
     return f"{row['n']}-{row['x']}-{row['s']}"
 
 
+def mark_of(*columns: str):
+    """Aggregate: a mark of a group's rows that no order of them changes."""
+    each = F.xxhash64(*columns)
+    return F.struct(F.count("*"), F.bit_xor(each), F.sum(each.cast("decimal(38,0)")))
+
+
+def recovered(stages: DataFrame) -> DataFrame:
+    """Stages of a control table after a restart: what was running is pending again."""
+    return stages.withColumn("status", F.when(F.col("status") == "running", "pending").otherwise(F.col("status")))
+
+
+def progress(stages: DataFrame, keys: list[str]) -> DataFrame:
+    """stages (keys, position, status): how many are completed and of how many, whether all are, the first that is not,
+    and the percentage."""
+    done = F.col("status") == "completed"
+    return stages.groupBy(*keys).agg(F.count_if(done).alias("n_completed"), F.count("*").alias("n_stages"), F.bool_and(done).alias("complete"), F.min(F.when(~done, F.col("position"))).alias("next_pending"), F.round(100.0 * F.count_if(done) / F.count("*"), 2).alias("percent"))
+
+
 def pending(keys: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
     """Keys that are not done yet."""
     return keys.join(done.select(*on).distinct(), on, "left_anti")

@@ -16,6 +16,7 @@ from .shots import score_parts
 INTENTS = ("full_panel", "multi_panel", "smart_crop", "face_closeup", "character_closeup", "object_closeup", "action_crop")
 CAMERAS = ("static", "slow_zoom_in", "slow_zoom_out", "pan_left", "pan_right", "pan_up", "pan_down")
 KINDS = ("narration", "dialogue")
+# The form of a panel's id, and the weights of the signals that plan a shot.
 PANEL_ID = r"^p\d{3}_\d{3}$"
 PLAN_WEIGHTS = {"character": 0.25, "action": 0.15, "event": 0.20, "object": 0.10, "ocr": 0.15, "story": 0.15}
 
@@ -159,6 +160,16 @@ def plan_shots(segs: DataFrame, panels: DataFrame, review: float = 0.55, tie: fl
     return best.select("page", "scene_id", "segment_id", F.col("panel_id").alias("primary_panel"), "estimated_seconds", F.round("score", 4).alias("match_score"), F.when(close & ~F.col("explicit"), F.col("next_panel")).alias("secondary_panel"), flag.alias("needs_review"))
 
 
+def valid_intent(raw: Column, default: str = "smart_crop") -> Column:
+    return F.when(raw.isin(*INTENTS), raw).otherwise(F.lit(default))
+
+
+def unit_or(value: Column, default: float) -> Column:
+    """A number in 0 to 1, else the default."""
+    number = value.try_cast("double")
+    return F.when(number.between(0, 1), number).otherwise(F.lit(default))
+
+
 def camera_zoom(camera: Column) -> Column:
     """Start and end zoom of a camera move; unknown moves stand still."""
     moves = {"slow_zoom_in": "1.0,1.25", "slow_zoom_out": "1.25,1.0"}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from ..functions import scoring as s
 from ..functions.text import tokens
 from .matching import top_k
 
-#: Words that each task looks for.
+# Words that each task looks for.
 TASKS = {
     "narration": ("character", "place", "object", "event", "name", "location"),
     "understanding": ("character", "description", "role", "object", "place"),
@@ -47,10 +50,34 @@ def keyword_hits(records: DataFrame, queries: DataFrame, record: str, query: str
 def render(kind: Column, page: Column, key: Column, value: Column, confidence: Column) -> Column:
     """One line for a prompt: [KIND p7] key: value cf:0.85."""
     place = F.when(page.isNull(), F.lit("")).otherwise(F.concat(F.lit(" p"), page.cast("string")))
-    return F.concat(F.lit("["), F.upper(kind), place, F.lit("] "), key, F.lit(": "), value, F.lit(" cf:"), F.format_number(confidence, "0.00"))
+    return F.concat(F.lit("["), F.upper(kind), place, F.lit("] "), key, F.lit(": "), value, F.lit(" cf:"), F.format_string("%.2f", confidence))
 
 
 def prompt_block(rows: DataFrame, keys: list[str], order: list[str], line: str, heading: str) -> DataFrame:
     """A heading and the lines of each key in order, as one text: the rows are a bounded top-k."""
     ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("__line"))))
     return rows.groupBy(*keys).agg(F.concat_ws("\n", F.lit(heading), F.transform(ordered, lambda r: r["__line"])).alias("block"))
+
+
+def prompt(task: str, parts: dict[str, Column]) -> Column:
+    """A task and what is known, one part a line; parts that are null are left out."""
+    return F.concat_ws("\n", F.lit(task), *(F.concat(F.lit(f"{name}: "), c) for name, c in parts.items()))
+
+
+@dataclass(frozen=True)
+class Layer:
+    """One layer of a context: which rows, in which order, how many of them, and how much of each text."""
+
+    where: Column
+    order: list[Column]
+    k: int
+    length: int
+
+
+def layered(rows: DataFrame, keys: list[str], text: str, layers: list[Layer], length: int) -> DataFrame:
+    """The bounded context of each key: the layers' best rows, cut to their lengths, one a line and in the order of the
+    layers, in all at most length characters; and n_lines. A key gathers at most the sum of k rows."""
+    picked = [top_k(rows.where(x.where), keys, x.order, x.k).select(*keys, F.lit(i).alias("__layer"), F.col("rank").alias("__rank"), F.substring(text, 1, x.length).alias("__line")) for i, x in enumerate(layers)]
+    ordered = F.array_sort(F.collect_list(F.struct("__layer", "__rank", "__line")))
+    lines = reduce(DataFrame.unionByName, picked).groupBy(*keys).agg(F.transform(ordered, lambda x: x["__line"]).alias("lines"))
+    return lines.select(*keys, F.substring(F.array_join("lines", "\n"), 1, length).alias("context"), F.size("lines").cast("long").alias("n_lines"))

@@ -23,6 +23,11 @@ def reuse(rows: DataFrame, primary: str, order: list[str]) -> DataFrame:
     return rows.withColumn("reuse_count", F.row_number().over(Window.partitionBy(primary).orderBy(*order)))
 
 
+def peak(value: Column, default: float = 0.9) -> Column:
+    """Aggregate: the greatest magnitude of a group, or a default where there is none."""
+    return F.coalesce(F.max(F.abs(value)), F.lit(default))
+
+
 def level(rows: DataFrame, value: str, target: float = 0.9, most: float = 1.009) -> DataFrame:
     """Two passes: the greatest magnitude of all rows sets one gain, at most `most`, applied to each. The maximum is one
     row, joined as such."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schema
 from ..functions.text import elide, entity_id
@@ -102,6 +104,51 @@ def correct(records: DataFrame, corrections: DataFrame) -> DataFrame:
     return out.select("key", F.coalesce("given", "value").alias("value"), F.when(F.col("given").isNotNull(), "user_corrected").otherwise(F.col("state")).alias("state"), F.when(F.col("given").isNotNull(), 1.0).otherwise(F.col("confidence")).alias("confidence"))
 
 
+def listed(rows: DataFrame, keys: list[str], order: list, where: Column | None = None, name: str = "position") -> DataFrame:
+    """Rows for which where holds, with their place (from 1) in the order of their key: a listing of every work at once."""
+    kept = rows if where is None else rows.where(where)
+    return kept.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def both_sides(relationships: DataFrame) -> DataFrame:
+    """relationships (character_a, character_b, ...) seen from either side: character_id, other and the rest."""
+    rest = [c for c in relationships.columns if c not in ("character_a", "character_b")]
+    side = lambda a, b: F.struct(F.col(a).alias("character_id"), F.col(b).alias("other"))
+    return relationships.select(F.inline(F.array(side("character_a", "character_b"), side("character_b", "character_a"))), *rest)
+
+
+def looked_up_rows(asked: DataFrame, known: DataFrame, keys: list[str], defaults: dict[str, str]) -> DataFrame:
+    """asked keys with what is known of them; columns named in defaults are filled where nothing is."""
+    return asked.join(known, keys, "left").fillna(defaults)
+
+
+def checkpoints(log: DataFrame, keys: list[str], seq: str, at: str) -> DataFrame:
+    """A log of statuses as one row a key: the last status, when it last began to run, when it last ended, and how many
+    entries there are."""
+    ended = F.col("status").isin("completed", "failed")
+    return log.groupBy(*keys).agg(F.max_by("status", seq).alias("status"), F.max(F.when(F.col("status") == "running", F.col(at))).alias("started_at"), F.max(F.when(ended, F.col(at))).alias("completed_at"), F.count("*").alias("n"))
+
+
+def appended(logs: list[DataFrame]) -> DataFrame:
+    """Logs one behind the other; entries that were logged twice stay twice."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs)
+
+
+def without(rows: DataFrame, wiped: Column, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """rows without those of wiped works and those whose key is among the tombstones."""
+    return rows.where(~F.coalesce(wiped, F.lit(False))).join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def evidence_rows(pages: DataFrame, page: str, blocks: str) -> DataFrame:
+    """A row for each block of a page's text that is not blank: its place and value."""
+    return pages.select(page, F.posexplode(blocks).alias("block", "value")).where(F.trim(F.col("value"), F.lit(" \t\r")) != "")
+
+
+def scope_by(cast: DataFrame, volume: Column, first: int = 9, each: int = 4) -> DataFrame:
+    """As scope_cast, for a volume a row."""
+    return cast.where((volume < 1) | (F.col("position") <= first + each * (volume - 1)))
+
+
 def scope_cast(cast: DataFrame, volume: int, first: int = 9, each: int = 4) -> DataFrame:
     """The cast (position from 1) known by a volume: nine at first, four more each; all for no volume."""
-    return cast.where(F.col("position") <= first + each * (volume - 1)) if volume >= 1 else cast
+    return scope_by(cast, F.lit(volume), first, each)
