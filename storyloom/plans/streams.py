@@ -15,9 +15,15 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 
 
 def _finished(stream: DataFrame, name: str) -> DataFrame:
-    """The complete result of a stream once all there is has been taken in, as a table in the shared folder."""
+    """The complete result of a stream once all there is has been taken in, as a table in the shared folder. These
+    queries stand for a whole table, so no row may be late: the mode is complete, and the state is the result. A stream
+    without end writes in append mode (streaming/events.run_available), where the watermark frees the state."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="storyloom-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="storyloom-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")
     stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
