@@ -14,13 +14,13 @@ from ..operators import retrieval as r
 from ..operators import store
 from .registry import query, table
 
-_EVENTS_SQL = "SELECT user_id % 20 AS work_id, event_id, CAST(event_id % 400 AS INTEGER) AS page_number, CAST(event_id % 400 // 20 AS INTEGER) AS chapter_id, event_type, round(value / 100.0, 2) AS importance FROM events"
+_EVENTS_SQL = "SELECT user_id % 20 AS work_id, event_id, CAST(event_id % 400 AS INTEGER) AS page_number, CAST(event_id % 400 // 20 AS INTEGER) AS chapter_id, event_type, floor(value) / 100.0 AS importance FROM events"
 
 
 def _events(spark, sf_dir):
     """The events table as the store's events: a work is a twentieth of the users."""
     page = (F.col("event_id") % 400).cast("int")
-    return table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("work_id"), "event_id", page.alias("page_number"), F.floor(page / 20).cast("int").alias("chapter_id"), "event_type", F.round(F.col("value") / 100.0, 2).alias("importance"))
+    return table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("work_id"), "event_id", page.alias("page_number"), F.floor(page / 20).cast("int").alias("chapter_id"), "event_type", (F.floor("value") / 100.0).alias("importance"))
 
 
 @query(f"""WITH e AS ({_EVENTS_SQL}) SELECT work_id, event_id, page_number, importance, CAST(row_number() OVER (PARTITION BY work_id ORDER BY page_number, event_id) AS INTEGER) AS position FROM e WHERE chapter_id BETWEEN 2 AND 9 AND event_type <> 'view' AND importance >= 0.3""")

@@ -178,12 +178,12 @@ def text_block_classes(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", t.block_class(shown).alias("kind"))
 
 
-@query("""WITH r AS (SELECT user_id, event_id, event_type, CASE WHEN event_id % 5 > 0 THEN event_id % 400 END AS page, round(value / 100, 2) AS cf, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 2) DESC, event_id) AS rank FROM events)
+@query("""WITH r AS (SELECT user_id, event_id, event_type, CASE WHEN event_id % 5 > 0 THEN event_id % 400 END AS page, floor(value) / 100.0 AS cf, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 2) DESC, event_id) AS rank FROM events)
 SELECT user_id, 'Known so far:' || chr(10) || string_agg('[' || upper(event_type) || CASE WHEN page IS NULL THEN '' ELSE ' p' || page END || '] e' || event_id || ': seen cf:' || printf('%.2f', cf), chr(10) ORDER BY rank) AS block FROM r WHERE rank <= 8 GROUP BY 1""")
 def memory_blocks(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     best = r.top_k(e.withColumn("v", F.round("value", 2)), ["user_id"], [F.desc("v"), F.asc("event_id")], 8)
-    line = r.render(F.col("event_type"), F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 400), F.concat(F.lit("e"), F.col("event_id").cast("string")), F.lit("seen"), F.round(F.col("value") / 100, 2))
+    line = r.render(F.col("event_type"), F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 400), F.concat(F.lit("e"), F.col("event_id").cast("string")), F.lit("seen"), F.floor("value") / 100.0)
     return r.prompt_block(best.withColumn("line", line), ["user_id"], ["rank"], "line", "Known so far:")
 
 
