@@ -129,7 +129,21 @@ def nms(spark, sf_dir):
     return pages.select("page", F.explode(F.transform(b.suppress(F.col("boxes")), lambda k: k["id"])).alias("id"))
 
 
-@query()
+#: A page's boxes as a list; each step takes the best of those ahead in the row of the last one, else the topmost of all.
+_READING_SQL = f"""WITH RECURSIVE o AS ({_BOX_SQL}),
+d AS (SELECT page, id, CAST(x AS DOUBLE) AS l, CAST(y AS DOUBLE) AS t, CAST(x + w AS DOUBLE) AS r, CAST(y + h AS DOUBLE) AS b, CAST(h AS DOUBLE) AS h, (x + (x + w)) / 2.0::DOUBLE AS cx, (y + (y + h)) / 2.0::DOUBLE AS cy FROM o),
+p AS (SELECT page, greatest(1.0::DOUBLE, max(r)) AS span, greatest(1.0::DOUBLE, max(b)) AS depth, list({{'id': id, 'l': l, 't': t, 'r': r, 'b': b, 'h': h, 'cx': cx, 'cy': cy}} ORDER BY id) AS unread FROM d GROUP BY page),
+s AS (SELECT page, span, depth, pow(pow(span, 2) + pow(depth, 2), 0.5::DOUBLE) AS reach, unread, CAST(NULL AS STRUCT(id BIGINT, l DOUBLE, t DOUBLE, r DOUBLE, b DOUBLE, h DOUBLE, cx DOUBLE, cy DOUBLE)) AS box, 0 AS rank FROM p
+UNION ALL SELECT page, span, depth, reach, list_filter(unread, lambda u: u.id <> pick.id), pick, rank + 1 FROM (
+ SELECT *, CASE WHEN len(ahead) > 0 THEN list_sort(list_transform(ahead, lambda u: {{
+  'm': 2.0::DOUBLE * greatest(0.0::DOUBLE, (least(box.b, u.b) - greatest(box.t, u.t)) / least(box.h, u.h)) + 1.5::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (-(u.cx - box.cx) / span + 1) / 2))
+   + 0.3::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (u.cy - box.cy) / depth)) + 0.5::DOUBLE * greatest(0.0::DOUBLE, 1 - pow(pow(u.cx - box.cx, 2) + pow(u.cy - box.cy, 2), 0.5::DOUBLE) / reach), 'r': u.r, 'i': -u.id, 'u': u}}), 'DESC')[1].u
+  ELSE list_sort(list_transform(unread, lambda u: {{'t': -u.t, 'r': u.r, 'l': u.l, 'i': -u.id, 'u': u}}), 'DESC')[1].u END AS pick FROM (
+  SELECT *, list_filter(unread, lambda u: coalesce((least(box.b, u.b) - greatest(box.t, u.t)) / least(box.h, u.h) >= 0.5 AND u.cx < box.cx, false)) AS ahead FROM s WHERE len(unread) > 0)))
+SELECT page, box.id AS id, rank FROM s WHERE rank > 0"""
+
+
+@query(_READING_SQL)
 def reading_order(spark, sf_dir):
     return b.reading_order(_boxes(spark, sf_dir), ["page"])
 

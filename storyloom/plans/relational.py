@@ -227,9 +227,8 @@ _STEP_SQL = """list_reduce(list_transform(seen, lambda s: {'value': s.value, 'st
 @query(f"""WITH l AS (SELECT user_id AS key, list({{'value': event_type, 'page': event_id}} ORDER BY event_id) AS seen FROM events GROUP BY 1), f AS (SELECT key, {_STEP_SQL} AS m FROM l)
 SELECT key, m.value AS value, m.state AS state, CAST(m.n AS INTEGER) AS seen_count, CAST(m.page AS INTEGER) AS page FROM f""")
 def memory_state_fold(spark, sf_dir):
-    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.struct(F.col("event_id").alias("seq"), F.col("event_type").alias("value"), F.lit("auto").alias("state"), F.lit(0.5).alias("confidence"), F.col("event_id").cast("int").alias("page")).alias("s"))
-    folded = log.groupBy("key").agg(e.merge_states(F.sort_array(F.collect_list("s"))).alias("m"))
-    return folded.select("key", "m.value", "m.state", "m.seen_count", "m.page")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"), F.lit("auto").alias("state"), F.lit(0.5).alias("confidence"), F.col("event_id").cast("int").alias("page"))
+    return e.fold_states(log, "key", "seq").select("key", "value", "state", "seen_count", "page")
 
 
 @query(f"""WITH q AS (SELECT item_id, {_TOKENS_SQL} AS qt FROM benchmark), d AS (SELECT doc_id, {_TOKENS_SQL} AS toks, text FROM documents WHERE text IS NOT NULL),
