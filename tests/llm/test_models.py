@@ -153,53 +153,6 @@ def test_training_beats_the_corpus_shares(spark):
     assert scored[1] == total and blank[0] == pytest.approx(unigram, rel=1e-4) and scored[0] / total > unigram / total + 0.02
 
 
-def test_scoring_odd_documents(docs, none):
-    rows = {r["doc_id"]: r for r in scoring.score_documents(docs).collect()}
-    assert rows[1]["n_tokens"] == rows[2]["n_tokens"] == rows[3]["n_tokens"] == 0 and rows[1]["log_prob"] == 0 and rows[1]["mean_log_prob"] is None
-    assert rows[8]["n_tokens"] == 240_000 and math.isfinite(rows[8]["log_prob"])
-    assert scoring.score_documents(none).count() == 0
-
-
-def learned(spark, docs, known):
-    counts = scoring.word_counts(docs).cache()
-    words = scoring.vocabulary(counts, known)
-    tokens = scoring.materialize(scoring.tokenized(docs, words).withColumn("row", F.monotonically_increasing_id()), "lm")
-    return {r["word"]: r["n"] for r in counts.collect()}, counts, words, tokens, scoring.train(tokens, words)
-
-
-def test_every_word_has_a_probability_of_its_own(spark):
-    """All words' probabilities sum to 1 in any window, and a document's score is the sum over its words."""
-    texts = [" ".join(f"w{(i * i + j) % 230}" for i in range(300)) for j in range(40)] + [" ".join(f"u{j}" for j in range(k)) for k in (50, 120)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
-    n, counts, words, tokens, net = learned(spark, docs, 150)
-    assert len(words.known) == 150 and words.beyond == sum(sorted(n.values())[:-150])
-    hashes = np.array(list(n), dtype=np.int64).view(np.uint64)
-    leaf = words.read(hashes)[1]
-
-    def every(context):
-        logp = net.logp(words, np.tile(np.array([context], np.uint8), (len(leaf), 1)), leaf)
-        return logp + np.where(leaf == 150, np.log(np.array(list(n.values())) / words.beyond), 0)
-
-    for context in ([0, 1, 2, 100], [scoring.PAD] * 4):
-        assert np.exp(every(context)).sum() == pytest.approx(1, abs=1e-4)
-    rows = {r["doc_id"]: r for r in scoring.score(tokens, counts, words, net).collect()}
-    place = {h: i for i, h in enumerate(hashes.tolist())}
-    for doc_id in (0, 40):
-        h = scoring._hashes(texts[doc_id])
-        line = [scoring.PAD] * 2 + words.read(h)[0].tolist() + [scoring.PAD] * 2
-        total = sum(every([line[i], line[i + 1], line[i + 3], line[i + 4]])[place[x]] for i, x in enumerate(h.tolist()))
-        assert rows[doc_id]["log_prob"] == pytest.approx(total, rel=1e-4) and rows[doc_id]["n_tokens"] == len(h)
-
-
-def test_training_beats_the_corpus_shares(spark):
-    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
-    n, counts, words, tokens, net = learned(spark, docs, scoring.KNOWN)
-    total = sum(n.values())
-    unigram = sum(x * math.log(x / total) for x in n.values())
-    scored, blank = (scoring.score(tokens, counts, words, x).agg(F.sum("log_prob"), F.sum("n_tokens")).first() for x in (net, scoring.Network.start(words)))
-    assert scored[1] == total and blank[0] == pytest.approx(unigram, rel=1e-4) and scored[0] / total > unigram / total + 0.02
-
-
 def test_average_of_equal_networks_is_that_network(spark, monkeypatch):
     text = " ".join(f"w{i % 50}" for i in range(4000))
     docs = spark.createDataFrame([(i, text) for i in range(6)], "doc_id LONG, text STRING")
