@@ -12,12 +12,13 @@ from .quality import op6_quality_rules
 from .scoring import op3_score_documents
 from .sharding import op9_shard_documents
 from .toxicity import op8_score_toxicity
+from .treaps import OP11_SQL, op11_ranked_search
 
 
 def queries() -> dict:
-    found = (op1_format_chat, op2_pack_documents, op3_score_documents, op4_near_duplicates, op5_mix_sources, op6_quality_rules, op7_nearest_vectors, op8_score_toxicity, op9_shard_documents, op10_identify_language)
+    found = (op1_format_chat, op2_pack_documents, op3_score_documents, op4_near_duplicates, op5_mix_sources, op6_quality_rules, op7_nearest_vectors, op8_score_toxicity, op9_shard_documents, op10_identify_language, op11_ranked_search)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_format_chat": OP1_SQL}
+    return {"op1_format_chat": OP1_SQL, "op11_ranked_search": OP11_SQL}
