@@ -1,65 +1,16 @@
-"""What the training-data operators share: words, shared-folder tables and two-level prefix sums."""
+"""What the training-data operators share: words and two-level prefix sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from storyloom.tables import drop, materialize, shared_dir, tidy  # noqa: F401
+
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where Spark runs in this one process (a
-    local master, as in tests) and the setting is unset, a folder of our own takes its place."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "dir" not in _own_dir:
-        _own_dir["dir"] = tempfile.mkdtemp(prefix="storyloom-")
-    return _own_dir["dir"]
-
-
-@contextmanager
-def tidy(spark: SparkSession):
-    """Actions inside leave no shuffle files behind: they are deleted as soon as each one has ended."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: the lineage ends there, and a lost
-    executor costs a re-read only. The tables go with the shared folder, which the cluster empties after a job."""
-    path = f"{shared_dir(df.sparkSession)}/storyloom/{name}-{uuid.uuid4().hex}"
-    with tidy(df.sparkSession):
-        df.write.parquet(path)
-    table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table._written_to = path
-    return table
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables that materialize has written and that nothing still to be run reads."""
-    for table in tables:
-        if path := getattr(table, "_written_to", None):
-            spark = table.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
 
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Those names, each with underscores put before it until df has no column of that name."""
