@@ -38,6 +38,17 @@ def distinct_first(values: Column, n: int) -> Column:
     return F.slice(F.array_distinct(F.transform(F.sort_array(values), lambda s: s["v"])), 1, n)
 
 
+def one_row(rows: DataFrame, keys: list[str], seq: list[str] = ()) -> DataFrame:
+    """Rows that repeat a key as one: of each column, the last value by seq that is not null. Rows alike in seq, or all
+    where there is none, count in the order of their JSON texts."""
+    if not seq:
+        rows, seq = rows.withColumn("__text", F.to_json(F.struct("*"))), ["__text"]
+    rest = [c for c in rows.columns if c not in keys and c != "__text"]
+    ties = [*seq] if "__text" in seq else [*seq, "__text"]
+    rows = rows if "__text" in rows.columns else rows.withColumn("__text", F.to_json(F.struct("*")))
+    return rows.groupBy(*keys).agg(*(last_known(c, ties).alias(c) for c in rest))
+
+
 def merge_snapshot(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """table with the rows of new put in by key: given values overwrite, nulls leave what is there, missing keys are
     inserted. Columns that new lacks stay."""
@@ -47,6 +58,18 @@ def merge_snapshot(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return a.join(b, on, "full").select(*(value(c).alias(c) for c in table.columns))
 
 
+def merge_maps(table: DataFrame, log: DataFrame, key: str, into: str, name: str, value: str, seq: str) -> DataFrame:
+    """table (key, into: a map) with the entries of log (key, name, value, seq) put in by name, the last by seq first
+    of all, then what the map held. Keys that only log has are inserted, keys that only table has stay away: the result
+    holds the touched keys. Entries are folded by key and name before a map is made, so a map has its distinct names only;
+    null names are no entries."""
+    kind = dict(table.dtypes)[into]
+    last = last_write(log.where(F.col(name).isNotNull()).select(key, name, value, seq), [key, name], [seq])
+    new = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(name, value))).cast(kind).alias("__new"))
+    empty = F.create_map().cast(kind)
+    return new.join(table.select(key, into), key, "left").select(key, F.map_concat(F.map_filter(F.coalesce(into, empty), lambda k, _: ~F.map_contains_key("__new", k)), "__new").alias(into))
+
+
 def insert_missing(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """table and those rows of new whose key it does not have."""
     return table.unionByName(new.join(table.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)

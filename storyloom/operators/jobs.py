@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import read_snapshot, write_snapshot
+
 FIELDS = "stage STRING, position INT, status STRING, attempts INT, fingerprint STRING, updated_at TIMESTAMP"
 
 
@@ -53,12 +55,7 @@ class Pipeline:
 
     def load(self) -> dict[str, dict]:
         names = [n for n, _ in self.stages]
-        try:
-            rows = {r["stage"]: r.asDict() for r in self.spark.read.schema(FIELDS).json(self.path).collect()}
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = {}
+        rows = {r["stage"]: r.asDict() for r in read_snapshot(self.spark, self.path, FIELDS).collect()}
         blank = lambda i, n: {"stage": n, "position": i, "status": "pending", "attempts": 0, "fingerprint": None, "updated_at": None}
         self.state = {n: rows.get(n) or blank(i, n) for i, n in enumerate(names)}
         for s in self.state.values():
@@ -68,7 +65,7 @@ class Pipeline:
 
     def save(self) -> None:
         rows = [tuple(s[k] for k in ("stage", "position", "status", "attempts", "fingerprint", "updated_at")) for s in self.state.values()]
-        self.spark.createDataFrame(rows, FIELDS).coalesce(1).write.mode("overwrite").json(self.path)
+        write_snapshot(self.spark.createDataFrame(rows, FIELDS).coalesce(1), self.path)
 
     def mark(self, name: str, status: str) -> None:
         s = self.state[name]

@@ -160,6 +160,14 @@ def plan_shots(segs: DataFrame, panels: DataFrame, review: float = 0.55, tie: fl
     return best.select("page", "scene_id", "segment_id", F.col("panel_id").alias("primary_panel"), "estimated_seconds", F.round("score", 4).alias("match_score"), F.when(close & ~F.col("explicit"), F.col("next_panel")).alias("secondary_panel"), flag.alias("needs_review"))
 
 
+def scene_linked(records: DataFrame, keys: list[str], place: str, starts: Column) -> DataFrame:
+    """Adds previous_panel, next_panel (the neighbours' places) and scene_id, s and the number of starts so far, to the
+    records of a page."""
+    w = Window.partitionBy(*keys).orderBy(place)
+    number = F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return records.select("*", F.lag(place).over(w).alias("previous_panel"), F.lead(place).over(w).alias("next_panel"), F.concat(F.lit("s"), number.cast("string")).alias("scene_id"))
+
+
 def valid_intent(raw: Column, default: str = "smart_crop") -> Column:
     return F.when(raw.isin(*INTENTS), raw).otherwise(F.lit(default))
 

@@ -1,4 +1,4 @@
-"""The entity store: tables as snapshots in a folder, read with filters and written by upserts."""
+"""The entity store: versioned tables in a folder, read with filters and written by upserts and deletes."""
 
 from __future__ import annotations
 
@@ -11,29 +11,25 @@ from pyspark.sql.window import Window
 
 from .. import schema
 from ..functions.text import elide, entity_id
-from ..sources.sinks import append, write_snapshot
+from ..sources.versions import Versions
 from . import entities as e
 
 
 @dataclass(frozen=True)
 class Store:
-    """The tables of schema.STORE under a folder, partitioned by work. Logs are appended to; the others are snapshots
-    of which an upsert rewrites the touched works only."""
+    """The tables of schema.STORE under a folder. Every write is a new version of its table (sources/versions): readers
+    see the table before or after it. Logs are added to; of the other tables, a write replaces the works that it touches."""
 
     spark: SparkSession
     path: str
 
-    def table(self, name: str) -> DataFrame:
-        """A table; empty before its first write."""
+    def versions(self, name: str) -> Versions:
         ddl, _ = schema.STORE[name]
-        at = f"{self.path}/{name}"
-        try:
-            # work_id is a folder name: Spark adds it from the path, and filters on it prune folders.
-            return self.spark.read.schema(ddl).parquet(at)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return self.spark.createDataFrame([], ddl)
+        return Versions(self.spark, f"{self.path}/{name}", ddl, ("work_id",))
+
+    def table(self, name: str) -> DataFrame:
+        """A table as of now; empty before its first write."""
+        return self.versions(name).read()
 
     def rows(self, name: str, work: str, where: Column | None = None, order: list[Column] = ()) -> DataFrame:
         """Rows of a work, filtered and sorted."""
@@ -42,24 +38,30 @@ class Store:
         return out.orderBy(*order) if order else out
 
     def log(self, name: str, rows: DataFrame) -> None:
-        append(rows, f"{self.path}/{name}", ["work_id"])
-
-    def upsert(self, name: str, rows: DataFrame) -> None:
-        """Rows put in by key, given values over known ones. Only the works among the rows are rewritten, from a
-        checkpoint, as a table cannot be read and replaced at once."""
-        _, keys = schema.STORE[name]
-        full = self.table(name)
-        works = rows.select("work_id").distinct()
-        old = full.join(works, "work_id", "left_semi")
-        new = e.merge_snapshot(old, rows, list(keys)).checkpoint() if self.spark.sparkContext.getCheckpointDir() or self.spark.conf.get("spark.checkpoint.dir", None) else e.merge_snapshot(old, rows, list(keys)).persist()
-        new.count()
-        write_snapshot(new, f"{self.path}/{name}", ["work_id"])
-
-    def delete(self, name: str, work: str, gone: Column) -> None:
-        """Removes the rows of a work for which gone holds."""
-        kept = self.rows(name, work, ~F.coalesce(gone, F.lit(False))).persist()
-        kept.count()
-        write_snapshot(kept, f"{self.path}/{name}", ["work_id"])
+        self.versions(name).add(rows)
+
+    def upsert(self, name: str, rows: DataFrame, seq: list[str] = ()) -> None:
+        """Rows put in by key, given values over known ones; rows that repeat a key become one first (e.one_row). Only
+        the works among the rows are rewritten, from the version before, which stays until vacuum."""
+        ddl, keys = schema.STORE[name]
+        at = self.versions(name)
+        new = e.one_row(rows, list(keys), list(seq))
+        works = new.select("work_id").distinct()
+        old = at.read().alias("o").join(works.alias("w"), F.col("o.work_id").eqNullSafe(F.col("w.work_id")), "left_semi")
+        at.replace(e.merge_snapshot(old, new, list(keys)))
+
+    def delete(self, name: str, works: str | DataFrame, gone: Column) -> None:
+        """Removes the rows of a work, or of works (work_id), for which gone holds; where it holds for all of them, the
+        work is left without rows."""
+        if isinstance(works, str):
+            works = self.spark.range(1).select(F.lit(works).alias("work_id"))
+        at, works = self.versions(name), works.select("work_id").distinct()
+        mine = at.read().alias("o").join(works.alias("w"), F.col("o.work_id").eqNullSafe(F.col("w.work_id")), "left_semi")
+        at.replace(mine.where(~F.coalesce(gone, F.lit(False))), touched=works)
+
+    def vacuum(self) -> int:
+        """Deletes old versions of all tables."""
+        return sum(self.versions(name).vacuum() for name in schema.STORE)
 
     def stats(self) -> DataFrame:
         return e.counts({name: self.table(name) for name in schema.STORE})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, memory, pages, relational, story, streams  # noqa: F401
+from . import media, memory, pages, relational, stored, story, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -46,7 +46,7 @@ def test_snapshots(spark, tmp_path):
     sinks.write_snapshot(spark.createDataFrame([(1, "a"), (2, "a")], "page INT, v STRING"), path, ["page"])
     sinks.write_snapshot(spark.createDataFrame([(2, "b")], "page INT, v STRING"), path, ["page"])
     sinks.append(spark.createDataFrame([(3, "c")], "page INT, v STRING"), path, ["page"])
-    assert {r["page"]: r["v"] for r in spark.read.parquet(path).collect()} == {1: "a", 2: "b", 3: "c"}
+    assert {r["page"]: r["v"] for r in sinks.read_snapshot(spark, path, "page INT, v STRING", ["page"]).collect()} == {1: "a", 2: "b", 3: "c"}
 
 
 def test_narration_text(spark):
