@@ -80,7 +80,7 @@ def project_toggles(spark, sf_dir):
     return at.read().select("project", F.explode("toggles").alias("name", "is_on"))
 
 
-@query("""SELECT l_orderkey, string_agg('#' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || ' ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || 's ' || l_returnflag || l_linestatus || ' panel ' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey) AS report, count(*) AS n_shots, CAST(sum(l_quantity) AS DOUBLE) AS seconds FROM lineitem GROUP BY l_orderkey""")
+@query("""WITH s AS (SELECT *, '#' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || ' ' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || 's ' || l_returnflag || l_linestatus || ' panel ' || l_partkey AS x FROM lineitem) SELECT l_orderkey, string_agg(x, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, x) AS report, count(*) AS n_shots, CAST(sum(l_quantity) AS DOUBLE) AS seconds FROM s GROUP BY l_orderkey""")
 def shot_reports(spark, sf_dir):
     """A review text a scene, its shots in order, saved and read back."""
     lines = table(spark, sf_dir, "lineitem")
