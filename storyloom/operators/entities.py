@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,75 +106,6 @@ def resolve_conflicts(conflicts: DataFrame, preferred: str) -> DataFrame:
     return conflicts.select("*", value.alias("resolved_value"), by.alias("resolved_by"))
 
 
-def merge_states(seen: Column) -> Column:
-    """Folds a key's records in order (array of structs seq, value, confidence, page) through the memory states:
-    struct(value, state, seen_count, page). Equal values only count; verified records stay; where a record is uncertain
-    a clearly surer one takes over and both conflict; a conflicted record takes the next differing value; else the two
-    conflict."""
-    start = F.element_at(seen, 1)
-    kind = "struct<value:string,state:string,confidence:double,seen_count:int,page:int>"
-
-    def struct(value, state, confidence, count, page):
-        return F.struct(value.alias("value"), state.alias("state"), confidence.alias("confidence"), count.alias("seen_count"), page.alias("page")).cast(kind)
-
-    first = struct(start["value"], F.coalesce(start["state"], F.lit("auto")), start["confidence"], F.lit(1), start["page"])
-
-    def step(a: Column, b: Column) -> Column:
-        page, count = F.coalesce(b["page"], a["page"]), a["seen_count"] + 1
-        same = (a["value"] == b["value"]) | a["state"].isin("verified", "user_corrected")
-        unsure = (a["state"] == "uncertain") | (b["state"] == "uncertain")
-        surer = b["confidence"] > a["confidence"] + 0.15
-        value = F.when(same, a["value"]).when(unsure, F.when(surer, b["value"]).otherwise(a["value"])).when(a["state"] == "conflicted", b["value"]).otherwise(a["value"])
-        state = F.when(same, a["state"]).when(unsure, F.lit("conflicted")).when(a["state"] == "conflicted", F.lit("auto")).otherwise(F.lit("conflicted"))
-        return struct(value, state, a["confidence"], count, page)
-
-    return F.aggregate(F.slice(seen, 2, F.greatest(F.size(seen) - 1, F.lit(0))), first, step)
-
-
-def _merged(a: tuple, b: tuple) -> tuple:
-    """One step of merge_states on (value, state, confidence, seen_count, page) and (value, state, confidence, page)."""
-    value, state, confidence, count, page = a
-    page, count = page if b[3] is None else b[3], count + 1
-    if state in ("verified", "user_corrected") or (value is not None and value == b[0]):
-        return value, state, confidence, count, page
-    if "uncertain" in (state, b[1]):
-        surer = None not in (confidence, b[2]) and b[2] > confidence + 0.15
-        return b[0] if surer else value, "conflicted", confidence, count, page
-    return (b[0], "auto", confidence, count, page) if state == "conflicted" else (value, "conflicted", confidence, count, page)
-
-
-def fold_states(log: DataFrame, key: str, seq: str) -> DataFrame:
-    """log: key, seq, value, state, confidence, page; other columns are ignored. The result of merge_states for each
-    key, for keys of any number of rows: they stream through their task in order of seq (ties by the other columns,
-    nulls first), which holds one batch and one state. Null keys are one key; an empty log gives no rows."""
-    columns = ["value", "state", "confidence", "page"]
-    kind = log.schema[key].dataType.simpleString()
-    result = f"`{key}` {kind}, value string, state string, confidence double, seen_count int, page int"
-
-    def run(batches):
-        at, now, types = None, None, None
-
-        def table(done: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=[key, "value", "state", "confidence", "seen_count", "page"])
-
-        for batch in batches:
-            types, done = [batch.schema.field(0).type, pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32()], []
-            for k, *b in zip(*(c.to_pylist() for c in batch.columns)):
-                if now is not None and k == at:
-                    now = _merged(now, b)
-                    continue
-                if now is not None:
-                    done.append((at, *now))
-                at, now = k, (b[0], b[1] or "auto", b[2], 1, b[3])
-            if done:
-                yield table(done)
-        if now is not None:
-            yield table([(at, *now)])
-
-    rows = log.repartition(key).sortWithinPartitions(key, seq, *columns)
-    return rows.select(key, "value", "state", F.col("confidence").cast("double"), F.col("page").cast("int")).mapInArrow(run, result)
-
-
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """table_name and n_rows of each table."""
     return reduce(DataFrame.unionByName, (t.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n, t in tables.items()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crops, media, memory, pages, relational, stored, story, streams  # noqa: F401
+from . import crops, incremental, media, memory, pages, relational, stored, story, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -84,7 +84,7 @@ best AS (SELECT panel, ox, oy, bw, bh FROM scored QUALIFY row_number() OVER (PAR
 win AS (SELECT * FROM closeup UNION ALL SELECT * FROM best),
 judged AS (SELECT m.*, ox, oy, bw, bh, m.x IS NULL OR (ox - 1e-6 <= m.x AND oy - 1e-6 <= m.y AND m.x + m.w <= ox + bw + 1e-6 AND m.y + m.h <= oy + bh + 1e-6) AS seen, least(bw, bh) < 0.6::DOUBLE * least(width, height) - 1e-6 AS small FROM must m JOIN win USING (panel)),
 named AS (SELECT *, CASE WHEN intent IN ('full_panel', 'multi_panel') OR (seen AND small) THEN 'full_panel' WHEN seen THEN '16_9' ELSE 'safe_wider' END AS strategy, 0.06::DOUBLE * least(width, height) AS pad FROM judged),
-kept AS (SELECT * EXCLUDE (x, y), greatest(0, least(x, width - w)) AS x, greatest(0, least(y, height - h)) AS y FROM named),
+kept AS (SELECT * EXCLUDE (x, y), CASE WHEN x IS NOT NULL THEN greatest(0, least(x, width - w)) END AS x, CASE WHEN x IS NOT NULL THEN greatest(0, least(y, height - h)) END AS y FROM named),
 padded AS (SELECT *, greatest(0, x - pad) AS px, greatest(0, y - pad) AS py, least(width, x + w + pad) - greatest(0, x - pad) AS pw, least(height, y + h + pad) - greatest(0, y - pad) AS ph FROM kept),
 steps AS (SELECT *, unnest([{_A}, 4.0::DOUBLE / 3, 1.5::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE / 3, 0.75::DOUBLE]) AS ratio, generate_subscripts([1, 2, 3, 4, 5, 6], 1) AS step FROM padded WHERE x IS NOT NULL),
 sized AS (SELECT *, CASE WHEN pw / ph > ratio + 1e-6 THEN pw ELSE ph * ratio END AS nw, CASE WHEN pw / ph > ratio + 1e-6 THEN pw / ratio ELSE ph END AS nh FROM steps),

@@ -9,6 +9,7 @@ from ..functions import scoring as s
 from ..functions import text as t
 from ..operators import entities as e
 from ..operators import matching as m
+from ..operators import ledger, states
 from ..operators import retrieval as r
 from .registry import query, table
 from .story import _TOKENS_SQL
@@ -228,7 +229,7 @@ _STEP_SQL = """list_reduce(list_transform(seen, lambda s: {'value': s.value, 'st
 SELECT key, m.value AS value, m.state AS state, CAST(m.n AS INTEGER) AS seen_count, CAST(m.page AS INTEGER) AS page FROM f""")
 def memory_state_fold(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"), F.lit("auto").alias("state"), F.lit(0.5).alias("confidence"), F.col("event_id").cast("int").alias("page"))
-    return e.fold_states(log, "key", "seq").select("key", "value", "state", "seen_count", "page")
+    return states.fold_states(log, "key", "seq").select("key", "value", "state", "seen_count", "page")
 
 
 @query(f"""WITH q AS (SELECT item_id, {_TOKENS_SQL} AS qt FROM benchmark), d AS (SELECT doc_id, {_TOKENS_SQL} AS toks, text FROM documents WHERE text IS NOT NULL),
@@ -264,3 +265,54 @@ def retrieve_topk(spark, sf_dir):
     words = F.array(*(F.lit(w) for w in r.TASKS["narration"]))
     score = 0.5 * r.relevance(words, F.col("value")) + 0.35 * s.effective_confidence(F.col("confidence"), F.col("state")) + 0.15 * s.page_boost(F.col("page"), F.lit(50))
     return m.top_k(records.withColumn("score", F.round(score, 9)), ["source"], [F.desc("score"), F.asc("key")], 8).select("source", "key", F.round("score", 6).alias("score"), "rank")
+
+
+_LEDGER_SQL = """WITH ent AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN 'metadata' ELSE 'character' END AS kind, CASE WHEN c_custkey % 5 > 0 THEN ' V' || c_custkey % 3 ELSE '' END AS value FROM customer),
+ev AS (SELECT user_id AS key, event_id AS seq, CASE event_type WHEN 'signup' THEN 'correct' WHEN 'error' THEN 'resolve' ELSE 'evidence' END AS event, CASE WHEN event_type <> 'error' THEN 'v' || event_id % 3 END AS value,
+ CASE WHEN event_type = 'signup' THEN 'user' ELSE list_element(['pdf', 'internet', 'ocr', 'user'], CAST(event_id // 5 % 4 AS INTEGER) + 1) END AS source, CASE WHEN event_type = 'signup' THEN 1.0 ELSE event_id % 7 / 10.0 END::DOUBLE AS confidence FROM events),
+lg AS (SELECT *, coalesce(sum(CASE WHEN event <> 'evidence' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch, last_value(CASE WHEN event = 'correct' THEN value END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS given,
+ max(CASE WHEN event <> 'resolve' THEN {'c': confidence, 's': -seq, 'source': source} END) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS surest, min(CASE WHEN event <> 'resolve' THEN {'c': confidence, 's': -seq, 'source': source} END) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS least FROM ev),
+m AS (SELECT lg.*, ent.kind, coalesce(given, ent.value) AS value_a FROM lg JOIN ent USING (key) WHERE event = 'evidence' AND trim(coalesce(given, ent.value)) <> '' AND lower(trim(coalesce(given, ent.value))) <> lower(trim(lg.value))),
+o AS (SELECT *, count(*) OVER (PARTITION BY key, stretch) AS n_met FROM m QUALIFY row_number() OVER (PARTITION BY key, stretch ORDER BY seq) = 1),
+e AS (SELECT key, stretch, event, value, source, seq FROM lg WHERE event <> 'evidence'),
+j AS (SELECT o.key, o.stretch, value_a, CASE WHEN kind = 'metadata' THEN least.source ELSE surest.source END AS source_a, o.value AS value_b, o.source AS source_b, o.seq AS opened, n_met, e.event, e.value AS v, e.source AS p, e.seq AS closed FROM o LEFT JOIN e ON e.key = o.key AND e.stretch = o.stretch)"""
+
+
+@query(_LEDGER_SQL + """ SELECT key, row_number() OVER (PARTITION BY key ORDER BY stretch) AS number, value_a, source_a, value_b, source_b, opened, n_met, closed,
+CASE event WHEN 'correct' THEN v WHEN 'resolve' THEN CASE WHEN source_a = 'user' THEN value_a WHEN source_b = 'user' THEN value_b WHEN source_a = p THEN value_a WHEN source_b = p THEN value_b WHEN source_a = 'pdf' THEN value_a ELSE value_b END END AS resolved_value,
+CASE WHEN event IS NOT NULL THEN CASE WHEN event = 'correct' OR 'user' IN (source_a, source_b) THEN 'user' ELSE 'auto' END END AS resolved_by FROM j""")
+def conflict_ledger(spark, sf_dir):
+    return ledger.conflict_ledger(*_ledger(spark, sf_dir), ["key"])[0]
+
+
+@query("""SELECT c_custkey AS key, coalesce(arg_max('v' || event_id % 3, event_id) FILTER (WHERE event_type = 'signup'), any_value(CASE WHEN c_custkey % 5 > 0 THEN ' V' || c_custkey % 3 ELSE '' END)) AS value FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY 1
+UNION ALL SELECT user_id, arg_max('v' || event_id % 3, event_id) FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT c_custkey FROM customer) GROUP BY 1""")
+def corrected_values(spark, sf_dir):
+    return ledger.conflict_ledger(*_ledger(spark, sf_dir), ["key"])[1]
+
+
+def _ledger(spark, sf_dir):
+    """Customers as entities, events as evidence about them, resolutions and corrections."""
+    k = F.col("c_custkey")
+    stored = table(spark, sf_dir, "customer").select(k.alias("key"), F.when(k % 2 == 0, "metadata").otherwise("character").alias("kind"), F.when(k % 5 > 0, F.concat(F.lit(" V"), (k % 3).cast("string"))).otherwise("").alias("value"))
+    i = F.col("event_id")
+    event = F.when(F.col("event_type") == "signup", "correct").when(F.col("event_type") == "error", "resolve").otherwise("evidence")
+    source = F.element_at(F.array(*map(F.lit, ("pdf", "internet", "ocr", "user"))), (F.floor(i / 5) % 4 + 1).cast("int"))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), i.alias("seq"), event.alias("event"), F.when(F.col("event_type") != "error", F.concat(F.lit("v"), (i % 3).cast("string"))).alias("value"), source.alias("source"), (i % 7 / F.lit(10.0)).alias("confidence"))
+    return stored, log
+
+
+_EVENT_STEP_SQL = """list_reduce(list_prepend({'e': '', 'value': CAST(NULL AS VARCHAR), 'state': 'none', 'n': 0, 'page': CAST(NULL AS BIGINT)}, list_transform(seen, lambda s: {'e': s.e, 'value': s.value, 'state': 'auto', 'n': 1, 'page': s.page})), lambda a, b: {'e': '',
+ 'value': CASE WHEN b.e = 'delete' THEN NULL WHEN b.e = 'correct' OR a.state = 'none' THEN b.value WHEN a.state <> 'user_corrected' AND a.value <> b.value AND a.state = 'conflicted' THEN b.value ELSE a.value END,
+ 'state': CASE WHEN b.e = 'delete' THEN 'none' WHEN b.e = 'correct' THEN 'user_corrected' WHEN a.state = 'none' THEN 'auto' WHEN a.state = 'user_corrected' OR a.value = b.value THEN a.state WHEN a.state = 'conflicted' THEN 'auto' ELSE 'conflicted' END,
+ 'n': CASE WHEN b.e = 'delete' THEN 0 ELSE a.n + 1 END, 'page': CASE WHEN b.e = 'delete' THEN NULL WHEN b.e = 'correct' THEN a.page ELSE coalesce(b.page, a.page) END})"""
+
+
+@query(f"""WITH l AS (SELECT user_id % 400 AS key, list({{'e': CASE WHEN event_id % 41 = 0 THEN 'delete' WHEN event_id % 53 = 0 THEN 'correct' ELSE 'observe' END, 'value': event_type, 'page': CASE WHEN event_id % 3 > 0 THEN event_id END}} ORDER BY event_id) AS seen FROM events GROUP BY 1), f AS (SELECT key, {_EVENT_STEP_SQL} AS m FROM l)
+SELECT key, m.value AS value, m.state AS state, CAST(m.n AS INTEGER) AS seen_count, CAST(m.page AS INTEGER) AS page FROM f WHERE m.state <> 'none'""")
+def memory_events(spark, sf_dir):
+    """Records through observations, the user's corrections and deletions."""
+    i = F.col("event_id")
+    event = F.when(i % 41 == 0, "delete").when(i % 53 == 0, "correct").otherwise("observe")
+    log = table(spark, sf_dir, "events").select((F.col("user_id") % 400).alias("key"), i.alias("seq"), event.alias("event"), F.col("event_type").alias("value"), F.lit("auto").alias("state"), F.lit(0.5).alias("confidence"), F.when(i % 3 > 0, i).cast("int").alias("page"))
+    return states.fold_states(log, "key", "seq").select("key", "value", "state", "seen_count", "page")

@@ -16,7 +16,7 @@ from storyloom.operators import jobs
 from storyloom.operators import matching as m
 from storyloom.operators import rules
 from storyloom.operators import sequence as q
-from storyloom.operators import shots
+from storyloom.operators import shots, states
 
 
 def one(spark, *columns):
@@ -169,27 +169,10 @@ def test_fold_and_snapshots(spark):
 @pytest.mark.parametrize("values, want", [("xx", ("x", "auto", 2)), ("xy", ("x", "conflicted", 2)), ("xyx", ("x", "conflicted", 3)), ("xyz", ("z", "auto", 3))])
 def test_memory_states(spark, values, want):
     log = rows(spark, [(i, v, "auto", 0.5, i) for i, v in enumerate(values)], "seq INT, value STRING, state STRING, confidence DOUBLE, page INT")
-    r = log.agg(e.merge_states(F.sort_array(F.collect_list(F.struct("*")))).alias("m")).first()["m"]
+    r = states.fold_states(log.withColumn("key", F.lit(1)), "key", "seq").first()
     assert (r["value"], r["state"], r["seen_count"]) == want
 
 
-def test_folded_states_equal_merged_ones(spark):
-    """Long keys over many batches, null keys and every state, against the fold of whole arrays."""
-    rng = random.Random(3)
-    pick = lambda *of: rng.choice(of)
-    data = [(pick(1, 1, 1, 2, 3, None), i, pick("x", "y", "z", None), pick("auto", "auto", "auto", "uncertain", None) if rng.random() < 0.99 else "verified", pick(0.2, 0.5, 0.9, None), pick(i, None)) for i in range(900)]
-    log = rows(spark, data, "key INT, seq INT, value STRING, state STRING, confidence DOUBLE, page INT")
-    want = log.groupBy("key").agg(e.merge_states(F.sort_array(F.collect_list(F.struct("seq", "value", "state", "confidence", "page")))).alias("m")).select("key", "m.*")
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        got = e.fold_states(log, "key", "seq").select(*want.columns).collect()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert sorted(got, key=str) == sorted(want.collect(), key=str) and len(got) == 4
-    assert e.fold_states(log.limit(0), "key", "seq").count() == 0
-
-
 def test_conflicts(spark):
     log = rows(spark, [("k", 1, "A", "internet"), ("k", 2, " a ", "ocr"), ("k", 3, "B", "pdf"), ("l", 1, "A", "user"), ("l", 2, "C", "pdf")], "key STRING, seq INT, value STRING, source STRING")
     got = {r["key"]: (r["value_b"], r["resolved_value"], r["resolved_by"]) for r in e.resolve_conflicts(e.open_conflicts(log, ["key"], ["seq"], "value", "source"), "pdf").collect()}
