@@ -45,7 +45,9 @@ def to_confidence(value: Column) -> Column:
 def json_object(text: Column) -> Column:
     """The outermost {...} of a model's prose, or the text itself if it is one; null where no object parses."""
     body = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(F.nullif(body, F.lit(""))).isNotNull(), body)
+    # Spark parses a text that goes on behind its first value; as the one element of an array, it may not.
+    alone = F.try_parse_json(F.concat(F.lit("["), F.nullif(body, F.lit("")), F.lit("]")))
+    return F.when(alone.isNotNull() & F.try_parse_json(body).isNotNull(), body)
 
 
 def strip_answer(text: Column) -> Column:
@@ -55,11 +57,16 @@ def strip_answer(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(out), r"^[\"'“”]+|[\"'“”]+$", ""))
 
 
+#: Quotation marks that may stand around a name.
+NAME_QUOTES = "\"'“”‘’「」『』"
+
+
 def normalize_name(name: Column) -> Column:
-    """A name without possessive endings, asides in parentheses and quotes."""
-    out = F.regexp_replace(F.trim(name), r"['’]s(?![A-Za-z0-9_])", "")
-    out = F.regexp_replace(out, r"\s*\([^)]*\)", "")
-    return spaces(F.regexp_replace(out, "^[\"'“”‘’「」『』]+|[\"'“”‘’「」『』]+$", ""))
+    """A name's words without asides in parentheses, without the possessive ending of a word, and without quotes
+    around the whole."""
+    words = F.split(F.trim(F.regexp_replace(name, r"\s*\([^)]*\)", "")), r"\s+")
+    owned = F.transform(words, lambda w: F.regexp_replace(w, r"['’]s(?![A-Za-z0-9_])", ""))
+    return F.trim(F.btrim(F.array_join(F.filter(owned, lambda w: w != ""), " "), F.lit(NAME_QUOTES)))
 
 
 def is_unknown_name(name: Column) -> Column:
@@ -94,7 +101,8 @@ def name_blocks(own: str, other: str):
 
 
 def slug(text: Column, limit: int = 48, default: str = "item") -> Column:
-    low = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    """Letters a-z and digits of a text in its compatible form, joined by single hyphens."""
+    low = F.regexp_replace(F.regexp_replace(F.lower(compatible(text)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
     return F.coalesce(F.nullif(F.substring(low, 1, limit), F.lit("")), F.lit(default))
 
 
@@ -133,12 +141,35 @@ def tokens(text: Column) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), F.lit(1))), F.array(*(F.lit(w) for w in STOP_WORDS)))
 
 
+# Words of a plan that say nothing, and the ranges of kana and of Chinese characters.
+NOISE_WORDS = ("unknown", "none", "no", "undefined", "null")
+EAST_ASIAN = "\u4e00-\u9fff\u3040-\u30ff"
+
+
+def plan_tokens(text: Column) -> Column:
+    """Distinct lower-case tokens of a-z and digits that a plan is matched by: two characters or more, no noise."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), F.lit(1)))
+    return F.filter(found, lambda w: (F.char_length(w) >= 2) & ~w.isin(*NOISE_WORDS))
+
+
+def memory_tokens(text: Column) -> Column:
+    """Distinct lower-case tokens of a memory's text, in its compatible form: a-z, digits, kana and Chinese characters,
+    without stop words. What else there is parts tokens."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(compatible(text)), F.lit(f"([a-z0-9{EAST_ASIAN}]+)"), F.lit(1)))
+    return F.array_except(found, F.array(*(F.lit(w) for w in STOP_WORDS)))
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility normalisation, which Spark has no function for; an Arrow batch at a time."""
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def compatible(text: Column) -> Column:
+    """A text in Unicode's compatible form (NFKC). Texts of ASCII alone are in it and are not sent to Python."""
+    return F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def block_class(text: Column) -> Column:
     """dialogue for text in quotes, sfx for short runs of sound kana or signs, else unknown."""
     t = F.trim(F.coalesce(text, F.lit("")))

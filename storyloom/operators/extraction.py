@@ -8,32 +8,50 @@ from pyspark.sql.window import Window
 
 from ..functions.text import spaces, title_key
 
-# Ways to write a chapter's number, with the confidence of each.
+# Ways to write a chapter's number (group 1) and perhaps its title (group 2).
 CHAPTER_MARKS = (
-    (r"(?i)(?:chapter|chap\.?|ch\.?)\s*#?\s*(\d+)", 0.7),
-    (r"#\s*(\d+)", 0.5),
-    (r"第\s*(\d+)\s*[話回章]", 0.7),
+    r"(?i)(?:chapter|chap\.?|ch\.?|ch)\s*#?\s*(\d+)(?:\s*[:\-\u2013]\s*(.+))?",
+    r"#\s*(\d+)(?:\s+([A-Z].+))?",
+    r"第\s*(\d+)\s*[話回章]()",
+    r"(?i)(?:volume|vol\.?|v\.?)\s*(\d+)\s+(?:chapter|ch\.?|ch)\s*(\d+)",
 )
 # Words that open a new part of a story, and words of great and of little weight.
-OPENERS = ("meanwhile", "later", "the next day", "elsewhere", "several days later", "back at", "the following morning", "翌日", "数日後")
+OPENERS = ("meanwhile", "later", "the next day", "elsewhere", "several days later", "back at", "the following morning", "翌日", "しかし", "そして", "数日後")
 WEIGHTY = ("kill", "death", "die", "battle", "reveal", "betray", "destroy", "transform")
 SLIGHT = ("walk", "look", "sit", "stand", "talk")
 
 
+def _marks(text: Column) -> Column:
+    """For each way to write a chapter, its first find: struct(number, title, at: place from 1, 0 for none)."""
+    group = lambda p, i: F.regexp_extract(text, p, i)
+    return F.array(*(F.struct(F.nullif(group(p, 1), F.lit("")).try_cast("int").alias("number"), F.trim(group(p, 2)).alias("title"), F.regexp_instr(text, F.lit(p)).alias("at")) for p in CHAPTER_MARKS))
+
+
 def chapter_marks(pages: DataFrame) -> DataFrame:
-    """pages (work, page, text): a row for each mark found: number, confidence (more in the first 200 characters,
-    at most 0.95), source."""
+    """pages (work, page, text): a row for each way to write a chapter that a page has: number, title, source, and
+    confidence: .7 with a title, .5 without one, .1 more in the first three tenths of the text, .95 at most."""
     low = spaces(F.col("text"))
-    found = F.array(*(F.struct(F.regexp_extract(low, p, 1).alias("n"), F.lit(c).alias("c"), F.regexp_instr(low, F.lit(p)).alias("at")) for p, c in CHAPTER_MARKS))
-    rows = pages.select("work", "page", F.explode(found).alias("m")).where("m.n <> ''")
-    return rows.select("work", "page", F.col("m.n").try_cast("int").alias("number"), F.least(F.lit(0.95), F.col("m.c") + F.when(F.col("m.at") < 200, 0.1).otherwise(0.0)).alias("confidence"), F.lit("ocr").alias("source"))
+    rows = pages.select("work", "page", F.greatest(F.lit(1), F.char_length(low)).alias("n"), F.explode(_marks(low)).alias("m")).where("m.number IS NOT NULL")
+    early = (F.col("m.at") - 1) / F.col("n") < 0.3
+    sure = F.when(F.col("m.title") != "", 0.7).otherwise(0.5) + F.when(early, 0.1).otherwise(0.0)
+    return rows.select("work", "page", "m.number", "m.title", F.least(F.lit(0.95), sure).alias("confidence"), F.lit("ocr").alias("source"))
+
+
+def title_pages(pages: DataFrame) -> DataFrame:
+    """pages (work, page, text, n_panels): those of three panels at most (or of an unknown number) that name a chapter other than
+    0, by the first way in which they do; confidence .75."""
+    named = F.filter(_marks(spaces(F.col("text"))), lambda m: m["at"] > 0)
+    first = F.get(F.filter(named, lambda m: F.coalesce(m["number"], F.lit(0)) > 0), 0)
+    few = F.coalesce(F.col("n_panels") <= 3, F.lit(True))
+    rows = pages.where(few).select("work", "page", first.alias("m")).where("m IS NOT NULL")
+    return rows.select("work", "page", "m.number", "m.title", F.lit(0.75).alias("confidence"), F.lit("title_page").alias("source"))
 
 
 def opener_marks(pages: DataFrame) -> DataFrame:
     """Pages from the second on whose first 100 characters hold an opening phrase: unnumbered, confidence 0.4."""
     head = F.lower(F.substring(F.col("text"), 1, 100))
     hit = F.exists(F.array(*(F.lit(w) for w in OPENERS)), lambda w: F.contains(head, w))
-    return pages.where((F.col("page") >= 2) & hit).select("work", "page", F.lit(None).cast("int").alias("number"), F.lit(0.4).alias("confidence"), F.lit("transition").alias("source"))
+    return pages.where((F.col("page") >= 2) & hit).select("work", "page", F.lit(None).cast("int").alias("number"), F.lit("").alias("title"), F.lit(0.4).alias("confidence"), F.lit("transition").alias("source"))
 
 
 def merge_marks(marks: DataFrame, total_pages: int, reach: int = 2) -> DataFrame:

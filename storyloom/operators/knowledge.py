@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions.scoring import coverage, looked_up
-from ..functions.text import elide, strip_answer, to_confidence, to_text, tokens
+from ..functions.text import elide, plan_tokens, strip_answer, to_confidence, to_text
 from .rules import errors
 from .shots import score_parts
 
@@ -134,10 +134,10 @@ def segments(raw: DataFrame, known: DataFrame, default_importance: float = 0.0)
 
 def panel_score(text: Column, weights: dict[str, float] = PLAN_WEIGHTS) -> Column:
     """How well a panel (visual, ocr) fits a segment's text."""
-    words = tokens(text)
-    hit = lambda c: F.coalesce(F.size(F.array_intersect(tokens(F.array_join(c, " ")), words)) > 0, F.lit(False)).cast("double")
+    words = plan_tokens(text)
+    hit = lambda c: F.coalesce(F.size(F.array_intersect(plan_tokens(F.array_join(c, " ")), words)) > 0, F.lit(False)).cast("double")
     story = F.col("visual.story_relevance").try_cast("double")
-    return score_parts(hit(F.transform("visual.characters", lambda p: p["name"])), hit(F.col("visual.actions")), hit(F.array("visual.important_event")), hit(F.col("visual.objects")), F.coalesce(coverage(tokens(F.col("ocr.text")), words), F.lit(0.0)), F.when(story.between(0, 1), story), weights)
+    return score_parts(hit(F.transform("visual.characters", lambda p: p["name"])), hit(F.col("visual.actions")), hit(F.array("visual.important_event")), hit(F.col("visual.objects")), F.coalesce(coverage(plan_tokens(F.col("ocr.text")), words), F.lit(0.0)), F.when(story.between(0, 1), story), weights)
 
 
 def plan_shots(segs: DataFrame, panels: DataFrame, review: float = 0.55, tie: float = 0.02, floor: float = 0.90) -> DataFrame:

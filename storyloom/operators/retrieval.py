@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as s
-from ..functions.text import tokens
+from ..functions.text import memory_tokens
 from .matching import top_k
 
 # Words that each task looks for.
@@ -24,13 +24,13 @@ TASKS = {
 
 def relevance(vocabulary: Column, text: Column) -> Column:
     """Share of a vocabulary (array) that a text's tokens hold."""
-    return F.size(F.array_intersect(vocabulary, tokens(text))) / F.greatest(F.size(vocabulary), F.lit(1))
+    return F.size(F.array_intersect(vocabulary, memory_tokens(text))) / F.greatest(F.size(vocabulary), F.lit(1))
 
 
 def retrieve(records: DataFrame, task: str = "narration", page: int | None = None, extra: str = "", k: int = 8, least: float = 0.0, per: list[str] = ()) -> DataFrame:
     """The k best of records (key, value, page, confidence, state), of each of `per`: half by relevance to the task's
     words and extra, 0.35 by confidence in its state, 0.15 by closeness to the page."""
-    words = F.array_union(F.array(*(F.lit(w) for w in TASKS.get(task, ("character", "event")))), tokens(F.lit(extra)))
+    words = F.array_union(F.array(*(F.lit(w) for w in TASKS.get(task, ("character", "event")))), memory_tokens(F.lit(extra)))
     sure = s.effective_confidence(F.col("confidence"), F.col("state"))
     near = s.page_boost(F.col("page"), F.lit(page).cast("int"))
     scored = records.withColumn("score", 0.5 * relevance(words, F.concat_ws(" ", "key", "value")) + 0.35 * sure + 0.15 * near).where(sure >= least)
@@ -42,7 +42,7 @@ def retrieve(records: DataFrame, task: str = "narration", page: int | None = Non
 def keyword_hits(records: DataFrame, queries: DataFrame, record: str, query: str, text: str, k: int) -> DataFrame:
     """For each query the k records that share most tokens with it. Both sides explode to (token, id); records and
     queries that share a token meet on it and are counted. queries is the small, stated side."""
-    words = lambda df, key: df.select(key, F.explode(tokens(F.col(text))).alias("token"))
+    words = lambda df, key: df.select(key, F.explode(memory_tokens(F.col(text))).alias("token"))
     met = words(records, record).join(words(queries, query), "token").groupBy(query, record).agg(F.count("*").alias("hits"))
     return top_k(met, [query], [F.desc("hits"), F.asc(record)], k)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scoring import jaccard
+from ..tables import placed, row_before, running, sums_before
 
 #: Weights of the boundary score; the keys name the signals.
 WEIGHTS = {"location": 0.45, "character": 0.55, "event": 0.50, "transition": 0.50}
@@ -39,16 +40,25 @@ def boundary_score(keywords: tuple[str, ...] = (), weights: dict = WEIGHTS, keep
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str) -> DataFrame:
-    """Adds a running number, from 0, of the group that each row belongs to; starts says where one begins."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-    return df.withColumn("__start", F.when(first, 0).otherwise(F.coalesce(starts, F.lit(False)).cast("int"))).withColumn(name, F.sum("__start").over(w)).drop("__start")
+    """Adds a running number, from 0, of the group that each row belongs to; starts, a column over the row alone, says
+    where one begins (the first row begins the first in any case). Sums over ranges of a key: none is held whole."""
+    at = placed(df, keys, [F.col(c) for c in order], "numbered")
+    return _numbered(at, keys, starts, name).select(*df.columns, name)
+
+
+def _numbered(table: DataFrame, keys: list[str], starts: Column, name: str) -> DataFrame:
+    flag = F.coalesce(starts, F.lit(False)).cast("long")
+    counted = sums_before(table.withColumn("__flag", flag), keys, {"__before": F.col("__flag")})
+    first = counted.groupBy(*keys).agg(F.min_by("__flag", "__i").alias("__first")).alias("f")
+    same = [F.col(f"c.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    number = F.col("c.__before") + F.col("c.__flag") - F.col("f.__first")
+    return counted.alias("c").join(first, same).select(*(F.col(f"c.{c}") for c in table.columns), number.alias(name))
 
 
 def gap_groups(df: DataFrame, keys: list[str], order: list[str], at: str, gap: float, name: str = "group_no") -> DataFrame:
-    """Groups rows whose distance from the row before is at most gap, so groups chain."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return numbered(df, keys, order, F.col(at) - F.lag(at).over(w) > gap, name)
+    """Groups rows whose distance from the row before is at most gap, so groups chain, over ranges of a key."""
+    table = row_before(placed(df, keys, [F.col(c) for c in order], "gaps"), keys, at, "__was")
+    return _numbered(table, keys, F.col(at) - F.col("__was") > gap, name).select(*df.columns, name)
 
 
 def fill_numbers(df: DataFrame, keys: list[str], order: list[str], number: str, name: str) -> DataFrame:
@@ -70,14 +80,11 @@ def extents(df: DataFrame, keys: list[str], start: str, last: Column, name: str
 
 def timeline(df: DataFrame, keys: list[str], order: list[str], duration: str, overlap: str | None = None, digits: int = 4) -> DataFrame:
     """Adds start_time and end_time: running sums of durations, less the overlap that each row shares with the next;
-    rounded only once summed."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    step = F.col(duration)
-    if overlap:
-        step = step - F.coalesce(F.lag(overlap).over(w), F.lit(0.0))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("__step", step).withColumn("__end", F.sum("__step").over(run))
-    return out.withColumn("start_time", F.round(F.col("__end") - F.col(duration), digits)).withColumn("end_time", F.round("__end", digits)).drop("__step", "__end")
+    rounded only once summed. Sums over ranges of a key: none is held whole."""
+    sums = {"__begin": F.col(duration)} | ({"__shared": F.coalesce(F.col(overlap), F.lit(0.0))} if overlap else {})
+    out = running(df, keys, [F.col(c) for c in order], sums, "timeline")
+    begin = F.col("__begin") - F.col("__shared") if overlap else F.col("__begin")
+    return out.select(*df.columns, F.round(begin, digits).alias("start_time"), F.round(begin + F.col(duration), digits).alias("end_time"))
 
 
 def transitions(df: DataFrame, keys: list[str], order: list[str], duration: str, most: float = 0.3, share: float = 0.5) -> DataFrame:

@@ -7,11 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import schema
 from ..functions.text import elide, entity_id
 from ..sources.versions import Versions
+from ..tables import running
 from . import entities as e
 
 
@@ -107,9 +107,10 @@ def correct(records: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def listed(rows: DataFrame, keys: list[str], order: list, where: Column | None = None, name: str = "position") -> DataFrame:
-    """Rows for which where holds, with their place (from 1) in the order of their key: a listing of every work at once."""
+    """Rows for which where holds, with their place (from 1) in the order of their key: a listing of every work at once,
+    by counts over ranges of a work, so that one of any size takes many tasks."""
     kept = rows if where is None else rows.where(where)
-    return kept.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return running(kept, keys, [F.col(c) if isinstance(c, str) else c for c in order], {name: F.lit(1)}, "listed").withColumn(name, F.col(name) + 1)
 
 
 def both_sides(relationships: DataFrame) -> DataFrame:

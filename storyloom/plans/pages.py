@@ -149,25 +149,39 @@ def portrait_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", x.first_link(links, ("logo", "icon", "wiki")).alias("portrait"), F.size(links).alias("n_links"))
 
 
-_MARKS_SQL = r"""WITH c AS (SELECT conv_id AS work, CAST(turn AS INTEGER) AS page, trim(regexp_replace(CASE WHEN conv_id % 3 = 0 THEN 'Chapter ' || (turn + 3) || ' ' ELSE '' END || text, '\s+', ' ', 'g')) AS t FROM conversations WHERE text IS NOT NULL),
-m AS (SELECT work, page, regexp_extract(t, '(?i)(?:chapter|chap\.?|ch\.?)\s*#?\s*(\d+)', 1) AS n, 0.7 AS c, length(regexp_extract(t, '(?is)^(.*?)(?:chapter|chap\.?|ch\.?)\s*#?\s*\d+', 1)) + 1 AS place FROM c
-UNION ALL SELECT work, page, regexp_extract(t, '#\s*(\d+)', 1), 0.5, length(regexp_extract(t, '(?s)^(.*?)#\s*\d+', 1)) + 1 FROM c)
-SELECT work, page, TRY_CAST(n AS INTEGER) AS number, least(0.95, c + CASE WHEN place < 200 THEN 0.1 ELSE 0 END)::DOUBLE AS confidence FROM m WHERE n <> ''"""
+_MARKS_SQL = r"""WITH c AS (SELECT conv_id AS work, CAST(turn AS INTEGER) AS page, conv_id % 5 AS n_panels, CAST(turn + conv_id % 4 AS VARCHAR) AS k, text, conv_id FROM conversations WHERE text IS NOT NULL),
+h AS (SELECT work, page, n_panels, trim(regexp_replace(CASE conv_id % 6 WHEN 0 THEN 'Chapter ' || k || ' ' WHEN 1 THEN 'Chapter ' || k || ': ' WHEN 2 THEN '第' || k || '話 ' WHEN 3 THEN '#' || k || ' Bold ' WHEN 4 THEN substr(text, 1, 60) || 'Vol. 2 Ch ' || k || ' ' ELSE '' END || text, '\s+', ' ', 'g')) AS t FROM c),
+m AS (SELECT *, 1 AS way, regexp_extract(t, '(?is)^(.*?)(?:chapter|chap\.?|ch\.?|ch)\s*#?\s*\d+', 1) AS before, regexp_extract(t, '(?is)(?:chapter|chap\.?|ch\.?|ch)\s*#?\s*(\d+)', 1) AS n, regexp_extract(t, '(?is)(?:chapter|chap\.?|ch\.?|ch)\s*#?\s*(\d+)(?:\s*[:\-–]\s*(.+))?', 2) AS title FROM h
+UNION ALL SELECT *, 2, regexp_extract(t, '(?s)^(.*?)#\s*\d+', 1), regexp_extract(t, '#\s*(\d+)', 1), regexp_extract(t, '#\s*(\d+)(?:\s+([A-Z].+))?', 2) FROM h
+UNION ALL SELECT *, 3, regexp_extract(t, '(?s)^(.*?)第\s*\d+\s*[話回章]', 1), regexp_extract(t, '第\s*(\d+)\s*[話回章]', 1), '' FROM h
+UNION ALL SELECT *, 4, regexp_extract(t, '(?is)^(.*?)(?:volume|vol\.?|v\.?)\s*\d+\s+(?:chapter|ch\.?|ch)\s*\d+', 1), regexp_extract(t, '(?is)(?:volume|vol\.?|v\.?)\s*(\d+)\s+(?:chapter|ch\.?|ch)\s*(\d+)', 1), regexp_extract(t, '(?is)(?:volume|vol\.?|v\.?)\s*(\d+)\s+(?:chapter|ch\.?|ch)\s*(\d+)', 2) FROM h)"""
 
 
-@query(_MARKS_SQL)
-def chapter_mark_list(spark, sf_dir):
+def _headed_pages(spark, sf_dir):
+    """Turns as pages, five in six headed in one of the ways to write a chapter."""
     c = table(spark, sf_dir, "conversations").where("text is not null")
-    headed = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("Chapter "), (F.col("turn") + 3).cast("string"), F.lit(" "))).otherwise(F.lit(""))
-    pages = c.select(F.col("conv_id").alias("work"), F.col("turn").cast("int").alias("page"), F.concat(headed, F.col("text")).alias("text"))
-    return x.chapter_marks(pages).select("work", "page", "number", F.round("confidence", 2).alias("confidence"))
+    k = (F.col("turn") + F.col("conv_id") % 4).cast("string")
+    heads = [F.concat(F.lit("Chapter "), k, F.lit(" ")), F.concat(F.lit("Chapter "), k, F.lit(": ")), F.concat(F.lit("第"), k, F.lit("話 ")), F.concat(F.lit("#"), k, F.lit(" Bold ")), F.concat(F.substring("text", 1, 60), F.lit("Vol. 2 Ch "), k, F.lit(" ")), F.lit("")]
+    head = F.element_at(F.array(*heads), (F.col("conv_id") % 6 + 1).cast("int"))
+    return c.select(F.col("conv_id").alias("work"), F.col("turn").cast("int").alias("page"), (F.col("conv_id") % 5).alias("n_panels"), F.concat(head, F.col("text")).alias("text"))
+
+
+@query(_MARKS_SQL + """ SELECT work, page, CAST(n AS INTEGER) AS number, substr(trim(title), 1, 30) AS title, least(0.95, CASE WHEN trim(title) <> '' THEN 0.7 ELSE 0.5 END + CASE WHEN length(before) / CAST(length(t) AS DOUBLE) < 0.3 THEN 0.1 ELSE 0 END)::DOUBLE AS confidence FROM m WHERE n <> ''""")
+def chapter_mark_list(spark, sf_dir):
+    marks = x.chapter_marks(_headed_pages(spark, sf_dir))
+    return marks.select("work", "page", "number", F.substring("title", 1, 30).alias("title"), F.round("confidence", 2).alias("confidence"))
+
+
+@query(_MARKS_SQL + """ SELECT work, page, CAST(n AS INTEGER) AS number, substr(trim(title), 1, 30) AS title FROM m WHERE n <> '' AND CAST(n AS INTEGER) > 0 AND n_panels <= 3 QUALIFY row_number() OVER (PARTITION BY work, page ORDER BY way) = 1""")
+def title_page_list(spark, sf_dir):
+    return x.title_pages(_headed_pages(spark, sf_dir)).select("work", "page", "number", F.substring("title", 1, 30).alias("title"))
 
 
-@query("""WITH c AS (SELECT doc_id AS work, CAST(doc_id % 5 AS INTEGER) AS page, lower(substr(CASE WHEN doc_id % 4 = 0 THEN 'Meanwhile, ' ELSE '' END || text, 1, 100)) AS head FROM documents WHERE text IS NOT NULL)
-SELECT work, page FROM c WHERE page >= 2 AND (contains(head, 'meanwhile') OR contains(head, 'later') OR contains(head, 'the next day') OR contains(head, 'elsewhere') OR contains(head, 'back at') OR contains(head, 'the following morning') OR contains(head, '翌日') OR contains(head, '数日後'))""")
+@query("""WITH c AS (SELECT doc_id AS work, CAST(doc_id % 5 AS INTEGER) AS page, lower(substr(CASE doc_id % 4 WHEN 0 THEN 'Meanwhile, ' WHEN 1 THEN 'しかし' ELSE '' END || text, 1, 100)) AS head FROM documents WHERE text IS NOT NULL)
+SELECT work, page FROM c WHERE page >= 2 AND (contains(head, 'meanwhile') OR contains(head, 'later') OR contains(head, 'the next day') OR contains(head, 'elsewhere') OR contains(head, 'back at') OR contains(head, 'the following morning') OR contains(head, '翌日') OR contains(head, 'しかし') OR contains(head, 'そして') OR contains(head, '数日後'))""")
 def transition_pages(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text is not null")
-    opened = F.concat(F.when(F.col("doc_id") % 4 == 0, "Meanwhile, ").otherwise(""), F.col("text"))
+    opened = F.concat(F.when(F.col("doc_id") % 4 == 0, "Meanwhile, ").when(F.col("doc_id") % 4 == 1, "しかし").otherwise(""), F.col("text"))
     return x.opener_marks(d.select(F.col("doc_id").alias("work"), (F.col("doc_id") % 5).cast("int").alias("page"), opened.alias("text"))).select("work", "page")
 
 

@@ -12,7 +12,7 @@ from ..operators import matching as m
 from ..operators import ledger, states
 from ..operators import retrieval as r
 from .registry import query, table
-from .story import _TOKENS_SQL
+from .story import _MEMORY_TOKENS_SQL, _TOKENS_SQL
 
 _LINKS_SQL = "SELECT DISTINCT o_orderkey AS panel, l_suppkey AS segment FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'"
 
@@ -232,7 +232,7 @@ def memory_state_fold(spark, sf_dir):
     return states.fold_states(log, "key", "seq").select("key", "value", "state", "seen_count", "page")
 
 
-@query(f"""WITH q AS (SELECT item_id, {_TOKENS_SQL} AS qt FROM benchmark), d AS (SELECT doc_id, {_TOKENS_SQL} AS toks, text FROM documents WHERE text IS NOT NULL),
+@query(f"""WITH q AS (SELECT item_id, {_MEMORY_TOKENS_SQL} AS qt FROM benchmark), d AS (SELECT doc_id, {_MEMORY_TOKENS_SQL} AS toks, text FROM documents WHERE text IS NOT NULL),
 x AS (SELECT item_id, unnest(qt) AS token FROM q), y AS (SELECT doc_id, unnest(toks) AS token FROM d), h AS (SELECT item_id, doc_id, count(*) AS hits FROM x JOIN y USING (token) GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rank FROM h) SELECT item_id, doc_id, hits, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5""")
 def keyword_topk(spark, sf_dir):
@@ -254,7 +254,7 @@ def best_match(spark, sf_dir):
     return m.best_two(scored, ["item_id"], "score", "doc_id", 0.02, 0.55)
 
 
-@query(f"""WITH d AS (SELECT doc_id, source, {_TOKENS_SQL} AS toks, n_chars FROM (SELECT *, lang || ' ' || text AS t0 FROM documents WHERE text IS NOT NULL)),
+@query(f"""WITH d AS (SELECT doc_id, source, {_MEMORY_TOKENS_SQL} AS toks, n_chars FROM (SELECT *, lang || ' ' || text AS t0 FROM documents WHERE text IS NOT NULL)),
 v AS (SELECT *, list_value('character','place','object','event','name','location','the_story') AS w FROM d),
 s AS (SELECT source, doc_id, round(0.5 * len(list_intersect(list_value('character','place','object','event','name','location','that','with','nicht','pour')[1:6], toks)) / 6.0 + 0.35 * least(1.0, n_chars / 4000.0) * CASE doc_id % 3 WHEN 0 THEN 0.98 WHEN 1 THEN 0.85 ELSE 0.35 END + 0.15 * greatest(0.0, 1.0 - abs(doc_id % 100 - 50) / 30.0), 9) AS score FROM v),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM s) SELECT source, doc_id AS key, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""")

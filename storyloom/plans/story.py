@@ -10,6 +10,7 @@ from ..operators import sequence as q
 from .registry import query, table
 
 _TOKENS_SQL = "list_filter(list_distinct(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)), lambda w: w NOT IN ('the','a','an','of','and','or','in','on','at','to','for','with','by','from','is','are','was','this','that','it'))"
+_MEMORY_TOKENS_SQL = _TOKENS_SQL.replace("lower(text)", "lower(nfc_normalize(text))").replace("[a-z0-9]", "[a-z0-9一-鿿぀-ヿ]")
 _SCORED_SQL = f"""
 WITH t AS (SELECT conv_id, turn, role, text, {_TOKENS_SQL} AS toks FROM conversations),
 p AS (SELECT *, lag(role) OVER w AS prev_role, lag(toks) OVER w AS prev_toks FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),

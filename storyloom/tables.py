@@ -63,25 +63,44 @@ def drop(*tables: DataFrame) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], name: str = "running") -> DataFrame:
-    """Adds, for each name in sums, the sum of that column over the rows of the same keys that come before in order.
+def placed(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """df as a written table, dealt by ranges of keys and order: __i numbers all rows in that order (with gaps), __p is
+    the range. A key of any size lies in many ranges, each of which a task holds; rows alike in keys and order lie in one.
+    Keys may be null."""
+    ranged = df.repartitionByRange(*(F.col(k) for k in keys), *order).sortWithinPartitions(*(F.col(k) for k in keys), *order)
+    return materialize(ranged.withColumn("__i", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__i", 33)), name)
+
+
+def _joined(left: DataFrame, right: DataFrame, by: list[str], added: list[Column], columns: list[str]) -> DataFrame:
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
+    return left.alias("l").join(right.alias("r"), on=same, how="inner").select(*(F.col(f"l.{c}") for c in columns), *added)
+
 
-    Rows are dealt by ranges of keys and order, so no task holds a whole key: sums within a range and the ranges' own
-    totals, a row for each range of a key, are added up. Rows alike in keys and order come in any order. Keys may be
-    null. df is computed once and written."""
-    ranged = df.repartitionByRange(*(F.col(k) for k in keys), *order) if keys or order else df
+def sums_before(table: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds, for each name in sums, the sum of that column over the rows of the same keys that come before, to a table
+    of placed: sums within a range, and the sums of a key's earlier ranges, a row a range, on top."""
     named = {f"__s{i}": c for i, c in enumerate(sums.values())}
-    placed = ranged.sortWithinPartitions(*(F.col(k) for k in keys), *order).withColumn("__i", F.monotonically_increasing_id())
-    placed = placed.withColumn("__p", F.shiftright("__i", 33))
-    for k, c in named.items():
-        placed = placed.withColumn(k, c)
-    placed = materialize(placed, name)
+    valued = table.select("*", *(c.alias(k) for k, c in named.items()))
     by = [*keys, "__p"]
-    totals = placed.groupBy(*by).agg(*(F.sum(k).alias(f"{k}t") for k in named))
+    totals = valued.groupBy(*by).agg(*(F.sum(k).alias(f"{k}t") for k in named))
     before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(*by, *(F.coalesce(F.sum(f"{k}t").over(before), F.lit(0)).alias(f"{k}o") for k in named))
     here = Window.partitionBy(*by).orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.select("*", *(F.coalesce(F.sum(k).over(here), F.lit(0)).alias(f"{k}l") for k in named))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in by]
-    joined = local.alias("l").join(starts.alias("r"), on=same, how="inner")
-    return joined.select(*(F.col(f"l.{c}") for c in df.columns), *((F.col(f"l.{k}l") + F.col(f"r.{k}o")).alias(name) for k, name in zip(named, sums)))
+    local = valued.select("*", *(F.coalesce(F.sum(k).over(here), F.lit(0)).alias(f"{k}l") for k in named))
+    return _joined(local, starts, by, [(F.col(f"l.{k}l") + F.col(f"r.{k}o")).alias(name) for k, name in zip(named, sums)], table.columns)
+
+
+def row_before(table: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """Adds the value of column in the row of the same keys before (null for the first), to a table of placed: from the
+    same range, or the last row of the key's range before, of which there is one a range."""
+    by = [*keys, "__p"]
+    lasts = table.groupBy(*by).agg(F.max_by(F.struct(column), "__i").alias("__last"))
+    lasts = lasts.withColumn("__over", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__p"))).drop("__last")
+    local = table.withColumn("__in", F.lag(F.struct(column)).over(Window.partitionBy(*by).orderBy("__i")))
+    return _joined(local, lasts, by, [F.coalesce("l.__in", "r.__over")[column].alias(name)], table.columns)
+
+
+def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], name: str = "running") -> DataFrame:
+    """Adds, for each name in sums, the sum of that column over the rows of the same keys that come before in order. No
+    task holds a whole key. Rows alike in keys and order come in any order."""
+    return sums_before(placed(df, keys, order, name), keys, sums).drop("__i", "__p")
