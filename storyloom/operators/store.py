@@ -85,10 +85,11 @@ def aliases_of(characters: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def merge_characters(characters: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Folds characters into others: mapping (character_id, into). Pages widen, counts add, the target's texts stay."""
+    """Folds characters into others: mapping (character_id, into). Pages widen, the target's texts stay, and it
+    counts one sighting more for each that is folded in, whatever that one's own count."""
     moved = characters.join(mapping, "character_id", "left").withColumn("own", F.col("into").isNull()).withColumn("character_id", F.coalesce("into", "character_id"))
     texts = [F.max_by(c, "own").alias(c) for c in ("name", "role", "description")]
-    return moved.groupBy("work_id", "character_id").agg(*texts, F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"), F.sum("appearance_count").alias("appearance_count"), F.max("confidence").alias("confidence"))
+    return moved.groupBy("work_id", "character_id").agg(*texts, F.min("first_page").alias("first_page"), F.max("last_page").alias("last_page"), (F.coalesce(F.sum(F.when(F.col("own"), F.col("appearance_count"))), F.lit(0)) + F.count_if(~F.col("own"))).alias("appearance_count"), F.max("confidence").alias("confidence"))
 
 
 def fresh(cache: DataFrame, asked: DataFrame, now: Column, seconds: int) -> DataFrame:

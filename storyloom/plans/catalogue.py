@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crops, incremental, media, memory, pages, people, relational, sound, stored, story, streams  # noqa: F401
+from . import crops, incremental, ingest, media, memory, pages, people, relational, sound, stored, story, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -195,7 +195,7 @@ def appended_logs(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT 'w' AS work_id, c_custkey AS character_id, c_name AS name, CAST(c_custkey % 50 AS INTEGER) AS first_page, CAST(c_custkey % 50 + c_nationkey AS INTEGER) AS last_page, 1 + c_custkey % 4 AS appearance_count, round(c_acctbal, 2) AS confidence, CASE WHEN c_custkey % 5 = 0 AND c_custkey > 5 THEN c_custkey - 1 ELSE c_custkey END AS into_id FROM customer)
-SELECT into_id AS character_id, max(name) FILTER (WHERE into_id = character_id) AS name, min(first_page) AS first_page, max(last_page) AS last_page, CAST(sum(appearance_count) AS BIGINT) AS appearance_count, max(confidence) AS confidence FROM c GROUP BY 1""")
+SELECT into_id AS character_id, max(name) FILTER (WHERE into_id = character_id) AS name, min(first_page) AS first_page, max(last_page) AS last_page, CAST(coalesce(sum(appearance_count) FILTER (WHERE into_id = character_id), 0) + count(*) FILTER (WHERE into_id <> character_id) AS BIGINT) AS appearance_count, max(confidence) AS confidence FROM c GROUP BY 1""")
 def merged_unknowns(spark, sf_dir):
     k = F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select(F.lit("w").alias("work_id"), k.alias("character_id"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("description"), (k % 50).cast("int").alias("first_page"), (k % 50 + F.col("c_nationkey")).cast("int").alias("last_page"), (1 + k % 4).alias("appearance_count"), F.round("c_acctbal", 2).alias("confidence"))
