@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import elide, entity_id
-from .entities import fold
+from .entities import first_known, fold, last_known
 from .store import Store
 
 # Names that are none, the share of trust that a model's and a reference's facts have, and the metadata
@@ -43,23 +43,37 @@ def evidence(rows: DataFrame, kind: str, key: Column, value: Column, source: str
     return told.withColumn("evidence_id", entity_id("ev", *parts))
 
 
-def ingest_pages(store: Store, panels: DataFrame) -> None:
+def _seen_again(known: DataFrame, new: DataFrame, keys: list[str], overwrite: list[str] = ()) -> DataFrame:
+    """Rows of entities as they are after new sightings: the first name, the last of what is overwritten, pages that widen, counts that
+    add up, the greatest confidence."""
+    columns = [c for c in new.columns if c not in keys]
+    both = known.join(new.select(*keys), keys, "left_semi").select(*keys, *columns, F.lit(0).alias("__t")).unionByName(new.withColumn("__t", F.lit(1)))
+    how = {"first_page": F.min("first_page"), "last_page": F.max("last_page"), "appearance_count": F.sum("appearance_count").cast("int"), "confidence": F.max("confidence")}
+    rest = {c: last_known(c, ["__t"]) if c in overwrite else first_known(c, ["__t"]) for c in columns if c not in how}
+    return both.groupBy(*keys).agg(*((how | rest)[c].alias(c) for c in columns))
+
+
+def ingest_pages(store: Store, panels: DataFrame, batch: int = 0) -> None:
     """Pages into the store: characters, locations and events by key, with the pages on which they were seen first and last and
-    how often; evidence of every sighting of a character; and a checkpoint a page. Each table is one write, so a run
-    that dies between two is run again: counts come from the panels, not from what is stored."""
+    how often; evidence of every sighting of a character; and a checkpoint a page. Each table is one write that carries
+    the batch's number, so a run that died between two tables is run again under the same number, and the tables that
+    have it are left as they are. Numbers rise."""
+    mark = ("ingest", batch)
     seen = learned(panels).withColumn("page", F.col("page").cast("int"))
     kind = lambda k: seen.where(F.col("kind") == k)
     people = kind("character").withColumns({"character_id": entity_id("char", F.col("work_id"), F.lower("key")), "first_page": F.col("page"), "last_page": F.col("page"), "confidence": F.lit(BY_MODEL)})
-    folded = fold(people.withColumnsRenamed({"key": "name", "value": "description"}), ["work_id", "character_id"], ["page", "name", "description"], overwrite=["description"], fill=["name"], least=["first_page"], most=["last_page", "confidence"], count="appearance_count")
-    store.upsert("characters", folded.withColumn("appearance_count", F.col("appearance_count").cast("int")))
-    store.log("source_evidence", evidence(people, "character", F.col("character_id"), F.coalesce("value", "key"), MODEL, BY_MODEL, F.col("page")))
+    key = ["work_id", "character_id"]
+    folded = fold(people.withColumnsRenamed({"key": "name", "value": "description"}), key, ["page", "name", "description"], overwrite=["description"], fill=["name"], least=["first_page"], most=["last_page", "confidence"], count="appearance_count")
+    store.upsert("characters", _seen_again(store.table("characters"), folded, key, ["description"]), mark=mark)
+    store.log("source_evidence", evidence(people, "character", F.col("character_id"), F.coalesce("value", "key"), MODEL, BY_MODEL, F.col("page")), mark)
     places = kind("place").withColumns({"location_id": entity_id("loc", F.col("work_id"), F.lower("key")), "first_page": F.col("page"), "last_page": F.col("page")})
-    located = fold(places.withColumnRenamed("key", "name"), ["work_id", "location_id"], ["page", "name"], fill=["name"], least=["first_page"], most=["last_page"], count="appearance_count")
-    store.upsert("locations", located.withColumn("appearance_count", F.col("appearance_count").cast("int")))
+    key = ["work_id", "location_id"]
+    located = fold(places.withColumnRenamed("key", "name"), key, ["page", "name"], fill=["name"], least=["first_page"], most=["last_page"], count="appearance_count")
+    store.upsert("locations", _seen_again(store.table("locations"), located, key), mark=mark)
     happened = kind("event").select("work_id", entity_id("evt", F.col("work_id"), F.col("page").cast("string"), F.col("key")).alias("event_id"), F.col("page").alias("page_number"), F.lit("event").alias("event_type"), F.col("key").alias("description"))
-    store.upsert("events", happened.distinct())
+    store.upsert("events", happened.distinct(), mark=mark)
     done = panels.select("work_id", F.lit("ingest").alias("stage"), F.col("page").cast("string").alias("key_value"), F.lit("completed").alias("status")).distinct()
-    store.upsert("processing_checkpoints", done)
+    store.upsert("processing_checkpoints", done, mark=mark)
 
 
 def store_references(store: Store, books: DataFrame) -> None:

@@ -37,18 +37,19 @@ class Store:
         out = out.where(where) if where is not None else out
         return out.orderBy(*order) if order else out
 
-    def log(self, name: str, rows: DataFrame) -> None:
-        self.versions(name).add(rows)
+    def log(self, name: str, rows: DataFrame, mark: tuple[str, int] | None = None) -> bool:
+        return self.versions(name).add(rows, mark)
 
-    def upsert(self, name: str, rows: DataFrame, seq: list[str] = ()) -> None:
+    def upsert(self, name: str, rows: DataFrame, seq: list[str] = (), mark: tuple[str, int] | None = None) -> bool:
         """Rows put in by key, given values over known ones; rows that repeat a key become one first (e.one_row). Only
-        the works among the rows are rewritten, from the version before, which stays until vacuum."""
+        the works among the rows are rewritten, from the version before, which stays until vacuum. A mark that is there
+        already leaves the table as it is (False)."""
         ddl, keys = schema.STORE[name]
         at = self.versions(name)
         new = e.one_row(rows, list(keys), list(seq))
         works = new.select("work_id").distinct()
         old = at.read().alias("o").join(works.alias("w"), F.col("o.work_id").eqNullSafe(F.col("w.work_id")), "left_semi")
-        at.replace(e.merge_snapshot(old, new, list(keys)))
+        return at.replace(e.merge_snapshot(old, new, list(keys)), mark=mark)
 
     def delete(self, name: str, works: str | DataFrame, gone: Column) -> None:
         """Removes the rows of a work, or of works (work_id), for which gone holds; where it holds for all of them, the

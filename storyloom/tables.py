@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _own_dir: dict[str, str] = {}
+_scratch: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,9 +52,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._written_to = path
+    for made in _scratch:
+        made.append(table)
     return table
 
 
+@contextmanager
+def scratch(*kept: list[DataFrame]):
+    """Tables that materialize writes inside are deleted at the end, but for those in kept (a list that may be filled inside): what is
+    still to be run must read those alone. Nothing is deleted where an error leaves it."""
+    made: list[DataFrame] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+    stays = {id(t) for tables in kept for t in tables}
+    drop(*(t for t in made if id(t) not in stays))
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that materialize has written and that nothing still to be run reads."""
     for table in tables:

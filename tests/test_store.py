@@ -95,3 +95,19 @@ def test_merge_maps(spark):
     table = spark.createDataFrame([(1, {"a": True, "b": True}), (2, {"a": True})], "p INT, m MAP<STRING, BOOLEAN>")
     log = spark.createDataFrame([(1, "a", True, 1), (1, "a", False, 2), (3, "z", None, 1), (1, None, True, 1)], "p INT, n STRING, v BOOLEAN, seq INT")
     assert {r["p"]: r["m"] for r in e.merge_maps(table, log, "p", "m", "n", "v", "seq").collect()} == {1: {"a": False, "b": True}, 3: {"z": None}}
+
+
+def test_scratch_tables_go_but_for_the_kept(spark):
+    import os
+
+    from storyloom.tables import materialize, scratch
+
+    kept = []
+    with scratch(kept):
+        a = materialize(spark.range(3), "a")
+        kept.append(materialize(a.where("id > 0"), "b"))
+    assert not os.path.exists(a._written_to) and kept[0].count() == 2
+    with pytest.raises(ValueError), scratch():
+        a = materialize(spark.range(3), "a")
+        raise ValueError
+    assert a.count() == 3
