@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from storyloom.llm import langid, mixing, neardup, packing, quality
 from storyloom.llm.common import materialize
+from storyloom.tables import drop, scratch
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +44,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over all documents, each written and read again."""
+    """The stages in turn over all documents, each written and read again. When a stage is written, what it wrote on its way and the
+    stage before are deleted, so the shared folder holds one stage at a time."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, kept = docs, []
+        with scratch(kept):
+            docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            kept.append(docs)
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from storyloom.tables import running
+
 from .common import unused
 
 UNKNOWN = "und"
@@ -118,13 +120,15 @@ def train(x: Histograms, y: np.ndarray, n_langs: int, dim: int = 16, epochs: int
     return embed @ weight * scale, bias
 
 
-def fit(docs: DataFrame, per_lang: int = 500, reject_rate: float = 0.002, most_rows: int = 32_000) -> LanguageModel:
+def fit(docs: DataFrame, per_lang: int = 500, reject_rate: float = 0.002, most_rows: int = 32_000, most_bytes: int = 1 << 29) -> LanguageModel:
     """docs: doc_id, text, lang. Learns from rows that are not held out and have a text with a letter and a lang; every
     such value of lang can be predicted. Rows without a lang teach nothing; of equally likely languages the first in
     order counts; without rows to learn from, every document is und.
 
     The fit takes a bounded sample: about per_lang documents of each language, or fewer where all together would be more
-    than most_rows, drawn by a hash of the id and computed to histograms on the executors. A fifth of it calibrates: the temperature that
+    than most_rows, drawn by a hash of the id and computed to histograms on the executors; of these, each language's first in a
+    hashed order, up to its even share of most_bytes and one more, reach the driver, so what it holds is bounded in bytes. A fifth of
+    the sample calibrates (all of it where it has fewer than 20 rows): the temperature that
     makes its log-loss least, and the confidence that all but reject_rate of its rightly named documents reach."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -147,7 +151,9 @@ def fit(docs: DataFrame, per_lang: int = 500, reject_rate: float = 0.002, most_r
                     names.append(lang.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(values, pa.binary()), pa.array(names, pa.string())], names=["ids", "values", "lang"])
 
-    rows = drawn.select("text", "lang").mapInArrow(sparse, "ids binary, values binary, lang string").orderBy(F.xxhash64("ids")).limit(2 * per_lang * len(langs)).collect()
+    found = drawn.select("text", "lang").mapInArrow(sparse, "ids binary, values binary, lang string")
+    sized = running(found, ["lang"], [F.xxhash64("ids"), F.col("ids")], {"before": F.octet_length("ids") + F.octet_length("values")}, "languages")
+    rows = sized.where(F.col("before") <= most_bytes // len(langs)).orderBy(F.xxhash64("ids")).limit(2 * per_lang * len(langs)).collect()
     if not rows:
         return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     x, y = Histograms([(r["ids"], r["values"]) for r in rows]), np.array([langs.index(r["lang"]) for r in rows])

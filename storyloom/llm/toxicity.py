@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +113,14 @@ def around(symbol: str, reach: int, mark: str) -> Transducer:
 
 #: The composed grammar of a clause: its insults and threats with what is said about them.
 GRAMMAR = around("target", 4, "aimed").then(phrase("negation", 3, "negated")).then(phrase("report", None, "reported"))
+
+
+@lru_cache(maxsize=1 << 16)
+def _marks(symbols: tuple[str, ...]) -> list[frozenset[str]]:
+    """The marks of a clause; the same symbols are read once."""
+    return GRAMMAR.reading(list(symbols))[1]
+
+
 FEATURES = ("insult", "insult aimed", "insult negated", "insult reported", "threat", "threat aimed", "threat negated", "threat reported", "clauses", "strongest")
 
 
@@ -154,7 +162,7 @@ def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
         if "insult" not in symbols and "threat" not in symbols:
             continue
         total = 0.0
-        for word, symbol, marks in zip(clause, symbols, GRAMMAR.reading(symbols)[1]):
+        for word, symbol, marks in zip(clause, symbols, _marks(tuple(symbols))):
             if symbol not in HITS:
                 continue
             weight = hot.get(word, 1.0)
@@ -262,6 +270,8 @@ def _featured(sample: DataFrame, lexicons: list[Lexicon]) -> tuple[np.ndarray, n
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "toxic", "chooses"])
 
     rows = sample.select("text", "toxic", _chooses()).mapInArrow(run, "x array<double>, toxic int, chooses boolean").collect()
+    # Sums of floats depend on their order, and Spark gives none.
+    rows.sort(key=lambda r: (r["x"], r["toxic"], r["chooses"]))
     x = np.array([r["x"] for r in rows], float).reshape(len(rows), len(lexicons), len(FEATURES))
     return _scaled(x), np.array([r["toxic"] for r in rows], float), np.array([r["chooses"] for r in rows], bool)
 
