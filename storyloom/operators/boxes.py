@@ -40,7 +40,7 @@ def iou_pairs(boxes: DataFrame, page: list[str], cell: int = 512) -> DataFrame:
     return met.select(*(F.col(f"x.{k}").alias(k) for k in page), F.col("x.id").alias("a"), F.col("y.id").alias("b"), g.iou(F.col("x.box"), F.col("y.box")).alias("iou"))
 
 
-# Weights of the signals that choose the next box in a row.
+# Weights of the signals that choose the next box in a row.
 READING = {"overlap": 2.0, "horizontal": 1.5, "vertical": 0.3, "distance": 0.5}
 
 

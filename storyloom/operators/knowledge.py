@@ -180,9 +180,8 @@ def unit_or(value: Column, default: float) -> Column:
 
 def camera_zoom(camera: Column) -> Column:
     """Start and end zoom of a camera move; unknown moves stand still."""
-    moves = {"slow_zoom_in": "1.0,1.25", "slow_zoom_out": "1.25,1.0"}
-    part = F.split(looked_up(camera, moves, "1.0,1.0"), ",")
-    return F.struct(F.element_at(part, 1).cast("double").alias("start"), F.element_at(part, 2).cast("double").alias("end"))
+    zoom = lambda start, end: F.struct(F.lit(start).alias("start"), F.lit(end).alias("end"))
+    return F.when(camera == "slow_zoom_in", zoom(1.0, 1.25)).when(camera == "slow_zoom_out", zoom(1.25, 1.0)).otherwise(zoom(1.0, 1.0))
 
 
 def crop_of(width: Column, height: Column, regions: Column, critical: float = 0.6, aspect: float = 16 / 9) -> Column:

@@ -23,13 +23,13 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("work_id"), "event_id", page.alias("page_number"), F.floor(page / 20).cast("int").alias("chapter_id"), "event_type", (F.floor("value") / 100.0).alias("importance"))
 
 
-@query(f"""WITH e AS ({_EVENTS_SQL}) SELECT work_id, event_id, page_number, importance, CAST(row_number() OVER (PARTITION BY work_id ORDER BY page_number, event_id) AS INTEGER) AS position FROM e WHERE chapter_id BETWEEN 2 AND 9 AND event_type <> 'view' AND importance >= 0.3""")
+@query(f"""WITH e AS ({_EVENTS_SQL}) SELECT work_id, event_id, page_number, importance, row_number() OVER (PARTITION BY work_id ORDER BY page_number, event_id) AS position FROM e WHERE chapter_id BETWEEN 2 AND 9 AND event_type <> 'view' AND importance >= 0.3""")
 def store_events(spark, sf_dir):
     wanted = F.col("chapter_id").between(2, 9) & (F.col("event_type") != "view") & (F.col("importance") >= 0.3)
     return store.listed(_events(spark, sf_dir), ["work_id"], ["page_number", "event_id"], wanted).select("work_id", "event_id", "page_number", "importance", "position")
 
 
-@query("SELECT source AS work_id, doc_id AS summary_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id % 100, doc_id) AS INTEGER) AS position FROM documents WHERE lang = 'en' AND doc_id % 3 <> 0")
+@query("SELECT source AS work_id, doc_id AS summary_id, row_number() OVER (PARTITION BY source ORDER BY doc_id % 100, doc_id) AS position FROM documents WHERE lang = 'en' AND doc_id % 3 <> 0")
 def store_summaries(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("work_id"), F.col("doc_id").alias("summary_id"), "lang", (F.col("doc_id") % 100).alias("page_number"))
     return store.listed(rows, ["work_id"], ["page_number", "summary_id"], (F.col("lang") == "en") & (F.col("summary_id") % 3 != 0)).select("work_id", "summary_id", "position")
@@ -37,19 +37,19 @@ def store_summaries(spark, sf_dir):
 
 @query("""WITH l AS (SELECT l_suppkey % 50 AS a, l_partkey % 50 AS b, max(l_discount) AS confidence FROM lineitem WHERE l_suppkey % 50 <> l_partkey % 50 GROUP BY l_suppkey % 50, l_partkey % 50),
 o AS (SELECT a AS character_id, b AS other, confidence FROM l UNION ALL SELECT b, a, confidence FROM l)
-SELECT character_id, other, confidence, CAST(row_number() OVER (PARTITION BY character_id ORDER BY confidence DESC, other) AS INTEGER) AS position FROM (SELECT DISTINCT * FROM o)""")
+SELECT character_id, other, confidence, row_number() OVER (PARTITION BY character_id ORDER BY confidence DESC, other) AS position FROM (SELECT DISTINCT * FROM o)""")
 def relationships_of(spark, sf_dir):
     pairs = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 50).alias("character_a"), (F.col("l_partkey") % 50).alias("character_b")).agg(F.max("l_discount").alias("confidence")).where("character_a <> character_b")
     return store.listed(store.both_sides(pairs).distinct(), ["character_id"], [F.desc("confidence"), "other"])
 
 
-@query("""SELECT event_type AS entity_type, user_id AS entity_key, event_id, CAST(row_number() OVER (PARTITION BY event_type, user_id ORDER BY round(value, 2) DESC, ts, event_id) AS INTEGER) AS position FROM events""")
+@query("""SELECT event_type AS entity_type, user_id AS entity_key, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY round(value, 2) DESC, ts, event_id) AS position FROM events""")
 def evidence_of(spark, sf_dir):
     log = table(spark, sf_dir, "events").select(F.col("event_type").alias("entity_type"), F.col("user_id").alias("entity_key"), "event_id", F.round("value", 2).alias("confidence"), "ts")
     return store.listed(log, ["entity_type", "entity_key"], [F.desc("confidence"), "ts", "event_id"]).select("entity_type", "entity_key", "event_id", "position")
 
 
-@query("""SELECT o_custkey AS entity_key, o_orderkey AS conflict_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS position FROM orders WHERE o_orderstatus = 'O'""")
+@query("""SELECT o_custkey AS entity_key, o_orderkey AS conflict_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS position FROM orders WHERE o_orderstatus = 'O'""")
 def unresolved_conflicts(spark, sf_dir):
     log = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity_key"), F.col("o_orderkey").alias("conflict_id"), "o_orderdate", F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderstatus")).alias("resolution"))
     return store.listed(log, ["entity_key"], [F.desc("o_orderdate"), "conflict_id"], F.col("resolution") == "").select("entity_key", "conflict_id", "position")
@@ -65,21 +65,21 @@ def point_lookups(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT user_id AS work_id, CAST(event_id % 5 AS INTEGER) AS stage, event_id AS seq, ts, CASE event_type WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status FROM events)
-SELECT work_id, stage, arg_max(status, seq) AS status, max(ts) FILTER (WHERE status = 'running') AS started_at, max(ts) FILTER (WHERE status IN ('completed', 'failed')) AS completed_at, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY work_id, stage ORDER BY seq) AS k FROM l) WHERE true GROUP BY ALL""")
+SELECT work_id, stage, arg_max(status, seq) AS status, max(ts) FILTER (WHERE status = 'running') AS started_at, max(ts) FILTER (WHERE status IN ('completed', 'failed')) AS completed_at, count(*) AS n FROM l GROUP BY ALL""")
 def checkpoint_table(spark, sf_dir):
     kind = F.col("event_type")
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("work_id"), (F.col("event_id") % 5).cast("int").alias("stage"), F.col("event_id").alias("seq"), "ts", F.when(kind.isin("view", "click"), "running").when(kind == "purchase", "completed").otherwise("failed").alias("status"))
     return store.checkpoints(log, ["work_id", "stage"], "seq", "ts")
 
 
-@query("""WITH c AS (SELECT user_id % 50 AS work_id, event_type AS query, 'r' || arg_max(event_id, ts) AS result, max(ts) AS at FROM (SELECT * FROM events ORDER BY event_id) WHERE true GROUP BY ALL), n AS (SELECT max(ts) AS now FROM events),
+@query("""WITH c AS (SELECT user_id % 50 AS work_id, event_type AS query, 'r' || arg_max(event_id, ts) AS result, max(ts) AS at FROM events GROUP BY ALL), n AS (SELECT max(ts) AS now FROM events),
 a AS (SELECT DISTINCT user_id % 60 AS work_id, event_type AS query FROM events) SELECT a.work_id, a.query, CASE WHEN epoch(n.now) - epoch(c.at) <= 86400 * 20 THEN c.result END AS result FROM a CROSS JOIN n LEFT JOIN c ON a.work_id = c.work_id AND a.query = c.query""")
 def cached_research(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
-    now = ev.agg(F.max("ts").alias("now")).first()["now"]
-    cache = ev.select((F.col("user_id") % 50).alias("work_id"), F.col("event_type").alias("query"), F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("result"), F.col("ts").alias("fetched_at"))
+    now = F.broadcast(ev.agg(F.max("ts").alias("now")))  # one row
+    cache = ev.select((F.col("user_id") % 50).alias("work_id"), F.col("event_type").alias("query"), F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("result"), F.col("ts").alias("fetched_at")).crossJoin(now)
     asked = ev.select((F.col("user_id") % 60).alias("work_id"), F.col("event_type").alias("query")).distinct()
-    return store.fresh(cache, asked, F.lit(now), 86_400 * 20).select("work_id", "query", "result")
+    return store.fresh(cache, asked, F.col("now"), 86_400 * 20).select("work_id", "query", "result")
 
 
 @query("SELECT r_regionkey AS org_id, r_name AS name, string_agg(n_name, ',' ORDER BY n_name) AS members, count(n_name) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL")
@@ -116,14 +116,14 @@ def strongest_state(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT user_id % 20 AS work_id, user_id AS character_id, count(*) AS appearance_count, CASE WHEN min(event_id) % 2 = 0 THEN min(event_id) END AS first_page FROM events GROUP BY ALL)
-SELECT *, CAST(row_number() OVER (PARTITION BY work_id ORDER BY appearance_count DESC, first_page NULLS FIRST, character_id) AS INTEGER) AS position FROM c""")
+SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY appearance_count DESC, first_page NULLS FIRST, character_id) AS position FROM c""")
 def character_ranking(spark, sf_dir):
     seen = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 20).alias("work_id"), F.col("user_id").alias("character_id")).agg(F.count("*").alias("appearance_count"), F.min("event_id").alias("f"))
     rows = seen.select("work_id", "character_id", "appearance_count", F.when(F.col("f") % 2 == 0, F.col("f")).alias("first_page"))
     return store.listed(rows, ["work_id"], [F.desc("appearance_count"), F.asc_nulls_first("first_page"), "character_id"])
 
 
-@query("""SELECT s_nationkey AS work_id, s_suppkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS INTEGER) AS by_term, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS INTEGER) AS newest FROM supplier""")
+@query("""SELECT s_nationkey AS work_id, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS by_term, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS newest FROM supplier""")
 def store_listings(spark, sf_dir):
     rows = store.listed(table(spark, sf_dir, "supplier").withColumn("work_id", F.col("s_nationkey")), ["work_id"], ["s_name"], name="by_term")
     return store.listed(rows, ["work_id"], [F.desc("s_acctbal"), "s_suppkey"], name="newest").select("work_id", "s_suppkey", "by_term", "newest")
