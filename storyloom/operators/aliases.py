@@ -19,15 +19,21 @@ def runs(text: str, size: int) -> set[str]:
     return {text[i : i + size] for i in range(len(text) - size + 1)}
 
 
-def _spread(rows: DataFrame, key: str, text: str, all_sizes: bool) -> DataFrame:
-    """key and __run: the runs of texts, of one to RUN characters, or (not all_sizes) of RUN, or a shorter text itself."""
+#: Up to so many runs of aliases go to every task, which then sends on only what it needs; beyond, texts' runs meet them in a join.
+FEW_RUNS = 100_000
+
+
+def _spread(rows: DataFrame, key: str, text: str, all_sizes: bool, wanted: frozenset[str] | None = None) -> DataFrame:
+    """key and __run: the runs of texts, of one to RUN characters, or (not all_sizes) of RUN, or a shorter text itself; only those that are
+    wanted, if given."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for k, t in zip(batch.column(0), batch.column(1)):
                 t = t.as_py() or ""
-                found = sorted(set().union(*(runs(t, n) for n in range(1, RUN + 1))) if all_sizes else runs(t, min(RUN, len(t))))
+                found = list(set().union(*(runs(t, n) for n in range(1, RUN + 1))) if all_sizes else runs(t, min(RUN, len(t))))
+                found = found if wanted is None else [r for r in found if r in wanted]
                 for at in range(0, len(found), 50_000):
                     part = found[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(part), batch.schema.field(0).type), pa.array(part, pa.string())], names=[key, "__run"])
@@ -44,15 +50,18 @@ def mentions(texts: DataFrame, id: str, text: str, aliases: DataFrame, alias: st
     pairs unless an alias consists of such runs alone. Texts are not sent along: the ids that meet are joined back."""
     names = aliases.select(F.col(alias).alias("__alias")).where(F.length(F.col(alias)) > 0).distinct()
     keyed = _spread(names.withColumn("text", F.col("__alias")), "__alias", "text", False)
+    asked = materialize(keyed.select("__run").distinct(), "alias-asked")
+    few = asked.limit(FEW_RUNS + 1).count() <= FEW_RUNS
+    spread = _spread(texts, id, text, True, frozenset(r["__run"] for r in asked.collect()) if few else None)
     # Runs that no alias has are dropped before anything else is done with them.
-    table = materialize(_spread(texts, id, text, True).join(keyed.select("__run").distinct(), "__run", "left_semi"), "alias-runs")
+    table = materialize(spread if few else spread.join(asked, "__run", "left_semi"), "alias-runs")
     frequency = table.groupBy("__run").agg(F.count("*").alias("__n"))
     # A run that no text has brings an alias nowhere, as it then has no text either.
     rare = keyed.join(frequency, "__run", "left").groupBy("__alias").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__run").alias("run"))).alias("__b"))
-    asked = rare.where("__b.n > 0").select("__alias", F.col("__b.run").alias("__run"))
-    met = table.join(asked, "__run").select(id, "__alias")
+    waiting = rare.where("__b.n > 0").select("__alias", F.col("__b.run").alias("__run"))
+    met = table.join(waiting, "__run").select(id, "__alias")
     found = materialize(met.join(texts.select(id, text), id).where(F.contains(F.col(text), F.col("__alias"))).select(id, F.col("__alias").alias(alias)).distinct(), "alias-mentions")
-    drop(table)
+    drop(table, asked)
     return found
 
 

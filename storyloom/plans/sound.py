@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import signals as g
+from ..sources import readers, sinks
+from ..tables import new_path
 from .registry import query, table
 
 _CUT = 100
@@ -61,3 +63,32 @@ def effect_levels(spark, sf_dir):
     start = g.event_start(F.when(n == 0, F.col("l_partkey") / 10), F.when(n == 1, F.col("l_suppkey") / 4), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderkey") % 100))
     level = g.limited(F.col("l_quantity") / 50, F.col("o_orderkey") % 3 / 2, F.lit(0.6))
     return e.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", start.alias("starts"), level.alias("effect_level"))
+
+
+@query(f"""WITH {_EVENTS_SQL}, t AS (SELECT l_suppkey, max(n) AS n FROM ev GROUP BY 1), k AS (SELECT l_suppkey, unnest(range(n)) AS i, n FROM t),
+q AS (SELECT l_suppkey, n, trunc(least(0.98, greatest(-0.98, ((l_suppkey + i * 7) % 11 - 5) / 4.0::DOUBLE)) * 32767) / 32768 AS v FROM k)
+SELECT 'supplier-' || l_suppkey || '.wav' AS path, CAST(CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE 100 END AS INTEGER) AS rate, CASE WHEN l_suppkey % 9 > 0 THEN any_value(n) / 100.0::DOUBLE END AS seconds, CASE WHEN l_suppkey % 9 > 0 THEN round(max(abs(v)), 4) END AS peak, CASE WHEN l_suppkey % 9 > 0 THEN round(sqrt(avg(v * v)), 4) END AS rms, CASE WHEN l_suppkey % 9 > 0 THEN sqrt(avg(v * v)) < 0.005 END AS silent, l_suppkey % 9 = 0 AS bad FROM q GROUP BY l_suppkey""")
+def sound_files(spark, sf_dir):
+    """A supplier's longest sound as a WAV file of 16 bits, one in nine of them cut off, saved with the others and read again."""
+    longest = _events(spark, sf_dir).groupBy("l_suppkey").agg(F.max("n").alias("n"))
+    value = lambda i: ((F.col("l_suppkey") + i * 7) % 11 - 5) / 4.0
+    name = F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string"), F.lit(".wav"))
+    sounds = longest.select(name.alias("path"), (F.col("l_suppkey") % 9 == 0).alias("cut"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), value).alias("samples"))
+    files = readers.wav_files(sounds, F.lit(100))
+    content = F.when(F.col("cut"), F.substring("content", 1, 20)).otherwise(F.col("content"))
+    path = new_path(spark, "sounds")
+    sinks.write_snapshot(files.join(sounds.select("path", "cut"), "path").select("path", content.alias("content")), path)
+    facts = readers.sound_facts(sinks.read_snapshot(spark, path, "path STRING, content BINARY"))
+    return facts.select("path", "rate", "seconds", F.round("peak", 4).alias("peak"), F.round("rms", 4).alias("rms"), "silent", F.col("error").isNotNull().alias("bad"))
+
+
+@query("""SELECT CAST(o_orderkey % 40 AS INTEGER) AS number, count(*) AS n_orders FROM orders WHERE o_orderkey % 40 <> 13 GROUP BY 1""")
+def listed_pages(spark, sf_dir):
+    """Pages are saved one a folder; the numbers that are there come from the files' names alone, and each page's rows from a read of its
+    folder only."""
+    path = new_path(spark, "pages")
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 40 <> 13")
+    orders.select((F.col("o_orderkey") % 40).alias("page"), F.col("o_orderkey").cast("string").alias("value")).repartition("page").write.partitionBy("page").text(path)
+    there = readers.listing(spark, f"{path}/*", r"page=(\d+)/[^/]*$").select("number").distinct()
+    rows = spark.read.schema("value STRING, page INT").text(path).groupBy(F.col("page").alias("number")).agg(F.count("*").alias("n_orders"))
+    return there.join(rows, "number")

@@ -98,6 +98,16 @@ def wav(rate: int, data: np.ndarray, most: float = 0.98) -> bytes:
     return out.getvalue()
 
 
+def wav_files(sounds: DataFrame, rate: Column) -> DataFrame:
+    """sounds (path, samples: doubles) as path and content: 16-bit WAV files, a row each; a sound is one file, so it is made whole."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"path": frame["path"], "content": [wav(int(r), np.asarray(x, dtype=np.float64)) for r, x in zip(frame["rate"], frame["samples"])]})
+
+    return sounds.select("path", rate.alias("rate"), "samples").mapInPandas(run, "path string, content binary")
+
+
 def one_of(*columns: Column) -> Column:
     """The first known value: a cascade of sources in order of trust."""
     return F.coalesce(*columns)

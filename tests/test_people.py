@@ -20,7 +20,9 @@ def value(spark, column, *texts):
     return [row["o"] for row in df.select("i", column(F.col("v")).alias("o")).orderBy("i").collect()]
 
 
-def test_mentions_equal_contains_over_all_pairs(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_mentions_equal_contains_over_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(a, "FEW_RUNS", few)
     rng = random.Random(1)
     texts = [(i, "".join(rng.choice("aabなに xyz") for _ in range(rng.randint(0, 60)))) for i in range(120)] + [(500, None), (501, ""), (502, "ab" * 5000)]
     names = ["a", "な", "ab", "なに", "aba", "xyzx", "aaaa", "に x", "nowhere", "", None, "ab" * 30, "ab"]
