@@ -29,27 +29,27 @@ def _blocks(events):
 
 
 @query(f"""WITH {_EVENTS_SQL}, s AS (SELECT track, start + i AS p, sum(v * volume) AS v FROM smp WHERE start + i >= 0 GROUP BY ALL)
-SELECT track, p // 1024 * 1024 AS at, round(sum(v), 4) AS total, round(max(abs(v)), 6) AS peak, count(*) FILTER (WHERE abs(v) > 1e-9) AS n_sounding FROM s GROUP BY ALL""")
+SELECT track, p // 1024 * 1024 AS at, round(sum(v), 4) + 0.0 AS total, round(max(abs(v)), 6) AS peak, count(*) FILTER (WHERE abs(v) > 1e-9) AS n_sounding FROM s GROUP BY ALL""")
 def mixed_sections(spark, sf_dir):
     """All sounds of a track added up, by section."""
     e = _blocks(_events(spark, sf_dir))
     pieces = e.select("track", (F.col("start") + F.col("at")).alias("at"), F.transform("samples", lambda v: v * F.col("volume")).alias("samples"))
     mix = g.overlap_add(pieces, ["track"], 1024)
     total = F.aggregate("samples", F.lit(0.0), lambda s, v: s + v)
-    return mix.select("track", "at", F.round(total, 4).alias("total"), F.round(F.array_max(F.transform("samples", F.abs)), 6).alias("peak"), F.size(F.filter("samples", lambda v: F.abs(v) > 1e-9)).cast("long").alias("n_sounding"))
+    return mix.select("track", "at", (F.round(total, 4) + 0.0).alias("total"), F.round(F.array_max(F.transform("samples", F.abs)), 6).alias("peak"), F.size(F.filter("samples", lambda v: F.abs(v) > 1e-9)).cast("long").alias("n_sounding"))
 
 
 @query(f"""WITH {_EVENTS_SQL}, t AS (SELECT l_suppkey, max(n) AS n FROM ev GROUP BY 1), m AS (SELECT *, CAST(round_even(n * (800 + l_suppkey % 5 * 150) / 1000.0::DOUBLE, 0) AS BIGINT) AS m FROM t),
 k AS (SELECT *, unnest(range(m)) AS k FROM m), x AS (SELECT *, CASE WHEN k = m - 1 AND m > 1 AND n > 1 THEN n - 1 WHEN m > 1 AND n > 1 THEN k * ((n - 1) / CAST(m - 1 AS DOUBLE)) ELSE 0 END::DOUBLE AS x FROM k),
 v AS (SELECT *, ((l_suppkey + floor(x)::BIGINT * 7) % 11 - 5) / 10.0::DOUBLE AS a, ((l_suppkey + (floor(x)::BIGINT + 1) * 7) % 11 - 5) / 10.0::DOUBLE AS c FROM x),
 r AS (SELECT l_suppkey, k, CASE WHEN floor(x) >= n - 1 THEN a ELSE (c - a) * (x - floor(x)) + a END AS v FROM v)
-SELECT l_suppkey, count(*) AS n, round(sum(v * (k % 10 + 1)), 4) AS total, round(sqrt(avg(v * v)), 6) AS rms, round(20 * log10(greatest(max(abs(v)), 1e-9)), 4) AS peak_db, sqrt(avg(v * v)) < 0.005 AS silent FROM r GROUP BY 1""")
+SELECT l_suppkey, count(*) AS n, round(sum(v * (k % 10 + 1)), 4) + 0.0 AS total, round(sqrt(avg(v * v)), 6) AS rms, round(20 * log10(greatest(max(abs(v)), 1e-9)), 4) AS peak_db, sqrt(avg(v * v)) < 0.005 AS silent FROM r GROUP BY 1""")
 def resampled_levels(spark, sf_dir):
     """A supplier's longest sound at another rate, and its levels."""
     longest = _events(spark, sf_dir).groupBy("l_suppkey").agg(F.max("n").alias("n"))
     sound = g.resampled(_blocks(longest).select("l_suppkey", "at", "samples"), ["l_suppkey"], F.lit(1000), 800 + F.col("l_suppkey") % 5 * 150)
     weighted = F.aggregate(F.transform("samples", lambda v, i: v * ((F.col("at") + i) % 10 + 1)), F.lit(0.0), lambda s, v: s + v)
-    totals = sound.groupBy("l_suppkey").agg(F.round(F.sum(weighted), 4).alias("total"))
+    totals = sound.groupBy("l_suppkey").agg((F.round(F.sum(weighted), 4) + 0.0).alias("total"))
     level = g.levels(sound, ["l_suppkey"]).select("l_suppkey", "n", F.round("rms", 6).alias("rms"), F.round("peak_db", 4).alias("peak_db"), "silent")
     return level.join(totals, "l_suppkey")
 
