@@ -14,9 +14,13 @@ _EVENTS_SQL = """ev AS (SELECT l_orderkey % 50 AS track, row_number() OVER (ORDE
 smp AS (SELECT track, id, n, start, volume, i, ((l_suppkey + i * 7) % 11 - 5) / 10.0::DOUBLE AS v FROM (SELECT *, unnest(range(n)) AS i FROM ev))"""
 
 
+def _line_id():
+    return F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
+
+
 def _events(spark, sf_dir):
     """A sound for each line: its track, place, volume and samples in blocks of _CUT."""
-    lines = table(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))))
+    lines = table(spark, sf_dir, "lineitem").withColumn("id", _line_id())
     start = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey") * 37 % 5000 - 40).otherwise(F.col("l_partkey") * 3 % 900)
     return lines.select((F.col("l_orderkey") % 50).alias("track"), "id", (F.col("l_quantity") * 4).cast("long").alias("n"), "l_suppkey", start.cast("long").alias("start"), F.col("l_discount").alias("volume"))
 
@@ -34,11 +38,38 @@ def mixed_sections(spark, sf_dir):
     """All sounds of a track added up, by section."""
     e = _blocks(_events(spark, sf_dir))
     pieces = e.select("track", (F.col("start") + F.col("at")).alias("at"), F.transform("samples", lambda v: v * F.col("volume")).alias("samples"))
-    mix = g.overlap_add(pieces, ["track"], 1024)
+    return _sections(g.overlap_add(pieces, ["track"], 1024))
+
+
+def _sections(mix):
     total = F.aggregate("samples", F.lit(0.0), lambda s, v: s + v)
     return mix.select("track", "at", (F.round(total, 4) + 0.0).alias("total"), F.round(F.array_max(F.transform("samples", F.abs)), 6).alias("peak"), F.size(F.filter("samples", lambda v: F.abs(v) > 1e-9)).cast("long").alias("n_sounding"))
 
 
+_EFFECTS_SQL = """e AS (SELECT l_orderkey % 50 AS track, l_suppkey, CAST(l_quantity * 4 AS BIGINT) AS n, 800 + l_suppkey % 5 * 150 AS rate, CASE WHEN l_linenumber % 2 = 0 THEN (l_partkey * 37 % 5000 - 40) / 1000.0::DOUBLE END AS own, (l_partkey * 3 % 900) / 1000.0::DOUBLE AS behind, CASE WHEN l_suppkey % 4 > 0 THEN l_suppkey % 4 END AS segment,
+CASE WHEN l_linenumber % 3 > 0 THEN l_partkey % 300 / 1000.0::DOUBLE END AS duration, l_discount * 10 - 0.1::DOUBLE AS volume, l_orderkey % 50 % 3 / 2.0::DOUBLE AS peak FROM lineitem),
+p AS (SELECT *, CAST(round_even(n * 1000.0::DOUBLE / rate, 0) AS BIGINT) AS m, CAST(round_even(coalesce(own, coalesce(segment, 0) + behind) * 1000, 0) AS BIGINT) AS start, coalesce(CAST(round_even(duration * 1000, 0) AS BIGINT), 0) AS want, CASE WHEN volume > 0 THEN least(volume, CASE WHEN peak > 0 THEN least(0.6::DOUBLE, 0.5::DOUBLE * peak) ELSE 0.6::DOUBLE END) ELSE 0 END::DOUBLE AS level FROM e),
+k AS (SELECT *, unnest(range(f)) AS k FROM (SELECT *, CASE WHEN want > 0 THEN want ELSE m END AS f, least(20, CASE WHEN want > 0 THEN want ELSE m END) AS fade FROM p)),
+x AS (SELECT *, CASE WHEN k = m - 1 THEN n - 1 ELSE k * ((n - 1) / CAST(m - 1 AS DOUBLE)) END::DOUBLE AS x FROM k),
+v AS (SELECT *, ((l_suppkey + floor(x)::BIGINT * 7) % 11 - 5) / 10.0::DOUBLE AS a, ((l_suppkey + (floor(x)::BIGINT + 1) * 7) % 11 - 5) / 10.0::DOUBLE AS c FROM x),
+w AS (SELECT *, CASE WHEN k >= m THEN 0 WHEN floor(x) >= n - 1 THEN a ELSE (c - a) * (x - floor(x)) + a END * CASE WHEN fade > 1 AND k < fade THEN k / CAST(fade - 1 AS DOUBLE) ELSE 1 END * CASE WHEN fade > 1 AND k >= f - fade THEN 1 - (k - (f - fade)) / CAST(fade - 1 AS DOUBLE) ELSE 1 END * level AS v FROM v)"""
+
+
+@query(f"""WITH {_EFFECTS_SQL}, s AS (SELECT track, start + k AS p, sum(v) AS v FROM w WHERE start + k >= 0 GROUP BY ALL)
+SELECT track, p // 1024 * 1024 AS at, round(sum(v), 4) + 0.0 AS total, round(max(abs(v)), 6) AS peak, count(*) FILTER (WHERE abs(v) > 1e-9) AS n_sounding FROM s GROUP BY ALL""")
+def effect_mix(spark, sf_dir):
+    """Every line's sound as an effect: brought to one rate, cut or padded to its duration, faded, at its level beside the
+    track's narration, and added at its place; by section of a track."""
+    e = _events(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").withColumn("id", _line_id())
+    start = F.when(F.col("l_linenumber") % 2 == 0, (F.col("l_partkey") * 37 % 5000 - 40) / 1000)
+    events = lines.select("id", (F.col("l_orderkey") % 50).alias("track"), start.alias("start_time"), (F.col("l_partkey") * 3 % 900 / 1000).alias("offset"), F.when(F.col("l_suppkey") % 4 > 0, F.col("l_suppkey") % 4).alias("segment_start"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_partkey") % 300 / 1000).alias("duration"), (F.col("l_discount") * 10 - 0.1).alias("volume"))
+    sounds = _blocks(e).select("id", (800 + F.col("l_suppkey") % 5 * 150).alias("rate"), "at", "samples")
+    placed = g.effects(events, sounds, "id", 1000, F.col("track") % 3 / 2, F.lit(0.6))
+    mix = g.overlap_add(placed.join(events.select("id", "track"), "id").select("track", "at", "samples"), ["track"], 1024)
+    return _sections(mix)
+
+
 @query(f"""WITH {_EVENTS_SQL}, t AS (SELECT l_suppkey, max(n) AS n FROM ev GROUP BY 1), m AS (SELECT *, CAST(round_even(n * (800 + l_suppkey % 5 * 150) / 1000.0::DOUBLE, 0) AS BIGINT) AS m FROM t),
 k AS (SELECT *, unnest(range(m)) AS k FROM m), x AS (SELECT *, CASE WHEN k = m - 1 AND m > 1 AND n > 1 THEN n - 1 WHEN m > 1 AND n > 1 THEN k * ((n - 1) / CAST(m - 1 AS DOUBLE)) ELSE 0 END::DOUBLE AS x FROM k),
 v AS (SELECT *, ((l_suppkey + floor(x)::BIGINT * 7) % 11 - 5) / 10.0::DOUBLE AS a, ((l_suppkey + (floor(x)::BIGINT + 1) * 7) % 11 - 5) / 10.0::DOUBLE AS c FROM x),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ..operators import entities as e
 from ..operators import knowledge as k
+from ..operators.jobs import FIELDS, Pipeline, fingerprint
 from ..operators.store import Store
 from ..sources import sinks
 from ..sources.versions import Versions
@@ -89,3 +91,39 @@ def shot_reports(spark, sf_dir):
     path = new_path(spark, "shot-reports")
     sinks.write_snapshot(sinks.shot_report(shots, ["l_orderkey"]), path)
     return sinks.read_snapshot(spark, path, "l_orderkey BIGINT, report STRING, n_shots BIGINT, seconds DOUBLE")
+
+
+@query("""SELECT n_nationkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total, 'customers completed 1, nations completed 2, listing completed 1' AS stages, 'customers failed; nations listing; ' AS runs FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
+def staged_runs(spark, sf_dir):
+    """Three stages over orders, of which the second fails at first: the next run goes on there, a third finds nothing to do.
+    Each nation's totals from the last stage, with what the control table says and what the three runs did."""
+    path, broken = new_path(spark, "staged-runs"), ["once"]
+    saved = lambda name, ddl: sinks.read_snapshot(spark, f"{path}/{name}", ddl)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+
+    def customers(spark):
+        sums = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total"))
+        sinks.write_snapshot(sums, f"{path}/customers")
+
+    def nations(spark):
+        sums = saved("customers", "c_custkey BIGINT, n_orders BIGINT, total DOUBLE").join(table(spark, sf_dir, "customer"), "c_custkey")
+        if broken:
+            broken.pop()
+            sums = sums.withColumn("total", F.raise_error(F.lit("the first attempt fails")).cast("double"))
+        sinks.write_snapshot(sums.groupBy("c_nationkey").agg(F.sum("n_orders").alias("n_orders"), F.sum("total").alias("total")), f"{path}/nations")
+
+    def listing(spark):
+        totals = saved("nations", "c_nationkey INT, n_orders BIGINT, total DOUBLE").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        sinks.write_snapshot(totals.select("n_nationkey", "n_orders", F.round("total", 2).alias("total")), f"{path}/listing")
+
+    run = Pipeline(spark, f"{path}/control", [("customers", customers), ("nations", nations), ("listing", listing)])
+    of, runs = fingerprint(orders), []
+    for _ in range(3):
+        try:
+            runs.append(" ".join(run.run(of)))
+        except PySparkException:
+            runs.append(" ".join([n for n, s in run.state.items() if s["status"] == "completed"] + ["failed"]))
+    control = F.array_sort(F.collect_list(F.struct("position", F.concat_ws(" ", "stage", "status", F.col("attempts").cast("string")).alias("line"))))
+    stages = sinks.read_snapshot(spark, f"{path}/control", FIELDS).agg(F.array_join(F.transform(control, lambda s: s["line"]), ", ").alias("stages"))
+    # One row, so each nation meets it once.
+    return saved("listing", "n_nationkey INT, n_orders BIGINT, total DOUBLE").crossJoin(stages).withColumn("runs", F.lit("; ".join(runs)))
