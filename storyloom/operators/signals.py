@@ -14,12 +14,19 @@ SILENT = 0.005
 BELOW = 0.5
 FADE = 0.02
 
+#: Samples of a block of silence.
+PIECE = 4_096
+
 
 def lengths(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """keys and n, the samples of each signal."""
     return blocks.groupBy(*keys).agg(F.max(F.col("at") + F.size("samples")).cast("long").alias("n"))
 
 
+def resampled_length(n: Column, rate: Column, to: Column) -> Column:
+    return F.when(rate == to, n).otherwise(F.bround(n * to.cast("double") / rate.cast("double")).cast("long"))
+
+
 def resampled(blocks: DataFrame, keys: list[str], rate: Column, to: Column) -> DataFrame:
     """blocks (keys, at, samples: doubles; gapless) at a rate, both positive, at another one, by linear interpolation
     from the first sample to the last. A signal's length changes in proportion, rounded half to even; of no length
@@ -27,53 +34,90 @@ def resampled(blocks: DataFrame, keys: list[str], rate: Column, to: Column) -> D
 
     A sample lies between two old ones, which may be the last of a block and the first of the next: each block is sent
     the first sample of its neighbour, by a join on the place where it ends, so no task holds a signal."""
-    out = F.bround(F.col("n") * F.col("__to") / F.col("__rate")).cast("long")
     sized = blocks.select(*keys, "at", "samples", rate.cast("double").alias("__rate"), to.cast("double").alias("__to")).where(F.size("samples") > 0)
-    sized = sized.join(lengths(blocks, keys), keys).withColumn("__m", F.when(F.col("__rate") == F.col("__to"), F.col("n")).otherwise(out)).where("__m > 0")
+    sized = sized.join(lengths(blocks, keys), keys).withColumn("__m", resampled_length(F.col("n"), F.col("__rate"), F.col("__to"))).where("__m > 0")
     halo = blocks.where(F.size("samples") > 0).select(*keys, F.col("at").alias("__end"), F.get("samples", F.lit(0)).alias("__next"))
     joined = sized.withColumn("__end", F.col("at") + F.size("samples")).join(halo, [*keys, "__end"], "left")
     known = F.when(F.col("__next").isNull(), F.col("samples")).otherwise(F.array_append("samples", F.col("__next")))
     step = F.when((F.col("__m") > 1) & (F.col("n") > 1), (F.col("n") - 1) / (F.col("__m") - 1).cast("double")).otherwise(0.0)
     joined = joined.select(*keys, F.col("at").alias("__begin"), "__end", "n", F.col("__m").alias("m"), known.alias("known"), step.alias("step"))
-    # The new samples whose old place is in [at, end): about at / step to end / step; the place itself decides.
-    place = lambda k: F.when((k == F.col("m") - 1) & (F.col("step") > 0), (F.col("n") - 1).cast("double")).otherwise(k * F.col("step"))
-    low = F.when(F.col("step") > 0, F.greatest(F.lit(0), F.floor(F.col("__begin") / F.col("step")) - 1)).otherwise(F.lit(0))
-    high = F.when(F.col("step") > 0, F.least(F.col("m") - 1, F.ceil(F.col("__end") / F.col("step")) + 1)).otherwise(F.col("m") - 1)
-    mine = F.filter(F.sequence(low.cast("long"), high.cast("long")), lambda k: (F.floor(place(k)) >= F.col("__begin")) & (F.floor(place(k)) < F.col("__end")))
-
-    def value(k: Column) -> Column:
-        i = (F.floor(place(k)) - F.col("__begin")).cast("int")
-        a, b = F.get("known", i), F.get("known", i + 1)
-        return F.coalesce((b - a) * (place(k) - F.floor(place(k))) + a, a)
 
-    made = joined.withColumn("__k", mine).where(F.size("__k") > 0)
-    return made.select(*keys, F.get("__k", F.lit(0)).alias("at"), F.transform("__k", value).alias("samples"))
+    def between(known: np.ndarray, begin: int, end: int, n: int, m: int, step: float) -> tuple[int, np.ndarray]:
+        # The new samples whose old place is in [begin, end): about begin / step to end / step; the place itself decides.
+        k = np.arange(max(0, int(begin / step) - 1), min(m - 1, int(np.ceil(end / step)) + 1) + 1) if step else np.arange(m)
+        place = k * step
+        place[k == m - 1] = n - 1 if step else 0.0
+        whole = np.floor(place)
+        mine = (whole >= begin) & (whole < end)
+        k, place, whole = k[mine], place[mine], whole[mine]
+        i = whole.astype(np.int64) - begin
+        a, b = known[i], known[np.minimum(i + 1, len(known) - 1)]
+        return int(k[0]) if len(k) else 0, (b - a) * (place - whole) + a
 
+    return _by_block(joined.select(*keys, F.col("known").alias("samples"), "__begin", "__end", "n", "m", "step"), keys, between)
 
-def ramp(place: Column, n: Column, rate: Column, fade_in: Column, fade_out: Column) -> Column:
-    """The factor of a linear fade at a place of a signal of n samples; fades are cut to its length, and one of a
-    sample or none does nothing."""
-    count = lambda s: F.least(F.greatest(F.bround(s * rate), F.lit(0)).cast("long"), n)
-    a, b = count(fade_in), count(fade_out)
-    first = F.when((a > 1) & (place < a), place / (a - 1).cast("double")).otherwise(1.0)
-    last = F.when((b > 1) & (place >= n - b), 1.0 - (place - (n - b)) / (b - 1).cast("double")).otherwise(1.0)
-    return first * last
 
+def _by_block(rows: DataFrame, keys: list[str], made) -> DataFrame:
+    """keys, at, samples: what made(samples, *the columns behind them) gives for each row, empty signals left out. Rows leave in
+    small batches, as what a row gives may be longer than the row."""
+    kind = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
 
-def faded(blocks: DataFrame, keys: list[str], rate: Column, fade_in: Column, fade_out: Column) -> DataFrame:
-    """Blocks with their signal faded in and out, over so many seconds."""
-    whole = blocks.join(lengths(blocks, keys), keys)
-    out = F.transform("samples", lambda v, i: v * ramp(F.col("at") + i, F.col("n"), rate, fade_in, fade_out))
-    return whole.withColumn("samples", out).select(*blocks.columns)
-
-
-def fitted(blocks: DataFrame, keys: list[str], n: Column) -> DataFrame:
-    """Blocks of a signal cut to its first n samples, or followed by silence up to n; n null or 0 leaves it."""
-    asked = blocks.withColumn("__n", F.coalesce(n.cast("long"), F.lit(0)))
-    cut = asked.withColumn("samples", F.when(F.col("__n") > 0, F.slice("samples", F.lit(1), F.greatest(F.lit(0), F.least(F.size("samples"), F.col("__n") - F.col("at"))).cast("int"))).otherwise(F.col("samples")))
-    have = cut.groupBy(*keys).agg(F.max(F.col("at") + F.size("samples")).alias("__have"), F.max("__n").alias("__n"))
-    rest = have.where("__n > __have").select(*keys, F.col("__have").cast("long").alias("at"), F.array_repeat(F.lit(0.0), (F.col("__n") - F.col("__have")).cast("int")).alias("samples"))
-    return cut.where(F.size("samples") > 0).select(*keys, "at", "samples").unionByName(rest)
+    def run(batches):
+        for batch in batches:
+            arrays = batch.column(len(keys))
+            values, ends = arrays.flatten().to_numpy(zero_copy_only=False), np.cumsum(arrays.value_lengths().to_numpy(zero_copy_only=False))
+            rest = [batch.column(c).to_pylist() for c in range(len(keys) + 1, batch.num_columns)]
+            picked, at, out, size = [], [], [], 0
+
+            def given():
+                ids = pa.array(picked, pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(v) for v in out]), pa.int32()), pa.array(np.concatenate(out), pa.float64()))
+                return pa.RecordBatch.from_arrays([*(batch.column(c).take(ids) for c in range(len(keys))), pa.array(at, pa.int64()), lists], names=[*keys, "at", "samples"])
+
+            for r, more in enumerate(zip(*rest)):
+                place, new = made(values[(ends[r - 1] if r else 0) : ends[r]], *more)
+                if not len(new):
+                    continue
+                picked.append(r), at.append(place), out.append(new)
+                size += len(new)
+                if size >= 1 << 20:
+                    yield given()
+                    picked, at, out, size = [], [], [], 0
+            if picked:
+                yield given()
+
+    return rows.mapInArrow(run, f"{kind}, at long, samples array<double>")
+
+
+def faded(blocks: DataFrame, keys: list[str], rate: Column, fade_in: Column, fade_out: Column, sizes: DataFrame | None = None) -> DataFrame:
+    """Blocks with their signal faded in and out, linearly over so many seconds; fades are cut to its length, and one of a
+    sample or none does nothing. sizes: the signals' lengths (keys, n), where they are known."""
+    whole = blocks.join(lengths(blocks, keys) if sizes is None else sizes, keys)
+    count = lambda s: F.least(F.greatest(F.bround(s * rate), F.lit(0)).cast("long"), F.col("n"))
+
+    def ramped(samples: np.ndarray, at: int, n: int, a: int, b: int) -> tuple[int, np.ndarray]:
+        place, out = np.arange(at, at + len(samples)), samples.copy()
+        if a > 1:
+            out[place < a] *= place[place < a] / (a - 1)
+        if b > 1:
+            out[place >= n - b] *= 1.0 - (place[place >= n - b] - (n - b)) / (b - 1)
+        return at, out
+
+    return _by_block(whole.select(*keys, "samples", "at", "n", count(fade_in).alias("__a"), count(fade_out).alias("__b")), keys, ramped)
+
+
+def fitted(blocks: DataFrame, keys: list[str], n: Column, sizes: DataFrame | None = None) -> DataFrame:
+    """Blocks of a signal cut to its first n samples, or followed by silence up to n, in blocks too; n null or 0 leaves it. n
+    is a column of blocks, or of sizes (keys, n: the signals' lengths) where they are known."""
+    if sizes is None:
+        wanted = blocks.groupBy(*keys).agg(F.max(F.col("at") + F.size("samples")).alias("__have"), F.max(F.coalesce(n.cast("long"), F.lit(0))).alias("__n"))
+    else:
+        wanted = sizes.select(*keys, F.col("n").alias("__have"), F.coalesce(n.cast("long"), F.lit(0)).alias("__n"))
+    cut = blocks.select(*keys, "at", "samples").join(wanted, keys).where("size(samples) > 0 AND (__n = 0 OR at < __n)")
+    kept = F.when((F.col("__n") > 0) & (F.col("at") + F.size("samples") > F.col("__n")), F.slice("samples", F.lit(1), (F.col("__n") - F.col("at")).cast("int"))).otherwise(F.col("samples"))
+    silence = wanted.where("__n > __have").select(*keys, "__n", F.explode(F.sequence(F.col("__have").cast("long"), F.col("__n") - 1, F.lit(PIECE).cast("long"))).alias("at"))
+    rest = silence.select(*keys, "at", F.array_repeat(F.lit(0.0), F.least(F.lit(PIECE), F.col("__n") - F.col("at")).cast("int")).alias("samples"))
+    return cut.select(*keys, "at", kept.alias("samples")).unionByName(rest)
 
 
 def overlap_add(pieces: DataFrame, keys: list[str], size: int = 4_096) -> DataFrame:
@@ -149,10 +193,13 @@ def event_start(start: Column, offset: Column, segment_start: Column) -> Column:
 def effects(events: DataFrame, blocks: DataFrame, id: str, rate: int, narration_peak: Column, cap: Column) -> DataFrame:
     """events (id, start_time, offset, segment_start, volume, duration) with the sound of each (blocks: id, rate, at,
     samples): resampled, cut or padded to its duration, faded, at its level, and moved to its place: id, at, samples."""
-    sound = resampled(blocks, [id], F.col("rate"), F.lit(rate))
+    sizes = blocks.groupBy(id).agg(F.max(F.col("at") + F.size("samples")).cast("long").alias("__old"), F.max("rate").alias("__rate"))
     wanted = events.select(id, F.bround(F.col("duration") * rate).cast("long").alias("__want"))
-    sound = fitted(sound.join(wanted, id), [id], F.col("__want"))
-    sound = faded(sound, [id], F.lit(rate), F.lit(FADE), F.lit(FADE))
+    sizes = sizes.join(wanted, id).select(id, resampled_length(F.col("__old"), F.col("__rate"), F.lit(rate)).alias("n"), "__want")
+    # Lengths are worked out beside the samples, so that each sample is made once.
+    sound = fitted(resampled(blocks, [id], F.col("rate"), F.lit(rate)), [id], F.col("__want"), sizes)
+    known = sizes.select(id, F.when(F.col("__want") > 0, F.col("__want")).otherwise(F.col("n")).alias("n"))
+    sound = faded(sound, [id], F.lit(rate), F.lit(FADE), F.lit(FADE), known)
     level = F.when(F.col("volume") > 0, limited(F.col("volume"), narration_peak, cap)).otherwise(0.0)
     start = F.bround(event_start(F.col("start_time"), F.col("offset"), F.col("segment_start")) * rate).cast("long")
     placed = sound.join(events.select(id, level.alias("__level"), start.alias("__start")), id)
