@@ -30,31 +30,44 @@ def resampled_length(n: Column, rate: Column, to: Column) -> Column:
 def resampled(blocks: DataFrame, keys: list[str], rate: Column, to: Column) -> DataFrame:
     """blocks (keys, at, samples: doubles; gapless) at a rate, both positive, at another one, by linear interpolation
     from the first sample to the last. A signal's length changes in proportion, rounded half to even; of no length
-    it has no rows. Blocks that come out are as their sources cut them.
+    it has no rows. Blocks that come out are as their sources cut them."""
+    return _by_block(_with_next(blocks, keys, rate, to, []), keys, _between)
 
-    A sample lies between two old ones, which may be the last of a block and the first of the next: each block is sent
-    the first sample of its neighbour, by a join on the place where it ends, so no task holds a signal."""
-    sized = blocks.select(*keys, "at", "samples", rate.cast("double").alias("__rate"), to.cast("double").alias("__to")).where(F.size("samples") > 0)
-    sized = sized.join(lengths(blocks, keys), keys).withColumn("__m", resampled_length(F.col("n"), F.col("__rate"), F.col("__to"))).where("__m > 0")
+
+def _with_next(blocks: DataFrame, keys: list[str], rate: Column, to: Column, also: list[str]) -> DataFrame:
+    """What _between needs of each block, behind keys and other columns of it. A new sample lies between two old ones, which
+    may be the last of a block and the first of the next: each block is sent the first sample of its neighbour, by a
+    join on the place where it ends, so no task holds a signal."""
+    sized = blocks.select(*keys, *also, "at", "samples", rate.cast("double").alias("__rate"), to.cast("double").alias("__to")).where(F.size("samples") > 0)
+    sized = sized.join(lengths(blocks, keys), keys).withColumn("m", resampled_length(F.col("n"), F.col("__rate"), F.col("__to"))).where("m > 0")
     halo = blocks.where(F.size("samples") > 0).select(*keys, F.col("at").alias("__end"), F.get("samples", F.lit(0)).alias("__next"))
     joined = sized.withColumn("__end", F.col("at") + F.size("samples")).join(halo, [*keys, "__end"], "left")
     known = F.when(F.col("__next").isNull(), F.col("samples")).otherwise(F.array_append("samples", F.col("__next")))
-    step = F.when((F.col("__m") > 1) & (F.col("n") > 1), (F.col("n") - 1) / (F.col("__m") - 1).cast("double")).otherwise(0.0)
-    joined = joined.select(*keys, F.col("at").alias("__begin"), "__end", "n", F.col("__m").alias("m"), known.alias("known"), step.alias("step"))
+    step = F.when((F.col("m") > 1) & (F.col("n") > 1), (F.col("n") - 1) / (F.col("m") - 1).cast("double")).otherwise(0.0)
+    return joined.select(*keys, *also, known.alias("samples"), F.col("at").alias("__begin"), "__end", "n", "m", step.alias("step"))
+
+
+def _between(known: np.ndarray, begin: int, end: int, n: int, m: int, step: float) -> tuple[int, np.ndarray]:
+    """The new samples whose old place is in [begin, end): about begin / step to end / step; the place itself decides."""
+    k = np.arange(max(0, int(begin / step) - 1), min(m - 1, int(np.ceil(end / step)) + 1) + 1) if step else np.arange(m)
+    place = k * step
+    place[k == m - 1] = n - 1 if step else 0.0
+    whole = np.floor(place)
+    mine = (whole >= begin) & (whole < end)
+    k, place, whole = k[mine], place[mine], whole[mine]
+    i = whole.astype(np.int64) - begin
+    a, b = known[i], known[np.minimum(i + 1, len(known) - 1)]
+    return int(k[0]) if len(k) else 0, (b - a) * (place - whole) + a
 
-    def between(known: np.ndarray, begin: int, end: int, n: int, m: int, step: float) -> tuple[int, np.ndarray]:
-        # The new samples whose old place is in [begin, end): about begin / step to end / step; the place itself decides.
-        k = np.arange(max(0, int(begin / step) - 1), min(m - 1, int(np.ceil(end / step)) + 1) + 1) if step else np.arange(m)
-        place = k * step
-        place[k == m - 1] = n - 1 if step else 0.0
-        whole = np.floor(place)
-        mine = (whole >= begin) & (whole < end)
-        k, place, whole = k[mine], place[mine], whole[mine]
-        i = whole.astype(np.int64) - begin
-        a, b = known[i], known[np.minimum(i + 1, len(known) - 1)]
-        return int(k[0]) if len(k) else 0, (b - a) * (place - whole) + a
 
-    return _by_block(joined.select(*keys, F.col("known").alias("samples"), "__begin", "__end", "n", "m", "step"), keys, between)
+def _ramped(samples: np.ndarray, at: int, n: int, a: int, b: int) -> tuple[int, np.ndarray]:
+    """A block at a place of a signal of n samples, faded in over a samples and out over b."""
+    place, out = np.arange(at, at + len(samples)), samples.copy()
+    if a > 1:
+        out[place < a] *= place[place < a] / (a - 1)
+    if b > 1:
+        out[place >= n - b] *= 1.0 - (place[place >= n - b] - (n - b)) / (b - 1)
+    return at, out
 
 
 def _by_block(rows: DataFrame, keys: list[str], made) -> DataFrame:
@@ -89,37 +102,34 @@ def _by_block(rows: DataFrame, keys: list[str], made) -> DataFrame:
     return rows.mapInArrow(run, f"{kind}, at long, samples array<double>")
 
 
-def faded(blocks: DataFrame, keys: list[str], rate: Column, fade_in: Column, fade_out: Column, sizes: DataFrame | None = None) -> DataFrame:
+def faded(blocks: DataFrame, keys: list[str], rate: Column, fade_in: Column, fade_out: Column) -> DataFrame:
     """Blocks with their signal faded in and out, linearly over so many seconds; fades are cut to its length, and one of a
-    sample or none does nothing. sizes: the signals' lengths (keys, n), where they are known."""
-    whole = blocks.join(lengths(blocks, keys) if sizes is None else sizes, keys)
-    count = lambda s: F.least(F.greatest(F.bround(s * rate), F.lit(0)).cast("long"), F.col("n"))
-
-    def ramped(samples: np.ndarray, at: int, n: int, a: int, b: int) -> tuple[int, np.ndarray]:
-        place, out = np.arange(at, at + len(samples)), samples.copy()
-        if a > 1:
-            out[place < a] *= place[place < a] / (a - 1)
-        if b > 1:
-            out[place >= n - b] *= 1.0 - (place[place >= n - b] - (n - b)) / (b - 1)
-        return at, out
-
-    return _by_block(whole.select(*keys, "samples", "at", "n", count(fade_in).alias("__a"), count(fade_out).alias("__b")), keys, ramped)
-
-
-def fitted(blocks: DataFrame, keys: list[str], n: Column, sizes: DataFrame | None = None) -> DataFrame:
-    """Blocks of a signal cut to its first n samples, or followed by silence up to n, in blocks too; n null or 0 leaves it. n
-    is a column of blocks, or of sizes (keys, n: the signals' lengths) where they are known."""
-    if sizes is None:
-        wanted = blocks.groupBy(*keys).agg(F.max(F.col("at") + F.size("samples")).alias("__have"), F.max(F.coalesce(n.cast("long"), F.lit(0))).alias("__n"))
-    else:
-        wanted = sizes.select(*keys, F.col("n").alias("__have"), F.coalesce(n.cast("long"), F.lit(0)).alias("__n"))
+    sample or none does nothing."""
+    whole = blocks.join(lengths(blocks, keys), keys)
+    counts = (_fade(F.col("n"), rate, f).alias(name) for f, name in ((fade_in, "__a"), (fade_out, "__b")))
+    return _by_block(whole.select(*keys, "samples", "at", "n", *counts), keys, _ramped)
+
+
+def _fade(n: Column, rate: Column, seconds: Column) -> Column:
+    return F.least(F.greatest(F.bround(seconds * rate), F.lit(0)).cast("long"), n)
+
+
+def fitted(blocks: DataFrame, keys: list[str], n: Column) -> DataFrame:
+    """Blocks of a signal cut to its first n samples, or followed by silence up to n, in blocks too; n null or 0 leaves it."""
+    wanted = blocks.groupBy(*keys).agg(F.max(F.col("at") + F.size("samples")).alias("__have"), F.max(F.coalesce(n.cast("long"), F.lit(0))).alias("__n"))
     cut = blocks.select(*keys, "at", "samples").join(wanted, keys).where("size(samples) > 0 AND (__n = 0 OR at < __n)")
     kept = F.when((F.col("__n") > 0) & (F.col("at") + F.size("samples") > F.col("__n")), F.slice("samples", F.lit(1), (F.col("__n") - F.col("at")).cast("int"))).otherwise(F.col("samples"))
-    silence = wanted.where("__n > __have").select(*keys, "__n", F.explode(F.sequence(F.col("__have").cast("long"), F.col("__n") - 1, F.lit(PIECE).cast("long"))).alias("at"))
-    rest = silence.select(*keys, "at", F.array_repeat(F.lit(0.0), F.least(F.lit(PIECE), F.col("__n") - F.col("at")).cast("int")).alias("samples"))
+    rest = _silence(wanted, F.col("__have"), F.col("__n")).select(*keys, "at", "samples")
     return cut.select(*keys, "at", kept.alias("samples")).unionByName(rest)
 
 
+def _silence(rows: DataFrame, start: Column, end: Column) -> DataFrame:
+    """rows with blocks (at, samples) of silence from a place up to another one, where that lies behind it."""
+    spans = rows.select("*", start.cast("long").alias("__from"), end.cast("long").alias("__until")).where("__until > __from")
+    cut = spans.withColumn("at", F.explode(F.sequence(F.col("__from"), F.col("__until") - 1, F.lit(PIECE).cast("long"))))
+    return cut.withColumn("samples", F.array_repeat(F.lit(0.0), F.least(F.lit(PIECE), F.col("__until") - F.col("at")).cast("int")))
+
+
 def overlap_add(pieces: DataFrame, keys: list[str], size: int = 4_096) -> DataFrame:
     """pieces (keys, at, samples) that lie anywhere, summed where they overlap: keys, at (multiples of size), samples (size
     of them, 0 where no piece is), a row for each block that a piece touches. Places before 0 are cut off.
@@ -190,17 +200,26 @@ def event_start(start: Column, offset: Column, segment_start: Column) -> Column:
     return F.coalesce(start.cast("double"), F.coalesce(segment_start.cast("double"), F.lit(0.0)) + F.coalesce(offset.cast("double"), F.lit(0.0)))
 
 
-def effects(events: DataFrame, blocks: DataFrame, id: str, rate: int, narration_peak: Column, cap: Column) -> DataFrame:
-    """events (id, start_time, offset, segment_start, volume, duration) with the sound of each (blocks: id, rate, at,
-    samples): resampled, cut or padded to its duration, faded, at its level, and moved to its place: id, at, samples."""
-    sizes = blocks.groupBy(id).agg(F.max(F.col("at") + F.size("samples")).cast("long").alias("__old"), F.max("rate").alias("__rate"))
-    wanted = events.select(id, F.bround(F.col("duration") * rate).cast("long").alias("__want"))
-    sizes = sizes.join(wanted, id).select(id, resampled_length(F.col("__old"), F.col("__rate"), F.lit(rate)).alias("n"), "__want")
-    # Lengths are worked out beside the samples, so that each sample is made once.
-    sound = fitted(resampled(blocks, [id], F.col("rate"), F.lit(rate)), [id], F.col("__want"), sizes)
-    known = sizes.select(id, F.when(F.col("__want") > 0, F.col("__want")).otherwise(F.col("n")).alias("n"))
-    sound = faded(sound, [id], F.lit(rate), F.lit(FADE), F.lit(FADE), known)
-    level = F.when(F.col("volume") > 0, limited(F.col("volume"), narration_peak, cap)).otherwise(0.0)
+def effects(events: DataFrame, blocks: DataFrame, id: str, rate: int, narration_peak: Column, cap: Column, keep: list[str] = ()) -> DataFrame:
+    """events (id: one row each, start_time, offset, segment_start, volume, duration, and columns to keep) with the sound of each (blocks:
+    id, rate, at, samples): resampled, cut or padded to its duration, faded, at its level, and moved to its place: id,
+    keep, at, samples. What an event asks for goes to its blocks first, so they are made, cut and faded in one pass."""
+    level = F.when(F.col("volume") > 0, limited(F.col("volume"), narration_peak, cap)).otherwise(0.0).cast("double")
     start = F.bround(event_start(F.col("start_time"), F.col("offset"), F.col("segment_start")) * rate).cast("long")
-    placed = sound.join(events.select(id, level.alias("__level"), start.alias("__start")), id)
-    return placed.select(id, (F.col("at") + F.col("__start")).alias("at"), F.transform("samples", lambda v: v * F.col("__level")).alias("samples"))
+    want = F.greatest(F.coalesce(F.bround(F.col("duration") * rate).cast("long"), F.lit(0)), F.lit(0))
+    asked = events.select(id, *keep, want.alias("__want"), level.alias("__level"), start.alias("__start"))
+
+    def made(known, begin, end, n, m, step, want, level, start, fade):
+        at, out = _between(known, begin, end, n, m, step)
+        whole = want or m
+        at, out = _ramped(out[: max(0, whole - at)], at, whole, min(fade, whole), min(fade, whole))
+        return at + start, out * level
+
+    more = ["__want", "__level", "__start"]
+    ready = _with_next(blocks.join(asked, id), [id], F.col("rate"), F.lit(rate), [*keep, *more])
+    ready = ready.select(id, *keep, "samples", "__begin", "__end", "n", "m", "step", *more, F.bround(F.lit(FADE) * rate).cast("long").alias("__fade"))
+    sound = _by_block(ready, [id, *keep], made)
+    sizes = blocks.groupBy(id).agg(F.max(F.col("at") + F.size("samples")).cast("long").alias("__n"), F.max("rate").alias("__rate"))
+    padded = sizes.where("__n > 0").join(asked, id).withColumn("__m", resampled_length(F.col("__n"), F.col("__rate"), F.lit(rate)))
+    rest = _silence(padded.where("__m > 0 AND __want > __m"), F.col("__start") + F.col("__m"), F.col("__start") + F.col("__want"))
+    return sound.unionByName(rest.select(id, *keep, "at", "samples"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import signals as g
 from ..sources import readers, sinks
@@ -65,9 +66,8 @@ def effect_mix(spark, sf_dir):
     start = F.when(F.col("l_linenumber") % 2 == 0, (F.col("l_partkey") * 37 % 5000 - 40) / 1000)
     events = lines.select("id", (F.col("l_orderkey") % 50).alias("track"), start.alias("start_time"), (F.col("l_partkey") * 3 % 900 / 1000).alias("offset"), F.when(F.col("l_suppkey") % 4 > 0, F.col("l_suppkey") % 4).alias("segment_start"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_partkey") % 300 / 1000).alias("duration"), (F.col("l_discount") * 10 - 0.1).alias("volume"))
     sounds = _blocks(e).select("id", (800 + F.col("l_suppkey") % 5 * 150).alias("rate"), "at", "samples")
-    placed = g.effects(events, sounds, "id", 1000, F.col("track") % 3 / 2, F.lit(0.6))
-    mix = g.overlap_add(placed.join(events.select("id", "track"), "id").select("track", "at", "samples"), ["track"], 1024)
-    return _sections(mix)
+    placed = g.effects(events, sounds, "id", 1000, F.col("track") % 3 / 2, F.lit(0.6), ["track"])
+    return _sections(g.overlap_add(placed.select("track", "at", "samples"), ["track"], 1024))
 
 
 @query(f"""WITH {_EVENTS_SQL}, t AS (SELECT l_suppkey, max(n) AS n FROM ev GROUP BY 1), m AS (SELECT *, CAST(round_even(n * (800 + l_suppkey % 5 * 150) / 1000.0::DOUBLE, 0) AS BIGINT) AS m FROM t),
@@ -123,3 +123,19 @@ def listed_pages(spark, sf_dir):
     there = readers.listing(spark, f"{path}/*", r"page=(\d+)/[^/]*$").select("number").distinct()
     rows = spark.read.schema("value STRING, page INT").text(path).groupBy(F.col("page").alias("number")).agg(F.count("*").alias("n_orders"))
     return there.join(rows, "number")
+
+
+@query("""WITH s AS (SELECT CAST(user_id % 12 AS INTEGER) AS page, CAST(event_id % 9 AS INTEGER) AS scene, count(*) AS n_events FROM events WHERE (user_id + event_id) % 5 <> 2 GROUP BY ALL)
+SELECT page, scene, rank() OVER (PARTITION BY page ORDER BY scene) AS place, n_events FROM s""")
+def listed_scenes(spark, sf_dir):
+    """Scenes are saved one a folder of their page; each page's scene numbers come from the folders' names, in order, and a
+    scene's rows from its folder."""
+    path = new_path(spark, "scenes")
+    ev = table(spark, sf_dir, "events").where("(user_id + event_id) % 5 <> 2")
+    ev.select((F.col("user_id") % 12).alias("page"), (F.col("event_id") % 9).alias("scene"), F.col("event_type").alias("value")).repartition("page", "scene").write.partitionBy("page", "scene").text(path)
+    files = readers.listing(spark, f"{path}/*/*", r"scene=(\d+)/[^/]*$")
+    there = files.select(F.regexp_extract("path", r"page=(\d+)/", 1).cast("int").alias("page"), F.col("number").alias("scene")).distinct()
+    # A page's folder holds few scenes, so their order is one window.
+    there = there.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("scene")))
+    rows = spark.read.schema("value STRING, page INT, scene INT").text(path).groupBy("page", "scene").agg(F.count("*").alias("n_events"))
+    return there.join(rows, ["page", "scene"])
