@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import signals as g
 from ..sources import readers, sinks
-from ..tables import new_path
+from ..tables import materialize, new_path
 from .registry import query, table
 
 _CUT = 100
@@ -65,7 +65,8 @@ def effect_mix(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumn("id", _line_id())
     start = F.when(F.col("l_linenumber") % 2 == 0, (F.col("l_partkey") * 37 % 5000 - 40) / 1000)
     events = lines.select("id", (F.col("l_orderkey") % 50).alias("track"), start.alias("start_time"), (F.col("l_partkey") * 3 % 900 / 1000).alias("offset"), F.when(F.col("l_suppkey") % 4 > 0, F.col("l_suppkey") % 4).alias("segment_start"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_partkey") % 300 / 1000).alias("duration"), (F.col("l_discount") * 10 - 0.1).alias("volume"))
-    sounds = _blocks(e).select("id", (800 + F.col("l_suppkey") % 5 * 150).alias("rate"), "at", "samples")
+    # Read three times: for the samples, for the next block's first one, and for the lengths.
+    sounds = materialize(_blocks(e).select("id", (800 + F.col("l_suppkey") % 5 * 150).alias("rate"), "at", "samples"), "sounds")
     placed = g.effects(events, sounds, "id", 1000, F.col("track") % 3 / 2, F.lit(0.6), ["track"])
     return _sections(g.overlap_add(placed.select("track", "at", "samples"), ["track"], 1024))
 
