@@ -137,6 +137,6 @@ def listed_scenes(spark, sf_dir):
     files = readers.listing(spark, f"{path}/*/*", r"scene=(\d+)/[^/]*$")
     there = files.select(F.regexp_extract("path", r"page=(\d+)/", 1).cast("int").alias("page"), F.col("number").alias("scene")).distinct()
     # A page's folder holds few scenes, so their order is one window.
-    there = there.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("scene")))
+    there = there.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("scene")).cast("long"))
     rows = spark.read.schema("value STRING, page INT, scene INT").text(path).groupBy("page", "scene").agg(F.count("*").alias("n_events"))
     return there.join(rows, ["page", "scene"])
