@@ -22,8 +22,9 @@ BEFORE, BEHIND = 70, 90
 
 def sections(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, block (from 1), level (2 to 6), heading and body of the sections of wiki texts. What stands before the first
-    heading is in no section. A page is one document, so its lines are ordered in one window."""
-    line = r"^\s*(={2,6})\s*(.*?)\s*\1\s*$"
+    heading is in no section. A page is one document, so its lines are ordered in one window. A heading has a text that
+    neither begins nor ends with the sign of its marks: a line of other marks left and right is none. Lines end at \\n alone."""
+    line = r"(?d)^[ \t\r]*(={2,6})[ \t\r]*([^=](?:.*[^= \t\r])?)[ \t\r]*\1[ \t\r]*$"
     lines = pages.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("at", "line")).withColumn("mark", F.regexp_extract("line", line, 1))
     w = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     numbered = lines.withColumn("block", F.sum((F.col("mark") != "").cast("long")).over(w)).where("block > 0")

@@ -102,6 +102,13 @@ def test_cast_from_sections(spark):
     assert [b["level"] for b in blocks] == [2, 3, 3, 4, 3, 3, 3, 2, 3] and blocks[1]["heading"] == "''Guts''"
 
 
+def test_marks_of_other_lengths_make_no_heading(spark):
+    text = "== Cast ==\n=== Guts ===\nis a swordsman.\n===Puck ====\n====\n==== Casca ===\n=== a\u2028b ===\nis a line."
+    pages = spark.createDataFrame([(1, text)], "page INT, text STRING")
+    assert [(b["level"], b["heading"]) for b in c.sections(pages, ["page"], "text").orderBy("block").collect()] == [(2, "Cast"), (3, "Guts"), (3, "a\u2028b")]
+    assert {m["name"] for m in c.cast_of(pages, ["page"], "text").collect()} == {"Guts", "a\u2028b"}
+
+
 def test_linked_names(spark):
     body = "[[Guts]] and [[Guts (sword)]] [[Casca|Cas]] [[File:x.png]] " + "y" * 100 + " [[Guts]] [[Cas]] voiced by nobody " + "z" * 90 + "[[Puck|Puck Elf]][[Puck|Puck Elf]] [[the]] [[the]] [[Netflix Inc]] [[Netflix Inc]] [[a b c d e]] [[a b c d e]]\n==References\n[[Puck]] [[Puck]] [[Puck]]"
     got = c.linked_names(spark.createDataFrame([(1, 1, body), (1, 2, "[[Cas]] x [[Cas]]"), (2, 1, None), (3, 1, "[[Once]]")], "w INT, p INT, t STRING"), ["w"], "p", "t")
