@@ -174,4 +174,4 @@ def quality_overall(spark, sf_dir):
 SELECT user_id, event_type AS best, score AS best_score, CASE WHEN round(score - s2, 2) < 40 THEN t2 END AS second, coalesce(round(score - s2, 2) < 40, false) OR score < 700 AS needs_review FROM r WHERE n = 1""")
 def planner_top2(spark, sf_dir):
     scored = _spans(spark, sf_dir).groupBy("user_id", "event_type").agg(F.round(F.sum("v"), 2).alias("score"))
-    return m.best_two(scored, ["user_id"], "score", "event_type", 40.0, 700.0)
+    return m.best_two(scored, ["user_id"], "score", "event_type", 40.0, 700.0, digits=2)

@@ -155,6 +155,13 @@ def test_best_two(spark):
     assert got == {1: ("a", "b", True), 2: ("a", None, True), 3: ("a", None, False)}
 
 
+def test_best_two_of_rounded_scores(spark):
+    df = rows(spark, [(1, "a", 100.1), (1, "b", 60.1), (2, "a", 100.1), (2, "b", 60.11)], "k INT, i STRING, s DOUBLE")
+    assert 100.1 - 60.1 < 40
+    got = {r["k"]: (r["second"], r["needs_review"]) for r in m.best_two(df, ["k"], "s", "i", 40.0, 50.0, digits=2).collect()}
+    assert got == {1: (None, False), 2: ("b", True)}
+
+
 def test_fold_and_snapshots(spark):
     log = rows(spark, [(1, 1, "a", 5, None), (1, 2, None, 9, "x"), (1, 3, "c", 2, "y")], "k INT, seq INT, name STRING, page INT, note STRING")
     r = e.fold(log, ["k"], ["seq"], overwrite=["name"], fill=["note"], least=["page"], count="n").first()
