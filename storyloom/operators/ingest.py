@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import elide, entity_id
+from ..functions.text import elide, whole_id
 from .entities import first_known, fold, last_known
 from .store import Store
 
@@ -40,7 +40,7 @@ def evidence(rows: DataFrame, kind: str, key: Column, value: Column, source: str
     at = F.lit(None).cast("int") if page is None else page.cast("int")
     told = rows.select("work_id", F.lit(kind).alias("entity_type"), key.alias("entity_key"), value.alias("value"), F.lit(source).alias("source_type"), at.alias("pdf_page"), F.lit(confidence).alias("confidence"))
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("work_id", "entity_type", "entity_key", "value", "source_type", "pdf_page")]
-    return told.withColumn("evidence_id", entity_id("ev", *parts))
+    return told.withColumn("evidence_id", whole_id("ev", *parts))
 
 
 def _seen_again(known: DataFrame, new: DataFrame, keys: list[str], overwrite: list[str] = ()) -> DataFrame:
@@ -61,16 +61,16 @@ def ingest_pages(store: Store, panels: DataFrame, batch: int = 0) -> None:
     mark = ("ingest", batch)
     seen = learned(panels).withColumn("page", F.col("page").cast("int"))
     kind = lambda k: seen.where(F.col("kind") == k)
-    people = kind("character").withColumns({"character_id": entity_id("char", F.col("work_id"), F.lower("key")), "first_page": F.col("page"), "last_page": F.col("page"), "confidence": F.lit(BY_MODEL)})
+    people = kind("character").withColumns({"character_id": whole_id("char", F.col("work_id"), F.lower("key")), "first_page": F.col("page"), "last_page": F.col("page"), "confidence": F.lit(BY_MODEL)})
     key = ["work_id", "character_id"]
     folded = fold(people.withColumnsRenamed({"key": "name", "value": "description"}), key, ["page", "name", "description"], overwrite=["description"], fill=["name"], least=["first_page"], most=["last_page", "confidence"], count="appearance_count")
     store.upsert("characters", _seen_again(store.table("characters"), folded, key, ["description"]), mark=mark)
     store.log("source_evidence", evidence(people, "character", F.col("character_id"), F.coalesce("value", "key"), MODEL, BY_MODEL, F.col("page")), mark)
-    places = kind("place").withColumns({"location_id": entity_id("loc", F.col("work_id"), F.lower("key")), "first_page": F.col("page"), "last_page": F.col("page")})
+    places = kind("place").withColumns({"location_id": whole_id("loc", F.col("work_id"), F.lower("key")), "first_page": F.col("page"), "last_page": F.col("page")})
     key = ["work_id", "location_id"]
     located = fold(places.withColumnRenamed("key", "name"), key, ["page", "name"], fill=["name"], least=["first_page"], most=["last_page"], count="appearance_count")
     store.upsert("locations", _seen_again(store.table("locations"), located, key), mark=mark)
-    happened = kind("event").select("work_id", entity_id("evt", F.col("work_id"), F.col("page").cast("string"), F.col("key")).alias("event_id"), F.col("page").alias("page_number"), F.lit("event").alias("event_type"), F.col("key").alias("description"))
+    happened = kind("event").select("work_id", whole_id("evt", F.col("work_id"), F.col("page").cast("string"), F.col("key")).alias("event_id"), F.col("page").alias("page_number"), F.lit("event").alias("event_type"), F.col("key").alias("description"))
     store.upsert("events", happened.distinct(), mark=mark)
     done = panels.select("work_id", F.lit("ingest").alias("stage"), F.col("page").cast("string").alias("key_value"), F.lit("completed").alias("status")).distinct()
     store.upsert("processing_checkpoints", done, mark=mark)
@@ -88,7 +88,7 @@ def store_references(store: Store, books: DataFrame) -> None:
 
 def store_cast(store: Store, cast: DataFrame) -> None:
     """cast (work_id, name, role, description): characters by name, role and description cut to their lengths, and evidence of each."""
-    named = cast.withColumn("name", F.trim("name")).where("coalesce(name, '') <> ''").withColumn("character_id", entity_id("char", F.col("work_id"), F.lower("name")))
+    named = cast.withColumn("name", F.trim("name")).where("coalesce(name, '') <> ''").withColumn("character_id", whole_id("char", F.col("work_id"), F.lower("name")))
     rows = named.select("work_id", "character_id", "name", F.nullif(F.substring("role", 1, 100), F.lit("")).alias("role"), F.nullif(F.substring("description", 1, 200), F.lit("")).alias("description"), F.lit(BY_CAST).alias("confidence"))
     store.upsert("characters", rows)
     told = F.concat(F.lit("Name: "), "name", F.lit(", Role: "), F.coalesce("role", F.lit("")))

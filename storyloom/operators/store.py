@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.text import elide, entity_id
+from ..functions.text import elide, whole_id
 from ..sources.versions import Versions
 from ..tables import running
 from . import entities as e
@@ -71,7 +71,7 @@ class Store:
 def fold_characters(log: DataFrame) -> DataFrame:
     """Sightings (work_id, seq, name, role, description, aliases, page, confidence) folded to characters."""
     known = log.withColumns({c: elide(F.col(c)) for c in ("name", "role", "description")}).where("name is not null")
-    keyed = known.withColumn("character_id", entity_id("char", F.col("work_id"), F.lower("name")))
+    keyed = known.withColumn("character_id", whole_id("char", F.col("work_id"), F.lower("name")))
     folded = keyed.withColumns({"first_page": F.col("page"), "last_page": F.col("page")})
     base = e.fold(folded, ["work_id", "character_id"], ["seq"], overwrite=["name", "role", "description"], least=["first_page"], most=["last_page", "confidence"], count="appearance_count")
     spelt = keyed.select("work_id", "character_id", F.explode("aliases").alias("alias")).distinct().groupBy("work_id", "character_id").agg(F.slice(F.array_sort(F.collect_list("alias")), 1, 20).alias("aliases"))
@@ -80,7 +80,7 @@ def fold_characters(log: DataFrame) -> DataFrame:
 
 def aliases_of(characters: DataFrame, log: DataFrame) -> DataFrame:
     """alias -> character of a work: names and given aliases; the last writer of an alias wins."""
-    given = log.select("work_id", "seq", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("name"))).alias("alias"), entity_id("char", F.col("work_id"), F.lower("name")).alias("character_id"))
+    given = log.select("work_id", "seq", F.explode(F.array_append(F.coalesce("aliases", F.array().cast("array<string>")), F.col("name"))).alias("alias"), whole_id("char", F.col("work_id"), F.lower("name")).alias("character_id"))
     live = given.join(characters.select("work_id", "character_id"), ["work_id", "character_id"], "left_semi")
     return e.last_write(live, ["work_id", "alias"], ["seq"]).select("work_id", "alias", "character_id")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import short_id
 from ..operators import ingest as g
 from ..operators import views as v
 from ..operators.store import Store, listed
@@ -32,7 +33,7 @@ def _ingested(spark, sf_dir):
 
 @query(f"""WITH {_PANELS_SQL} SELECT work_id, 'char_' || substr(md5(work_id || ':' || lower(name)), 1, 8) AS character_id, max(name) AS name, arg_max(description, (page, description)) FILTER (WHERE description <> '') AS description, min(page) AS first_page, max(page) AS last_page, CAST(count(*) AS INTEGER) AS appearance_count FROM p GROUP BY work_id, lower(name)""")
 def ingested_characters(spark, sf_dir):
-    return _ingested(spark, sf_dir).table("characters").select("work_id", "character_id", "name", "description", "first_page", "last_page", "appearance_count")
+    return _ingested(spark, sf_dir).table("characters").select("work_id", short_id(F.col("character_id")).alias("character_id"), "name", "description", "first_page", "last_page", "appearance_count")
 
 
 @query(f"""WITH {_PANELS_SQL} SELECT 'characters' AS table_name, count(*) AS n_rows FROM (SELECT DISTINCT work_id, name FROM p) UNION ALL SELECT 'source_evidence', count(*) FROM p UNION ALL SELECT 'locations', count(*) FROM (SELECT DISTINCT work_id, place FROM p WHERE place <> ' unknown ')
@@ -64,7 +65,7 @@ def stored_casts(spark, sf_dir):
     c = F.col("c_custkey")
     g.store_cast(store, table(spark, sf_dir, "customer").select(F.concat(F.lit("w"), F.col("c_nationkey").cast("string")).alias("work_id"), F.when(c % 8 > 0, F.col("c_name")).otherwise("  ").alias("name"), F.col("c_mktsegment").alias("role"), F.lit(None).cast("string").alias("description")))
     told = store.table("source_evidence").select("work_id", F.col("entity_key").alias("character_id"), F.col("value").alias("told"))
-    return store.table("characters").join(told, ["work_id", "character_id"]).select("work_id", "character_id", "name", "role", "confidence", "told")
+    return store.table("characters").join(told, ["work_id", "character_id"]).select("work_id", short_id(F.col("character_id")).alias("character_id"), "name", "role", "confidence", "told")
 
 
 @query("""WITH l AS (SELECT user_id % 30 AS project, event_id, CASE WHEN event_id % 3 > 0 THEN 'page p.' || event_id % 5 % 4 || ': ' ELSE '' END AS head, event_id % 5 % 4 AS page, CASE WHEN event_id % 7 = 0 THEN ' N/A ' ELSE event_type || ' ' || event_id % 23 END AS fact FROM events),

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from storyloom.functions.text import short_id
 from storyloom.operators import ingest as g
 from storyloom.operators import store as s
 from storyloom.operators import views as v
@@ -61,6 +62,14 @@ def test_references_and_casts(spark, tmp_path):
     assert (row["name"], len(row["role"]), row["description"], row["confidence"]) == ("Guts", 100, None, 0.7)
 
 
+def test_people_whose_short_ids_are_one_stay_two(spark, tmp_path):
+    st, names = s.Store(spark, str(tmp_path)), ["Customer#000411228", "Customer#000758870"]
+    g.store_cast(st, spark.createDataFrame([("w0", n, f"role {n}", None) for n in names], "work_id STRING, name STRING, role STRING, description STRING"))
+    people = st.table("characters").join(st.table("source_evidence").select("work_id", F.col("entity_key").alias("character_id"), "value"), ["work_id", "character_id"])
+    assert {(r["i"], r["name"], r["value"]) for r in people.select(short_id(F.col("character_id")).alias("i"), "name", "value").collect()} == {("char_793e59cd", n, f"Name: {n}, Role: role {n}") for n in names}
+    assert people.count() == 2
+
+
 def test_facts_that_were_pushed_out_come_again(spark):
     log = [(1, i, 1 if f == "a" else None, f) for i, f in enumerate(["a", "b", "a", "c", "a", " ", "n/a", None, "d", "a"])] + [(2, 1, 0, "x"), (None, 1, None, "y")]
     got = {r["k"]: r["facts"] for r in g.remembered_facts(spark.createDataFrame(log, "k INT, seq INT, page INT, fact STRING"), "k", "seq", n=2).collect()}
