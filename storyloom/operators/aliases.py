@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import compatible, fuzzy_similar, is_unknown_name, memory_tokens, normalize_name
+from ..functions.text import compatible, is_unknown_name, memory_tokens, normalize_name, similar_forms
 from ..tables import drop, materialize
 from .matching import top_k
 
@@ -68,14 +68,21 @@ def mentions(texts: DataFrame, id: str, text: str, aliases: DataFrame, alias: st
 def identified(names: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
     """names (keys, name) with candidate and score: of the candidates (keys, place, candidate, description) of the same
     keys, the one that is the name (1.0), is like it (.7) or whose description holds it (.6); the best, then the first
-    by place. Null for unknown names and where no candidate fits. Names are compared without endings, quotes and case."""
+    by place. Null for unknown names and where no candidate fits. Names are compared without endings, quotes and case.
+
+    Texts are brought into the form in which they are compared before they meet, and distinct forms meet, not rows: of
+    candidates alike in both texts, only the first by place can win. The pairs of a key are its distinct names times its
+    distinct candidates, however often either repeats."""
     low = lambda c: F.lower(normalize_name(F.coalesce(c, F.lit(""))))
-    asked = names.select(*keys, "name").distinct()
-    known = asked.where(~is_unknown_name(F.col("name"))).join(candidates.select(*keys, "place", "candidate", "description"), keys)
-    within = (low(F.col("name")) != "") & F.contains(low(F.col("description")), low(F.col("name")))
-    score = F.when(low(F.col("candidate")) == low(F.col("name")), 1.0).when(fuzzy_similar(F.col("name"), F.coalesce("candidate", F.lit(""))), 0.7).when(within, 0.6)
-    best = known.withColumn("score", score).where("score IS NOT NULL").groupBy(*keys, "name").agg(F.max(F.struct("score", (-F.col("place")).alias("p"), "candidate")).alias("__b"))
-    return names.join(best, [*keys, "name"], "left").select(*names.columns, F.col("__b.candidate").alias("candidate"), F.col("__b.score").alias("score"))
+    asked = names.select(*keys, "name").distinct().where(~is_unknown_name(F.col("name"))).select(*keys, "name", low(F.col("name")).alias("__x"))
+    forms = asked.select(*keys, "__x").distinct()
+    first = candidates.groupBy(*keys, "candidate", "description").agg(F.min("place").alias("place"))
+    known = first.groupBy(*keys, low(F.col("candidate")).alias("__y"), low(F.col("description")).alias("__d")).agg(F.max(F.struct((-F.col("place")).alias("p"), "candidate")).alias("__c"))
+    x, y = F.col("__x"), F.col("__y")
+    score = F.when(y == x, 1.0).when(similar_forms(x, y), 0.7).when((x != "") & F.contains(F.col("__d"), x), 0.6)
+    met = forms.join(known, keys).withColumn("score", score).where("score IS NOT NULL")
+    best = asked.join(met.groupBy(*keys, "__x").agg(F.max(F.struct("score", "__c")).alias("__b")), [*keys, "__x"]).select(*keys, "name", "__b")
+    return names.join(best, [*keys, "name"], "left").select(*names.columns, F.col("__b.__c.candidate").alias("candidate"), F.col("__b.score").alias("score"))
 
 
 def remembered_of(records: DataFrame, asked: DataFrame, aliases: DataFrame, limit: int = 6) -> DataFrame:

@@ -39,6 +39,25 @@ def test_candidates(spark):
     assert got == {(1, "guts's"): ("Guts", 1.0), (1, "Casca"): ("Casca Smith", 0.7), (1, "captain"): ("Casca Smith", 0.6), (1, "Unknown 3"): (None, None), (1, "nobody"): (None, None), (2, "Guts"): (None, None), (3, "Guts"): (None, None), (1, None): (None, None)}
 
 
+def test_candidates_that_repeat_meet_once(spark):
+    known = spark.range(2_000).select(F.lit(1).alias("page"), F.col("id").alias("place"), F.concat(F.lit("Casca "), (F.col("id") % 3).cast("string")).alias("candidate"), F.lit("a captain").alias("description"))
+    asked = spark.range(2_000).select(F.lit(1).alias("page"), F.element_at(F.array(F.lit("Casca"), F.lit("CASCA's"), F.lit("captain")), (F.col("id") % 3 + 1).cast("int")).alias("name"))
+    got = a.identified(asked, known, ["page"])
+    assert {(g["name"], g["candidate"], g["score"], g["n"]) for g in got.groupBy("name", "candidate", "score").agg(F.count("*").alias("n")).collect()} == {("Casca", "Casca 0", 0.7, 667), ("CASCA's", "Casca 0", 0.7, 667), ("captain", "Casca 0", 0.6, 666)}
+    joins = [0]
+
+    def rows_of(node):
+        if node.nodeName().endswith("Join") or node.nodeName() == "CartesianProduct":
+            joins[0] = max(joins[0], node.metrics().get("numOutputRows").get().value())
+        for i in range(node.children().size()):
+            rows_of(node.children().apply(i))
+
+    plan = got._jdf.queryExecution().executedPlan()
+    got.collect()
+    rows_of(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+    assert joins[0] <= 2_000
+
+
 def test_what_is_remembered_of_a_name(spark):
     records = spark.createDataFrame([(i, i, p, v) for i, (p, v) in enumerate([(3, "Ｇuts fights"), (None, "guts rests"), (9, "ガッツ が来た"), (3, "guts again"), (1, "gutsy"), (None, None)])], "record INT, place INT, page INT, text STRING")
     spelt = spark.createDataFrame([("ガッツ", "Guts")], "alias STRING, canonical STRING")
