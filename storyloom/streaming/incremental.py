@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 from ..sources.versions import Versions
 
 
+#: Rows of a batch that a task sorts. Adaptive execution goes by compressed bytes, and puts millions of short rows in a task.
+ROWS = 250_000
+
+
+def tasks(rows: int) -> int:
+    return max(1, -(-rows // ROWS))
+
+
+def dealt(df: DataFrame, n: int, keys: list[str]) -> DataFrame:
+    """df by its keys in n tasks; as it is where one would do."""
+    return df.repartition(n, *keys) if n > 1 else df
+
+
 @dataclass(frozen=True)
 class Incremental:
     """Outcomes of items in a versioned table: keys, the columns of `result` (DDL), outcome (done, failed, skipped), error
@@ -38,9 +51,10 @@ class Incremental:
 
     def dead_letters(self) -> DataFrame:
         """Items that failed and have not gone well since, with their last error."""
-        keys = list(self.keys)
-        failed = self.outcomes.read().where("outcome = 'failed'").groupBy(*keys).agg(F.max_by("error", "batch").alias("error"), F.count("*").alias("attempts"))
-        return failed.join(self.done().select(*keys), keys, "left_anti")
+        keys, outcomes = list(self.keys), self.outcomes.read()
+        n = tasks(outcomes.count())
+        failed = dealt(outcomes.where("outcome = 'failed'"), n, keys).groupBy(*keys).agg(F.max_by("error", "batch").alias("error"), F.count("*").alias("attempts"))
+        return failed.join(dealt(self.done().select(*keys), n, keys), keys, "left_anti")
 
     def tallies(self) -> DataFrame:
         """batch, and how many of its items were done, skipped and failed."""
@@ -52,8 +66,10 @@ class Incremental:
         if self.outcomes.marks().get(self.name, -1) >= batch:
             return False
         keys = list(self.keys)
-        items = items.dropDuplicates(keys)
-        known = self.done().select(*keys).distinct()
+        done = self.done().select(*keys)
+        # Both sides lie by key in as many tasks as their rows ask for, through all steps below.
+        n = tasks(max(items.count(), done.count()))
+        items, known = dealt(items, n, keys).dropDuplicates(keys), dealt(done, n, keys)
         todo = items if force else items.join(known, keys, "left_anti")
         answers = self.work(todo)
         missing = F.when(F.col("__answered").isNull(), "no answer").otherwise(F.col("error"))

@@ -200,6 +200,17 @@ def test_crash_before_the_record_writes_once(spark, tmp_path, monkeypatch):
     assert run.outcomes.vacuum() >= 1 and run.done().count() == 4
 
 
+def test_batches_lie_in_as_many_tasks_as_their_rows_ask_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inc, "ROWS", 5)
+    run = inc.Incremental(spark, str(tmp_path / "out"), ("k",), "k INT", "y INT", work)
+    first = spark.range(60).select((F.col("id") % 30).cast("int").alias("k"), F.when(F.col("id") % 30 < 5, -1).otherwise(1).alias("x"))
+    assert run.process(first, 0) and run.process(first.unionByName(spark.createDataFrame([(30, 7)], "k INT, x INT")), 1)
+    assert {tuple(r) for r in run.tallies().collect()} == {(0, 25, 0, 5), (1, 0, 25, 6)}
+    assert run.outcomes.read().select(F.input_file_name()).distinct().count() >= 10
+    letters = run.dead_letters()
+    assert {(r["k"], r["attempts"]) for r in letters.collect()} == {(k, 2) for k in range(5)} | {(30, 1)} and letters.rdd.getNumPartitions() >= 10
+
+
 def test_restarted_stream_goes_on(spark, tmp_path):
     run = inc.Incremental(spark, str(tmp_path / "out"), ("k",), "k INT", "y INT", work)
     for part in ([(1, 1)], [(1, 1), (2, 2)]):
