@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,13 +39,16 @@ def _with_next(blocks: DataFrame, keys: list[str], rate: Column, to: Column, als
     """What _between needs of each block, behind keys and other columns of it. A new sample lies between two old ones, which
     may be the last of a block and the first of the next: each block is sent the first sample of its neighbour, by a
     join on the place where it ends, so no task holds a signal."""
-    sized = blocks.select(*keys, *also, "at", "samples", rate.cast("double").alias("__rate"), to.cast("double").alias("__to")).where(F.size("samples") > 0)
-    sized = sized.join(lengths(blocks, keys), keys).withColumn("m", resampled_length(F.col("n"), F.col("__rate"), F.col("__to"))).where("m > 0")
-    halo = blocks.where(F.size("samples") > 0).select(*keys, F.col("at").alias("__end"), F.get("samples", F.lit(0)).alias("__next"))
-    joined = sized.withColumn("__end", F.col("at") + F.size("samples")).join(halo, [*keys, "__end"], "left")
-    known = F.when(F.col("__next").isNull(), F.col("samples")).otherwise(F.array_append("samples", F.col("__next")))
+    slim = blocks.select(*keys, *also, "at", F.size("samples").alias("__size"), F.get("samples", F.lit(0)).alias("__first"), rate.cast("double").alias("__rate"), to.cast("double").alias("__to")).where("__size > 0")
+    whole = slim.groupBy(*keys).agg(F.max(F.col("at") + F.col("__size")).cast("long").alias("n"))
+    sized = slim.drop("__first").join(whole, keys).withColumn("m", resampled_length(F.col("n"), F.col("__rate"), F.col("__to"))).where("m > 0")
+    halo = slim.select(*keys, F.col("at").alias("__end"), F.col("__first").alias("__next"))
     step = F.when((F.col("m") > 1) & (F.col("n") > 1), (F.col("n") - 1) / (F.col("m") - 1).cast("double")).otherwise(0.0)
-    return joined.select(*keys, *also, known.alias("samples"), F.col("at").alias("__begin"), "__end", "n", "m", step.alias("step"))
+    facts = sized.withColumn("__end", F.col("at") + F.col("__size")).join(halo, [*keys, "__end"], "left").select(*keys, *also, "at", "__end", "n", "m", step.alias("step"), "__next")
+    # Facts are worked out on slim rows; the samples themselves are moved once.
+    joined = blocks.where(F.size("samples") > 0).select(*keys, "at", "samples").join(facts, [*keys, "at"])
+    known = F.when(F.col("__next").isNull(), F.col("samples")).otherwise(F.array_append("samples", F.col("__next")))
+    return joined.select(*keys, *also, known.alias("samples"), F.col("at").alias("__begin"), "__end", "n", "m", "step")
 
 
 def _between(known: np.ndarray, begin: int, end: int, n: int, m: int, step: float) -> tuple[int, np.ndarray]:
@@ -102,6 +106,24 @@ def _by_block(rows: DataFrame, keys: list[str], made) -> DataFrame:
     return rows.mapInArrow(run, f"{kind}, at long, samples array<double>")
 
 
+def drawn(places: DataFrame, keys: list[str], count: str, value, of: list[str]) -> DataFrame:
+    """places (keys, at, count, and the columns of) with samples: value(numbers, *of) gives those numbered at, at + 1 and so on, count of
+    them, as numpy arrays over all samples of an Arrow batch at once. Places of no samples are left out."""
+    rows = places.where(F.col(count) > 0).select(*keys, F.col("at").cast("long").alias("at"), F.col(count).cast("long").alias("__n"), *(F.col(c).alias(f"__of{i}") for i, c in enumerate(of)))
+    kind = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        for batch in batches:
+            at, counts, *given = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(keys), batch.num_columns))
+            ends = np.cumsum(counts)
+            numbers = np.arange(counts.sum()) + np.repeat(at - (ends - counts), counts)
+            samples = value(numbers, *(np.repeat(c, counts) for c in given))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(samples, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys) + 1)), lists], names=[*keys, "at", "samples"])
+
+    return rows.mapInArrow(run, f"{kind}, at long, samples array<double>")
+
+
 def faded(blocks: DataFrame, keys: list[str], rate: Column, fade_in: Column, fade_out: Column) -> DataFrame:
     """Blocks with their signal faded in and out, linearly over so many seconds; fades are cut to its length, and one of a
     sample or none does nothing."""
@@ -130,17 +152,15 @@ def _silence(rows: DataFrame, start: Column, end: Column) -> DataFrame:
     return cut.withColumn("samples", F.array_repeat(F.lit(0.0), F.least(F.lit(PIECE), F.col("__until") - F.col("at")).cast("int")))
 
 
-def overlap_add(pieces: DataFrame, keys: list[str], size: int = 4_096) -> DataFrame:
-    """pieces (keys, at, samples) that lie anywhere, summed where they overlap: keys, at (multiples of size), samples (size
-    of them, 0 where no piece is), a row for each block that a piece touches. Places before 0 are cut off.
+def overlap_add(pieces: DataFrame, keys: list[str], size: int = 4_096, level: str | None = None) -> DataFrame:
+    """pieces (keys, at, samples) that lie anywhere, each times its level if that column is named, summed where they overlap: keys, at
+    (multiples of size), samples (size of them, 0 where no piece is), a row for each block that a piece touches. Places
+    before 0 are cut off.
 
-    A piece is cut at the blocks' borders. A task sums what it has of a block before anything is moved, so a block
-    that every piece touches is sent once a task; then the tasks' sums of a block are added as they stream by."""
-    end = F.col("at") + F.size("samples")
-    first, last = F.greatest(F.lit(0), F.floor(F.col("at") / size)), F.floor((end - 1) / size)
-    cut = pieces.where((F.size("samples") > 0) & (end > 0)).withColumn("__b", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    lo, hi = F.greatest(F.col("at"), F.col("__b") * size), F.least(end, (F.col("__b") + 1) * size)
-    flat = cut.select(*keys, F.col("__b"), (lo - F.col("__b") * size).cast("int").alias("__o"), F.slice("samples", (lo - F.col("at") + 1).cast("int"), (hi - lo).cast("int")).cast("array<double>").alias("samples"))
+    A piece is cut at the blocks' borders by the task that has it, and added to what the task has of a block before anything
+    is moved, so a block that every piece touches is sent once a task; then the tasks' sums of a block are added as they
+    stream by."""
+    flat = pieces.select(*keys, F.col("at").cast("long").alias("__at"), F.col("samples").cast("array<double>").alias("samples"), (F.lit(1.0) if level is None else F.col(level).cast("double")).alias("__level"))
     kind = ", ".join(f"`{k}` {flat.schema[k].dataType.simpleString()}" for k in keys)
 
     def add(batches, room: int):
@@ -150,30 +170,43 @@ def overlap_add(pieces: DataFrame, keys: list[str], size: int = 4_096) -> DataFr
         def given():
             rows = list(held.items())
             held.clear()
-            columns = [pa.array([k[i] for k, _ in rows], schema.field(i).type) for i in range(len(keys) + 1)]
+            columns = [pa.array([k[i] for k, _ in rows], schema.field(i).type) for i in range(len(keys))]
+            places = pa.array([k[-1] * size for k, _ in rows], pa.int64())
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * size), pa.array(np.concatenate([v for _, v in rows])))
-            return pa.RecordBatch.from_arrays([*columns, pa.array([0] * len(rows), pa.int32()), values], names=[*keys, "__b", "__o", "samples"])
+            return pa.RecordBatch.from_arrays([*columns, places, values, pa.array([1.0] * len(rows))], names=[*keys, "__at", "samples", "__level"])
 
         for batch in batches:
             schema = batch.schema
-            *at, offset, arrays = (batch.column(i) for i in range(batch.num_columns))
-            flat_values, ends = arrays.flatten().to_numpy(zero_copy_only=False), np.cumsum(arrays.value_lengths().to_numpy(zero_copy_only=False))
-            for i, (key, o) in enumerate(zip(zip(*(c.to_pylist() for c in at)), offset.to_pylist())):
-                part = flat_values[(ends[i - 1] if i else 0) : ends[i]]
-                block = held.get(key)
-                if block is None:
-                    if len(held) >= room:
-                        yield given()
-                    block = held[key] = np.zeros(size)
-                block[o : o + len(part)] += part
+            *key, at, arrays, levels = (batch.column(i) for i in range(batch.num_columns))
+            # Null samples are none; a piece without a place lies nowhere.
+            counts = np.where(at.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(arrays.value_lengths(), 0).to_numpy(zero_copy_only=False), 0)
+            values, ends = arrays.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.fill_null(arrays.value_lengths(), 0).to_numpy(zero_copy_only=False))
+            if level is not None:
+                values = values * np.repeat(levels.to_numpy(zero_copy_only=False).astype(float), np.diff(ends, prepend=0))
+            begins, ends = (ends - counts).tolist(), ends.tolist()
+            for name, place, begin, end in zip(zip(*(c.to_pylist() for c in key)), at.to_pylist(), begins, ends):
+                if begin == end:
+                    continue
+                if place < 0:
+                    begin, place = begin - place, 0
+                while begin < end:
+                    b, o = divmod(place, size)
+                    n = min(end - begin, size - o)
+                    block = held.get((*name, b))
+                    if block is None:
+                        if len(held) >= room:
+                            yield given()
+                        block = held[(*name, b)] = np.zeros(size)
+                    block[o : o + n] += values[begin : begin + n]
+                    begin, place = begin + n, place + n
         if held:
             yield given()
 
-    schema = f"{kind}, __b long, __o int, samples array<double>"
+    schema = f"{kind}, __at long, samples array<double>, __level double"
     summed = flat.mapInArrow(lambda batches: add(batches, 512), schema)
-    dealt = summed.repartition(*keys, "__b").sortWithinPartitions(*keys, "__b")
+    dealt = summed.repartition(*keys, "__at").sortWithinPartitions(*keys, "__at")
     # Sorted, so a block's sums follow each other, and one block is held at a time.
-    return dealt.mapInArrow(lambda batches: add(batches, 1), schema).select(*keys, (F.col("__b") * size).alias("at"), "samples")
+    return dealt.mapInArrow(lambda batches: add(batches, 1), schema).select(*keys, F.col("__at").alias("at"), "samples")
 
 
 def levels(blocks: DataFrame, keys: list[str]) -> DataFrame:

@@ -79,6 +79,16 @@ def test_overlap_add_equals_a_dense_sum(spark):
     assert g.overlap_add(pieces.limit(0), ["k"]).count() == 0
 
 
+def test_drawn_samples_at_their_levels(spark):
+    places = spark.createDataFrame([(1, 0, 3, 5, 2.0), (1, 3, 2, 5, 2.0), (2, -1, 4, 0, None), (3, 0, 0, 9, 1.0)], "k INT, at LONG, n INT, s LONG, level DOUBLE")
+    got = g.drawn(places, ["k", "level"], "n", lambda i, s: i * 1.0 + s, ["s"])
+    assert sorted((r["k"], r["at"], r["samples"]) for r in got.collect()) == [(1, 0, [5.0, 6.0, 7.0]), (1, 3, [8.0, 9.0]), (2, -1, [-1.0, 0.0, 1.0, 2.0])]
+    mixed = {(r["k"], r["at"]): r["samples"] for r in g.overlap_add(got.where("k = 1"), ["k"], 4, "level").collect()}
+    assert mixed == {(1, 0): [10.0, 12.0, 14.0, 16.0], (1, 4): [18.0, 0.0, 0.0, 0.0]}
+    gaps = spark.createDataFrame([(1, None, [1.0]), (1, 0, None), (1, 1, [2.0])], "k INT, at LONG, samples ARRAY<DOUBLE>")
+    assert [r["samples"] for r in g.overlap_add(gaps, ["k"], 2).collect()] == [[0.0, 2.0]]
+
+
 def test_levels_and_limits(spark):
     signals = {1: np.array([0.5, -1.0, 0.25]), 2: np.zeros(5)}
     got = {r["k"]: r for r in g.levels(blocks(spark, signals, (1,)), ["k"]).collect()}
