@@ -170,3 +170,42 @@ def test_sums_over_ranges_equal_windows(spark, n):
         for row in sorted(mine, key=lambda r: r[2]):
             assert times[row[2]] == pytest.approx((at, at + row[3]))
             at += row[3] - 0.5
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_keyword_hits_equal_counts_over_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(r, "FEW_TOKENS", few)
+    monkeypatch.setattr(r, "CELLS", 40)
+    rng = random.Random(3)
+    said = lambda most: " ".join(rng.choice("abc cat dog éa ガッツ x1 sun the".split()) for _ in range(rng.randint(0, most)))
+    texts = [(i, said(6)) for i in range(200)] + [(7, "cat dog"), (7, "cat sun"), (None, "dog x1"), (None, "dog sun"), (900, None), (901, "")]
+    asked = [(f"q{i}", said(4)) for i in range(8)] + [("q1", "cat cat"), (None, "sun"), ("none", "")]
+    words = lambda v: {w.replace("é", "") for w in (v or "").split() if w != "the"} - {"a"}
+    hits = {}
+    for q, v in asked:
+        for d, w in texts:
+            if n := len(words(v) & words(w)):
+                hits[q, d] = hits.get((q, d), 0) + n
+    want = {(q, d, n, i + 1) for q in {q for q, _ in hits} for i, (n, d) in enumerate(sorted(((n, d) for (p, d), n in hits.items() if p == q), key=lambda x: (-x[0], x[1] is not None, x[1] or 0))[:5])}
+    df = spark.createDataFrame(texts, "d INT, v STRING").repartition(3)
+    got = r.keyword_hits(df, spark.createDataFrame(asked, "q STRING, v STRING"), "d", "q", "v", 5)
+    assert {(g["q"], g["d"], g["hits"], g["rank"]) for g in got.collect()} == want and got.schema.names == ["q", "d", "hits", "rank"]
+
+
+def test_only_the_best_of_a_query_leave_a_task(spark):
+    """No exchange takes the pairs of record and query: each task sends on k rows a query."""
+    df = spark.range(0, 4_000, 1, 4).select("id", F.concat(F.lit("sun w"), (F.col("id") % 7).cast("string")).alias("v"))
+    got = r.keyword_hits(df, spark.createDataFrame([(q, "sun w1") for q in range(10)], "q INT, v STRING"), "id", "q", "v", 3)
+    assert {(g["id"], g["hits"], g["rank"]) for g in got.collect()} == {(1, 2, 1), (8, 2, 2), (15, 2, 3)}
+    most = [0]
+
+    def rows_of(node):
+        node = node.plan() if node.nodeName().endswith("QueryStage") else node
+        for i in range(node.children().size()):
+            rows_of(node.children().apply(i))
+        if node.nodeName() == "Exchange":
+            most[0] = max(most[0], node.metrics().get("shuffleRecordsWritten").get().value())
+
+    plan = got._jdf.queryExecution().executedPlan()
+    rows_of(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+    assert 0 < most[0] <= 4 * 10 * 3
