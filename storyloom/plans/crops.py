@@ -36,23 +36,21 @@ def _regions(spark, sf_dir):
     n, key = F.col("l_quantity"), ["l_linenumber", "l_partkey", "l_suppkey"]
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), ((F.col("l_partkey") + F.col("l_linenumber")) % 6 + 1).cast("int"))
     bbox = F.array((F.col("l_partkey") % 400).cast("double"), (F.col("l_suppkey") * 7 % 300).cast("double"), F.when(n > 3, n * 3).otherwise(0.0), n * 4 + 10)
-    entry = F.struct(*key, bbox.alias("bbox"))
-    lists = [F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("entry")))).alias(k) for k in _KINDS]
-    records = lines.where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("panel"), kind.alias("kind"), entry.alias("entry")).groupBy("panel").agg(*lists)
-    known = c.metadata_regions(records, ["panel"], {k: k for k in _KINDS})
+    entry = F.struct(*key, bbox.alias("bbox"), kind.alias("kind"))
+    found = lines.where("l_returnflag <> 'A'").select(F.col("l_orderkey").alias("panel"), entry.alias("entry")).groupBy("panel").agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+    records = found.select("panel", *(F.filter("entries", lambda e: e["kind"] == k).alias(k) for k in _KINDS))
+    known = c.metadata_lists(records, ["panel"], {k: k for k in _KINDS})
     blobs = lines.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("panel"), F.struct(*key).alias("place"), F.when(F.col("l_linenumber") % 3 == 0, 0.75).otherwise(0.5).alias("weight"), (F.col("l_partkey") % 420).cast("double").alias("x"), (F.col("l_suppkey") * 7 % 310).cast("double").alias("y"), (n + 4).alias("w"), (n * 2 + 6).alias("h"))
-    return c.gathered(known, blobs, _panels(spark, sf_dir), ["panel"])
+    return known, blobs, _panels(spark, sf_dir), ["panel"]
 
 
 def _shots(spark, sf_dir):
-    r = ["position", "kind", "weight", "x", "y", "w", "h"]
-    each = _regions(spark, sf_dir).groupBy("panel").agg(F.array_sort(F.collect_list(F.struct(*r))).alias("regions"))
-    return _panels(spark, sf_dir).join(each, "panel", "left")
+    return _panels(spark, sf_dir).join(c.lists_gathered(*_regions(spark, sf_dir)), "panel", "left")
 
 
 @query(f"WITH {_PANELS_SQL}, {_ENTRIES_SQL} SELECT panel, kind, label, weight, x, y, w, h, source, position FROM regions")
 def panel_regions(spark, sf_dir):
-    return _regions(spark, sf_dir).withColumn("position", F.col("position").cast("long"))
+    return c.lists_gathered(*_regions(spark, sf_dir)).select("panel", F.inline("regions")).withColumn("position", F.col("position").cast("long"))
 
 
 _FOCUS_SQL = """tiers AS (SELECT * FROM (VALUES ('face_closeup', 'face', 0), ('face_closeup', 'character', 1), ('character_closeup', 'character', 0), ('character_closeup', 'face', 0), ('object_closeup', 'object', 0), ('object_closeup', 'draw', 1), ('action_crop', 'action', 0), ('action_crop', 'draw', 1)) AS t(intent, kind, tier)),
@@ -103,6 +101,9 @@ def crop_search(spark, sf_dir):
 def ratio_ladder(spark, sf_dir):
     """The wider box around what is critical, for every panel that is no close-up of a region."""
     shots = _shots(spark, sf_dir).where(c.focus(F.col("intent"), F.col("regions")).isNull())
-    box = c.around(F.filter("regions", lambda r: r["weight"] >= 0.6 - c.SLACK), F.col("width"), F.col("height"))
-    out = shots.withColumn("b", box).where("b IS NOT NULL").withColumn("b", c.ladder(F.col("b"), F.col("width"), F.col("height")))
+    width, height = F.col("width"), F.col("height")
+    critical = F.array(F.filter("regions", lambda r: r["weight"] >= 0.6 - c.SLACK))
+    boxes = F.transform(F.filter(critical, lambda r: F.size(r) > 0), lambda r: c.around(r, width, height))
+    # Exploded, not filtered: a filter would move below the regions and work them out again.
+    out = shots.select("panel", F.explode(F.transform(boxes, lambda b: c.ladder(b, width, height))).alias("b"))
     return out.select("panel", *(F.round(f"b.{k}", 4).alias(k) for k in "xywh"))
