@@ -11,6 +11,7 @@ from ..operators import matching as m
 from ..operators import rules
 from ..operators import sequence as q
 from ..operators import shots
+from ..tables import spread
 from .registry import query, table
 
 _LINE_KEY = ["l_linenumber", "l_partkey", "l_suppkey"]
@@ -85,18 +86,21 @@ k AS (SELECT p_partkey, i, round(u * dur, 6) AS t, round(greatest(0.0, least(cx
 def _frames(spark, sf_dir):
     kind = F.when(F.col("p_size") % 3 == 0, "pan_left").when(F.col("p_size") % 3 == 1, "slow_zoom_in").otherwise("static")
     frames = s.keyframes(kind, F.col("p_size") + 10.0, F.col("p_size") + 20.0, F.col("p_size") + 1.0)
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size", frames.alias("frames"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey"), frames
 
 
 @query(_FRAMES_SQL + " SELECT p_partkey, round(t, 4) AS t, round(x, 4) AS x, round(y, 4) AS y, round(w, 4) AS w, round(h, 4) AS h FROM k")
 def keyframes(spark, sf_dir):
-    return _frames(spark, sf_dir).select("p_partkey", F.inline("frames")).select("p_partkey", *(F.round(c, 4).alias(c) for c in "txywh"))
+    parts, frames = _frames(spark, sf_dir)
+    # Inlined as they are made: of a column of their own, Spark would first test the size, and make them twice.
+    return parts.select("p_partkey", F.inline(frames)).select("p_partkey", *(F.round(c, 4).alias(c) for c in "txywh"))
 
 
 @query(_FRAMES_SQL + """, d AS (SELECT p_partkey, max(t) / 3 AS tm FROM k GROUP BY 1), a AS (SELECT d.p_partkey, tm, max(t) AS t0 FROM d JOIN k USING (p_partkey) WHERE t <= tm GROUP BY ALL), n AS (SELECT d.p_partkey, min(t) AS t1 FROM d JOIN k USING (p_partkey) WHERE t > tm GROUP BY ALL)
 SELECT a.p_partkey, round(p.x + (n2.x - p.x) * (tm - t0) / (t1 - t0), 3) AS x, round(p.w + (n2.w - p.w) * (tm - t0) / (t1 - t0), 3) AS w FROM a JOIN n USING (p_partkey) JOIN k p ON p.p_partkey = a.p_partkey AND p.t = t0 JOIN k n2 ON n2.p_partkey = a.p_partkey AND n2.t = t1""")
 def interpolate(spark, sf_dir):
-    frames = _frames(spark, sf_dir).withColumn("r", s.sample(F.col("frames"), F.element_at("frames", -1)["t"] / 3))
+    parts, made = _frames(spark, sf_dir)
+    frames = parts.withColumn("frames", made).withColumn("r", s.sample(F.col("frames"), F.element_at("frames", -1)["t"] / 3))
     return frames.select("p_partkey", F.round("r.x", 3).alias("x"), F.round("r.w", 3).alias("w"))
 
 

@@ -246,3 +246,15 @@ def test_fuzzy_names_meet_inside_longer_words(spark):
     known = spark.createDataFrame([(1, "a silverware set", 1), (2, "Goldsmith", 2), (3, "shorts", 3)], "entity_id LONG, entity_name STRING, rank LONG")
     got = {r["name"]: r["entity_id"] for r in resolve_fuzzy(names, "name", known, name_blocks("n", "e"), name_blocks("e", "n")).collect()}
     assert got == {"silver": 1, "old goldsmithery": 2, "short": None}
+
+
+def test_keyframes_lie_in_as_many_tasks_as_their_rows_ask_for(spark, sf, monkeypatch):
+    from storyloom import tables
+    from storyloom.plans import catalogue
+
+    monkeypatch.setattr(tables, "ROWS", 20)
+    got = catalogue.queries()["keyframes"](spark, sf)
+    parts = spark.read.parquet(f"{sf}/part.parquet").count()
+    assert got.count() == 12 * parts and got.rdd.getNumPartitions() == -(-parts // 20) > 1
+    # Nothing tests the frames before the rows are dealt.
+    assert "size(" not in got._jdf.queryExecution().optimizedPlan().toString()
