@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import compatible, is_unknown_name, memory_tokens, normalize_name, similar_forms
-from ..tables import drop, materialize
+from ..tables import drop, materialize, once
 from .matching import top_k
 
 #: Characters of a run by which aliases and texts meet.
@@ -41,14 +41,45 @@ def _spread(rows: DataFrame, key: str, text: str, all_sizes: bool, wanted: froze
     return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, __run string")
 
 
+#: Up to so many aliases are looked for one by one in each text, where it lies: for so few that costs less than a text's runs.
+FEW_ALIASES = 2_000
+
+
+def _looked_for(texts: DataFrame, id: str, text: str, names: list[str], alias: str) -> DataFrame:
+    """id and alias, once a row of texts, for each of names that its text holds. Only pairs leave a task."""
+    kind = texts.schema[id].dataType.simpleString()
+
+    def run(batches):
+        known = pa.array(names, pa.string())
+        for batch in batches:
+            said = batch.column(1).to_pylist()
+            for at in range(0, len(said), 1_000):
+                rows, found = [], []
+                for i, t in enumerate(said[at : at + 1_000], at):
+                    if t:
+                        held = [n for n, name in enumerate(names) if name in t]
+                        rows += [i] * len(held)
+                        found += held
+                if found:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), known.take(pa.array(found))], names=[id, alias])
+
+    return texts.select(id, text).mapInArrow(run, f"`{id}` {kind}, `{alias}` string")
+
+
 def mentions(texts: DataFrame, id: str, text: str, aliases: DataFrame, alias: str = "alias") -> DataFrame:
     """id and alias wherever a text holds an alias (distinct, not empty), both as they are: what contains() over all pairs
     gives. Null texts and aliases hold and are nothing.
 
-    Texts and aliases meet on runs of RUN characters (shorter aliases on themselves). Of its runs, an alias waits
+    Few aliases go to every task and are looked for in each text as it is read; only rows whose id repeats are then made
+    distinct. Many aliases and texts meet on runs of RUN characters (shorter aliases on themselves). Of its runs, an alias waits
     at the one that the fewest texts have, and only there is it looked for, so a run that all texts share brings no
     pairs unless an alias consists of such runs alone. Texts are not sent along: the ids that meet are joined back."""
     names = aliases.select(F.col(alias).alias("__alias")).where(F.length(F.col(alias)) > 0).distinct()
+    few_names = names.limit(FEW_ALIASES + 1).collect()
+    if len(few_names) <= FEW_ALIASES:
+        single, again = once(texts, id)
+        look = lambda df: _looked_for(df, id, text, [r["__alias"] for r in few_names], alias)
+        return look(single) if again is None else look(single).unionByName(look(again).distinct())
     keyed = _spread(names.withColumn("text", F.col("__alias")), "__alias", "text", False)
     asked = materialize(keyed.select("__run").distinct(), "alias-asked")
     few = asked.limit(FEW_RUNS + 1).count() <= FEW_RUNS

@@ -209,3 +209,19 @@ def test_only_the_best_of_a_query_leave_a_task(spark):
     plan = got._jdf.queryExecution().executedPlan()
     rows_of(plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
     assert 0 < most[0] <= 4 * 10 * 3
+
+
+@pytest.mark.parametrize("few", [0, 2_000])
+def test_mentions_with_few_and_many_aliases(spark, monkeypatch, few):
+    monkeypatch.setattr(a, "FEW_ALIASES", few)
+    texts = [(1, "abab なに"), (1, "ab xyz"), (2, None), (3, ""), (None, "xyz"), (4, "zzz ab")]
+    names = ["a", "ab", "なに", "xyz", "none of it", "", None, "ab"]
+    got = [tuple(m) for m in a.mentions(spark.createDataFrame(texts, "i INT, v STRING").repartition(3), "i", "v", spark.createDataFrame([(n,) for n in names], "alias STRING")).collect()]
+    assert {g for g in got if g[0]} == {(1, "a"), (1, "ab"), (1, "なに"), (1, "xyz"), (4, "a"), (4, "ab")} and len(got) == len(set(got))
+
+
+def test_few_aliases_move_no_texts(spark):
+    """Pairs leave the task that reads a text: there is no exchange, and nothing is written but ids that repeat."""
+    texts = spark.range(50).select("id", F.concat(F.lit("sun "), F.col("id").cast("string")).alias("v"))
+    got = a.mentions(texts, "id", "v", spark.createDataFrame([("sun",), ("4",)], "alias STRING"))
+    assert got.count() == 50 + 14 and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
