@@ -120,6 +120,25 @@ def train(x: Histograms, y: np.ndarray, n_langs: int, dim: int = 16, epochs: int
     return embed @ weight * scale, bias
 
 
+def _learn(x: Histograms, y: np.ndarray, n_langs: int, reject_rate: float) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Logits, bias, temperature and the confidence to reject below, of a sample of at least one row."""
+    fifth = np.arange(len(x)) % 5 == 4 if len(x) >= 20 else np.zeros(len(x), bool)
+    table, bias = train(x.only(np.flatnonzero(~fifth)), y[~fifth], n_langs)
+    at = np.flatnonzero(fifth) if fifth.any() else np.arange(len(x))
+    z = np.concatenate([x.dense(at[i : i + 32]) @ table for i in range(0, len(at), 32)]) + bias
+
+    def softmax(t: float) -> np.ndarray:
+        p = np.exp((z - z.max(1, keepdims=True)) / t)
+        return p / p.sum(1, keepdims=True)
+
+    own = np.arange(len(z)), y[at]
+    temperature = min(np.geomspace(0.25, 8, 21), key=lambda t: -np.log(softmax(t)[own] + 1e-12).mean())
+    p = softmax(temperature)
+    right = p.max(1)[p.argmax(1) == y[at]]
+    reject = min(0.5, float(np.quantile(right, reject_rate)) * 0.9) if len(right) else 0.0
+    return table.astype(np.float32), bias.astype(np.float64), float(temperature), reject
+
+
 def fit(docs: DataFrame, per_lang: int = 500, reject_rate: float = 0.002, most_rows: int = 32_000, most_bytes: int = 1 << 29) -> LanguageModel:
     """docs: doc_id, text, lang. Learns from rows that are not held out and have a text with a letter and a lang; every
     such value of lang can be predicted. Rows without a lang teach nothing; of equally likely languages the first in
@@ -127,9 +146,10 @@ def fit(docs: DataFrame, per_lang: int = 500, reject_rate: float = 0.002, most_r
 
     The fit takes a bounded sample: about per_lang documents of each language, or fewer where all together would be more
     than most_rows, drawn by a hash of the id and computed to histograms on the executors; of these, each language's first in a
-    hashed order, up to its even share of most_bytes and one more, reach the driver, so what it holds is bounded in bytes. A fifth of
-    the sample calibrates (all of it where it has fewer than 20 rows): the temperature that
-    makes its log-loss least, and the confidence that all but reject_rate of its rightly named documents reach."""
+    hashed order, up to its even share of most_bytes and one more, meet in one task, so what it holds is bounded in bytes. That
+    task learns, and the driver gets the model alone. A fifth of the sample calibrates (all of it where it has fewer than
+    20 rows): the temperature that makes its log-loss least, and the confidence that all but reject_rate of its rightly
+    named documents reach."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = tuple(sorted(counts))
@@ -152,26 +172,24 @@ def fit(docs: DataFrame, per_lang: int = 500, reject_rate: float = 0.002, most_r
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(values, pa.binary()), pa.array(names, pa.string())], names=["ids", "values", "lang"])
 
     found = drawn.select("text", "lang").mapInArrow(sparse, "ids binary, values binary, lang string")
-    sized = running(found, ["lang"], [F.xxhash64("ids"), F.col("ids")], {"before": F.octet_length("ids") + F.octet_length("values")}, "languages")
-    rows = sized.where(F.col("before") <= most_bytes // len(langs)).orderBy(F.xxhash64("ids")).limit(2 * per_lang * len(langs)).collect()
-    if not rows:
-        return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    x, y = Histograms([(r["ids"], r["values"]) for r in rows]), np.array([langs.index(r["lang"]) for r in rows])
-    fifth = np.arange(len(rows)) % 5 == 4 if len(rows) >= 20 else np.zeros(len(rows), bool)
-    table, bias = train(x.only(np.flatnonzero(~fifth)), y[~fifth], len(langs))
-    at = np.flatnonzero(fifth) if fifth.any() else np.arange(len(rows))
-    z = np.concatenate([x.dense(at[i : i + 32]) @ table for i in range(0, len(at), 32)]) + bias
+    sized = running(found, ["lang"], [F.xxhash64("ids"), F.xxhash64("values")], {"before": F.octet_length("ids") + F.octet_length("values")}, "languages")
+    sample = sized.where(F.col("before") <= most_bytes // len(langs)).select("ids", "values", "lang")
+    in_order = sample.repartition(1).sortWithinPartitions(F.xxhash64("ids"), "values", "lang").limit(2 * per_lang * len(langs))
 
-    def softmax(t: float) -> np.ndarray:
-        p = np.exp((z - z.max(1, keepdims=True)) / t)
-        return p / p.sum(1, keepdims=True)
-
-    own = np.arange(len(z)), y[at]
-    temperature = min(np.geomspace(0.25, 8, 21), key=lambda t: -np.log(softmax(t)[own] + 1e-12).mean())
-    p = softmax(temperature)
-    right = p.max(1)[p.argmax(1) == y[at]]
-    reject = min(0.5, float(np.quantile(right, reject_rate)) * 0.9) if len(right) else 0.0
-    return LanguageModel(langs, table.astype(np.float32), bias.astype(np.float64), float(temperature), reject)
+    def learned(batches):
+        filled, names = [], []
+        for batch in batches:
+            filled += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            names += map(langs.index, batch.column(2).to_pylist())
+        if names:
+            table, bias, temperature, reject = _learn(Histograms(filled), np.array(names), len(langs), reject_rate)
+            yield pa.RecordBatch.from_pydict({"table": [table.astype("<f4").tobytes()], "bias": [bias.astype("<f8").tobytes()], "temperature": [temperature], "reject": [reject]})
+
+    made = in_order.mapInArrow(learned, "table binary, bias binary, temperature double, reject double").collect()
+    if not made:
+        return LanguageModel((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+    m = made[0]
+    return LanguageModel(langs, np.frombuffer(m["table"], "<f4").reshape(BUCKETS, len(langs)), np.frombuffer(m["bias"], "<f8"), m["temperature"], m["reject"])
 
 
 def predict(docs: DataFrame, model: LanguageModel, added: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_rejected")) -> DataFrame:

@@ -25,6 +25,17 @@ def test_language_learns_from_the_others_only(spark):
     assert a.langs == b.langs and np.array_equal(a.table, b.table)
 
 
+def test_language_sample_stays_off_the_driver(spark, monkeypatch):
+    """What the fit collects is a row a language and the model, however long the texts of its sample are."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text", "lang")
+    got, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: got.extend(rows := collect(df)) or rows)
+    model = langid.fit(docs)
+    most = 4 * langid.BUCKETS * len(model.langs)
+    assert got and len(got) <= len(model.langs) + 1
+    assert sum(len(v) for r in got for v in r if isinstance(v, (bytes, bytearray))) <= most + 8 * len(model.langs)
+
+
 def test_language_odd_documents(docs, none):
     model = langid.fit(docs.select("doc_id", "text", "lang"))
     rows = langid.predict(docs, model).collect()
