@@ -32,76 +32,101 @@ def resampled(blocks: DataFrame, keys: list[str], rate: Column, to: Column) -> D
     """blocks (keys, at, samples: doubles; gapless) at a rate, both positive, at another one, by linear interpolation
     from the first sample to the last. A signal's length changes in proportion, rounded half to even; of no length
     it has no rows. Blocks that come out are as their sources cut them."""
-    return _by_block(_with_next(blocks, keys, rate, to, []), keys, _between)
+    return _by_block(_with_next(blocks, keys, rate, to), keys, lambda c: _reach(c, c["m"])[1], lambda c, values, first: _between(c, values, first, c["m"]))
 
 
-def _with_next(blocks: DataFrame, keys: list[str], rate: Column, to: Column, also: list[str]) -> DataFrame:
-    """What _between needs of each block, behind keys and other columns of it. A new sample lies between two old ones, which
-    may be the last of a block and the first of the next: each block is sent the first sample of its neighbour, by a
-    join on the place where it ends, so no task holds a signal."""
-    slim = blocks.select(*keys, *also, "at", F.size("samples").alias("__size"), F.get("samples", F.lit(0)).alias("__first"), rate.cast("double").alias("__rate"), to.cast("double").alias("__to")).where("__size > 0")
+def _with_next(blocks: DataFrame, keys: list[str], rate: Column, to: Column, beside: DataFrame | None = None) -> DataFrame:
+    """What _between needs of each block, behind keys, and the columns of beside (keys: one row each), where it is given. A new sample lies
+    between two old ones, which may be the last of a block and the first of the next: each block is sent the first sample of
+    its neighbour, by a join on the place where it ends, so no task holds a signal."""
+    slim = blocks.select(*keys, "at", F.size("samples").alias("__size"), F.get("samples", F.lit(0)).alias("__first"), rate.cast("double").alias("__rate"), to.cast("double").alias("__to")).where("__size > 0")
     whole = slim.groupBy(*keys).agg(F.max(F.col("at") + F.col("__size")).cast("long").alias("n"))
-    sized = slim.drop("__first").join(whole, keys).withColumn("m", resampled_length(F.col("n"), F.col("__rate"), F.col("__to"))).where("m > 0")
+    sized = _scaled(slim.drop("__first").join(whole, keys), F.col("__rate"), F.col("__to")).withColumn("__end", F.col("at") + F.col("__size"))
     halo = slim.select(*keys, F.col("at").alias("__end"), F.col("__first").alias("__next"))
-    step = F.when((F.col("m") > 1) & (F.col("n") > 1), (F.col("n") - 1) / (F.col("m") - 1).cast("double")).otherwise(0.0)
-    facts = sized.withColumn("__end", F.col("at") + F.col("__size")).join(halo, [*keys, "__end"], "left").select(*keys, *also, "at", "__end", "n", "m", step.alias("step"), "__next")
+    facts = sized.join(halo, [*keys, "__end"], "left").select(*keys, "at", "__end", "n", "m", "step", "__next")
+    if beside is not None:
+        facts = facts.join(beside, keys)
     # Facts are worked out on slim rows; the samples themselves are moved once.
     joined = blocks.where(F.size("samples") > 0).select(*keys, "at", "samples").join(facts, [*keys, "at"])
     known = F.when(F.col("__next").isNull(), F.col("samples")).otherwise(F.array_append("samples", F.col("__next")))
-    return joined.select(*keys, *also, known.alias("samples"), F.col("at").alias("__begin"), "__end", "n", "m", "step")
-
-
-def _between(known: np.ndarray, begin: int, end: int, n: int, m: int, step: float) -> tuple[int, np.ndarray]:
-    """The new samples whose old place is in [begin, end): about begin / step to end / step; the place itself decides."""
-    k = np.arange(max(0, int(begin / step) - 1), min(m - 1, int(np.ceil(end / step)) + 1) + 1) if step else np.arange(m)
-    place = k * step
-    place[k == m - 1] = n - 1 if step else 0.0
-    whole = np.floor(place)
-    mine = (whole >= begin) & (whole < end)
-    k, place, whole = k[mine], place[mine], whole[mine]
-    i = whole.astype(np.int64) - begin
-    a, b = known[i], known[np.minimum(i + 1, len(known) - 1)]
-    return int(k[0]) if len(k) else 0, (b - a) * (place - whole) + a
-
-
-def _ramped(samples: np.ndarray, at: int, n: int, a: int, b: int) -> tuple[int, np.ndarray]:
-    """A block at a place of a signal of n samples, faded in over a samples and out over b."""
-    place, out = np.arange(at, at + len(samples)), samples.copy()
-    if a > 1:
-        out[place < a] *= place[place < a] / (a - 1)
-    if b > 1:
-        out[place >= n - b] *= 1.0 - (place[place >= n - b] - (n - b)) / (b - 1)
-    return at, out
-
-
-def _by_block(rows: DataFrame, keys: list[str], made) -> DataFrame:
-    """keys, at, samples: what made(samples, *the columns behind them) gives for each row, empty signals left out. Rows leave in
-    small batches, as what a row gives may be longer than the row."""
+    return joined.withColumn("samples", known).withColumnRenamed("at", "__begin").drop("__next")
+
+
+def _scaled(signals: DataFrame, rate: Column, to: Column) -> DataFrame:
+    """signals (n samples each) with m, their length at another rate, and step, the old samples from a new one to the next; those of no
+    length are left out."""
+    sized = signals.withColumn("m", resampled_length(F.col("n"), rate.cast("double"), to.cast("double"))).where("m > 0")
+    return sized.withColumn("step", F.when((F.col("m") > 1) & (F.col("n") > 1), (F.col("n") - 1) / (F.col("m") - 1).cast("double")).otherwise(0.0))
+
+
+def _reach(c: dict, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first new sample that may lie in each block, and how many from it on, of those numbered under most: about __begin / step to
+    __end / step."""
+    step = np.where(c["step"] > 0, c["step"], 1.0)
+    low = np.where(c["step"] > 0, np.maximum(0, (c["__begin"] / step).astype(np.int64) - 1), 0)
+    last = np.where(c["step"] > 0, np.minimum(c["m"] - 1, np.ceil(c["__end"] / step).astype(np.int64) + 1), c["m"] - 1)
+    return low, np.maximum(0, np.minimum(last, most - 1) - low + 1)
+
+
+def _between(c: dict, values: np.ndarray, first: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number and value of the new samples, numbered under most, whose old place is in [__begin, __end) of a row of c; the place itself
+    decides. A row's old samples begin at first in values and end where those of the next row begin."""
+    low, counts = _reach(c, most)
+    row = np.repeat(np.arange(len(counts)), counts)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts - low, counts)
+    place = k * c["step"][row]
+    end = (k == c["m"][row] - 1) & (c["step"][row] > 0)
+    place[end] = c["n"][row[end]] - 1
+    whole = np.floor(place).astype(np.int64)
+    mine = (whole >= c["__begin"][row]) & (whole < c["__end"][row])
+    row, k, place, whole = row[mine], k[mine], place[mine], whole[mine]
+    i, last = whole - c["__begin"][row], np.append(first[1:], len(values)) - 1
+    a, b = values[first[row] + i], values[np.minimum(first[row] + i + 1, last[row])]
+    return row, k, (b - a) * (place - whole) + a
+
+
+def _ramped(samples: np.ndarray, place: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Samples at places of signals of n samples, faded in over a samples and out over b."""
+    out = samples.copy()
+    up, down = np.flatnonzero((a > 1) & (place < a)), np.flatnonzero((b > 1) & (place >= n - b))
+    out[up] *= place[up] / (a[up] - 1)
+    out[down] *= 1.0 - (place[down] - (n[down] - b[down])) / (b[down] - 1)
+    return out
+
+
+#: New samples that are worked on at once.
+LOT = 1 << 19
+
+
+def _by_block(rows: DataFrame, keys: list[str], counts, made) -> DataFrame:
+    """keys, at, samples: made(c, values, first) gives the row, place and value of every sample that comes of the rows of c, which has the
+    columns behind the keys as numpy arrays; values are the samples of these rows, if they have any, and first where those of each
+    begin. Each row's samples follow each other; rows that give none are left out. Rows go together as long as they
+    have at most LOT samples to give by counts(c), as what a row gives may be longer than the row."""
     kind = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    names = [x for x in rows.columns if x not in keys and x != "samples"]
 
     def run(batches):
         for batch in batches:
-            arrays = batch.column(len(keys))
-            values, ends = arrays.flatten().to_numpy(zero_copy_only=False), np.cumsum(arrays.value_lengths().to_numpy(zero_copy_only=False))
-            rest = [batch.column(c).to_pylist() for c in range(len(keys) + 1, batch.num_columns)]
-            picked, at, out, size = [], [], [], 0
-
-            def given():
-                ids = pa.array(picked, pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(v) for v in out]), pa.int32()), pa.array(np.concatenate(out), pa.float64()))
-                return pa.RecordBatch.from_arrays([*(batch.column(c).take(ids) for c in range(len(keys))), pa.array(at, pa.int64()), lists], names=[*keys, "at", "samples"])
-
-            for r, more in enumerate(zip(*rest)):
-                place, new = made(values[(ends[r - 1] if r else 0) : ends[r]], *more)
-                if not len(new):
+            given = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in names}
+            ends, begin = np.cumsum(counts(given)), 0
+            while begin < len(ends):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + LOT, "right")))
+                part, values, first = batch.slice(begin, end - begin), np.zeros(0), np.zeros(end - begin, np.int64)
+                if "samples" in part.schema.names:
+                    arrays = part.column("samples")
+                    values, sizes = arrays.flatten().to_numpy(zero_copy_only=False), arrays.value_lengths().to_numpy(zero_copy_only=False)
+                    first = np.cumsum(sizes, dtype=np.int64) - sizes
+                row, place, out = made({x: v[begin:end] for x, v in given.items()}, values, first)
+                begin = end
+                if not len(row):
                     continue
-                picked.append(r), at.append(place), out.append(new)
-                size += len(new)
-                if size >= 1 << 20:
-                    yield given()
-                    picked, at, out, size = [], [], [], 0
-            if picked:
-                yield given()
+                sizes = np.bincount(row, minlength=part.num_rows)
+                picked = np.flatnonzero(sizes)
+                ends_here = np.cumsum(sizes[picked])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends_here)), pa.int32()), pa.array(out, pa.float64()))
+                at = pa.array(place[ends_here - sizes[picked]], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(picked)) for k in keys), at, lists], names=[*keys, "at", "samples"])
 
     return rows.mapInArrow(run, f"{kind}, at long, samples array<double>")
 
@@ -129,7 +154,14 @@ def faded(blocks: DataFrame, keys: list[str], rate: Column, fade_in: Column, fad
     sample or none does nothing."""
     whole = blocks.join(lengths(blocks, keys), keys)
     counts = (_fade(F.col("n"), rate, f).alias(name) for f, name in ((fade_in, "__a"), (fade_out, "__b")))
-    return _by_block(whole.select(*keys, "samples", "at", "n", *counts), keys, _ramped)
+
+    def made(c, values, first):
+        row = np.repeat(np.arange(len(first)), c["__size"])
+        place = np.arange(len(row)) - first[row] + c["at"][row]
+        return row, place, _ramped(values, place, *(c[x][row] for x in ("n", "__a", "__b")))
+
+    rows = whole.where(F.size("samples") > 0).select(*keys, "samples", "at", "n", F.size("samples").alias("__size"), *counts)
+    return _by_block(rows, keys, lambda c: c["__size"], made)
 
 
 def _fade(n: Column, rate: Column, seconds: Column) -> Column:
@@ -237,22 +269,53 @@ def effects(events: DataFrame, blocks: DataFrame, id: str, rate: int, narration_
     """events (id: one row each, start_time, offset, segment_start, volume, duration, and columns to keep) with the sound of each (blocks:
     id, rate, at, samples): resampled, cut or padded to its duration, faded, at its level, and moved to its place: id,
     keep, at, samples. What an event asks for goes to its blocks first, so they are made, cut and faded in one pass."""
+    asked = events.select(id, *keep, *_asked(rate, narration_peak, cap))
+    sound = _by_block(_with_next(blocks, [id], F.col("rate"), F.lit(rate), asked), [id, *keep], lambda c: _reach(c, _whole(c))[1], lambda c, values, first: _sounded(c, values, first, rate))
+    sizes = blocks.groupBy(id).agg(F.max(F.col("at") + F.size("samples")).cast("long").alias("n"), F.max("rate").alias("__rate")).where("n > 0")
+    return sound.unionByName(_padded(_scaled(sizes.join(asked, id), F.col("__rate"), F.lit(rate)), [id, *keep]))
+
+
+def drawn_effects(events: DataFrame, keys: list[str], rate: int, narration_peak: Column, cap: Column, cut: int, value, of: list[str]) -> DataFrame:
+    """As effects, for events that say of their sound how many samples it has (n) and at what rate, and whose samples are drawn as in drawn:
+    keys, at, samples. Keys may repeat: each row is an event. A task draws the sound of its own events, in blocks of cut and
+    each with the first sample of the next, so no samples are written or moved."""
+    asked = events.select(*keys, F.col("n").cast("long").alias("n"), F.col("rate").alias("__rate"), *_asked(rate, narration_peak, cap), *(F.col(c).alias(f"__of{i}") for i, c in enumerate(of)))
+    known = _scaled(asked.where("n > 0"), F.col("__rate"), F.lit(rate)).drop("__rate")
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(cut).cast("long")))
+    blocks = known.withColumn("__begin", begin).withColumn("__end", F.least(F.col("__begin") + cut, F.col("n")))
+
+    def made(c, *_):
+        counts = np.minimum(c["__end"] + 1, c["n"]) - c["__begin"]
+        first = np.cumsum(counts) - counts
+        numbers = np.arange(counts.sum()) + np.repeat(c["__begin"] - first, counts)
+        values = value(numbers, *(np.repeat(c[f"__of{i}"], counts) for i in range(len(of))))
+        return _sounded(c, values, first, rate)
+
+    # A block may have many samples that give few new ones.
+    sound = _by_block(blocks, keys, lambda c: np.maximum(_reach(c, _whole(c))[1], c["__end"] - c["__begin"]), made)
+    return sound.unionByName(_padded(known, keys))
+
+
+def _asked(rate: int, narration_peak: Column, cap: Column) -> list[Column]:
+    """What an event asks of its sound: the samples wanted (0: as many as there are), the level and the first place."""
     level = F.when(F.col("volume") > 0, limited(F.col("volume"), narration_peak, cap)).otherwise(0.0).cast("double")
     start = F.bround(event_start(F.col("start_time"), F.col("offset"), F.col("segment_start")) * rate).cast("long")
     want = F.greatest(F.coalesce(F.bround(F.col("duration") * rate).cast("long"), F.lit(0)), F.lit(0))
-    asked = events.select(id, *keep, want.alias("__want"), level.alias("__level"), start.alias("__start"))
-
-    def made(known, begin, end, n, m, step, want, level, start, fade):
-        at, out = _between(known, begin, end, n, m, step)
-        whole = want or m
-        at, out = _ramped(out[: max(0, whole - at)], at, whole, min(fade, whole), min(fade, whole))
-        return at + start, out * level
-
-    more = ["__want", "__level", "__start"]
-    ready = _with_next(blocks.join(asked, id), [id], F.col("rate"), F.lit(rate), [*keep, *more])
-    ready = ready.select(id, *keep, "samples", "__begin", "__end", "n", "m", "step", *more, F.bround(F.lit(FADE) * rate).cast("long").alias("__fade"))
-    sound = _by_block(ready, [id, *keep], made)
-    sizes = blocks.groupBy(id).agg(F.max(F.col("at") + F.size("samples")).cast("long").alias("__n"), F.max("rate").alias("__rate"))
-    padded = sizes.where("__n > 0").join(asked, id).withColumn("__m", resampled_length(F.col("__n"), F.col("__rate"), F.lit(rate)))
-    rest = _silence(padded.where("__m > 0 AND __want > __m"), F.col("__start") + F.col("__m"), F.col("__start") + F.col("__want"))
-    return sound.unionByName(rest.select(id, *keep, "at", "samples"))
+    return [want.alias("__want"), level.alias("__level"), start.alias("__start")]
+
+
+def _whole(c: dict) -> np.ndarray:
+    return np.where(c["__want"] > 0, c["__want"], c["m"])
+
+
+def _sounded(c: dict, values: np.ndarray, first: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and value of the samples of effects, of blocks as _between takes them: resampled, cut, faded, at their level and place."""
+    n = _whole(c)
+    row, k, out = _between(c, values, first, n)
+    fade = np.minimum(round(FADE * rate), n)
+    return row, k + c["__start"][row], _ramped(out, k, n[row], fade[row], fade[row]) * c["__level"][row]
+
+
+def _padded(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The silence behind sounds that are shorter than wanted."""
+    return _silence(events.where("__want > m"), F.col("__start") + F.col("m"), F.col("__start") + F.col("__want")).select(*keys, "at", "samples")

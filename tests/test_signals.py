@@ -1,10 +1,16 @@
 """Signals in blocks against numpy on whole arrays."""
 
+import re
+from collections import Counter
+from glob import glob
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from storyloom.operators import signals as g
+from storyloom.plans import catalogue
 
 BLOCK = "k INT, at LONG, samples ARRAY<DOUBLE>"
 
@@ -115,3 +121,52 @@ def test_effects_from_file_to_place(spark):
     assert got[2][0]["at"] == 125 and sum(len(r["samples"]) for r in got[2]) == 50
     third = sum((r["samples"] for r in got[3]), [])
     assert len(third) == 4500 and not any(third)
+
+
+def moved(spark, df):
+    """The columns of each exchange in the plan, where no join broadcasts a side."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return [re.findall(r"(\w+)#", x) for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+
+
+def test_effects_move_their_samples_once(spark):
+    ev = spark.createDataFrame([(1, None, 0.5, 2.0, 0.8, 0.0)], "id INT, start_time DOUBLE, offset DOUBLE, segment_start DOUBLE, volume DOUBLE, duration DOUBLE")
+    sound = spark.createDataFrame([(1, 1000, 0, [1.0])], "id INT, rate INT, at LONG, samples ARRAY<DOUBLE>")
+    assert sum("samples" in columns for columns in moved(spark, g.effects(ev, sound, "id", 500, F.lit(0.5), F.lit(0.6)))) == 1
+
+
+def test_drawn_effects_are_effects_of_drawn_sounds(spark):
+    rng = np.random.default_rng(5)
+    lengths, rates, wanted = (1, 2, 3, 10, 11, 20, 21, 95, 300), (250, 500, 1300), (None, 0.0, 0.002, 0.03, 9.5)
+    rows = [(i, n, rate, i % 4, None if i % 3 else i / 9 - 1, 0.25, i % 5 * 1.0, float(rng.random() - 0.1), d) for i, (n, rate, d) in enumerate((n, r, d) for n in lengths for r in rates for d in wanted)]
+    ev = spark.createDataFrame(rows + [(-1, 0, 500, 0, 0.0, 0.0, 0.0, 1.0, 1.0), (-2, None, 500, 0, 0.0, 0.0, 0.0, 1.0, 1.0)], "id INT, n INT, rate INT, s INT, start_time DOUBLE, offset DOUBLE, segment_start DOUBLE, volume DOUBLE, duration DOUBLE")
+    value = lambda i, s: np.sin(i * 1.7 + s)
+    sound = spark.createDataFrame([(r[0], r[2], a, value(np.arange(a, min(a + 10, r[1])), r[3]).tolist()) for r in rows for a in range(0, r[1], 10)], "id INT, rate INT, at LONG, samples ARRAY<DOUBLE>")
+    got, want = ({k: {} for k in range(len(rows))} for _ in range(2))
+    for held, df in ((got, g.drawn_effects(ev, ["id"], 500, F.lit(0.7), F.lit(0.6), 10, value, ["s"])), (want, g.effects(ev.drop("rate"), sound, "id", 500, F.lit(0.7), F.lit(0.6)))):
+        for r in df.collect():
+            assert not set(held[r["id"]]) & set(range(r["at"], r["at"] + len(r["samples"])))
+            held[r["id"]].update(enumerate(r["samples"], r["at"]))
+    assert got == want and all(bool(want[r[0]]) == (round(r[1] * 500 / r[2]) > 0) for r in rows)
+    x = by_numpy(value(np.arange(300), rows[-2][3]), 1300, 500)[:15]
+    assert np.allclose([v for _, v in sorted(got[len(rows) - 2].items())], x * np.minimum(1, np.arange(15) / 9) * np.minimum(1, np.arange(15)[::-1] / 9) * max(0.0, min(rows[-2][7], 0.35)))
+    twice = g.drawn_effects(ev.union(ev), ["id"], 500, F.lit(0.7), F.lit(0.6), 10, value, ["s"])
+    assert Counter(r["id"] for r in twice.collect()) == {k: 2 * n for k, n in Counter(r["id"] for r in g.drawn_effects(ev, ["id"], 500, F.lit(0.7), F.lit(0.6), 10, value, ["s"]).collect()).items()}
+
+
+def test_effect_mix_moves_sums_alone_and_hears_equal_lines(spark, sf, tmp_path):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines.union(lines.limit(500)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = set(glob(spark.conf.get("spark.checkpoint.dir") + "/storyloom/*"))
+    df = catalogue.queries()["effect_mix"](spark, str(tmp_path))
+    columns = [sorted(r) for r in moved(spark, df)]
+    got = sorted(tuple(r[c] for c in ("track", "at", "total", "peak", "n_sounding")) for r in df.collect())
+    assert set(glob(spark.conf.get("spark.checkpoint.dir") + "/storyloom/*")) == before and len(columns) == 1
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.sql(f'SELECT track, "at", total, peak, n_sounding FROM ({catalogue.oracle_sql()["effect_mix"]})').fetchall())
+    assert len(got) == len(want) and all(a[:2] == b[:2] and a[4] == b[4] and np.allclose(a[2:4], b[2:4], atol=1e-9) for a, b in zip(got, want))
